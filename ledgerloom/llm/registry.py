@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, fingerprints, license_scan, url_filters
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op2_url_filters": url_filters.op2_url_filters,
+        "op4_license_scans": license_scan.op4_license_scans,
+        "op10_document_fingerprints": fingerprints.op10_document_fingerprints,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": exact_dedup.SQL,
+        "op2_url_filters": url_filters.SQL,
+        "op4_license_scans": license_scan.SQL,
     }
