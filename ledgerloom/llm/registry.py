@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprints, license_scan, url_filters
+from . import exact_dedup, fingerprints, license_scan, packing, url_filters
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op2_url_filters": url_filters.op2_url_filters,
+        "op3_packing": packing.op3_packing,
         "op4_license_scans": license_scan.op4_license_scans,
         "op10_document_fingerprints": fingerprints.op10_document_fingerprints,
     }
