@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprints, license_scan, packing, url_filters
+from . import exact_dedup, fingerprints, license_scan, packing, toxicity, url_filters
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_url_filters": url_filters.op2_url_filters,
         "op3_packing": packing.op3_packing,
         "op4_license_scans": license_scan.op4_license_scans,
+        "op5_toxicity": toxicity.op5_toxicity,
         "op10_document_fingerprints": fingerprints.op10_document_fingerprints,
     }
 
