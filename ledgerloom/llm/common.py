@@ -2,32 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Used only where the session names no checkpoint folder, as in local tests.
-LOCAL_SCRATCH = "file:///tmp/checkpoints/ledgerloom"
-#: A key counts as hot when it holds more than this share of all rows, so at most 1 / HOT_SHARE keys are hot.
-HOT_SHARE = 1 / 1000
-
+from ledgerloom.plans.scratch import materialise, scratch_path
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; it is removed when the session ends."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return path
+__all__ = ["lookup_join", "materialise", "scratch_path", "text_of"]
 
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to a shared scratch table and reads it back: lineage ends here and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: A key counts as hot when it holds more than this share of all rows, so at most 1 / HOT_SHARE keys are hot.
+HOT_SHARE = 1 / 1000
 
 
 def text_of(column: str = "text"):

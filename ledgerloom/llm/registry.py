@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprints, license_scan, packing, toxicity, url_filters
+from . import exact_dedup, fingerprints, license_scan, ngram_join, packing, toxicity, url_filters
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_packing": packing.op3_packing,
         "op4_license_scans": license_scan.op4_license_scans,
         "op5_toxicity": toxicity.op5_toxicity,
+        "op6_ngram_jaccard_join": ngram_join.op6_ngram_jaccard_join,
         "op10_document_fingerprints": fingerprints.op10_document_fingerprints,
     }
 
