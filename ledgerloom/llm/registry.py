@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprints, license_scan, ngram_join, packing, toxicity, url_filters
+from . import exact_dedup, fingerprints, html_extract, license_scan, ngram_join, packing, sampled_pieces, token_counts, toxicity, url_filters
 
 
 def queries() -> dict:
@@ -13,6 +13,9 @@ def queries() -> dict:
         "op4_license_scans": license_scan.op4_license_scans,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_ngram_jaccard_join": ngram_join.op6_ngram_jaccard_join,
+        "op7_html_extraction": html_extract.op7_html_extraction,
+        "op8_token_counts": token_counts.op8_token_counts,
+        "op9_sampled_pieces": sampled_pieces.op9_sampled_pieces,
         "op10_document_fingerprints": fingerprints.op10_document_fingerprints,
     }
 
