@@ -364,5 +364,21 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return linked.unionByName(alone).select(real.alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
 
 
+def keep_one_of_each_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one row of each component: the one with the smallest id. Columns as given.
+
+    Rows without shingles and rows of a component without any id all stay; of repeated rows with that id, one stays.
+    """
+    found = ngram_jaccard_join(docs, id_col, text_col, size, percent)
+    alone = F.col("component_id").isNull() | (F.col("n_shingles") == 0)
+    drop = found.where(~alone & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id")).distinct()
+    left = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).join(drop, "_id", "left_anti")
+    repeated = found.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id"))
+    if repeated.limit(1).count():
+        again = left.join(repeated, "_id", "left_semi").dropDuplicates(["_id", text_col])
+        left = left.join(repeated, "_id", "left_anti").unionByName(again)
+    return left.select(*docs.columns)
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import exact_dedup, fingerprints, html_extract, license_scan, ngram_join, packing, sampled_pieces, token_counts, toxicity, url_filters
 
 
@@ -17,6 +19,7 @@ def queries() -> dict:
         "op8_token_counts": token_counts.op8_token_counts,
         "op9_sampled_pieces": sampled_pieces.op9_sampled_pieces,
         "op10_document_fingerprints": fingerprints.op10_document_fingerprints,
+        "pipeline": corpus_pipeline.run,
     }
 
 
