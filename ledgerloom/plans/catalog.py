@@ -1,14 +1,15 @@
-"""The named queries and their DuckDB equivalents."""
+"""The named queries and their DuckDB equivalents, gathered from the modules beside this one."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import queries_categories, queries_series
+
+MODULES = (queries_categories, queries_series)
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    return {name: query for module in MODULES for name, query in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
