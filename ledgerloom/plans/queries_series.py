@@ -1 +1,401 @@
-QUERIES, ORACLES = {}, {}
+"""Queries of the recurrence operators: normalised rows, blocks, links, series statistics and scores."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ledgerloom.functions import money as M
+from ledgerloom.functions import similarity as S
+from ledgerloom.functions import text as T
+from ledgerloom.operators import recurrence as R
+from ledgerloom.operators import series as G
+
+from .registering import registry
+from .sample_ledger import COPIES_SQL, LEDGER_SQL, ledger, ledger_with_copies
+
+QUERIES, ORACLES, query = registry()
+
+_list = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def n1(column: str) -> str:
+    """N1 in DuckDB: the list of tokens of a column, null as empty text."""
+    t = f"strip_accents(lower(coalesce({column}, '')))"
+    for p in (r"\b[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}\b", r"\b[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{2,4}\b", r"\b[0-9]{1,2}[-/.][0-9]{4}\b", r"\b[0-9]{1,2}[-/.][0-9]{1,2}\b", r"\b[0-9]{6,}\b"):
+        t = f"regexp_replace({t}, '{p}', ' ', 'g')"
+    t = f"trim(regexp_replace(regexp_replace({t}, '\\bs/a\\b', ' sa ', 'g'), '[^a-z0-9]+', ' ', 'g'))"
+    same = "case w " + " ".join(f"when '{a}' then '{b}'" for a, b in T.EQUIVALENT.items()) + " else w end"
+    kept = f"list_filter(list_transform(string_split({t}, ' '), lambda w: {same}), lambda w: length(w) > 1 and not regexp_matches(w, '[0-9]') and not list_contains({_list(T.STOP_WORDS)}, w))"
+    return f"list_reduce(list_prepend([]::varchar[], list_transform({kept}, lambda w: [w])), lambda a, b: case when list_contains(a, b[1]) then a else a || b end)"
+
+
+def aliases(tokens: str) -> str:
+    return "list_filter([" + ", ".join(f"case when list_has_any({tokens}, {_list(w.split())}) then '{g}' end" for g, w in T.ALIAS_GROUPS.items()) + "], lambda g: g is not null)"
+
+
+NORM_SQL = f"""
+tokened as (select *, {n1('description')} as d_tokens, {n1('counterparty_name')} as c_tokens from source),
+merged as (select * exclude (d_tokens, c_tokens), d_tokens || list_filter(c_tokens, lambda w: not list_contains(d_tokens, w)) as tokens, nullif(array_to_string(c_tokens, ' '), '') as normalized_counterparty from tokened),
+rec as (
+  select * exclude (document_number), array_to_string(tokens, ' ') as normalized_description, list_filter(tokens, lambda w: length(w) >= 3 and not list_contains({_list(T.GENERIC_TOKENS)}, w)) as "distinctive",
+    abs(amount) as abs_amount, case when abs(amount) < 50 then 0 when abs(amount) < 100 then 1 when abs(amount) < 250 then 2 when abs(amount) < 500 then 3 when abs(amount) < 1000 then 4 when abs(amount) < 2500 then 5 else 6 end as bucket,
+    coalesce(document_number, nullif(regexp_replace(regexp_extract(description, '\\b[0-9]{{2}}[.\\s]?[0-9]{{3}}[.\\s]?[0-9]{{3}}[/]?[0-9]{{4}}[-\\s]?[0-9]{{2}}\\b'), '[^0-9]', '', 'g'), ''), nullif(regexp_extract(description, '\\b(?:[0-9]{{11}}|[0-9]{{14}})\\b'), '')) as document_number
+  from merged)"""
+REC_SQL = f"with {LEDGER_SQL}, source as (select * from ledger), {NORM_SQL}"
+REC_COPIES_SQL = f"with {COPIES_SQL}, source as (select * from copies), {NORM_SQL}"
+KEYS = ["company_id", "type", "normalized_description"]
+BY = ", ".join(KEYS)
+
+MONTHLY = "(abs(date_diff('day', {a}, {b})) between 25 and 35 or (abs((year({a}) * 12 + month({a})) - (year({b}) * 12 + month({b}))) = 1 and abs(day({a}) - day({b})) <= 5))"
+CADENCE = "({m} or (abs((year({a}) * 12 + month({a})) - (year({b}) * 12 + month({b}))) between 2 and 3 and ((({a} = last_day({a})) and ({b} = last_day({b}))) or day({a}) = day({b}))))"
+
+
+def monthly_sql(a: str, b: str) -> str:
+    return MONTHLY.format(a=a, b=b)
+
+
+def cadence_sql(a: str, b: str) -> str:
+    return CADENCE.format(m=monthly_sql(a, b), a=a, b=b)
+
+
+def rows_of(spark, sf_dir):
+    return R.normalized_rows(ledger(spark, sf_dir))
+
+
+def six(c):
+    return F.round(c, 6)
+
+
+@query(REC_SQL + " select id, array_to_string(tokens, ' ') as tokens, normalized_counterparty, document_number, bucket from rec")
+def rec_normalize(spark, sf_dir):
+    return rows_of(spark, sf_dir).select("id", F.array_join("tokens", " ").alias("tokens"), "normalized_counterparty", "document_number", "bucket")
+
+
+@query(f"select doc_id, array_to_string({n1('text')}, ' ') as tokens from documents")
+def normalize_documents(spark, sf_dir):
+    """The recurrence normaliser over the accented texts of ``documents``."""
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.array_join(T.recurrence_tokens(F.col("text")), " ").alias("tokens"))
+
+
+@query("select doc_id, trim(regexp_replace(upper(strip_accents(replace(text, 'ß', ' '))), '[^A-Z0-9]+', ' ', 'g')) as audit_text, trim(regexp_replace(regexp_replace(strip_accents(lower(text)), '[0-9]+', '#', 'g'), '[^a-z#]+', ' ', 'g')) as shape from documents")
+def audit_normalize(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", T.audit_text(F.replace("text", F.lit("ß"), F.lit(" "))).alias("audit_text"), T.context_shape(F.col("text")).alias("shape"))
+
+
+@query(r"""select user_id, event_id, coalesce(nullif(regexp_replace(regexp_extract(t, '\b[0-9]{2}[.\s]?[0-9]{3}[.\s]?[0-9]{3}[/]?[0-9]{4}[-\s]?[0-9]{2}\b'), '[^0-9]', '', 'g'), ''), nullif(regexp_extract(t, '\b(?:[0-9]{11}|[0-9]{14})\b'), '')) as document
+  from (select *, case event_id % 4 when 0 then 'NF ' || lpad(event_id::varchar, 11, '7') when 1 then 'CNPJ 12.345.678/' || lpad((event_id % 10000)::varchar, 4, '0') || '-99 x' when 2 then 'doc ' || lpad(event_id::varchar, 14, '8') || '.' else 'sem ' || event_id end as t from events)""")
+def extract_document(spark, sf_dir):
+    e, n = spark.read.parquet(f"{sf_dir}/events.parquet"), F.col("event_id")
+    text = (
+        F.when(n % 4 == 0, F.concat(F.lit("NF "), F.lpad(n.cast("string"), 11, "7"))).when(n % 4 == 1, F.concat(F.lit("CNPJ 12.345.678/"), F.lpad((n % 10000).cast("string"), 4, "0"), F.lit("-99 x")))
+        .when(n % 4 == 2, F.concat(F.lit("doc "), F.lpad(n.cast("string"), 14, "8"), F.lit("."))).otherwise(F.concat(F.lit("sem "), n.cast("string")))
+    )
+    return e.select("user_id", "event_id", T.document_in_text(text).alias("document"))
+
+
+@query(REC_SQL + " select bucket, type, count(*) as n from rec group by all")
+def amount_bucket(spark, sf_dir):
+    return rows_of(spark, sf_dir).groupBy("bucket", "type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(REC_COPIES_SQL + " select id from rec qualify row_number() over (partition by company_id, bank_account_id, date, floor(amount * 100 + 0.5), normalized_description order by id) = 1")
+def rec_dedupe(spark, sf_dir):
+    return R.without_exact_copies(R.normalized_rows(ledger_with_copies(spark, sf_dir))).select("id")
+
+
+@query(REC_SQL + """ select t as token, count(*) as n from (select unnest("distinctive") as t from rec) group by t""")
+def distinctive_tokens(spark, sf_dir):
+    return rows_of(spark, sf_dir).select(F.explode("distinctive").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
+_ALIAS_WORDS = "[{}]".format(", ".join(f"'{w}'" for w in "aluguel energia vivo netflix aws seguro salario comissao darf padaria".split()))
+
+
+@query(f"select o_orderkey, array_to_string({aliases('tokens')}, ',') as groups from (select o_orderkey, [{_ALIAS_WORDS}[o_orderkey % 10 + 1], {_ALIAS_WORDS}[o_custkey % 10 + 1]] as tokens from orders)")
+def alias_groups(spark, sf_dir):
+    words = F.array(*[F.lit(w) for w in "aluguel energia vivo netflix aws seguro salario comissao darf padaria".split()])
+    tokens = F.array(F.get(words, (F.col("o_orderkey") % 10).cast("int")), F.get(words, (F.col("o_custkey") % 10).cast("int")))
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.array_join(T.alias_groups(tokens), ",").alias("groups"))
+
+
+@query(REC_SQL + """, b as (select distinct company_id, type, bucket as block from rec), m as (select r.company_id, r.type, b.block, r.id from rec r join b on b.company_id = r.company_id and b.type = r.type and abs(b.block - r.bucket) <= 1)
+  select company_id, type, block, count(*) as n, min(id) as first_id from m group by all having count(*) >= 2""")
+def amount_blocks(spark, sf_dir):
+    return R.amount_blocks(rows_of(spark, sf_dir)).groupBy("company_id", "type", "block").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
+
+
+IDENTITY_SQL = REC_SQL + """,
+k as (
+  select company_id, type, id, 'document:' || regexp_replace(document_number, '[^0-9]', '', 'g') as key, 0.98 as score from rec where regexp_replace(document_number, '[^0-9]', '', 'g') <> '' union all
+  select company_id, type, id, 'counterparty:' || normalized_counterparty, 0.95 from rec where normalized_counterparty is not null union all
+  select company_id, type, id, 'description:' || normalized_description, 0.92 from rec where normalized_description <> '' and len("distinctive") > 0 union all
+  select company_id, type, id, 'tokens:' || "distinctive"[i] || '+' || "distinctive"[j], 0.88 from rec, unnest(generate_series(1, len("distinctive"))) as a(i), unnest(generate_series(1, len("distinctive"))) as b(j) where i < j union all
+  select company_id, type, id, 'token:' || t, 0.72 from (select company_id, type, id, unnest("distinctive") as t from rec)),
+groups as (select company_id, type, key, max(score)::double as score, count(*) as n, list_sort(list(id)) as ids from k group by company_id, type, key having count(*) >= 3)"""
+
+
+@query(IDENTITY_SQL + " select company_id, type, key, score, n, md5(array_to_string(ids, '|')) as signature from groups")
+def identity_candidates(spark, sf_dir):
+    g = R.identity_groups(rows_of(spark, sf_dir)).groupBy("company_id", "type", "key", "score")
+    return g.agg(F.count(F.lit(1)).alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list("id")), "|")).alias("signature"))
+
+
+@query(IDENTITY_SQL + " select company_id, key, score, sha256(array_to_string(ids, '|')) as signature from groups qualify row_number() over (partition by company_id, sha256(array_to_string(ids, '|')) order by score desc, key) = 1")
+def candidate_signature(spark, sf_dir):
+    g = R.identity_groups(rows_of(spark, sf_dir)).groupBy("company_id", "type", "key", "score").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    return R.distinct_candidates(g).select("company_id", "key", "score", "signature")
+
+
+@query(IDENTITY_SQL + """,
+g5 as (select company_id, type, key, score, n, unnest(ids) as id from groups where n between 5 and 40 and starts_with(key, 'description:')),
+rows5 as (select g5.*, r.date, r.abs_amount from g5 join rec r using (id)),
+near as (
+  select a.company_id, a.type, a.key, a.score, a.n, b.id as anchor_id, 'day' as lane, a.id from rows5 a join rows5 b on a.company_id = b.company_id and a.type = b.type and a.key = b.key where abs(day(a.date) - day(b.date)) <= 3 union all
+  select a.company_id, a.type, a.key, a.score, a.n, b.id, 'amount', a.id from rows5 a join rows5 b on a.company_id = b.company_id and a.type = b.type and a.key = b.key
+  where case when a.abs_amount + b.abs_amount = 0 then 0 else abs(a.abs_amount - b.abs_amount) / ((a.abs_amount + b.abs_amount) / 2) end <= 0.35)
+select company_id, key, lane, anchor_id, count(*) as n, md5(string_agg(id, '|' order by id)) as signature from near group by company_id, type, key, lane, anchor_id, near.n having count(*) >= 3 and count(*) < near.n""")
+def lanes(spark, sf_dir):
+    rows = rows_of(spark, sf_dir)
+    groups = R.identity_groups(rows).where(F.col("key").startswith("description:"))
+    sizes = groups.groupBy("company_id", "type", "key").agg(F.count(F.lit(1)).alias("n")).where("n between 5 and 40").drop("n")
+    members = groups.join(sizes, ["company_id", "type", "key"]).join(rows.select("id", "date", "abs_amount"), "id")
+    return R.lanes(members).select("company_id", "key", "lane", "anchor_id", F.size("ids").cast("long").alias("n"), F.md5(F.array_join("ids", "|")).alias("signature"))
+
+
+@query(REC_SQL + """,
+i as (select * from rec where type = 'income' and id like '1%'),
+near as (select a.company_id, b.id as anchor_id, a.id, a.date, a.normalized_description, abs(a.abs_amount - b.abs_amount) / ((a.abs_amount + b.abs_amount) / 2) as off from i a join i b on a.company_id = b.company_id
+  where abs(day(a.date) - day(b.date)) <= 2 and case when a.abs_amount + b.abs_amount = 0 then 0 else abs(a.abs_amount - b.abs_amount) / ((a.abs_amount + b.abs_amount) / 2) end <= 0.55),
+f as (select *, count(*) over (partition by anchor_id, normalized_description) as frequency from near),
+best as (select * from f qualify row_number() over (partition by anchor_id, date_trunc('month', date) order by frequency desc, off, date, id) = 1)
+select company_id, anchor_id, count(*) as n, md5(string_agg(id, '|' order by id)) as signature from best group by company_id, anchor_id having count(*) >= 4""")
+def income_tracks(spark, sf_dir):
+    found = R.income_tracks(rows_of(spark, sf_dir).where("id like '1%'"))
+    return found.select("company_id", "anchor_id", F.size("ids").cast("long").alias("n"), F.md5(F.array_join("ids", "|")).alias("signature"))
+
+
+PAIR_SQL = REC_SQL + """,
+pairs as (select a.id as left_id, b.id as right_id, a.tokens as a, b.tokens as b, a."distinctive" as ad, b."distinctive" as bd, a.document_number as an, b.document_number as bn, a.normalized_counterparty as ac, b.normalized_counterparty as bc, a.normalized_description as text_a, b.normalized_description as text_b
+  from rec a join rec b on a.company_id = b.company_id and a.date = b.date where a.id < b.id)"""
+
+
+def _same_day(spark, sf_dir):
+    rows = rows_of(spark, sf_dir)
+    side = lambda p: rows.select("company_id", "date", *[F.col(c).alias(f"{p}{c}") for c in ("id", "tokens", "distinctive", "document_number", "normalized_counterparty", "normalized_description", "description")])
+    return side("l_").join(side("r_"), ["company_id", "date"]).where("l_id < r_id")
+
+
+@query(PAIR_SQL + f""", m as (select *, len(list_intersect(a, b)) as common, len(list_distinct(a || b)) as whole, list_filter(a, lambda w: length(w) >= 4) as la, list_filter(b, lambda w: length(w) >= 4) as lb, {aliases('a')} as ga, {aliases('b')} as gb from pairs)
+  select left_id, right_id, round(greatest(case when whole > 0 then common / whole else 0 end, case when least(len(a), len(b)) > 0 then common / least(len(a), len(b)) * 0.85 else 0 end,
+    case when len(list_intersect(la, lb)) >= 2 and len(list_intersect(la, lb)) / least(len(la), len(lb)) >= 0.66 then 0.72 else 0 end, case when list_has_any(ga, gb) then 0.35 else 0 end,
+    case when an = bn then 0.95 else 0 end, case when ac = bc then 0.9 else 0 end), 6) as similarity from m""")
+def token_similarity(spark, sf_dir):
+    return _same_day(spark, sf_dir).select(F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id"), six(S.text_similarity("l_", "r_")).alias("similarity"))
+
+
+@query(PAIR_SQL + """, m as (select *, len(list_intersect(ad, bd)) as common, regexp_replace(an, '[^0-9]', '', 'g') as ax, regexp_replace(bn, '[^0-9]', '', 'g') as bx from pairs)
+  select left_id, right_id, (case when length(ax) in (11, 14) and ax = bx then 0.98 when ac = bc then 0.95 when text_a = text_b and text_a <> '' and len(ad) > 0 then 0.92 when common >= 2 then 0.88 when common = 1 and least(len(ad), len(bd)) = 1 then 0.72 when common = 1 then 0.62 else 0 end)::double as score from m""")
+def economic_identity(spark, sf_dir):
+    return _same_day(spark, sf_dir).select(F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id"), S.economic_identity("l_", "r_").alias("score"))
+
+
+@query(f"with p as (select o_custkey, o_orderkey, cast(o_orderdate as date) as b, lag(cast(o_orderdate as date)) over (partition by o_custkey order by o_orderdate, o_orderkey) as a from orders) select o_orderkey, {monthly_sql('a', 'b')} as monthly, {cadence_sql('a', 'b')} as cadence from p where a is not null")
+def monthly_pair(spark, sf_dir):
+    from pyspark.sql.window import Window
+
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", "o_orderkey", F.to_date("o_orderdate").alias("b"))
+    pairs = o.withColumn("a", F.lag("b").over(Window.partitionBy("o_custkey").orderBy("b", "o_orderkey"))).where("a is not null")
+    return pairs.select("o_orderkey", M.is_monthly_pair(F.col("a"), F.col("b")).alias("monthly"), M.is_cadence_pair(F.col("a"), F.col("b")).alias("cadence"))
+
+
+LINK_SQL = REC_SQL + f""",
+near as (
+  select a.company_id, a.id as l, b.id as r, a.tokens as at, b.tokens as bt, list_intersect(a.tokens, b.tokens) as common, {aliases('a.tokens')} as ga, {aliases('b.tokens')} as gb, a.bucket as ab, b.bucket as bb,
+    a.normalized_counterparty = b.normalized_counterparty as same_party, nullif(regexp_replace(a.document_number, '[^0-9]', '', 'g'), '') = nullif(regexp_replace(b.document_number, '[^0-9]', '', 'g'), '') as same_doc,
+    a.normalized_description = b.normalized_description and a.normalized_description <> '' as same_text, len(list_intersect(a."distinctive", b."distinctive")) as distinct_common,
+    try_cast(regexp_extract(a.description, '(?i)(?:parcela\\s*)?([0-9]{{1,2}})\\s*/\\s*([0-9]{{1,2}})', 1) as int) as ai, try_cast(regexp_extract(a.description, '(?i)(?:parcela\\s*)?([0-9]{{1,2}})\\s*/\\s*([0-9]{{1,2}})', 2) as int) as an,
+    try_cast(regexp_extract(b.description, '(?i)(?:parcela\\s*)?([0-9]{{1,2}})\\s*/\\s*([0-9]{{1,2}})', 1) as int) as bi, try_cast(regexp_extract(b.description, '(?i)(?:parcela\\s*)?([0-9]{{1,2}})\\s*/\\s*([0-9]{{1,2}})', 2) as int) as bn,
+    case when a.abs_amount + b.abs_amount = 0 then 0 else abs(a.abs_amount - b.abs_amount) / ((a.abs_amount + b.abs_amount) / 2) end as off
+  from rec a join rec b on a.company_id = b.company_id and a.type = b.type and a.id < b.id where {cadence_sql('a.date', 'b.date')}),
+specific as (select *, len(list_filter(common, lambda w: not list_contains({_list(T.GENERIC_TOKENS)}, w))) as s from near where off <= 0.6),
+links as (
+  select company_id, l as left_id, r as right_id from specific
+  where (coalesce(same_doc, false) or coalesce(same_party, false) or coalesce(an = bn and ai <> bi and ai >= 1 and bi >= 1 and an >= 2 and ai <= an and bi <= bn and s >= 1, false)
+      or (s >= 1 and (len(common) >= 2 or list_has_any(ga, gb))) or list_has_any(list_intersect(ga, gb), {_list(S.VARIABLE_GROUPS)}) or (off <= 0.12 and list_has_any(list_intersect(ga, gb), {_list(S.STRICT_GROUPS)})))
+    and (abs(ab - bb) <= 1 or coalesce(same_doc, false) or coalesce(same_party, false) or same_text or distinct_common >= 2))"""
+
+
+@query(LINK_SQL + " select * from links")
+def link_edges(spark, sf_dir):
+    return R.link_edges(rows_of(spark, sf_dir))
+
+
+#: A finer cut of the links keeps the oracle's recursion small: one account and a price band of each company.
+_THIN = "id like '%0'"
+
+
+@query(LINK_SQL.replace("source as (select * from ledger)", f"source as (select * from ledger where {_THIN})").replace("with ", "with recursive ", 1) + """,
+ends as (select left_id as a, right_id as b from links union all select right_id, left_id from links),
+reach(a, b) as (select a, a from ends union select r.a, ends.b from reach r join ends on ends.a = r.b)
+select a as id, min(b) as component from reach group by a""")
+def components(spark, sf_dir):
+    """Connected components of the links of one lane of the ledger."""
+    return R.linked_groups(R.link_edges(R.normalized_rows(ledger(spark, sf_dir).where(_THIN))))
+
+
+@query(REC_SQL + """, w as (select *, regexp_replace(document_number, '[^0-9]', '', 'g') as doc, normalized_description as g from rec),
+c as (select *, count(doc) over own = count(*) over own as all_doc, count(normalized_counterparty) over own = count(*) over own as all_party from w window own as (partition by company_id, g)),
+d as (select company_id, g, count(distinct doc) > 1 as docs, count(distinct normalized_counterparty) > 1 as parties from w group by company_id, g)
+select id, case when all_doc and docs then doc when all_party and parties then normalized_counterparty else '' end as part from c join d using (company_id, g)""")
+def split_identity(spark, sf_dir):
+    rows = rows_of(spark, sf_dir).withColumn("component", F.concat_ws("|", "company_id", "normalized_description"))
+    return R.split_by_identity(rows).select("id", "part")
+
+
+@query(r"select o_orderkey, try_cast(regexp_extract(t, '(?i)(?:parcela\s*)?([0-9]{1,2})\s*/\s*([0-9]{1,2})', 1) as int) as current, try_cast(regexp_extract(t, '(?i)(?:parcela\s*)?([0-9]{1,2})\s*/\s*([0-9]{1,2})', 2) as int) as total from (select o_orderkey, case when o_orderkey % 3 = 0 then o_orderpriority else 'PARCELA ' || (o_orderkey % 13) || ' / ' || (o_custkey % 13) end as t from orders)")
+def installments(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    text = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderpriority")).otherwise(F.concat(F.lit("PARCELA "), (F.col("o_orderkey") % 13).cast("string"), F.lit(" / "), (F.col("o_custkey") % 13).cast("string")))
+    found = T.installment(text)
+    return o.select("o_orderkey", found["current"].alias("current"), found["total"].alias("total"))
+
+
+PERIOD_SQL = REC_SQL + f""",
+dates as (select distinct {BY}, date from rec), gaps as (select *, lag(date) over (partition by {BY} order by date) as previous from dates),
+marks as (select *, coalesce({monthly_sql('previous', 'date')}, false) as monthly, coalesce({cadence_sql('previous', 'date')}, false) as cadence from gaps),
+agg as (select {BY}, count(*) as n_dates, count(*) filter (monthly) as monthly, count(*) filter (cadence and not monthly) as skipped, list_sort(list(day(date))) as days, max(date) as last_date, avg(date_diff('day', previous, date)) as average_gap from marks group by {BY}),
+part as (select *, case when n_dates > 1 then (monthly + skipped * 0.75::double) / (n_dates - 1) else 0.0 end as ratio,
+  case when n_dates >= 2 then greatest(0, least(1, 1 - list_sum(list_transform(days, lambda d: abs(d - days[len(days) // 2 + 1]))) / len(days) / 5)) else 0.0 end as consistency from agg),
+period as (select *, greatest(0, least(1, case when n_dates < 2 then 0.0 when n_dates = 2 and monthly = 1 then least(ratio * 0.7 + consistency * 0.3, 0.62) when n_dates = 2 then least(ratio * 0.7 + consistency * 0.3, 0.2) else ratio * 0.7 + consistency * 0.3 end)) as score from part)"""
+
+
+@query(PERIOD_SQL + f" select {BY}, n_dates, round(ratio, 6) as ratio, round(consistency, 6) as consistency, round(score, 6) as score, case when round(score, 9) >= 0.55 and round(ratio, 9) >= 0.5 then 'monthly' else 'unknown' end as frequency from period")
+def periodicity(spark, sf_dir):
+    p = G.periodicity(rows_of(spark, sf_dir), KEYS)
+    return p.select(*KEYS, "n_dates", six(F.col("ratio")).alias("ratio"), six(F.col("consistency")).alias("consistency"), six(F.col("score")).alias("score"), "frequency")
+
+
+STABLE_SQL = REC_SQL + f""",
+a as (select {BY}, count(*) as n, avg(amount) as mean, avg(abs_amount) as mean_abs, min(abs_amount) as low, max(abs_amount) as high, stddev_pop(abs_amount) as deviation from rec group by {BY}),
+stable as (select *, case when mean_abs = 0 then 0.0 else (high - low) / mean_abs * 100 end as v from a)"""
+
+
+@query(STABLE_SQL + f" select {BY}, n, floor(low * 100 + 0.5) / 100 as min_amount, floor(high * 100 + 0.5) / 100 as max_amount, round(v, 6) as variation_percent, round(deviation / mean_abs, 6) as coefficient, case when v <= 5 then 'fixed' else 'variable' end as recurrence_type, (case when v <= 5 then 1 when v <= 15 then 0.8 when v <= 30 then 0.55 when v <= 50 then 0.35 else 0.1 end)::double as amount_score from stable")
+def amount_stability(spark, sf_dir):
+    a = G.amount_stability(rows_of(spark, sf_dir), KEYS)
+    return a.select(*KEYS, "n", "min_amount", "max_amount", six(F.col("variation_percent")).alias("variation_percent"), six(F.col("coefficient")).alias("coefficient"), "recurrence_type", "amount_score")
+
+
+CATEGORY_SQL = f"""
+each_c as (select {BY}, category_id, count(*) as k, min({{'d': date, 'i': id}}) as first from rec where category_id is not null group by {BY}, category_id),
+best_c as (select * from each_c qualify row_number() over (partition by {BY} order by k desc, first) = 1),
+category as (select t.*, coalesce(k / n, 0.5) as category_score, b.category_id from (select {BY}, count(*) as n from rec group by {BY}) t left join best_c b using ({BY}))"""
+
+
+@query(REC_SQL + "," + CATEGORY_SQL + f" select {BY}, round(category_score, 6) as category_score, category_id from category")
+def category_consistency(spark, sf_dir):
+    c = G.category_consistency(rows_of(spark, sf_dir), KEYS)
+    return c.select(*KEYS, six(F.col("category_score")).alias("category_score"), "category_id")
+
+
+_OCCURRENCE = "(case when n >= 4 then 1.0 when n = 3 then 0.75 when n = 2 then 0.25 else 0.0 end)::double"
+SCORED_SQL = PERIOD_SQL + "," + STABLE_SQL.removeprefix(REC_SQL).lstrip(", \n") + "," + CATEGORY_SQL + f""",
+scored as (select p.{BY.replace(', ', ', p.')}, s.n, p.score as period, (case when v <= 5 then 1 when v <= 15 then 0.8 when v <= 30 then 0.55 when v <= 50 then 0.35 else 0.1 end)::double as amount, c.category_score as category, v, s.mean
+  from period p join stable s using ({BY}) join category c using ({BY}))"""
+
+
+def _scored(spark, sf_dir):
+    rows = rows_of(spark, sf_dir)
+    joined = G.periodicity(rows, KEYS).join(G.amount_stability(rows, KEYS), KEYS).join(G.category_consistency(rows, KEYS), KEYS)
+    return joined.select(*KEYS, "n", F.col("score").alias("period"), F.col("amount_score").alias("amount"), F.col("category_score").alias("category"), "variation_percent", "recurrence_type")
+
+
+@query(SCORED_SQL + f" select {BY}, case when round(period, 9) < 0.55 then least(floor(round(period, 9) * 30 + 0.85::double * 25 + amount * 20 + category * 15 + {_OCCURRENCE} * 10 + 0.5), 59) else floor(round(period, 9) * 30 + 0.85::double * 25 + amount * 20 + category * 15 + {_OCCURRENCE} * 10 + 0.5) end::int as score from scored")
+def legacy_score(spark, sf_dir):
+    """The weighted score of groups by description, with a text similarity of 0.85."""
+    s = _scored(spark, sf_dir)
+    return s.select(*KEYS, G.legacy_score(F.round("period", 9), F.lit(0.85), F.col("amount"), F.col("category"), F.col("n")).alias("score"))
+
+
+@query(SCORED_SQL + f""", k as (select *, case when type = 'income' then 'recurring_income' when v <= 5 then 'monthly_fixed' else 'monthly_variable' end as kind from scored where round(period, 9) >= 0.55)
+  select {BY}, kind, floor(case when kind = 'monthly_fixed' then round(period, 9) * 30 + 0.92::double * 30 + amount * 25 + category * 5 + {_OCCURRENCE} * 10 else round(period, 9) * 30 + 0.92::double * 35 + amount * 5 + category * 5 + {_OCCURRENCE} * 25 end + 0.5)::int as score from k""")
+def pattern_score(spark, sf_dir):
+    """Monthly groups by description, their kind and its score, with the identity score of a description."""
+    s = _scored(spark, sf_dir).where(F.round("period", 9) >= 0.55)
+    kind = F.when(F.col("type") == "income", "recurring_income").when(F.col("recurrence_type") == "fixed", "monthly_fixed").otherwise("monthly_variable")
+    s = s.withColumn("kind", kind)
+    return s.select(*KEYS, "kind", G.pattern_score(F.col("kind"), F.round("period", 9), F.lit(0.92), F.col("amount"), F.col("category"), F.col("n")).alias("score"))
+
+
+GAP_SQL = REC_SQL + f""", dates as (select distinct {BY}, date from rec), gaps as (select *, date_diff('day', lag(date) over (partition by {BY} order by date), date) as gap from dates)"""
+
+
+@query(GAP_SQL + f""", c as (select {BY}, count(*) as n_dates, count(*) filter (gap between 5 and 9) / nullif(count(gap), 0) as weekly, count(*) filter (gap between 11 and 17) / nullif(count(gap), 0) as biweekly from gaps group by {BY})
+  select {BY}, n_dates, case when weekly >= biweekly then 'weekly' else 'biweekly' end as frequency, round(greatest(weekly, biweekly), 6) as gap_ratio, round(least(1, 0.5 + greatest(weekly, biweekly) * 0.45), 6) as score from c where n_dates >= 4 and greatest(weekly, biweekly) >= 0.6""")
+def pattern_cadence(spark, sf_dir):
+    return G.short_cadence(rows_of(spark, sf_dir), KEYS).select(*KEYS, "n_dates", "frequency", six(F.col("gap_ratio")).alias("gap_ratio"), six(F.col("score")).alias("score"))
+
+
+@query("""with d as (select distinct user_id, event_type, cast(ts as date) as date from events), g as (select *, date_diff('day', lag(date) over (partition by user_id, event_type order by date), date) as gap from d),
+  c as (select user_id, event_type, count(*) as n_dates, count(*) filter (gap between 5 and 9) / nullif(count(gap), 0) as weekly, count(*) filter (gap between 11 and 17) / nullif(count(gap), 0) as biweekly from g group by all)
+  select user_id, event_type, n_dates, case when weekly >= biweekly then 'weekly' else 'biweekly' end as frequency, round(least(1, 0.5 + greatest(weekly, biweekly) * 0.45), 6) as score from c where n_dates >= 4 and greatest(weekly, biweekly) >= 0.6""")
+def event_cadence(spark, sf_dir):
+    """Weekly and biweekly rhythms of users' events."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_type", F.to_date("ts").alias("date"))
+    return G.short_cadence(e, ["user_id", "event_type"]).select("user_id", "event_type", "n_dates", "frequency", six(F.col("score")).alias("score"))
+
+
+@query(GAP_SQL + f""", m as (select {BY}, count(*) as n_dates, count(distinct date_trunc('month', date)) as months, median(gap) as median_gap, list(gap) filter (gap is not null) as gaps from gaps group by {BY}),
+  r as (select *, len(list_filter(gaps, lambda x: x >= median_gap * 0.55 and x <= median_gap * 1.45)) / len(gaps) as gap_ratio from m where n_dates >= 4 and months >= 3 and median_gap between 5 and 60)
+  select {BY}, n_dates, months, median_gap, round(gap_ratio, 6) as gap_ratio, case when median_gap <= 35 then 'frequent_supplier' else 'irregular_business_recurring' end as kind, round(least(1, 0.48 + gap_ratio * 0.35 + least(0.12, n_dates * 0.015)), 6) as score from r where gap_ratio >= 0.6""")
+def pattern_frequent(spark, sf_dir):
+    return G.frequent_business(rows_of(spark, sf_dir), KEYS).select(*KEYS, "n_dates", "months", "median_gap", six(F.col("gap_ratio")).alias("gap_ratio"), "kind", six(F.col("score")).alias("score"))
+
+
+@query(REC_SQL + rf""", t as (select *, try_cast(regexp_extract(description, '(?i)(?:parcela\s*)?([0-9]{{1,2}})\s*/\s*([0-9]{{1,2}})', 2) as int) as total from rec),
+  e as (select {BY}, total, count(*) as k, min({{'d': date, 'i': id}}) as first from t where total is not null group by {BY}, total), b as (select *, sum(k) over (partition by {BY}) as marked from e qualify row_number() over (partition by {BY} order by k desc, first) = 1),
+  n as (select {BY}, count(*) as n from rec group by {BY}) select {BY}, n, total, 0.9::double as score from n join b using ({BY}) where marked = n and n >= 2 and k >= 2 and total > 0""")
+def pattern_installment(spark, sf_dir):
+    return G.installments(rows_of(spark, sf_dir), KEYS)
+
+
+@query(REC_SQL + f""", e as (select company_id, type, normalized_description, count(*) as k, min({{'d': date, 'i': id}}) as first from rec group by all)
+  select company_id, type, first.i as id, normalized_description from e qualify row_number() over (partition by company_id, type order by k desc, length(normalized_description) desc, first) = 1""")
+def representative(spark, sf_dir):
+    return G.representative(rows_of(spark, sf_dir), ["company_id", "type"])
+
+
+@query(REC_SQL + """ select company_id, type, round(count(distinct normalized_description) / count(*), 6) as text_diversity, round(count(distinct trim(regexp_replace(regexp_replace(strip_accents(lower(description)), '[0-9]+', '#', 'g'), '[^a-z#]+', ' ', 'g'))) / count(*), 6) as context_diversity from rec group by all""")
+def description_diversity(spark, sf_dir):
+    d = G.diversity(rows_of(spark, sf_dir), ["company_id", "type"])
+    return d.select("company_id", "type", six(F.col("text_diversity")).alias("text_diversity"), six(F.col("context_diversity")).alias("context_diversity"))
+
+
+@query(REC_SQL + f" select {BY}, count(*) > count(distinct date_trunc('month', date)) as several_in_a_month from rec group by {BY}")
+def several_in_a_month(spark, sf_dir):
+    return G.several_in_a_month(rows_of(spark, sf_dir), KEYS)
+
+
+@query(REC_SQL + f" select {BY}, (count(document_number) = count(*) and count(distinct regexp_replace(document_number, '[^0-9]', '', 'g')) = 1) or (count(normalized_counterparty) = count(*) and count(distinct normalized_counterparty) = 1) as stable from rec group by {BY}")
+def stable_identity(spark, sf_dir):
+    return G.stable_identity(rows_of(spark, sf_dir), KEYS)
+
+
+@query(REC_SQL + f""", near as (select a.{BY.replace(', ', ', a.')}, b.date as anchor, b.id as anchor_id, a.id from rec a join rec b using ({BY}) where abs(date_diff('day', a.date, b.date)) % 14 <= 2 or 14 - abs(date_diff('day', a.date, b.date)) % 14 <= 2),
+  best as (select {BY}, anchor from near group by {BY}, anchor, anchor_id qualify row_number() over (partition by {BY} order by count(*) desc, anchor, anchor_id) = 1)
+  select r.id from rec r join best b using ({BY}) where abs(date_diff('day', r.date, b.anchor)) % 14 <= 2 or 14 - abs(date_diff('day', r.date, b.anchor)) % 14 <= 2""")
+def cadence_track(spark, sf_dir):
+    return G.cadence_track(rows_of(spark, sf_dir), KEYS, 14).select("id")
+
+
+@query(REC_SQL + """, f as (select company_id || normalized_description as g, id from rec where id like '%1'), x as (select company_id || coalesce(normalized_counterparty, id) as g, id from rec where id like '%1'),
+  fp as (select distinct a.id as a, b.id as b from f a join f b using (g) where a.id < b.id), xp as (select distinct a.id as a, b.id as b from x a join x b using (g) where a.id < b.id),
+  c as (select count(*) filter (fp.a is not null and xp.a is not null) as hit, count(fp.a) as n_found, count(xp.a) as n_expected from fp full join xp using (a, b)),
+  s as (select *, case when n_found = 0 then 1 else hit / n_found end as p, case when n_expected = 0 then 1 else hit / n_expected end as r from c)
+  select hit, n_found, n_expected, p::double as precision, r::double as recall, (case when p + r = 0 then 0 else 2 * p * r / (p + r) end)::double as f1 from s""")
+def pair_eval(spark, sf_dir):
+    """How well groups by description recover groups by counterparty, over the pairs of rows in each."""
+    rows = rows_of(spark, sf_dir).where("id like '%1'")
+    found = rows.select(F.concat("company_id", "normalized_description").alias("group_id"), "id")
+    expected = rows.select(F.concat("company_id", F.coalesce("normalized_counterparty", "id")).alias("group_id"), "id")
+    return R.pair_evaluation(found, expected)
