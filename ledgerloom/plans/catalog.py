@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import queries_categories, queries_reads, queries_series
+from . import queries_categories, queries_ingest, queries_reads, queries_series
 
-MODULES = (queries_categories, queries_reads, queries_series)
+MODULES = (queries_ingest, queries_categories, queries_reads, queries_series)
 
 
 def queries() -> dict:
