@@ -18,36 +18,54 @@ SEQUENCE_LENGTH = 4096
 #: Id that ends each document.
 END_ID = 2
 #: Chunks of text whose ids a worker keeps; the store is emptied when it is full.
-CHUNK_STORE = 400_000
+CHUNK_STORE = 1_000_000
+#: The ASCII marks: neither letters nor digits nor white space.
+MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+#: How byte-level vocabularies show bytes: printable ones as themselves, others as letters from U+0100 on.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SHOWN = {b: chr(b) for b in _PLAIN} | {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Buckets of hashed words, dimensions of the projection and bits of each on the curve.
 WORD_BUCKETS, DIMENSIONS, BITS = 1024, 4, 7
 #: Rows of the corpus for each range of the curve.
 RANGE_ROWS = 20_000
 
 
-class ChunkTokenizer:
-    """Ids of whole texts. The vocabulary's pre-tokens never span a space or a line end, so chunks between them are
-    encoded once and their ids (little-endian unsigned 32-bit) are put together."""
+class ChunkTokenizer(dict):
+    """Ids of whole texts, as little-endian unsigned 32-bit numbers.
+
+    The vocabulary's pre-tokens never span a space or a line end, so the chunks between them are encoded once. Its
+    normaliser lower-cases, so A-Z are lower-cased first and more chunks are equal, unless a special token may stand in
+    the text. A chunk of Latin letters is one pre-token, and ASCII marks behind it are another: these go to the
+    vocabulary's merges at once. Every other chunk goes through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.store: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> tuple[list[bytes], list[list[str]]]:
-        chunks = [t.replace("\n", " ").split(" ") for t in texts]
-        store = self.store
-        new = list({c for cs in chunks for c in cs if c not in store})
-        if len(store) + len(new) > CHUNK_STORE:
-            store.clear()
-            new = list({c for cs in chunks for c in cs})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for chunk, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                store[chunk] = np.asarray(found.ids, "<u4").tobytes()
-        get = store.__getitem__
-        return [b"".join(map(get, cs)) for cs in chunks], chunks
+        self.model = self.tokenizer.model
+
+    def _word(self, text: str) -> bytes:
+        shown = text.lower().encode("utf-8").decode("latin-1").translate(_SHOWN)
+        return np.array([x.id for x in self.model.tokenize(shown)], "<u4").tobytes()
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        head = chunk.rstrip(MARKS)
+        word = head.decode("utf-8", "surrogatepass")
+        if word.isalpha() and max(word) < "\u0250" and "\u0130" not in word:
+            found = self._word(word) + (self[chunk[len(head) :]] if len(head) < len(chunk) else b"")
+        else:
+            found = np.array(self.tokenizer.encode(chunk.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids, "<u4").tobytes()
+        self[chunk] = found
+        return found
+
+    def encode(self, raw: bytes) -> bytes:
+        if len(self) > CHUNK_STORE:
+            self.clear()
+        lowered = raw if b"<|" in raw else raw.translate(_LOWER)
+        return b"".join(map(self.__getitem__, lowered.replace(b"\n", b" ").split(b" ")))
 
 
 @lru_cache(maxsize=1)
@@ -108,7 +126,7 @@ def tokenise(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids, _ = tokenizer.encode(part.column("text").to_pylist())
+                ids = [tokenizer.encode(text.as_buffer().to_pybytes() if text.as_buffer() else b"") for text in part.column("text")]
                 keys = curve_keys([np.frombuffer(x, "<u4") for x in ids], directions)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("text_key"), pa.array(keys, pa.int64()), pa.array([len(x) // 4 + 1 for x in ids], pa.int64()), pa.array([x + end for x in ids], pa.binary())],
