@@ -164,7 +164,11 @@ def link_records(stored: DataFrame, truth: DataFrame) -> DataFrame:
                 rows.append((p.stored_id, p.truth_id, p.score, len(rivals) > 0))
         return pd.DataFrame(rows, columns=["stored_id", "truth_id", "score", "tied"])
 
-    return scored.groupBy(*keys).applyInPandas(greedy, "stored_id string, truth_id string, score int, tied boolean")
+    # Nearly all blocks hold one pair, which needs no choice.
+    counted = scored.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    alone = counted.where("_n = 1").select("stored_id", "truth_id", "score", F.lit(False).alias("tied"))
+    chosen = counted.where("_n > 1").drop("_n").groupBy(*keys).applyInPandas(greedy, "stored_id string, truth_id string, score int, tied boolean")
+    return alone.unionByName(chosen)
 
 
 def set_cover(covers: DataFrame, goal: float = 0.8, most: int = 50) -> list[tuple[str, int]]:

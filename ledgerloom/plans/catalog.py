@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import queries_categories, queries_ingest, queries_reads, queries_series
+from . import queries_audit, queries_categories, queries_ingest, queries_reads, queries_series
 
-MODULES = (queries_ingest, queries_categories, queries_reads, queries_series)
+MODULES = (queries_ingest, queries_categories, queries_reads, queries_series, queries_audit)
 
 
 def queries() -> dict:
