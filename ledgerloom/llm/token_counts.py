@@ -12,7 +12,7 @@ from .common import text_of
 from .unigram import SPACE, VOCABULARY, Unigram, public_unigram
 
 #: Nodes and pre-tokens that a worker holds; the trie starts anew when it is full.
-MAX_NODES, MAX_WORDS = 3_000_000, 1_000_000
+MAX_NODES, MAX_WORDS = 600_000, 300_000
 
 
 class PrefixTrie(dict):
@@ -26,7 +26,7 @@ class PrefixTrie(dict):
 
     def restart(self) -> None:
         self.clear()
-        self.children: dict[tuple[int, str], int] = {}
+        self.children: dict[int, int] = {}  # node * 2 ** 21 + code point, to node
         self.best, self.tokens = [0.0], [0]
 
     def __missing__(self, word: str) -> int:
@@ -36,7 +36,8 @@ class PrefixTrie(dict):
         model, best, tokens = self.model, self.best, self.tokens
         scores, longest, path, node = model.scores, model.longest, [0], 0
         for end, char in enumerate(text, 1):
-            child = self.children.get((node, char))
+            edge = node << 21 | ord(char)
+            child = self.children.get(edge)
             if child is None:
                 size, score = model.spelled(char) if char not in scores else (1, scores[char])
                 top, count = best[node] + score, tokens[node] + size
@@ -44,7 +45,7 @@ class PrefixTrie(dict):
                     score = scores.get(text[start:end])
                     if score is not None and best[path[start]] + score > top:
                         top, count = best[path[start]] + score, tokens[path[start]] + 1
-                child = self.children[node, char] = len(best)
+                child = self.children[edge] = len(best)
                 best.append(top)
                 tokens.append(count)
             node = child
