@@ -27,8 +27,10 @@ PERCENT = 85
 SKETCH_BITS, SLICES = 18, 64
 #: Bits of the bitmap that tells which documents may have candidates: 4 MB, whatever the size of the data.
 BITMAP_BITS = 25
-#: Rows of a list that one task holds at once, and partners of a document that are verified in one task.
-LIST_BLOCK, PARTNER_BLOCK = 4096, 64
+#: Rows of a list that one task holds at once, and documents of a tile whose pairs are verified in one task.
+LIST_BLOCK, TILE = 4096, 64
+#: Bins of the hash range whose smallest shingles put like documents into buckets, and rounds over these buckets.
+BINS, ROUNDS = 8, 3
 NO_ID = -(1 << 63)
 _STORE = WordHashes()
 
@@ -112,6 +114,7 @@ def _short_lists(size: int, percent: int, levels, hot: dict[int, int]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, mask, rows = levels.value, np.uint64((1 << SKETCH_BITS) - 1), []
+        edges = np.arange(BINS, dtype=np.uint64) << np.uint64(61)
 
         def flush():
             ids, n, tokens = zip(*rows)
@@ -128,7 +131,10 @@ def _short_lists(size: int, percent: int, levels, hot: dict[int, int]):
             if hot.get(key, did) != did:
                 continue
             order = np.argsort(level[(found & mask).astype(np.int64)], kind="stable")
-            tokens = _signed(found[order[: short_list_count(len(found), percent)]])
+            firsts = np.unique(np.searchsorted(found, edges))
+            bins = mixed(found[firsts[firsts < len(found)]], 3)
+            few = BINS - len(bins)
+            tokens = _signed(np.concatenate([found[order[: short_list_count(len(found), percent)]], bins, np.repeat(bins[-1:], few)]))
             rows.append((key, len(found), tokens))
             held += len(tokens)
             if held > 200_000:
@@ -163,48 +169,41 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[str], most: int | None =
         yield rest, np.array([0, len(rest[keys[0]])])
 
 
-_PAIRS = pa.schema([("left", pa.int64()), ("right", pa.int64()), ("token", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("at", pa.int64())])
+_LIST = pa.schema([("token", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("at", pa.int64())])
 
 
-def _leaders_and_lists(percent: int):
-    """From short lists sorted by (token, n, id): pairs of each member with its leader, and the lists of two or more.
+def _shared_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by (token, n, id): the lists and buckets of two members or more, without repeated members."""
+    last, previous = None, None
+    for table, starts in _runs(batches, ["token"], 65_536):
+        token, ids = table["token"], table["id"]
+        size = np.diff(starts)
+        keep = np.repeat(size >= 2, size)
+        rest = starts[:-1][size < 2]
+        if len(rest) and last is not None:
+            keep[rest[token[rest] == last]] = True  # the last part of a long list
+        inside = np.arange(starts[0], starts[-1])[keep]
+        if len(inside):
+            inside = inside[np.concatenate([[not (previous == (token[inside[0]], ids[inside[0]]))], (ids[inside][1:] != ids[inside][:-1]) | (token[inside][1:] != token[inside][:-1])])]
+        if len(inside):
+            last, previous = token[inside[-1]], (token[inside[-1]], ids[inside[-1]])
+            yield pa.RecordBatch.from_arrays([pa.array(table[c][inside]) for c in ("token", "id", "n", "at")], schema=_LIST)
 
-    The leader is the first member of the list that is large enough to link with this one.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
-        for table, starts in _runs(batches, ["token"], 65_536):
-            token, ids, n, at = table["token"], table["id"], table["n"], table["at"]
-            keep, left, right = [], [], []
-            for a, b in zip(starts[:-1], starts[1:]):
-                if b - a < 2:
-                    continue
-                new = np.concatenate([[True], ids[a + 1 : b] != ids[a : b - 1]])
-                rows = np.arange(a, b)[new]
-                if len(rows) < 2:
-                    continue
-                keep.append(rows)
-                first = np.searchsorted(n[rows], -(-percent * n[rows] // 100))
-                for j in np.flatnonzero(first < np.arange(len(rows))):
-                    i, k = rows[first[j]], rows[j]
-                    if 1 + min(n[i] - at[i], n[k] - at[k]) - 1 >= -(-percent * (n[i] + n[k]) // (100 + percent)):
-                        pair = (int(ids[i]), int(ids[k]))
-                        if pair not in seen:
-                            seen.add(pair)
-                            left.append(pair[0])
-                            right.append(pair[1])
-            if len(seen) > 500_000:
-                seen.clear()
-            if left:
-                none = pa.nulls(len(left), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64()), none, none, none, none], schema=_PAIRS)
-            if keep:
-                rows = np.concatenate(keep)
-                none = pa.nulls(len(rows), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, pa.array(token[rows]), pa.array(ids[rows]), pa.array(n[rows]), pa.array(at[rows])], schema=_PAIRS)
+def _bucket_pairs(buckets: DataFrame, components: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Each member of a bucket with the one before it and with the first one, where their components differ.
 
-    return run
+    The order is by size in the first round and by a hash of the id in later ones.
+    """
+    order = [F.col("n"), F.col("id")] if turn == 0 else [F.xxhash64("id", F.lit(turn)), F.col("id")]
+    own = Window.partitionBy("token").orderBy(*order)
+    known = buckets.join(components.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    me = F.struct("id", "n", "component")
+    placed = known.select("token", "id", "n", me.alias("me")).withColumn("before", F.lag("me").over(own)).withColumn("head", F.first("me").over(own))
+    near = placed.select("me", F.explode(F.array("before", "head")).alias("other")).where("other.component <> me.component")
+    least, most = F.least("me.n", "other.n"), F.greatest("me.n", "other.n")
+    near = near.where(100 * least >= percent * most)
+    return near.select(F.least("me.id", "other.id").alias("left"), F.greatest("me.id", "other.id").alias("right")).distinct()
 
 
 def _pairs_across(percent: int):
@@ -267,58 +266,78 @@ def _texts_of(bitmap):
 
 
 def _verified(size: int, percent: int):
-    """From texts sorted by (center, part, member first the center): the pairs that link."""
+    """From rows sorted by (component, low, high, is_pair): first the texts of two tiles, then the pairs between them;
+    gives the pairs that link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        center, base = None, np.empty(0, np.uint64)
+        here, sets = None, {}
         for batch in batches:
-            left, right = [], []
-            for key, member, text in zip(batch.column("center").to_pylist(), batch.column("member").to_pylist(), batch.column("text")):
-                found = shingle_set(text.as_buffer().to_pybytes() if text.as_buffer() else b"", size, _STORE)
-                with np.errstate(over="ignore"):
-                    own = int(_signed(mixed(found, 1).sum(dtype=np.uint64, keepdims=True))[0])
-                if own != member:  # another text under the same document id
-                    continue
-                if key == member:
-                    center, base = key, found
-                    continue
-                if center != key:
+            found_left, found_right = [], []
+            keys = zip(*(batch.column(c).to_pylist() for c in ("component", "low", "high", "left", "right")))
+            for (component, low, high, left, right), text in zip(keys, batch.column("text")):
+                if here != (component, low, high):
+                    here, sets = (component, low, high), {}
+                if right is None:
+                    found = shingle_set(text.as_buffer().to_pybytes() if text.as_buffer() else b"", size, _STORE)
+                    with np.errstate(over="ignore"):
+                        own = int(_signed(mixed(found, 1).sum(dtype=np.uint64, keepdims=True))[0])
+                    if own == left:  # else another text under the same document id
+                        sets[left] = found
                     continue
-                few, many = (found, base) if len(found) < len(base) else (base, found)
+                few, many = sorted((sets[left], sets[right]), key=len)
                 place = np.minimum(np.searchsorted(many, few), len(many) - 1)
                 both = int((many[place] == few).sum())
                 if 100 * both >= percent * (len(few) + len(many) - both):
-                    left.append(key)
-                    right.append(member)
-            if left:
-                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["left", "right"])
+                    found_left.append(left)
+                    found_right.append(right)
+            if found_left:
+                yield pa.RecordBatch.from_arrays([pa.array(found_left, pa.int64()), pa.array(found_right, pa.int64())], names=["left", "right"])
 
     return run
 
 
+def _promising(pairs: DataFrame, short: DataFrame, percent: int) -> DataFrame:
+    """Pairs that occur together in enough short lists.
+
+    A common shingle that is not in the short lists of both comes, in the order of all shingles, after the last short
+    list of one of them. So ``overlap <= shared short lists + long lists`` of the one or the other, and the required
+    overlap less the larger number of long lists is what a pair has to share. ``short``: id, n, tokens.
+    """
+    side = lambda name: short.select(F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.col("tokens").alias(f"t_{name}"))
+    both = pairs.join(side("left"), "left").join(side("right"), "right")
+    need = F.ceil(percent * (F.col("n_left") + F.col("n_right")) / (100 + percent)) - F.ceil(percent * F.greatest("n_left", "n_right") / 100) + 1
+    return both.where(F.size(F.array_intersect("t_left", "t_right")) >= need).select("left", "right")
+
+
 def _links(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (left, right: class keys) whose texts link. A center's partners are split into parts of bounded size."""
+    """The pairs (left, right: class keys) whose texts link.
+
+    Documents that pairs connect are numbered and cut into tiles of ``TILE``. A task loads the texts of two tiles once
+    and verifies all pairs between them, so a dense group of n documents sends about n * n / TILE texts and not n * n.
+    """
     spark = docs.sparkSession
-    degree = pairs.groupBy("left").agg(F.count(F.lit(1)).alias("degree"))
-    parts = (F.expr(f"cast(ceil(degree / {PARTNER_BLOCK}) as int)")).alias("parts")
-    split = pairs.join(degree.select("left", parts), "left").withColumn("part", F.pmod(F.xxhash64("right"), F.col("parts")))
-    members = split.select(F.col("left").alias("center"), "part", F.col("right").alias("member"))
-    members = materialise(members.unionByName(members.select("center", "part", F.col("center").alias("member")).distinct()), "members")
-    wanted = members.join(classes.select(F.col("key").alias("member"), F.col("rep").alias("did")), "member")
-    wanted = materialise(wanted, "wanted")
+    groups = materialise(connected_components(pairs, "left", "right"), "pair-groups")
+    place = F.row_number().over(Window.partitionBy("component").orderBy("node")) - 1
+    tiles = materialise(groups.withColumn("tile", F.floor(place / TILE).cast("int")), "tiles")
+    side = lambda name: tiles.select(F.col("node").alias(name), "component", F.col("tile").alias(f"tile_{name}"))
+    placed = pairs.join(side("left"), "left").join(side("right").drop("component"), "right")
+    placed = materialise(placed.select("component", F.least("tile_left", "tile_right").alias("low"), F.greatest("tile_left", "tile_right").alias("high"), "left", "right"), "placed")
+    where = ["component", "low", "high"]
+    wanted = placed.select(*where, F.explode(F.array("left", "right")).alias("key")).distinct()
+    wanted = materialise(wanted.join(classes.select("key", F.col("rep").alias("did")), "key"), "wanted")
     bitmap = spark.sparkContext.broadcast(_bitmap(wanted.select("did").distinct()))
-    texts = docs.mapInArrow(_texts_of(bitmap), docs.schema)
-    loaded = wanted.join(texts, "did").select("center", "part", "member", "text", (F.col("center") != F.col("member")).alias("other"))
-    return loaded.repartition("center", "part").sortWithinPartitions("center", "part", "other", "member").drop("part", "other").mapInArrow(_verified(size, percent), "left long, right long").distinct()
+    texts = wanted.join(docs.mapInArrow(_texts_of(bitmap), docs.schema), "did").select(*where, F.col("key").alias("left"), F.lit(None).cast("long").alias("right"), "text")
+    both = texts.unionByName(placed.withColumn("text", F.lit(None).cast("string"))).withColumn("is_pair", F.col("right").isNotNull())
+    return both.repartition(*where).sortWithinPartitions(*where, "is_pair", "left", "right").drop("is_pair").mapInArrow(_verified(size, percent), "left long, right long").distinct()
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
-    Documents with equal shingle sets form a class and are compared once. In each short list every member is verified
-    against its leader; what this joins into components is left out of a second pass, which verifies all other pairs of
-    each list. So a group of near copies costs about one comparison for each copy and list, and no link between
-    different components is lost.
+    Documents with equal shingle sets form a class and are compared once. Rounds over buckets of like documents first
+    join each document to a few others, so that a group of near copies becomes one component at the cost of a few
+    comparisons for each copy. The search over the short lists then compares all pairs that share a list, are of
+    different components and share enough lists: no link between components is lost.
 
     ``component_id`` is the smallest id reachable by links. A null or empty text has no shingles and is linked with
     nothing. Repeated rows belong to one class. A row without an id takes part and has the component of its class; it
@@ -336,23 +355,32 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     levels = spark.sparkContext.broadcast(frequency_levels(counted.where("slice is not null").select("slice", "counts")))
     lists = docs.mapInArrow(_short_lists(size, percent, levels, hot), "id long, n long, tokens array<long>")
-    lists = lists.select("id", "n", F.posexplode("tokens").alias("at", "token")).select("token", "id", "n", F.col("at").cast("long").alias("at"))
-    merged = lists.repartition("token").sortWithinPartitions("token", "n", "id").mapInArrow(_leaders_and_lists(percent), "left long, right long, token long, id long, n long, at long")
+    lists = lists.select("id", "n", (F.size("tokens") - BINS).alias("short"), F.posexplode("tokens").alias("at", "token"))
+    lists = lists.select("token", "id", "n", F.when(F.col("at") < F.col("short"), F.col("at").cast("long")).otherwise(F.lit(-1).cast("long")).alias("at"))
+    merged = lists.repartition("token").sortWithinPartitions("token", "n", "id").mapInArrow(_shared_lists, "token long, id long, n long, at long")
     merged = materialise(merged, "ngram-lists")
-
-    first = materialise(merged.where("left is not null").select(F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right")).distinct(), "ngram-pairs")
-    links = materialise(_links(docs, first, classes, size, percent), "ngram-links")
-    joined = materialise(connected_components(links, "left", "right"), "ngram-components")
-
-    members = merged.where("token is not null").select("token", "id", "n", "at")
-    members = members.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    shared, buckets = merged.where("at >= 0"), merged.where("at < 0").select("token", "id", "n").distinct()
+    short = materialise(shared.groupBy("id", "n").agg(F.collect_list("token").alias("tokens")), "ngram-short")
+
+    links = spark.createDataFrame([], "left long, right long")
+    joined, tried = spark.createDataFrame([], "node long, component long"), links
+    for turn in range(ROUNDS):
+        pairs = _bucket_pairs(buckets, joined, percent, turn).join(tried, ["left", "right"], "left_anti")
+        pairs = materialise(_promising(pairs, short, percent), "ngram-pairs")
+        found = materialise(_links(docs, pairs, classes, size, percent), "ngram-links")
+        tried, links = tried.unionByName(pairs), links.unionByName(found)
+        if not found.limit(1).count():
+            break
+        joined = materialise(connected_components(links, "left", "right"), "ngram-components")
+
+    members = shared.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_ = members.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("size")).where("a != b").select("token", "size")
     place = F.row_number().over(Window.partitionBy("token").orderBy("n", "id")) - 1
     blocks = members.join(open_, "token").withColumn("block", F.floor(place / LIST_BLOCK).cast("int")).withColumn("blocks", F.ceil(F.col("size") / LIST_BLOCK).cast("int"))
     blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     blocks = blocks.select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "n", "at", "component")
     across = blocks.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high", "block", "id").mapInArrow(_pairs_across(percent), "left long, right long")
-    second = materialise(across.distinct().join(first, ["left", "right"], "left_anti"), "ngram-pairs")
+    second = materialise(_promising(across.distinct().join(tried, ["left", "right"], "left_anti"), short, percent), "ngram-promising")
     more = materialise(_links(docs, second, classes, size, percent), "ngram-links")
     final = connected_components(links.unionByName(more), "left", "right")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Words whose hashes a worker keeps; the store is emptied when it is full.
-WORD_STORE = 2_000_000
+WORD_STORE = 600_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Odd multipliers, one for each word of a shingle, and one for its number of words.
 _STEPS = np.random.default_rng(20).integers(1 << 62, 1 << 63, 33, dtype=np.uint64) | np.uint64(1)
