@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import re
-from array import array
 from collections.abc import Iterator
-from math import exp, log
 
 import numpy as np
 import pyarrow as pa
@@ -16,111 +14,120 @@ from .common import text_of
 from .unigram import SPACE, VOCABULARY, Unigram, public_unigram
 
 SAMPLES = 2
-#: States that a worker holds; the lattice starts anew when it is full.
-MAX_STATES = 2_000_000
-_CHUNK = re.compile(r" [^ \n]*|\n|[^ \n]+")
-
-
-class SuffixLattice:
-    """States are what is left of a chunk of text; every state has the pieces that can come next and their probability.
-
-    The mass of a state depends on what is left alone, so chunks with a common ending share states.
-    """
-
-    def __init__(self, model: Unigram, temperature: float = 1.0):
-        self.model, self.temperature = model, temperature
-        self.restart()
-
-    def restart(self) -> None:
-        self.state: dict = {"": 0}
-        self.mass = [0.0]
-        #: For each edge: state + cumulative probability, log-probability, next state, id of the piece. State 0 has none.
-        self.keys, self.logs, self.next, self.piece = array("d", [1.0]), array("d", [0.0]), array("q", [0]), array("q", [0])
-        self.starts: dict[str, int] = {}
-
-    def _add(self, key, edges: list[tuple[int, float, int]]) -> int:
-        """A new state with ``edges``: (id of the piece, score, next state)."""
-        number = len(self.mass)
-        if len(edges) == 1:
-            piece, score, to = edges[0]
-            mass = score + self.mass[to]
-            self.keys.append(number + 1.0)
-            self.logs.append(0.0)
-            self.next.append(to)
-            self.piece.append(piece)
-        else:
-            weights = [score + self.mass[to] for _, score, to in edges]
-            top = max(weights)
-            shares = [exp(w - top) for w in weights]
-            whole = sum(shares)
-            mass = top + log(whole)
-            total = 0.0
-            for share, weight, (piece, _, to) in zip(shares, weights, edges):
-                total += share / whole
-                self.keys.append(number + min(total, 1.0))
-                self.logs.append(weight - mass)
-                self.next.append(to)
-                self.piece.append(piece)
-            self.keys[-1] = number + 1.0
-        self.state[key] = number
-        self.mass.append(mass)
-        return number
-
-    def _of(self, text: str) -> int:
-        """The state of what is left, built from its end so that no call is deep."""
-        state, model, t, size = self.state, self.model, self.temperature, len(text)
-        scores, ids, longest = model.scores, model.ids, model.longest
-        for at in range(size - 1, -1, -1):
-            rest = text[at:]
-            if rest in state:
-                continue
-            edges = []
-            for end in range(at + 1, min(size, at + longest) + 1):
-                piece = text[at:end]
-                if piece in scores:
-                    edges.append((ids[piece], scores[piece] * t, state[text[end:]]))
-            if text[at] not in scores:
-                after = state[text[at + 1 :]]
-                raw = text[at].encode("utf-8", "surrogatepass")
-                for k in range(len(raw) - 1, 0, -1):
-                    after = self._add((raw[k:], text[at + 1 :]), [(model.byte_ids[raw[k]], model.byte_score * t, after)])
-                edges.append((model.byte_ids[raw[0]], model.byte_score * t, after))
-            self._add(rest, edges)
-        return state[text]
-
-    def start(self, chunk: str) -> int:
-        found = self.starts.get(chunk)
-        if found is None:
-            found = self.starts[chunk] = self._of(chunk.replace(" ", SPACE, 1) if chunk[:1] == " " else chunk)
-        return found
-
-    def states(self, text: str) -> np.ndarray:
-        """The first state of each chunk of a text; a space goes in front of the text."""
-        if len(self.mass) > MAX_STATES:
-            self.restart()
-        chunks = _CHUNK.findall(" " + text)
-        starts = self.starts
-        for chunk in {c for c in chunks if c not in starts}:
-            self.start(chunk)
-        return np.fromiter(map(starts.__getitem__, chunks), np.int64, len(chunks))
-
-    def view(self) -> tuple[np.ndarray, ...]:
-        return np.frombuffer(self.keys), np.frombuffer(self.logs), np.frombuffer(self.next, np.int64), np.frombuffer(self.piece, np.int64)
-
-
-def _walk(states: np.ndarray, rng: np.random.Generator, view) -> tuple[np.ndarray, np.ndarray]:
-    """Draws the edges of each chunk from its first state by its probabilities: (edges in text order, chunk of each)."""
-    keys, _, following, _ = view
+#: Texts share one lattice until they hold this many characters.
+BATCH_CHARS = 3_000_000
+#: Chunks, which no piece spans: letters or marks with the space before them, else one character.
+_CHUNK = re.compile(r" ?[^\W\d_]+|\n| ?[^\n \w]+|.", re.S)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _hashes(codes: np.ndarray, longest: int) -> Iterator[np.ndarray]:
+    """For each length from 1, a hash of the characters from each place on; places near the end read zeros."""
+    padded = np.concatenate([codes.astype(np.uint64), np.zeros(longest, np.uint64)])
+    found = np.zeros(len(codes), np.uint64)
+    with np.errstate(over="ignore"):
+        for size in range(longest):
+            found = (found ^ (found >> np.uint64(29))) * _STEP + padded[size : size + len(codes)] + np.uint64(1)
+            yield found
+
+
+class PieceTable:
+    """The pieces of a model by length, to be looked up for many places of a text at once."""
+
+    def __init__(self, model: Unigram):
+        self.model, self.longest = model, min(model.longest, 16)
+        self.by_length = []
+        for size in range(1, self.longest + 1):
+            pieces = [p for p in model.scores if len(p) == size]
+            codes = np.frombuffer("".join(pieces).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, size)
+            keys = np.array([list(_hashes(row, size))[-1][0] for row in codes] or [], np.uint64)
+            order = np.argsort(keys)
+            self.by_length.append((keys[order], np.array([model.scores[pieces[i]] for i in order]), np.array([model.ids[pieces[i]] for i in order], np.int64)))
+
+
+class Lattice:
+    """The lattices of all distinct chunks of some texts. A state is a place in the joined chunks, each ended by a zero;
+    the edges of a state, the pieces that begin there, stand together, shorter pieces first."""
+
+    def __init__(self, texts: list[str], table: PieceTable, temperature: float = 1.0):
+        model = table.model
+        number: dict[str, int] = {}
+        lists = [[number.setdefault(c, len(number)) for c in _CHUNK.findall(" " + text)] for text in texts]
+        chunks = [SPACE + c[1:] if c[0] == " " else c for c in number]
+        self.codes = codes = np.frombuffer(("\0".join(chunks) + "\0").encode("utf-32-le", "surrogatepass"), np.uint32)
+        starts = np.concatenate([[0], np.cumsum([len(c) + 1 for c in chunks])])[:-1]
+        self.states = [starts[np.array(x, np.int64)] for x in lists]
+        n, ends = len(codes), np.flatnonzero(codes == 0)
+        left = np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(n)
+        found_at, found_size, found_score, found_id = [], [], [], []
+        single = np.zeros(n, bool)
+        for size, (hashed, (keys, values, ids)) in enumerate(zip(_hashes(codes, table.longest), table.by_length), 1):
+            at = np.flatnonzero(left >= size)
+            place = np.minimum(np.searchsorted(keys, hashed[at]), len(keys) - 1)
+            hit = keys[place] == hashed[at]
+            at, place = at[hit], place[hit]
+            if size == 1:
+                single[at] = True
+            found_at.append(at)
+            found_size.append(np.full(len(at), size))
+            found_score.append(values[place])
+            found_id.append(ids[place])
+        # A character without a piece is spelled in bytes, as one edge of its own.
+        odd = np.flatnonzero(~single & (codes > 0))
+        lengths = 1 + (codes[odd] > 0x7F).astype(int) + (codes[odd] > 0x7FF) + (codes[odd] > 0xFFFF)
+        at = np.concatenate([*found_at, odd])
+        size = np.concatenate([*found_size, np.ones(len(odd), int)])
+        score = np.concatenate([*found_score, lengths * model.byte_score]) * temperature
+        ids = np.concatenate([*found_id, np.full(len(odd), -1)])
+        # Mass of what is left from each place, from the ends of the chunks backwards, all chunks at once.
+        order = np.lexsort((size, at, left[at]))
+        at, size, score, ids = at[order], size[order], score[order], ids[order]
+        mass = np.zeros(n)
+        firsts = np.flatnonzero(np.diff(at, prepend=-1))
+        levels = np.searchsorted(left[at], np.arange(1, left.max(initial=0) + 2))
+        weights = np.empty(len(at))
+        for a, b in zip(levels[:-1], levels[1:]):
+            if a < b:
+                weights[a:b] = score[a:b] + mass[at[a:b] + size[a:b]]
+                own = firsts[np.searchsorted(firsts, a) : np.searchsorted(firsts, b)] - a
+                top = np.maximum.reduceat(weights[a:b], own)
+                share = np.exp(weights[a:b] - np.repeat(top, np.diff(own, append=b - a)))
+                mass[at[a:b][own]] = top + np.log(np.add.reduceat(share, own))
+        order = np.argsort(at, kind="stable")
+        self.at, self.ids, self.next = at[order], ids[order], (at + size)[order]
+        self.logs = weights[order] - mass[self.at]
+        counts = np.bincount(self.at, minlength=n)
+        self.first = np.concatenate([[0], np.cumsum(counts)])
+        total = np.cumsum(np.exp(self.logs))
+        before = np.concatenate([[0.0], total])[self.first[self.at]]
+        self.keys = self.at + np.minimum(total - before, 1.0)
+        self.keys[self.first[1:][counts > 0] - 1] = np.flatnonzero(counts) + 1.0
+        self.byte_ids = model.byte_ids
+
+    def piece_ids(self, edges: np.ndarray) -> np.ndarray:
+        """The ids of a path, with spelled characters as the ids of their bytes."""
+        ids = self.ids[edges]
+        odd = np.flatnonzero(ids < 0)
+        if not len(odd):
+            return ids
+        raw = [chr(self.codes[self.at[e]]).encode("utf-8", "surrogatepass") for e in edges[odd]]
+        out = np.repeat(ids, 1 + np.bincount(odd, weights=[len(r) - 1 for r in raw], minlength=len(ids)).astype(int))
+        out[out < 0] = [self.byte_ids[b] for r in raw for b in r]
+        return out
+
+
+def _walk(states: np.ndarray, rng: np.random.Generator, lattice: Lattice) -> tuple[np.ndarray, np.ndarray]:
+    """Draws the edges of each chunk from its first state by their probabilities: (edges in text order, chunk of each)."""
     chunk, now, edges, owners = np.arange(len(states)), states, [], []
-    while len(now):
-        alive = now > 0
+    while True:
+        alive = lattice.codes[now] > 0
         now, chunk = now[alive], chunk[alive]
         if not len(now):
             break
-        edge = np.searchsorted(keys, now + rng.random(len(now)), side="right")
+        edge = np.searchsorted(lattice.keys, now + rng.random(len(now)), side="right")
         edges.append(edge)
         owners.append(chunk)
-        now = following[edge]
+        now = lattice.next[edge]
     if not edges:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     edges, owners = np.concatenate(edges), np.concatenate(owners)
@@ -133,31 +140,29 @@ def _below(mass: np.ndarray, bound: float, rng: np.random.Generator) -> np.ndarr
     return mass - np.log(np.exp(np.minimum(mass - bound, 700)) - np.log(np.maximum(rng.random(len(mass)), 1e-300)))
 
 
-def _restart(states: np.ndarray, base: np.ndarray, owners: np.ndarray, at: int, barred: list[int], rng: np.random.Generator, view) -> tuple[np.ndarray, np.ndarray]:
+def _restart(states: np.ndarray, base: np.ndarray, owners: np.ndarray, at: int, barred: list[int], rng: np.random.Generator, lattice: Lattice) -> tuple[np.ndarray, np.ndarray]:
     """Draws a segmentation that agrees with ``base`` before place ``at`` and has none of the edges ``barred`` there."""
-    keys, logs, following, _ = view
     chunk = int(owners[at])
-    state = int(states[chunk]) if at == 0 or owners[at - 1] != chunk else int(following[base[at - 1]])
-    first, last = np.searchsorted(keys, state, side="right"), np.searchsorted(keys, state + 1.0, side="left")
-    options = np.setdiff1d(np.arange(first, last + 1), barred)
-    weights = np.cumsum(np.exp(logs[options]))
+    state = int(states[chunk]) if at == 0 or owners[at - 1] != chunk else int(lattice.next[base[at - 1]])
+    options = np.setdiff1d(np.arange(lattice.first[state], lattice.first[state + 1]), barred)
+    weights = np.cumsum(np.exp(lattice.logs[options]))
     chosen = options[min(int(np.searchsorted(weights, rng.random() * weights[-1], side="right")), len(options) - 1)]
-    inner, _ = _walk(following[[chosen]], rng, view)
-    tail, tail_owners = _walk(states[chunk + 1 :], rng, view)
+    inner, _ = _walk(lattice.next[[chosen]], rng, lattice)
+    tail, tail_owners = _walk(states[chunk + 1 :], rng, lattice)
     return np.concatenate([base[:at], [chosen], inner, tail]), np.concatenate([owners[:at], np.full(1 + len(inner), chunk), tail_owners + chunk + 1])
 
 
-def sample_segmentations(states: np.ndarray, view, seed: int, k: int) -> list[tuple[np.ndarray, float, float, float]]:
+def sample_segmentations(states: np.ndarray, lattice: Lattice, seed: int, k: int) -> list[tuple[np.ndarray, float, float, float]]:
     """Up to ``k`` distinct segmentations in the order of their perturbed log-probability: (edges, log-probability, perturbed, inclusion).
 
     A best-first search over sets of segmentations, in which a set's bound is the largest Gumbel in it. Taking its best
     member out leaves, for each place, the set that agrees with the member before the place and differs there. The best
     bound that remains at the end is the threshold of the inclusion probabilities.
     """
-    logs = view[1]
+    logs = lattice.logs
     rng = np.random.Generator(np.random.PCG64(seed & 0xFFFFFFFFFFFFFFFF))
     top = float(-np.log(-np.log(max(rng.random(), 1e-300))))
-    edges, owners = _walk(states, rng, view)
+    edges, owners = _walk(states, rng, lattice)
     # Each set: its bound, the segmentation it agrees with, the chunk of each edge, the place, the edges barred there.
     sets: list[tuple[float, np.ndarray, np.ndarray, int, list[int]]] = []
     found: list[tuple[np.ndarray, float, float]] = []
@@ -179,7 +184,7 @@ def sample_segmentations(states: np.ndarray, view, seed: int, k: int) -> list[tu
         if len(found) == k or not sets:
             break
         bound, base, base_owners, at, barred = sets.pop(max(range(len(sets)), key=lambda i: sets[i][0]))
-        edges, owners = _restart(states, base, base_owners, at, barred, rng, view)
+        edges, owners = _restart(states, base, base_owners, at, barred, rng, lattice)
     threshold = max((s[0] for s in sets), default=-np.inf)
     chance = lambda log_p: 1.0 if threshold == -np.inf else float(-np.expm1(-np.exp(min(log_p - threshold, 700.0))))
     return [(edges, log_p, perturbed, chance(log_p)) for edges, log_p, perturbed in found]
@@ -190,46 +195,50 @@ def decode_ids(ids, surface: tuple[bytes, ...]) -> str:
     return b"".join([surface[i] for i in ids]).decode("utf-8", "surrogatepass")[1:]
 
 
-_LATTICES: dict[tuple[str, float], SuffixLattice] = {}
+_TABLES: dict[str, PieceTable] = {}
+
+
+def worker_table(vocabulary: str) -> PieceTable:
+    if vocabulary not in _TABLES:
+        _TABLES[vocabulary] = PieceTable(public_unigram(vocabulary))
+    return _TABLES[vocabulary]
 
 
-def worker_lattice(vocabulary: str, temperature: float) -> SuffixLattice:
-    key = (vocabulary, temperature)
-    if key not in _LATTICES:
-        _LATTICES[key] = SuffixLattice(public_unigram(vocabulary), temperature)
-    return _LATTICES[key]
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list[str]]]:
+    """Rows of batches in portions of about ``BATCH_CHARS`` characters."""
+    for batch in batches:
+        ids, keys, texts = (batch.column(c).to_pylist() for c in ("doc_id", "key", "text"))
+        start, size = 0, 0
+        for i, text in enumerate(texts):
+            size += len(text)
+            if size >= BATCH_CHARS or i == len(texts) - 1:
+                yield ids[start : i + 1], keys[start : i + 1], texts[start : i + 1]
+                start, size = i + 1, 0
 
 
 def sample_encodings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SAMPLES, vocabulary: str = VOCABULARY, temperature: float = 1.0) -> DataFrame:
     """Up to ``k`` rows per document: doc_id, sample (from 1), n_pieces, log_prob, perturbed, inclusion, ids, decoded_same.
 
     The samples of a document are distinct segmentations of its whole text, drawn without replacement by their
-    probabilities, and depend on its id and text alone. Pieces do not span spaces or line ends. ``decoded_same`` says
+    probabilities, and depend on its id and text alone. Pieces do not span spaces, line ends, or letters and marks. ``decoded_same`` says
     that decoding gives the text back; texts that hold the sign for a space themselves come back with spaces. A null
     text counts as empty and has the one segmentation of the space in front of it; repeated rows have equal samples; an
     empty table gives no rows; further columns are ignored.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = worker_lattice(vocabulary, temperature)
-        surface = lattice.model.surface
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                rows: list[tuple] = []
-                for doc_id, key, text in zip(part.column("doc_id").to_pylist(), part.column("key").to_pylist(), part.column("text").to_pylist()):
-                    states = lattice.states(text)
-                    view = lattice.view()
-                    for rank, (edges, log_p, perturbed, inclusion) in enumerate(sample_segmentations(states, view, key, k), 1):
-                        ids = view[3][edges]
-                        same = decode_ids(ids.tolist(), surface) == text.replace(SPACE, " ")
-                        rows.append((doc_id, rank, len(ids), log_p, perturbed, inclusion, ids.astype("<u4").tobytes(), same))
-                    del view
-                if rows:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, kind) for c, kind in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.binary(), pa.bool_()))],
-                        names=["doc_id", "sample", "n_pieces", "log_prob", "perturbed", "inclusion", "ids", "decoded_same"],
-                    )
+        table = worker_table(vocabulary)
+        surface = table.model.surface
+        for doc_ids, keys, texts in _portions(batches):
+            lattice, rows = Lattice(texts, table, temperature), []
+            for doc_id, key, text, states in zip(doc_ids, keys, texts, lattice.states):
+                for rank, (edges, log_p, perturbed, inclusion) in enumerate(sample_segmentations(states, lattice, key, k), 1):
+                    ids = lattice.piece_ids(edges)
+                    same = decode_ids(ids.tolist(), surface) == text.replace(SPACE, " ")
+                    rows.append((doc_id, rank, len(ids), log_p, perturbed, inclusion, ids.astype("<u4").tobytes(), same))
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.binary(), pa.bool_())
+            names = ["doc_id", "sample", "n_pieces", "log_prob", "perturbed", "inclusion", "ids", "decoded_same"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], names=names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
     return rows.mapInArrow(encode, "doc_id long, sample int, n_pieces long, log_prob double, perturbed double, inclusion double, ids binary, decoded_same boolean")
