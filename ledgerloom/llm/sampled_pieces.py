@@ -40,19 +40,30 @@ class PieceTable:
         for size in range(1, self.longest + 1):
             pieces = [p for p in model.scores if len(p) == size]
             codes = np.frombuffer("".join(pieces).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, size)
-            keys = np.array([list(_hashes(row, size))[-1][0] for row in codes] or [], np.uint64)
+            keys = np.zeros(len(codes), np.uint64)
+            with np.errstate(over="ignore"):
+                for column in codes.astype(np.uint64).T:
+                    keys = (keys ^ (keys >> np.uint64(29))) * _STEP + column + np.uint64(1)
             order = np.argsort(keys)
             self.by_length.append((keys[order], np.array([model.scores[pieces[i]] for i in order]), np.array([model.ids[pieces[i]] for i in order], np.int64)))
 
 
+class _Numbers(dict):
+    """Numbers things in the order in which they are first asked for."""
+
+    def __missing__(self, thing: str) -> int:
+        number = self[thing] = len(self)
+        return number
+
+
 class Lattice:
     """The lattices of all distinct chunks of some texts. A state is a place in the joined chunks, each ended by a zero;
     the edges of a state, the pieces that begin there, stand together, shorter pieces first."""
 
     def __init__(self, texts: list[str], table: PieceTable, temperature: float = 1.0):
         model = table.model
-        number: dict[str, int] = {}
-        lists = [[number.setdefault(c, len(number)) for c in _CHUNK.findall(" " + text)] for text in texts]
+        number = _Numbers()
+        lists = [list(map(number.__getitem__, _CHUNK.findall(" " + text))) for text in texts]
         chunks = [SPACE + c[1:] if c[0] == " " else c for c in number]
         self.codes = codes = np.frombuffer(("\0".join(chunks) + "\0").encode("utf-32-le", "surrogatepass"), np.uint32)
         starts = np.concatenate([[0], np.cumsum([len(c) + 1 for c in chunks])])[:-1]
@@ -80,7 +91,7 @@ class Lattice:
         score = np.concatenate([*found_score, lengths * model.byte_score]) * temperature
         ids = np.concatenate([*found_id, np.full(len(odd), -1)])
         # Mass of what is left from each place, from the ends of the chunks backwards, all chunks at once.
-        order = np.lexsort((size, at, left[at]))
+        order = np.argsort((left[at] * n + at) * 32 + size)
         at, size, score, ids = at[order], size[order], score[order], ids[order]
         mass = np.zeros(n)
         firsts = np.flatnonzero(np.diff(at, prepend=-1))
@@ -93,7 +104,7 @@ class Lattice:
                 top = np.maximum.reduceat(weights[a:b], own)
                 share = np.exp(weights[a:b] - np.repeat(top, np.diff(own, append=b - a)))
                 mass[at[a:b][own]] = top + np.log(np.add.reduceat(share, own))
-        order = np.argsort(at, kind="stable")
+        order = np.argsort(at * 32 + size)
         self.at, self.ids, self.next = at[order], ids[order], (at + size)[order]
         self.logs = weights[order] - mass[self.at]
         counts = np.bincount(self.at, minlength=n)
@@ -192,7 +203,7 @@ def sample_segmentations(states: np.ndarray, lattice: Lattice, seed: int, k: int
 
 def decode_ids(ids, surface: tuple[bytes, ...]) -> str:
     """The text of a sequence of ids; the space in front, which encoding adds, goes."""
-    return b"".join([surface[i] for i in ids]).decode("utf-8", "surrogatepass")[1:]
+    return b"".join(map(surface.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
 
 
 _TABLES: dict[str, PieceTable] = {}
