@@ -148,6 +148,13 @@ def distinct_candidates(found: DataFrame) -> DataFrame:
     return signed.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
 
 
+def _ratios(counts: DataFrame) -> DataFrame:
+    precision = F.when(F.col("n_found") == 0, 1.0).otherwise(F.col("hit") / F.col("n_found"))
+    recall = F.when(F.col("n_expected") == 0, 1.0).otherwise(F.col("hit") / F.col("n_expected"))
+    f1 = F.when(precision + recall == 0, 0.0).otherwise(2 * precision * recall / (precision + recall))
+    return counts.select("hit", "n_found", "n_expected", precision.alias("precision"), recall.alias("recall"), f1.alias("f1"))
+
+
 def pair_evaluation(found: DataFrame, expected: DataFrame) -> DataFrame:
     """Precision, recall and F1 of the pairs of rows that share a group; (group_id, id) on both sides."""
 
@@ -157,7 +164,19 @@ def pair_evaluation(found: DataFrame, expected: DataFrame) -> DataFrame:
 
     both = pairs(found).withColumn("f", F.lit(1)).join(pairs(expected).withColumn("e", F.lit(1)), ["a", "b"], "full")
     counts = both.agg(F.count_if(F.col("f").isNotNull() & F.col("e").isNotNull()).alias("hit"), F.count("f").alias("n_found"), F.count("e").alias("n_expected"))
-    precision = F.when(F.col("n_found") == 0, 1.0).otherwise(F.col("hit") / F.col("n_found"))
-    recall = F.when(F.col("n_expected") == 0, 1.0).otherwise(F.col("hit") / F.col("n_expected"))
-    f1 = F.when(precision + recall == 0, 0.0).otherwise(2 * precision * recall / (precision + recall))
-    return counts.select("hit", "n_found", "n_expected", precision.alias("precision"), recall.alias("recall"), f1.alias("f1"))
+    return _ratios(counts)
+
+
+def partition_evaluation(found: DataFrame, expected: DataFrame) -> DataFrame:
+    """What ``pair_evaluation`` gives where each id has one group at most on either side (another is an error): a group of
+    n rows has n * (n - 1) / 2 pairs, and so has each meeting of two groups, so no pair is made."""
+
+    def grouped(groups: DataFrame, name: str) -> DataFrame:
+        each = groups.where("group_id is not null").distinct().groupBy("id").agg(F.count(F.lit(1)).alias("_n"), F.first("group_id").alias(name))
+        return each.select("id", F.when(F.col("_n") > 1, F.raise_error(F.lit("an id is in several groups")).cast("string")).otherwise(F.col(name)).alias(name))
+
+    def pairs(groups: DataFrame, keys: list[str], name: str) -> DataFrame:
+        return groups.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0)).alias(name))
+
+    f, e = grouped(found, "f"), grouped(expected, "e")
+    return _ratios(pairs(f.join(e, "id"), ["f", "e"], "hit").crossJoin(pairs(f, ["f"], "n_found")).crossJoin(pairs(e, ["e"], "n_expected")))

@@ -171,9 +171,10 @@ recurrences as (
   from orders where o_orderdate >= date '1998-01-01')"""
 
 
-def recurrences(spark, sf_dir):
-    """Orders since 1998 as approved recurrences."""
-    o, key = table(spark, sf_dir, "orders").where("o_orderdate >= date '1998-01-01'"), F.col("o_orderkey")
+def recurrences(spark, sf_dir, whole=False):
+    """Orders since 1998, or all of them, as approved recurrences."""
+    o, key = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    o = o if whole else o.where("o_orderdate >= date '1998-01-01'")
     day = F.to_date("o_orderdate")
     return o.select(
         F.concat(F.lit("company-"), (F.col("o_custkey") % 10).cast("string")).alias("company_id"), key.alias("recurrence_id"), F.when(key % 11 == 0, "paused").otherwise("active").alias("status"),
@@ -198,18 +199,45 @@ dated as (select s.company_id, recurrence_id, h.h as horizon_days, e.date from s
   where e.date <= date '2001-07-15' + h.h and coalesce(e.date <= s.end_date, true) and coalesce(e.place < remaining, true))"""
 
 
+def _dates(found):
+    return P.projection_dates(found, F.lit("2001-07-15")).withColumn("date", F.col("date").cast("string"))
+
+
+def _items(found):
+    items = P.projected_items(found, F.lit("2001-07-15"))
+    return items.groupBy("company_id", "horizon_days").agg(_count("items"), F.count_distinct("recurrence_id").alias("series"), F.min("date").cast("string").alias("first_date"))
+
+
+def _horizons(found):
+    return P.projection_dates(found, F.lit("2001-07-15")).groupBy("company_id").pivot("horizon_days", list(P.HORIZONS)).agg(_count()).fillna(0)
+
+
 @query(DATES_SQL + " select company_id, recurrence_id, horizon_days, date::varchar as date from dated")
 def projection_dates(spark, sf_dir):
-    return P.projection_dates(recurrences(spark, sf_dir), F.lit("2001-07-15")).withColumn("date", F.col("date").cast("string"))
+    return _dates(recurrences(spark, sf_dir))
 
 
 @query(DATES_SQL + " select company_id, horizon_days, count(*) as items, count(distinct recurrence_id) as series, min(date)::varchar as first_date from dated group by all")
 def projection(spark, sf_dir):
-    items = P.projected_items(recurrences(spark, sf_dir), F.lit("2001-07-15"))
-    return items.groupBy("company_id", "horizon_days").agg(_count("items"), F.count_distinct("recurrence_id").alias("series"), F.min("date").cast("string").alias("first_date"))
+    return _items(recurrences(spark, sf_dir))
 
 
 @query(DATES_SQL + ' select company_id, count(*) filter (horizon_days = 30) as "30", count(*) filter (horizon_days = 60) as "60", count(*) filter (horizon_days = 90) as "90" from dated group by company_id')
 def projection_horizons(spark, sf_dir):
-    found = P.projection_dates(recurrences(spark, sf_dir), F.lit("2001-07-15")).groupBy("company_id").pivot("horizon_days", list(P.HORIZONS)).agg(_count())
-    return found.fillna(0)
+    return _horizons(recurrences(spark, sf_dir))
+
+
+@query()
+def projection_dates_whole(spark, sf_dir):
+    """The projections over all orders; the SQL of ``projection_dates`` and the two below has those since 1998."""
+    return _dates(recurrences(spark, sf_dir, whole=True))
+
+
+@query()
+def projection_whole(spark, sf_dir):
+    return _items(recurrences(spark, sf_dir, whole=True))
+
+
+@query()
+def projection_horizons_whole(spark, sf_dir):
+    return _horizons(recurrences(spark, sf_dir, whole=True))

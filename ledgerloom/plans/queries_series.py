@@ -174,6 +174,13 @@ def income_tracks(spark, sf_dir):
     return found.select("company_id", "anchor_id", F.size("ids").cast("long").alias("n"), F.md5(F.array_join("ids", "|")).alias("signature"))
 
 
+@query()
+def income_tracks_whole(spark, sf_dir):
+    """``income_tracks`` over the whole ledger; its pairs of rows are too many for the SQL."""
+    found = R.income_tracks(rows_of(spark, sf_dir))
+    return found.select("company_id", "anchor_id", F.size("ids").cast("long").alias("n"), F.md5(F.array_join("ids", "|")).alias("signature"))
+
+
 PAIR_SQL = REC_SQL + """,
 pairs as (select a.id as left_id, b.id as right_id, a.tokens as a, b.tokens as b, a."distinctive" as ad, b."distinctive" as bd, a.document_number as an, b.document_number as bn, a.normalized_counterparty as ac, b.normalized_counterparty as bc, a.normalized_description as text_a, b.normalized_description as text_b
   from rec a join rec b on a.company_id = b.company_id and a.date = b.date where a.id < b.id)"""
@@ -230,7 +237,7 @@ def link_edges(spark, sf_dir):
     return R.link_edges(rows_of(spark, sf_dir))
 
 
-#: A finer cut of the links keeps the oracle's recursion small: one account and a price band of each company.
+#: The SQL's recursion needs a slice: the companies whose number ends in 0. ``components_whole`` has all of them.
 _THIN = "id like '%0'"
 
 
@@ -239,10 +246,16 @@ ends as (select left_id as a, right_id as b from links union all select right_id
 reach(a, b) as (select a, a from ends union select r.a, ends.b from reach r join ends on ends.a = r.b)
 select a as id, min(b) as component from reach group by a""")
 def components(spark, sf_dir):
-    """Connected components of the links of one lane of the ledger."""
+    """Connected components of the links of a slice of the ledger, as the SQL has it."""
     return R.linked_groups(R.link_edges(R.normalized_rows(ledger(spark, sf_dir).where(_THIN))))
 
 
+@query()
+def components_whole(spark, sf_dir):
+    """Connected components of the links of the whole ledger."""
+    return R.linked_groups(R.link_edges(rows_of(spark, sf_dir)))
+
+
 @query(REC_SQL + """, w as (select *, regexp_replace(document_number, '[^0-9]', '', 'g') as doc, normalized_description as g from rec),
 c as (select *, count(doc) over own = count(*) over own as all_doc, count(normalized_counterparty) over own = count(*) over own as all_party from w window own as (partition by company_id, g)),
 d as (select company_id, g, count(distinct doc) > 1 as docs, count(distinct normalized_counterparty) > 1 as parties from w group by company_id, g)
@@ -399,3 +412,12 @@ def pair_eval(spark, sf_dir):
     found = rows.select(F.concat("company_id", "normalized_description").alias("group_id"), "id")
     expected = rows.select(F.concat("company_id", F.coalesce("normalized_counterparty", "id")).alias("group_id"), "id")
     return R.pair_evaluation(found, expected)
+
+
+@query()
+def pair_eval_whole(spark, sf_dir):
+    """``pair_eval`` over the whole ledger; pairs are counted from the sizes of groups."""
+    rows = rows_of(spark, sf_dir)
+    found = rows.select(F.concat("company_id", "normalized_description").alias("group_id"), "id")
+    expected = rows.select(F.concat("company_id", F.coalesce("normalized_counterparty", "id")).alias("group_id"), "id")
+    return R.partition_evaluation(found, expected)
