@@ -62,14 +62,17 @@ def pending_kpis(items: DataFrame) -> DataFrame:
 
 
 def overlap_pairs(links: DataFrame, most: int | None = None) -> DataFrame:
-    """Pairs of suggestions that share rows, by an inverted index of links (suggestion_id, transaction_id): shared rows,
-    Jaccard and overlap coefficients, the largest overlap first; ``most`` is a top-k report."""
-    links = links.select("suggestion_id", "transaction_id").distinct()
-    sizes = links.groupBy("suggestion_id").agg(F.count(F.lit(1)).alias("size"))
-    a, b = links.withColumnRenamed("suggestion_id", "left_id"), links.withColumnRenamed("suggestion_id", "right_id")
-    shared = a.join(b, "transaction_id").where("left_id < right_id").groupBy("left_id", "right_id").agg(F.count(F.lit(1)).alias("shared"))
-    side = lambda name: sizes.select(F.col("suggestion_id").alias(f"{name}_id"), F.col("size").alias(f"{name}_size"))
-    joined = shared.join(side("left"), "left_id").join(side("right"), "right_id")
+    """Pairs of suggestions that share rows: shared rows, Jaccard and overlap coefficients, the largest overlap first;
+    ``most`` is a top-k report. Suggestions with the same rows are one class, and the inverted index of links
+    (suggestion_id, transaction_id) holds each class once."""
+    sets = links.where("transaction_id is not null").groupBy("suggestion_id").agg(F.array_sort(F.collect_set("transaction_id")).alias("ids"))
+    named = sets.withColumn("class", F.min("suggestion_id").over(Window.partitionBy("ids")))
+    classes = named.where(F.col("class") == F.col("suggestion_id")).select("class", F.explode("ids").alias("transaction_id"))
+    a, b = classes.withColumnRenamed("class", "left_class"), classes.withColumnRenamed("class", "right_class")
+    shared = a.join(b, "transaction_id").where("left_class <= right_class").groupBy("left_class", "right_class").agg(F.count(F.lit(1)).alias("shared"))
+    side = lambda name: named.select(F.col("class").alias(f"{name}_class"), F.col("suggestion_id").alias(f"{name}_id"), F.size("ids").alias(f"{name}_size"))
+    joined = shared.join(side("left"), "left_class").join(side("right"), "right_class").where("left_class < right_class or left_id < right_id")
+    joined = joined.withColumns({"left_id": F.least("left_id", "right_id"), "right_id": F.greatest("left_id", "right_id")})
     found = joined.select(
         "left_id", "right_id", "shared", (F.col("shared") / (F.col("left_size") + F.col("right_size") - F.col("shared"))).alias("jaccard"), (F.col("shared") / F.least("left_size", "right_size")).alias("overlap")
     )

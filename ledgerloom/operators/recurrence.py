@@ -118,13 +118,18 @@ def lanes(members: DataFrame) -> DataFrame:
     score, id, date, abs_amount."""
     keys = ["company_id", "type", "key"]
     sized = members.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).where("n >= 5")
-    anchors = sized.select(*keys, F.col("id").alias("anchor_id"), F.col("date").alias("a_date"), F.col("abs_amount").alias("a_amount"))
-    near = sized.join(anchors, keys)
-    day = near.where(F.abs(F.day("date") - F.day("a_date")) <= 3).withColumn("lane", F.lit("day"))
-    amount = near.where(relative_difference(F.col("abs_amount"), F.col("a_amount")) <= 0.35).withColumn("lane", F.lit("amount"))
-    both = day.unionByName(amount)
-    grouped = both.groupBy(*keys, "score", "lane", "anchor_id", "n").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    return grouped.where((F.size("ids") >= 3) & (F.size("ids") < F.col("n"))).select(*keys, "score", "lane", "anchor_id", "ids")
+    # A frame over the sorted rows holds what is near each of them. Amounts within 35 % differ by 0.3537 at most in their
+    # logarithm; its whole thousandths give a frame that holds them all, and the filter is exact.
+    days = Window.partitionBy(*keys).orderBy("_day").rangeBetween(-3, 3)
+    amounts = Window.partitionBy(*keys).orderBy("_log").rangeBetween(-355, 355)
+    near_amount = F.filter(F.col("_near"), lambda x: relative_difference(x["abs_amount"], F.col("abs_amount")) <= 0.35)
+    day = sized.where("date is not null").withColumn("_day", F.day("date")).withColumn("ids", F.collect_list("id").over(days)).withColumn("lane", F.lit("day"))
+    amount = sized.where("abs_amount is not null").withColumn("_log", F.floor(F.log(F.greatest("abs_amount", F.lit(1e-9))) * 1000).cast("long"))
+    amount = amount.withColumn("_near", F.collect_list(F.struct("abs_amount", "id")).over(amounts)).withColumn("ids", near_amount["id"]).withColumn("lane", F.lit("amount"))
+    cols = [*keys, "score", "n", "lane", F.col("id").alias("anchor_id")]
+    # Rows that share an id are one anchor.
+    each = [lane.groupBy(*cols).agg(F.array_sort(F.flatten(F.collect_list("ids"))).alias("ids")) for lane in (day, amount)]
+    return each[0].unionByName(each[1]).where((F.size("ids") >= 3) & (F.size("ids") < F.col("n"))).select(*keys, "score", "lane", "anchor_id", "ids")
 
 
 def income_tracks(rows: DataFrame) -> DataFrame:

@@ -100,10 +100,17 @@ def detected_recurrences(spark, sf_dir):
 LINKS_SQL = IDENTITY_SQL + ", links as (select distinct company_id || type || key as suggestion_id, unnest(ids) as transaction_id from groups where n <= 12)"
 
 
-def _links(spark, sf_dir):
+def _links(spark, sf_dir, whole=False):
+    """Identity groups as suggestions: those of up to 12 rows, as the SQL has them, or all."""
     named = R.identity_groups(rows_of(spark, sf_dir)).withColumn("suggestion_id", F.concat("company_id", "type", "key"))
-    small = named.groupBy("suggestion_id").agg(F.count(F.lit(1)).alias("n")).where("n <= 12").drop("n")
-    return named.join(small, "suggestion_id").select("suggestion_id", F.col("id").alias("transaction_id")).distinct()
+    if not whole:
+        named = named.join(named.groupBy("suggestion_id").agg(F.count(F.lit(1)).alias("n")).where("n <= 12").drop("n"), "suggestion_id")
+    return named.select("suggestion_id", F.col("id").alias("transaction_id")).distinct()
+
+
+def _overlaps(links, most=None):
+    p = A.overlap_pairs(links, most)
+    return p.select("left_id", "right_id", "shared", six(F.col("jaccard")).alias("jaccard"), six(F.col("overlap")).alias("overlap"))
 
 
 OVERLAP_SQL = LINKS_SQL + """, s as (select suggestion_id, count(*) as size from links group by 1), o as (select a.suggestion_id as left_id, b.suggestion_id as right_id, count(*) as shared from links a join links b using (transaction_id) where a.suggestion_id < b.suggestion_id group by all),
@@ -112,20 +119,38 @@ OVERLAP_SQL = LINKS_SQL + """, s as (select suggestion_id, count(*) as size from
 
 @query(OVERLAP_SQL + " select * from p")
 def overlap_pairs(spark, sf_dir):
-    p = A.overlap_pairs(_links(spark, sf_dir))
-    return p.select("left_id", "right_id", "shared", six(F.col("jaccard")).alias("jaccard"), six(F.col("overlap")).alias("overlap"))
+    return _overlaps(_links(spark, sf_dir))
 
 
 @query(OVERLAP_SQL + " select * from p order by overlap desc, jaccard desc, left_id, right_id limit 50")
 def overlap_top50(spark, sf_dir):
-    p = A.overlap_pairs(_links(spark, sf_dir), 50)
-    return p.select("left_id", "right_id", "shared", six(F.col("jaccard")).alias("jaccard"), six(F.col("overlap")).alias("overlap"))
+    return _overlaps(_links(spark, sf_dir), 50)
+
+
+@query()
+def overlap_pairs_whole(spark, sf_dir):
+    """Overlaps of identity groups of all sizes; the SQL above and below has those of up to 12 rows."""
+    return _overlaps(_links(spark, sf_dir, whole=True))
+
+
+@query()
+def overlap_top50_whole(spark, sf_dir):
+    return _overlaps(_links(spark, sf_dir, whole=True), 50)
 
 
 @query(LINKS_SQL + ", p as (select suggestion_id, count(*) as n from links group by 1), q as (select suggestion_id, n from p where n % 4 <> 0 union all select suggestion_id || '?', n from p where n % 7 = 0) select coalesce(p.suggestion_id, q.suggestion_id) as suggestion_id, case when p.suggestion_id is null then 'extra' when q.suggestion_id is null then 'missing' when q.n % 4 > 1 then 'multiple' end as problem from p full join q using (suggestion_id) where p.suggestion_id is null or q.suggestion_id is null or q.n % 4 > 1")
 def pending_integrity(spark, sf_dir):
     """Suggestions with as many items as their size modulo four, and items of suggestions that do not exist."""
-    counted = _links(spark, sf_dir).groupBy("suggestion_id").agg(F.count(F.lit(1)).alias("n"))
+    return _integrity(_links(spark, sf_dir))
+
+
+@query()
+def pending_integrity_whole(spark, sf_dir):
+    return _integrity(_links(spark, sf_dir, whole=True))
+
+
+def _integrity(links):
+    counted = links.groupBy("suggestion_id").agg(F.count(F.lit(1)).alias("n"))
     items = counted.where("n % 4 <> 0").select("suggestion_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n") % 4)).alias("i"))
     extra = counted.where("n % 7 = 0").select(F.concat("suggestion_id", F.lit("?")).alias("suggestion_id"), F.lit(1).cast("long").alias("i"))
     return A.pending_integrity(counted, items.unionByName(extra))

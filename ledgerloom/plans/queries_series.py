@@ -162,6 +162,14 @@ def lanes(spark, sf_dir):
     return R.lanes(members).select("company_id", "key", "lane", "anchor_id", F.size("ids").cast("long").alias("n"), F.md5(F.array_join("ids", "|")).alias("signature"))
 
 
+@query()
+def lanes_whole(spark, sf_dir):
+    """The lanes of all identity groups of five rows or more; the SQL of ``lanes`` has descriptions of 5 to 40 rows."""
+    rows = rows_of(spark, sf_dir)
+    found = R.lanes(R.identity_groups(rows).join(rows.select("id", "date", "abs_amount"), "id"))
+    return found.select("company_id", "type", "key", "lane", "anchor_id", F.size("ids").cast("long").alias("n"), F.md5(F.array_join("ids", "|")).alias("signature"))
+
+
 @query(REC_SQL + """,
 i as (select * from rec where type = 'income' and id like '1%'),
 near as (select a.company_id, b.id as anchor_id, a.id, a.date, a.normalized_description, abs(a.abs_amount - b.abs_amount) / ((a.abs_amount + b.abs_amount) / 2) as off from i a join i b on a.company_id = b.company_id

@@ -115,3 +115,46 @@ def test_projection_of_all_orders(spark):
     items = {(c, h): n for c, h, n, _, _ in run(spark, "projection_whole")}
     assert items == Counter((c, h) for c, _, h, _ in expected)
     assert {(r.company_id, h): r[str(h)] for r in run(spark, "projection_horizons_whole") for h in (30, 60, 90)} == items
+
+
+@pytest.fixture(scope="module")
+def groups(spark):
+    found = defaultdict(set)
+    for r in R.identity_groups(queries_series.rows_of(spark, SF)).collect():
+        found[r.company_id, r.type, r.key].add(r.id)
+    return found
+
+
+def test_overlaps_of_groups_of_all_sizes(spark, groups):
+    by_id, expected = defaultdict(list), Counter()
+    for name, ids in groups.items():
+        for i in ids:
+            by_id[i].append("".join(name))
+    for names in by_id.values():
+        expected.update(combinations(sorted(names), 2))
+    size = {"".join(name): len(ids) for name, ids in groups.items()}
+    found = run(spark, "overlap_pairs_whole")
+    assert len(found) == len(expected) and {(r.left_id, r.right_id): r.shared for r in found} == expected
+    for r in found:
+        a, b = size[r.left_id], size[r.right_id]
+        assert abs(r.jaccard - r.shared / (a + b - r.shared)) < 1e-6 and abs(r.overlap - r.shared / min(a, b)) < 1e-6
+    assert max(size.values()) > 12 and len(run(spark, "overlap_top50_whole")) == 50
+    problems = {r.suggestion_id: r.problem for r in run(spark, "pending_integrity_whole")}
+    wrong = {k: "multiple" if n % 4 else "missing" for k, n in size.items() if n % 4 != 1}
+    assert problems == wrong | {f"{k}?": "extra" for k, n in size.items() if n % 7 == 0}
+
+
+def test_lanes_of_all_keys_and_sizes(spark, rows, groups):
+    # One id stands for two rows of these tables; groups with it are left to the SQL of ``lanes``.
+    again = {i for i, n in Counter(r.id for r in rows).items() if n > 1}
+    skipped = {name for name, ids in groups.items() if ids & again}
+    facts, expected = {r.id: (r.date.day, r.abs_amount) for r in rows}, set()
+    for (company, kind, key), ids in groups.items():
+        if (company, kind, key) in skipped:
+            continue
+        for anchor in ids if len(ids) >= 5 else ():
+            day, amount = facts[anchor]
+            near = {"day": [i for i in ids if abs(facts[i][0] - day) <= 3], "amount": [i for i in ids if difference(facts[i][1], amount) <= 0.35]}
+            expected |= {(company, kind, key, lane, anchor, len(own), md5(own)) for lane, own in near.items() if 3 <= len(own) < len(ids)}
+    found = [r for r in run(spark, "lanes_whole") if r[:3] not in skipped]
+    assert len(skipped) < 20 and len(found) == len(expected) and {tuple(r) for r in found} == expected
