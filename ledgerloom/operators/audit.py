@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ledgerloom.plans.scratch import materialise
+
 #: Lower bounds of the amount bands of audits.
 BANDS = (0, 100, 500, 1000, 5000, 20000)
 
@@ -174,13 +176,13 @@ def link_records(stored: DataFrame, truth: DataFrame) -> DataFrame:
     return alone.unionByName(chosen)
 
 
-def set_cover(covers: DataFrame, goal: float = 0.8, most: int = 50) -> list[tuple[str, int]]:
-    """Greedy cover of rows by keys: (key, rows it adds) until ``goal`` of all rows are covered or ``most`` keys are taken.
+def set_cover(covers: DataFrame, goal: float = 0.8, most: int | None = None) -> list[tuple[str, int]]:
+    """Greedy cover of rows by keys: (key, rows it adds) until ``goal`` of all rows are covered, or ``most`` keys are taken where it is given.
 
     ``covers``: (key, id). Each step is an aggregation over what is not covered yet; the driver sees one key a step.
     """
     total, done, chosen, left = covers.select("id").distinct().count(), 0, [], covers
-    while done < goal * total and len(chosen) < most:
+    while done < goal * total and (most is None or len(chosen) < most):
         best = left.groupBy("key").agg(F.count_distinct("id").alias("n")).orderBy(F.desc("n"), "key").first()
         if best is None:
             break
@@ -188,3 +190,19 @@ def set_cover(covers: DataFrame, goal: float = 0.8, most: int = 50) -> list[tupl
         done += best["n"]
         left = left.join(left.where(F.col("key") == best["key"]).select("id").distinct(), "id", "left_anti")
     return chosen
+
+
+def partition_cover(rows: DataFrame, goal: float = 0.8) -> DataFrame:
+    """The greedy cover where each row has one key: (key, n) by falling n, then key, until ``goal`` of all rows is reached.
+
+    No step changes what the other keys add, so the cover is a running sum over the sorted keys, taken in ranges; rows
+    without a key count among all rows only.
+    """
+    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialise(counts.where("key is not null").repartitionByRange(parts, F.desc("n"), F.asc("key")).withColumn("part", F.spark_partition_id()), "cover-keys")
+    # One row for each range.
+    sums = ranged.groupBy("part").agg(F.sum("n").alias("own")).withColumn("before", F.sum("own").over(Window.orderBy("part")) - F.col("own")).drop("own")
+    within = F.sum("n").over(Window.partitionBy("part").orderBy(F.desc("n"), "key")) - F.col("n")
+    placed = ranged.withColumn("within", within).join(F.broadcast(sums), "part").crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("total"))))
+    return placed.where(F.col("before") + F.col("within") < goal * F.col("total")).select("key", "n")

@@ -8,6 +8,7 @@ from itertools import combinations
 
 import pytest
 
+from ledgerloom.operators import audit as A
 from ledgerloom.operators import recurrence as R
 from ledgerloom.plans import catalog, queries_reads, queries_series
 
@@ -158,3 +159,23 @@ def test_lanes_of_all_keys_and_sizes(spark, rows, groups):
             expected |= {(company, kind, key, lane, anchor, len(own), md5(own)) for lane, own in near.items() if 3 <= len(own) < len(ids)}
     found = [r for r in run(spark, "lanes_whole") if r[:3] not in skipped]
     assert len(skipped) < 20 and len(found) == len(expected) and {tuple(r) for r in found} == expected
+
+
+def test_cover_reaches_its_goal_with_many_families(spark):
+    rows = [(f"k{k:02d}", f"{k}-{i}") for k in range(70) for i in range(1 + k % 5)]
+    frame = spark.createDataFrame(rows, "key string, id string")
+    counts, expected, done = Counter(k for k, _ in rows), [], 0
+    for key, n in sorted(counts.items(), key=lambda x: (-x[1], x[0])):
+        if done < 0.8 * len(rows):
+            expected.append((key, n))
+            done += n
+    assert len(expected) > 8 and sorted(map(tuple, A.partition_cover(frame).collect())) == sorted(expected)
+    assert A.set_cover(frame.where("key < 'k12'")) == [tuple(r) for r in A.partition_cover(frame.where("key < 'k12'")).orderBy(-A.F.col("n"), "key").collect()]
+    assert A.partition_cover(frame.where("false")).count() == 0
+    assert A.partition_cover(spark.createDataFrame([(None, "1"), ("a", "2")], frame.schema)).collect() == [("a", 1)]
+
+
+def test_rule_set_cover_reaches_80_percent(spark):
+    found = run(spark, "rule_set_cover")
+    open_ = queries_series.ledger(spark, SF).where("category_id is null").count()
+    assert sum(r.n for r in found) >= 0.8 * open_ > sum(r.n for r in found) - min(r.n for r in found)
