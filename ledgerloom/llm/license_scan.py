@@ -42,14 +42,28 @@ def template_list(templates=TEMPLATES, threshold: float = CONTAINMENT) -> list[t
     return [(i, label, words, math.ceil(threshold * len(words) - 1e-9)) for i, label, words in split]
 
 
-def block_words(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """One row per line that holds a word of ``vocabulary``: doc_id, text_key, block, the words of the vocabulary in it."""
+def block_words(docs: DataFrame, listed: list[tuple[int, str, list[str], int]], longest: int) -> DataFrame:
+    """One row per block that holds a template's word: doc_id, text_key, block, the template words in it.
+
+    Blocks are lines and, for notices wrapped over lines, windows of twice ``longest`` words that start at every
+    ``longest``-th word of a paragraph, so that ``longest`` words in a row are always in one. Paragraphs end at blank
+    lines; one that does not hold enough words of any template has no block that does, and gives none.
+    """
+    known = F.array(*[F.lit(w) for w in sorted({w for _, _, words, _ in listed for w in words})])
+    of = lambda text: F.regexp_extract_all(text, F.lit(WORD), 0)
     # U+212A is the one letter that lower() turns into an ASCII letter by itself.
-    lowered = F.lower(F.replace(F.col("text"), F.lit("K"), F.lit("ĸ")))
-    lines = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split(lowered, "\n")).alias("block", "line"))
-    known = F.array(*map(F.lit, vocabulary))
-    lines = lines.select("doc_id", "text_key", "block", F.array_intersect(known, F.regexp_extract_all("line", F.lit(WORD), 0)).alias("words"))
-    return lines.where(F.size("words") > 0)
+    lowered = F.lower(F.replace(F.col("text"), F.lit("K"), F.lit("ĸ")))
+    parts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split(lowered, r"\n[\x00-\x20]*\n")).alias("paragraph", "part"))
+    # explode() of one value keeps filters and lambdas from computing the words anew for each use.
+    parts = parts.select("*", F.explode(F.array(F.array_intersect(known, of(F.col("part"))))).alias("held"))
+    needs = F.array(*[F.struct(F.array(*map(F.lit, words)).alias("words"), F.lit(needed).alias("needed")) for _, _, words, needed in listed])
+    able = parts.where(F.size("held") >= min(needed for _, _, _, needed in listed)).where(F.exists(needs, lambda t: F.size(F.array_intersect(t["words"], F.col("held"))) >= t["needed"]))
+    able = able.select("*", F.explode(F.array(of(F.col("part")))).alias("all"))
+    lines = F.transform(F.split("part", "\n"), lambda line: F.array_intersect(known, of(line)))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("all") - longest - 1, F.lit(0)), F.lit(longest))
+    windows = F.when(F.contains(F.col("part"), F.lit("\n")), F.transform(starts, lambda i: F.array_intersect(known, F.slice("all", i + 1, 2 * longest)))).otherwise(F.array().cast("array<array<string>>"))
+    blocks = able.select("doc_id", "text_key", "paragraph", F.posexplode(F.concat(lines, windows)).alias("at", "words"))
+    return blocks.where(F.size("words") > 0).select("doc_id", "text_key", (F.shiftleft(F.col("paragraph").cast("long"), 32) + F.col("at")).alias("block"), "words")
 
 
 def contained_templates(docs: DataFrame, templates=TEMPLATES, threshold: float = CONTAINMENT) -> DataFrame:
@@ -64,10 +78,10 @@ def contained_templates(docs: DataFrame, templates=TEMPLATES, threshold: float =
     listed = template_list(templates, threshold)
     vocabulary = sorted({w for _, _, words, _ in listed for w in words})
     if not vocabulary:
-        return spark.createDataFrame([], "doc_id long, text_key long, block int, template int, label string, containment double")
+        return spark.createDataFrame([], "doc_id long, text_key long, block long, template int, label string, containment double")
     if sum(len(words) for _, _, words, _ in listed) > MAX_TEMPLATE_WORDS:
         raise ValueError(f"templates have more than {MAX_TEMPLATE_WORDS} words")
-    blocks = materialise(block_words(docs, vocabulary), "license-blocks")
+    blocks = materialise(block_words(docs, listed, max(len(text.split()) for _, text in templates)), "license-blocks")
     counts = {r["word"]: r["count"] for r in blocks.select(F.explode("words").alias("word")).groupBy("word").count().collect()}
     ordered = sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
     rank = {w: i for i, w in enumerate(ordered)}

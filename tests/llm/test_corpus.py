@@ -123,6 +123,21 @@ def test_license_scans(docs):
     assert len(license_scan.scan_licenses(empty(docs)).collect()) == 0
 
 
+def test_license_notices_wrapped_over_lines(spark):
+    def wrapped(text, width, start="", before=0):
+        words = [f"w{i}" for i in range(before)] + text.split() + ["end"] * 90
+        return "\n".join(start + " ".join(words[i : i + width]) for i in range(0, len(words), width))
+
+    cases = [(label, wrapped(text, width, start, before)) for label, text in license_scan.TEMPLATES for width in (1, 3, 8) for start in ("", " * ") for before in (0, 7, 31, 62)]
+    found = {r.doc_id: r for r in license_scan.scan_licenses(spark.createDataFrame(list(enumerate(t for _, t in cases)), "doc_id long, text string")).collect()}
+    for i, (label, _) in enumerate(cases):
+        assert label in found[i].labels.split(",") and found[i].score == 1.0
+    apart = "permission is hereby granted free of charge to any\n \nperson obtaining a copy of this software and associated documentation files"
+    far = "permission is hereby granted free of charge to any\n" + "w " * 80 + "\nperson obtaining a copy of this software and associated documentation files"
+    for r in license_scan.scan_licenses(spark.createDataFrame([(1, apart), (2, far)], "doc_id long, text string")).collect():
+        assert (r.labels, r.score) == ("", 0.0)
+
+
 def test_toxicity_learns_held_out_rows(spark):
     rng = np.random.default_rng(5)
     rows, labels = [], []
