@@ -8,18 +8,31 @@ from pyspark.sql import functions as F
 from ledgerloom.plans.scratch import materialise
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+#: A node counts as a hub when it ends more than this share of all edges, so at most 2 / HUB_SHARE nodes are hubs.
+HUB_SHARE = 1 / 1000
+
+
+def _with_least(rows: DataFrame, least: DataFrame, edges: int) -> DataFrame:
+    """Joins ``rows`` to their node's smallest neighbour. The few hubs are broadcast, so their rows stay where they are."""
+    floor = max(1000, int(edges * HUB_SHARE))
+    known = rows.join(F.broadcast(least.where(F.col("degree") > floor).select("u", F.col("m").alias("m_hub"))), "u", "left")
+    other = least.where(F.col("degree") <= floor).select("u", F.col("m").alias("m_other"))
+    hubs = known.where("m_hub is not null").select("u", "v", F.col("m_hub").alias("m"))
+    return hubs.unionByName(known.where("m_hub is null").join(other, "u").select("u", "v", F.col("m_other").alias("m")))
+
+
+def _large_star(edges: DataFrame, count: int) -> DataFrame:
     """Connects every larger neighbour of a node to the smallest of the node and its neighbours."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("degree"))
+    return _with_least(both.where(F.col("v") > F.col("u")), least, count).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, count: int) -> DataFrame:
     """Connects a node and its smaller neighbours to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where(F.col("u") != F.col("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    turned = down.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree"))
+    turned = _with_least(down, least, count).where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return turned.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -37,7 +50,7 @@ def connected_components(edges: DataFrame, left: str, right: str, max_rounds: in
         after = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if after == before or not after[0]:
             break
-        before, now = after, materialise(_small_star(_large_star(now)), "edges")
+        before, now = after, materialise(_small_star(_large_star(now, after[0]), after[0]), "edges")
     else:
         raise RuntimeError("components have not settled")
     return nodes.join(now.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -12,7 +12,12 @@ LOCAL_SCRATCH = "file:///tmp/checkpoints/ledgerloom"
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in ``spark.checkpoint.dir``; it is removed when the session ends."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = LOCAL_SCRATCH
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
