@@ -1,54 +1,66 @@
 """N-gram Jaccard join: a T-occurrence search over inverted lists, in the manner of DivideSkip.
 
-The lists of a document's rarest shingles are its short lists; so many are taken that a partner can miss all of them
-only by missing the required overlap. Short lists are merged, as sorted runs, into candidates; the long lists are never
-merged but probed by binary search when a candidate is verified.
+Of each document's shingles, a prefix in one order of all shingles, rare before frequent, is posted to inverted lists; a
+partner shares at least one of them. Documents of like lists meet in blocks of bounded size. There a document's short
+lists are merged and counted, the long ones are probed by binary search, and those that reach the required overlap link.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ledgerloom.operators.components import connected_components
 
 from .common import HOT_SHARE, lookup_join, materialise, text_of
+from .occurrence import BlockIndex
 from .shingles import WordHashes, mixed, shingle_set
 
 SHINGLE_WORDS = 4
 #: Two documents link when 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: Cells of the count sketch that orders shingles by frequency, and the slices in which it is added up.
+#: Cells of the count sketch that finds frequent shingles, and the slices in which it is added up.
 SKETCH_BITS, SLICES = 18, 64
 #: Bits of the bitmap that tells which documents may have candidates: 4 MB, whatever the size of the data.
 BITMAP_BITS = 25
-#: Rows of a list that one task holds at once, and documents of a tile whose pairs are verified in one task.
-LIST_BLOCK, TILE = 4096, 64
-#: Bins of the hash range whose smallest shingles put like documents into buckets, and rounds over these buckets.
-BINS, ROUNDS = 8, 3
+#: Rows of a list that are counted exactly; longer lists are all ordered as equally long.
+LONG_LIST = 65_536
+#: A block holds so many documents of up to ``UNIT`` shingles, or fewer longer ones.
+BLOCK_DOCS, UNIT = 2_000, 1_000
+#: Order of shingles out of the counted slice, and of those in frequent cells: after all counted ones.
+UNCOUNTED, FREQUENT = 1 << 40, 1 << 41
 NO_ID = -(1 << 63)
 _STORE = WordHashes()
 
 
-def least_overlap(n: np.ndarray, m: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The smallest intersection of sets of sizes ``n`` and ``m`` that links them."""
-    return -(-percent * (n + m) // (100 + percent))
-
-
 def short_list_count(n: int, percent: int = PERCENT) -> int:
-    """How many of ``n`` lists have to be merged so that no partner is missed."""
+    """How many of ``n`` lists have to be looked at so that no partner is missed."""
     return n - (-(-percent * n // 100)) + 1 if n else 0
 
 
+def counted_share(percent: int) -> int:
+    """Of 1024 parts of all shingles, those whose lists are counted: 5/3 of what a document has to post at least."""
+    return min(1024, -(-5 * (100 - percent) * 1024 // 300))
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def _class_key(found: np.ndarray, seed: int) -> int:
+    with np.errstate(over="ignore"):
+        return int(_signed(mixed(found, seed).sum(dtype=np.uint64, keepdims=True))[0])
+
+
+def _cells(found: np.ndarray) -> np.ndarray:
+    return (found & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)
+
+
 def _each(batches: Iterator[pa.RecordBatch], size: int):
     for batch in batches:
         for did, text in zip(batch.column("did").to_pylist(), batch.column("text")):
@@ -59,22 +71,25 @@ def _sizes_and_sketch(size: int):
     schema = pa.schema([("did", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("key2", pa.int64()), ("slice", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, rows, mask = np.zeros(1 << SKETCH_BITS, np.int64), [], np.uint64((1 << SKETCH_BITS) - 1)
+        sketch, rows, waiting, held = np.zeros(1 << SKETCH_BITS, np.int64), [], [], 0
 
         def flush():
             did, n, key, key2 = map(list, zip(*rows))
-            return pa.RecordBatch.from_arrays([pa.array(did, pa.int64()), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(key2, pa.int64()), pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary())], schema=schema)
+            nulls = [pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary())]
+            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (did, n, key, key2)), *nulls], schema=schema)
 
         for did, found in _each(batches, size):
-            with np.errstate(over="ignore"):
-                key, key2 = (int(_signed(mixed(found, seed).sum(dtype=np.uint64, keepdims=True))[0]) for seed in (1, 2))
-            sketch += np.bincount((found & mask).astype(np.int64), minlength=len(sketch)) if len(found) > 4096 else 0
-            if len(found) <= 4096:
-                np.add.at(sketch, (found & mask).astype(np.int64), 1)
-            rows.append((did, len(found), key, key2))
+            rows.append((did, len(found), _class_key(found, 1), _class_key(found, 2)))
+            waiting.append(_cells(found))
+            held += len(found)
+            if held > 500_000:
+                sketch += np.bincount(np.concatenate(waiting), minlength=len(sketch))
+                waiting, held = [], 0
             if len(rows) == 4096:
                 yield flush()
                 rows.clear()
+        if held:
+            sketch += np.bincount(np.concatenate(waiting), minlength=len(sketch))
         if rows:
             yield flush()
         if sketch.any():
@@ -98,8 +113,8 @@ def _added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def frequency_levels(sketches: DataFrame) -> np.ndarray:
     """The level of each cell of the summed sketch: 0 up to four times the mean count, one more for each doubling.
 
-    Cells only order shingles, rare before frequent; any collision costs time and never a result. The sketch has
-    ``2 ** SKETCH_BITS`` cells for any amount of data, so it is safe to bring to the driver and to send to tasks.
+    Cells only order shingles and split the lists of frequent ones; any collision costs time and never a result. The
+    sketch has ``2 ** SKETCH_BITS`` cells for any amount of data, so it is safe to bring to the driver and to send to tasks.
     """
     slices = sketches.repartition(SLICES // 8, "slice").mapInArrow(_added_up, "slice int, counts binary").collect()
     counts = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.int64)
@@ -109,127 +124,139 @@ def frequency_levels(sketches: DataFrame) -> np.ndarray:
     return np.floor(np.log2(np.maximum(1.0, counts / (4 * max(1.0, counts.mean()))))).astype(np.uint8)
 
 
-def _short_lists(size: int, percent: int, levels, hot: dict[int, int]):
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+def _in_slice(tokens: np.ndarray, share: int) -> np.ndarray:
+    return ((tokens >> np.uint64(40)) & np.uint64(1023)) < np.uint64(share)
+
+
+def _postings(size: int, percent: int, levels, hot: dict[int, int]):
+    """Posts all of a document's shingles of the counted slice and, where these are too few, further ones, rare cells
+    first. ``meta`` holds the size of the set and the number of postings; ``salt`` splits the lists of frequent shingles."""
+    schema = pa.schema([("token", pa.int64()), ("id", pa.int64()), ("meta", pa.int64()), ("salt", pa.int32())])
+    share = counted_share(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level, mask, rows = levels.value, np.uint64((1 << SKETCH_BITS) - 1), []
-        edges = np.arange(BINS, dtype=np.uint64) << np.uint64(61)
+        level, tokens, rows, held = levels.value, [], [], 0
 
         def flush():
-            ids, n, tokens = zip(*rows)
-            ends = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(tokens)))
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), lists], schema=schema)
+            counts = np.array([r[2] for r in rows])
+            posted = np.concatenate(tokens)
+            ids, metas = (np.repeat(np.array(x, np.int64), counts) for x in ([r[0] for r in rows], [r[1] for r in rows]))
+            heights = level[_cells(posted)].astype(np.int64)
+            salt = np.where(heights > 0, 1 + (mixed(ids.view(np.uint64), 5) % (np.uint64(2) << np.minimum(heights, 20).astype(np.uint64))).astype(np.int64), 0)
+            return pa.RecordBatch.from_arrays([pa.array(_signed(posted)), pa.array(ids), pa.array(metas), pa.array(salt.astype(np.int32))], schema=schema)
 
-        held = 0
         for did, found in _each(batches, size):
             if not len(found):
                 continue
-            with np.errstate(over="ignore"):
-                key = int(_signed(mixed(found, 1).sum(dtype=np.uint64, keepdims=True))[0])
+            key = _class_key(found, 1)
             if hot.get(key, did) != did:
                 continue
-            order = np.argsort(level[(found & mask).astype(np.int64)], kind="stable")
-            firsts = np.unique(np.searchsorted(found, edges))
-            bins = mixed(found[firsts[firsts < len(found)]], 3)
-            few = BINS - len(bins)
-            tokens = _signed(np.concatenate([found[order[: short_list_count(len(found), percent)]], bins, np.repeat(bins[-1:], few)]))
-            rows.append((key, len(found), tokens))
-            held += len(tokens)
+            own, need = level[_cells(found)], short_list_count(len(found), percent)
+            counted = _in_slice(found, share) & (own == 0)
+            chosen = found[counted]
+            if len(chosen) < need:
+                rest, heights = found[~counted], own[~counted]
+                chosen = np.concatenate([chosen, rest[np.argsort(heights, kind="stable")[: need - len(chosen)]]])
+            tokens.append(chosen)
+            rows.append((key, len(found) << 32 | len(chosen), len(chosen)))
+            held += len(chosen)
             if held > 200_000:
                 yield flush()
-                rows.clear()
-                held = 0
+                tokens, rows, held = [], [], 0
         if rows:
             yield flush()
 
     return run
 
 
-def _runs(batches: Iterator[pa.RecordBatch], keys: list[str], most: int | None = None):
-    """Rows of equal ``keys`` (neighbours in sorted input) as numpy columns; runs over ``most`` rows come in parts."""
-    rest = None
-    for batch in batches:
-        table = {name: batch.column(name).to_numpy(zero_copy_only=False) for name in batch.schema.names}
+def _runs(batches: Iterator[pa.RecordBatch], key: str, most: int):
+    """Rows of sorted input in portions of whole runs of equal ``key``, as numpy columns; runs over ``most`` rows come in
+    parts. Gives (columns, which rows belong to a run over ``most`` rows)."""
+    rest, long_key = None, None
+    for batch in chain(batches, [None]):
+        table = {name: batch.column(name).to_numpy(zero_copy_only=False) for name in batch.schema.names} if batch is not None else None
         if rest is not None:
-            table = {k: np.concatenate([rest[k], v]) for k, v in table.items()}
-        size = len(table[keys[0]])
-        if not size:
+            table = {k: np.concatenate([rest[k], v]) for k, v in table.items()} if table is not None else rest
+        if table is None or not len(table[key]):
             continue
-        change = np.zeros(size, bool)
-        for k in keys:
-            change[1:] |= table[k][1:] != table[k][:-1]
-        starts = np.concatenate([[0], np.flatnonzero(change), [size]])
-        if most and size - starts[-2] > most:
-            starts = np.concatenate([starts[:-1], np.arange(starts[-2] + most, size, most), [size]])
-        yield table, starts[:-1]
-        rest = {k: v[starts[-2] :] for k, v in table.items()}
-    if rest is not None and len(rest[keys[0]]):
-        yield rest, np.array([0, len(rest[keys[0]])])
-
-
-_LIST = pa.schema([("token", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("at", pa.int64())])
-
-
-def _shared_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (token, n, id): the lists and buckets of two members or more, without repeated members."""
-    last, previous = None, None
-    for table, starts in _runs(batches, ["token"], 65_536):
-        token, ids = table["token"], table["id"]
-        size = np.diff(starts)
-        keep = np.repeat(size >= 2, size)
-        rest = starts[:-1][size < 2]
-        if len(rest) and last is not None:
-            keep[rest[token[rest] == last]] = True  # the last part of a long list
-        inside = np.arange(starts[0], starts[-1])[keep]
-        if len(inside):
-            inside = inside[np.concatenate([[not (previous == (token[inside[0]], ids[inside[0]]))], (ids[inside][1:] != ids[inside][:-1]) | (token[inside][1:] != token[inside][:-1])])]
-        if len(inside):
-            last, previous = token[inside[-1]], (token[inside[-1]], ids[inside[-1]])
-            yield pa.RecordBatch.from_arrays([pa.array(table[c][inside]) for c in ("token", "id", "n", "at")], schema=_LIST)
-
-
-def _bucket_pairs(buckets: DataFrame, components: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Each member of a bucket with the one before it and with the first one, where their components differ.
-
-    The order is by size in the first round and by a hash of the id in later ones.
-    """
-    order = [F.col("n"), F.col("id")] if turn == 0 else [F.xxhash64("id", F.lit(turn)), F.col("id")]
-    own = Window.partitionBy("token").orderBy(*order)
-    known = buckets.join(components.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    me = F.struct("id", "n", "component")
-    placed = known.select("token", "id", "n", me.alias("me")).withColumn("before", F.lag("me").over(own)).withColumn("head", F.first("me").over(own))
-    near = placed.select("me", F.explode(F.array("before", "head")).alias("other")).where("other.component <> me.component")
-    least, most = F.least("me.n", "other.n"), F.greatest("me.n", "other.n")
-    near = near.where(100 * least >= percent * most)
-    return near.select(F.least("me.id", "other.id").alias("left"), F.greatest("me.id", "other.id").alias("right")).distinct()
+        keys = table[key]
+        last = int(np.searchsorted(keys, keys[-1])) if batch is not None else len(keys)
+        if batch is not None and len(keys) - last > most:
+            long_key, last = keys[-1], len(keys)
+        rest = {k: v[last:] for k, v in table.items()} if last < len(keys) else None
+        if last:
+            done = {k: v[:last] for k, v in table.items()}
+            _, place, sizes = np.unique(done[key], return_inverse=True, return_counts=True)
+            yield done, (sizes[place] > most) | (done[key] == long_key if long_key is not None else False)
 
 
-def _pairs_across(percent: int):
-    """From blocks of lists: all pairs of members of different components that sizes and places allow."""
+def _shared(percent: int, levels):
+    """From postings sorted by (token, id): those of lists with two members or more, with their place in the order."""
+    share = counted_share(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts in _runs(batches, ["token", "low", "high"]):
-            ids, n, at, component, block, low, high = (table[k] for k in ("id", "n", "at", "component", "block", "low", "high"))
-            left, right = [], []
-            for a, b in zip(starts[:-1], starts[1:]):
-                rows = np.arange(a, b)
-                ones, others = rows[block[rows] == low[a]], rows[block[rows] == high[a]]
-                for i in ones:
-                    partners = others[(ids[others] > ids[i]) | (low[a] != high[a])]
-                    sizes = n[partners]
-                    need = least_overlap(sizes, n[i], percent)
-                    able = np.minimum(sizes - at[partners], n[i] - at[i]) >= need
-                    partners = partners[(component[partners] != component[i]) & (np.minimum(sizes, n[i]) >= need) & able]
-                    left += np.minimum(ids[partners], ids[i]).tolist()
-                    right += np.maximum(ids[partners], ids[i]).tolist()
-            if left:
-                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["left", "right"])
+        level, last = levels.value, (None, None)
+        for table, long_run in _runs(batches, "token", LONG_LIST):
+            token, ids, meta = table["token"], table["id"], table["meta"]
+            new = np.ones(len(token), bool)
+            new[1:] = (token[1:] != token[:-1]) | (ids[1:] != ids[:-1])
+            new[0] = last != (token[0], ids[0])
+            last = (token[-1], ids[-1])
+            token, ids, meta, long_run = token[new], ids[new], meta[new], long_run[new]
+            if not len(token):
+                continue
+            _, place, sizes = np.unique(token, return_inverse=True, return_counts=True)
+            heights = level[_cells(token.view(np.uint64))].astype(np.int64)
+            order = np.where(long_run, LONG_LIST, sizes[place])
+            order = np.where(_in_slice(token.view(np.uint64), share), order, UNCOUNTED)
+            order = np.where(heights > 0, FREQUENT + heights, order)
+            keep = (sizes[place] > 1) | long_run | (heights > 0)
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (ids, meta, token, order)], names=["id", "meta", "token", "place"])
 
     return run
 
 
+def _prefixes(docs: DataFrame, size: int, percent: int, levels, hot: dict[int, int]) -> DataFrame:
+    """id, n, tokens: the shared shingles in the prefix of each document that has any.
+
+    A prefix is the first ``short_list_count`` shingles of a document in the order of (place, token). Shingles that no
+    other document posts come before all others, so a document with enough of those has no partner.
+    """
+    posted = docs.mapInArrow(_postings(size, percent, levels, hot), "token long, id long, meta long, salt int")
+    lists = posted.repartition("token", "salt").sortWithinPartitions("token", "id")
+    shared = lists.mapInArrow(_shared(percent, levels), "id long, meta long, token long, place long")
+    grouped = shared.groupBy("id", "meta").agg(F.sort_array(F.collect_list(F.struct("place", "token"))).alias("found"))
+    n, posts = F.shiftright("meta", 32), F.col("meta").bitwiseAND((1 << 32) - 1)
+    need = n - F.ceil(percent * n / 100) + 1
+    kept = grouped.select("id", n.alias("n"), "found", (need - posts + F.size("found")).cast("int").alias("room")).where("room > 0")
+    return materialise(kept.select("id", "n", F.expr("slice(found, 1, room).token").alias("tokens")), "ngram-prefixes")
+
+
+def _placed(prefixes: DataFrame) -> DataFrame:
+    """id, n, tokens, block0, block1: documents with like lists in the same block.
+
+    A document belongs to the longest of its lists. Small groups share blocks, large ones are dealt over blocks by a hash
+    of the id, anew in ``block1``; ``block1`` is null where a group has one block.
+    """
+    rows = prefixes.select("id", "n", F.explode("tokens").alias("token"))
+    sizes = materialise(rows.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "ngram-list-sizes")
+    rows = lookup_join(rows, sizes, "token", "size")
+    units = F.greatest(F.lit(1.0), F.col("n") / UNIT)
+    docs = rows.groupBy("id", "n").agg(F.max(F.struct("size", "token")).getField("token").alias("leader"), F.collect_list("token").alias("tokens"))
+    docs = materialise(docs.withColumn("units", units), "ngram-leaders")
+    groups = materialise(docs.groupBy("leader").agg(F.sum("units").alias("weight"), F.count(F.lit(1)).alias("members")), "ngram-groups")
+    bins = max(1, int((groups.agg(F.sum("weight")).first()[0] or 0) * 2 // BLOCK_DOCS))
+    parts = F.ceil(F.col("weight") / BLOCK_DOCS)
+    dealt = lambda turn: F.xxhash64("leader", F.pmod(F.xxhash64("id", F.lit(turn)), parts), F.lit(turn))
+    known = lookup_join(docs, groups, "leader", "members")
+    return known.select(
+        "id", "n", "tokens",
+        F.when(parts > 1, dealt(0)).otherwise(F.pmod(F.xxhash64("leader"), F.lit(bins))).alias("block0"),
+        F.when(parts > 1, dealt(1)).alias("block1"),
+    )
+
+
 def _slot(did: int) -> int:
     return (did * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> (64 - BITMAP_BITS)
 
@@ -253,91 +280,118 @@ def _bitmap(dids: DataFrame) -> np.ndarray:
     return np.packbits(found.ravel())
 
 
-def _texts_of(bitmap):
+def _sets_of(bitmap, size: int):
+    """The shingle sets of the documents whose bit is set."""
+    schema = pa.schema([("did", pa.int64()), ("id", pa.int64()), ("shingles", pa.binary())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bitmap.value
         for batch in batches:
             with np.errstate(over="ignore"):
                 slots = (batch.column("did").to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITMAP_BITS)
             yes = (bits[(slots >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (slots & np.uint64(7)).astype(np.uint8))) & 1
-            yield batch.filter(pa.array(yes.astype(bool)))
+            part = batch.filter(pa.array(yes.astype(bool)))
+            for start in range(0, part.num_rows, 1000):
+                found = list(_each(iter([part.slice(start, 1000)]), size))
+                columns = [d for d, _ in found], [_class_key(s, 1) for _, s in found], [s.tobytes() for _, s in found]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     return run
 
 
-def _verified(size: int, percent: int):
-    """From rows sorted by (component, low, high, is_pair): first the texts of two tiles, then the pairs between them;
-    gives the pairs that link."""
+_SEARCH = "left long, right long"
+
+
+def _searched(percent: int):
+    """From rows (block, visiting, id, component, shingles) sorted by (block, visiting, id): links between documents of
+    different components that join the components. Documents of the block are all compared with each other, visiting
+    ones with those of the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, sets = None, {}
+        index, here = None, None
         for batch in batches:
-            found_left, found_right = [], []
-            keys = zip(*(batch.column(c).to_pylist() for c in ("component", "low", "high", "left", "right")))
-            for (component, low, high, left, right), text in zip(keys, batch.column("text")):
-                if here != (component, low, high):
-                    here, sets = (component, low, high), {}
-                if right is None:
-                    found = shingle_set(text.as_buffer().to_pybytes() if text.as_buffer() else b"", size, _STORE)
-                    with np.errstate(over="ignore"):
-                        own = int(_signed(mixed(found, 1).sum(dtype=np.uint64, keepdims=True))[0])
-                    if own == left:  # else another text under the same document id
-                        sets[left] = found
-                    continue
-                few, many = sorted((sets[left], sets[right]), key=len)
-                place = np.minimum(np.searchsorted(many, few), len(many) - 1)
-                both = int((many[place] == few).sum())
-                if 100 * both >= percent * (len(few) + len(many) - both):
-                    found_left.append(left)
-                    found_right.append(right)
-            if found_left:
-                yield pa.RecordBatch.from_arrays([pa.array(found_left, pa.int64()), pa.array(found_right, pa.int64())], names=["left", "right"])
+            links: list[tuple[int, int]] = []
+            columns = (batch.column(c).to_pylist() for c in ("block", "visiting", "id", "component"))
+            for block, visiting, id_, component, shingles in zip(*columns, batch.column("shingles")):
+                if block != here:
+                    links += index.inner_links() if index else []
+                    index, here = BlockIndex(percent), block
+                found = np.frombuffer(shingles.as_buffer() or b"", np.uint64)
+                if visiting:
+                    links += index.visit(id_, component, found)
+                else:
+                    index.add(id_, component, found)
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["left", "right"])
+        links = index.inner_links() if index else []
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["left", "right"])
 
     return run
 
 
-def _promising(pairs: DataFrame, short: DataFrame, percent: int) -> DataFrame:
-    """Pairs that occur together in enough short lists.
+def _block_links(rows: DataFrame, percent: int) -> DataFrame:
+    rows = rows.select("block", "visiting", "id", "component", "shingles")
+    return materialise(rows.repartition("block").sortWithinPartitions("block", "visiting", "id").mapInArrow(_searched(percent), _SEARCH), "ngram-links")
+
 
-    A common shingle that is not in the short lists of both comes, in the order of all shingles, after the last short
-    list of one of them. So ``overlap <= shared short lists + long lists`` of the one or the other, and the required
-    overlap less the larger number of long lists is what a pair has to share. ``short``: id, n, tokens.
+def _visits(placed: DataFrame, components: DataFrame) -> DataFrame:
+    """id, block: which documents have to be compared with the documents of which other blocks.
+
+    In a list whose documents are of different components, those that are not of its most frequent component visit the
+    blocks of the others. Of two such documents the one in the smaller block visits.
     """
-    side = lambda name: short.select(F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.col("tokens").alias(f"t_{name}"))
-    both = pairs.join(side("left"), "left").join(side("right"), "right")
-    need = F.ceil(percent * (F.col("n_left") + F.col("n_right")) / (100 + percent)) - F.ceil(percent * F.greatest("n_left", "n_right") / 100) + 1
-    return both.where(F.size(F.array_intersect("t_left", "t_right")) >= need).select("left", "right")
+    known = placed.select("id", "block0", "tokens").join(components, "id").select("id", "component", F.col("block0").alias("block"), F.explode("tokens").alias("token"))
+    known = materialise(known, "ngram-known")
+    parts = known.groupBy("token", "component").agg(F.count(F.lit(1)).alias("size"))
+    major = parts.groupBy("token").agg(F.sum("size").alias("members"), F.count(F.lit(1)).alias("kinds"), F.max(F.struct("size", "component")).getField("component").alias("major"))
+    major = materialise(major.where("kinds > 1").select("token", "members", "major"), "ngram-open")
+    rows = materialise(lookup_join(known, major, "token", "members").drop("members"), "ngram-open-rows")
+    targets = rows.groupBy("token", F.col("block").alias("target")).agg(F.max(F.col("component") == F.col("major")).alias("has_major"))
+    probes = rows.where("component != major").select("token", "id", "block")
+    met = probes.join(targets, "token").where("target != block and (has_major or target > block)")
+    return materialise(met.select("id", F.col("target").alias("block")).distinct(), "ngram-visits")
 
 
-def _links(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (left, right: class keys) whose texts link.
+def _components_of(ids: DataFrame, links: DataFrame) -> DataFrame:
+    found = connected_components(links, "left", "right").withColumnRenamed("node", "id")
+    return materialise(ids.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")), "ngram-components")
 
-    Documents that pairs connect are numbered and cut into tiles of ``TILE``. A task loads the texts of two tiles once
-    and verifies all pairs between them, so a dense group of n documents sends about n * n / TILE texts and not n * n.
-    """
+
+def ngram_links(docs: DataFrame, classes: DataFrame, levels, hot: dict[int, int], size: int, percent: int) -> DataFrame:
+    """left, right: links between classes of documents that make the same components as all links together."""
     spark = docs.sparkSession
-    groups = materialise(connected_components(pairs, "left", "right"), "pair-groups")
-    place = F.row_number().over(Window.partitionBy("component").orderBy("node")) - 1
-    tiles = materialise(groups.withColumn("tile", F.floor(place / TILE).cast("int")), "tiles")
-    side = lambda name: tiles.select(F.col("node").alias(name), "component", F.col("tile").alias(f"tile_{name}"))
-    placed = pairs.join(side("left"), "left").join(side("right").drop("component"), "right")
-    placed = materialise(placed.select("component", F.least("tile_left", "tile_right").alias("low"), F.greatest("tile_left", "tile_right").alias("high"), "left", "right"), "placed")
-    where = ["component", "low", "high"]
-    wanted = placed.select(*where, F.explode(F.array("left", "right")).alias("key")).distinct()
-    wanted = materialise(wanted.join(classes.select("key", F.col("rep").alias("did")), "key"), "wanted")
+    placed = materialise(_placed(_prefixes(docs, size, percent, levels, hot)), "ngram-placed")
+    wanted = materialise(placed.select("id", "block0", "block1").join(classes.select(F.col("key").alias("id"), F.col("rep").alias("did")), "id"), "ngram-wanted")
     bitmap = spark.sparkContext.broadcast(_bitmap(wanted.select("did").distinct()))
-    texts = wanted.join(docs.mapInArrow(_texts_of(bitmap), docs.schema), "did").select(*where, F.col("key").alias("left"), F.lit(None).cast("long").alias("right"), "text")
-    both = texts.unionByName(placed.withColumn("text", F.lit(None).cast("string"))).withColumn("is_pair", F.col("right").isNotNull())
-    return both.repartition(*where).sortWithinPartitions(*where, "is_pair", "left", "right").drop("is_pair").mapInArrow(_verified(size, percent), "left long, right long").distinct()
+    sets = docs.mapInArrow(_sets_of(bitmap, size), "did long, id long, shingles binary").join(wanted, ["id", "did"])
+    sets = materialise(sets.select("id", "block0", "block1", "shingles"), "ngram-sets")
+    ids = placed.select("id")
+
+    first = sets.select(F.col("block0").alias("block"), F.lit(False).alias("visiting"), "id", F.col("id").alias("component"), "shingles")
+    links = _block_links(first, percent)
+    components = _components_of(ids, links)
+    again = sets.where("block1 is not null")
+    if again.limit(1).count():
+        second = again.join(components, "id").select(F.col("block1").alias("block"), F.lit(False).alias("visiting"), "id", "component", "shingles")
+        links = links.unionByName(_block_links(second, percent))
+        components = _components_of(ids, links)
+
+    visits = _visits(placed, components)
+    if not visits.limit(1).count():
+        return links
+    known = sets.join(components, "id")
+    homes = known.join(visits.select(F.col("block").alias("block0")).distinct(), "block0", "left_semi").select(F.col("block0").alias("block"), F.lit(False).alias("visiting"), "id", "component", "shingles")
+    guests = visits.join(known, "id").select("block", F.lit(True).alias("visiting"), "id", "component", "shingles")
+    return links.unionByName(_block_links(homes.unionByName(guests), percent))
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
-    Documents with equal shingle sets form a class and are compared once. Rounds over buckets of like documents first
-    join each document to a few others, so that a group of near copies becomes one component at the cost of a few
-    comparisons for each copy. The search over the short lists then compares all pairs that share a list, are of
-    different components and share enough lists: no link between components is lost.
+    Documents with equal shingle sets form a class and are compared once. Each class is compared with all classes of
+    its block, and with those classes of other blocks that share a posted shingle and are of another component: no link
+    between components is lost, and members of one component are not compared again.
 
     ``component_id`` is the smallest id reachable by links. A null or empty text has no shingles and is linked with
     nothing. Repeated rows belong to one class. A row without an id takes part and has the component of its class; it
@@ -352,37 +406,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = materialise(classes, "ngram-classes")
     total = classes.agg(F.sum("copies")).first()[0] or 0
     hot = {r.key: r.rep for r in classes.where(F.col("copies") > max(1, int(total * HOT_SHARE))).select("key", "rep").collect()}
-
     levels = spark.sparkContext.broadcast(frequency_levels(counted.where("slice is not null").select("slice", "counts")))
-    lists = docs.mapInArrow(_short_lists(size, percent, levels, hot), "id long, n long, tokens array<long>")
-    lists = lists.select("id", "n", (F.size("tokens") - BINS).alias("short"), F.posexplode("tokens").alias("at", "token"))
-    lists = lists.select("token", "id", "n", F.when(F.col("at") < F.col("short"), F.col("at").cast("long")).otherwise(F.lit(-1).cast("long")).alias("at"))
-    merged = lists.repartition("token").sortWithinPartitions("token", "n", "id").mapInArrow(_shared_lists, "token long, id long, n long, at long")
-    merged = materialise(merged, "ngram-lists")
-    shared, buckets = merged.where("at >= 0"), merged.where("at < 0").select("token", "id", "n").distinct()
-    short = materialise(shared.groupBy("id", "n").agg(F.collect_list("token").alias("tokens")), "ngram-short")
-
-    links = spark.createDataFrame([], "left long, right long")
-    joined, tried = spark.createDataFrame([], "node long, component long"), links
-    for turn in range(ROUNDS):
-        pairs = _bucket_pairs(buckets, joined, percent, turn).join(tried, ["left", "right"], "left_anti")
-        pairs = materialise(_promising(pairs, short, percent), "ngram-pairs")
-        found = materialise(_links(docs, pairs, classes, size, percent), "ngram-links")
-        tried, links = tried.unionByName(pairs), links.unionByName(found)
-        if not found.limit(1).count():
-            break
-        joined = materialise(connected_components(links, "left", "right"), "ngram-components")
-
-    members = shared.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_ = members.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("size")).where("a != b").select("token", "size")
-    place = F.row_number().over(Window.partitionBy("token").orderBy("n", "id")) - 1
-    blocks = members.join(open_, "token").withColumn("block", F.floor(place / LIST_BLOCK).cast("int")).withColumn("blocks", F.ceil(F.col("size") / LIST_BLOCK).cast("int"))
-    blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    blocks = blocks.select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "n", "at", "component")
-    across = blocks.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high", "block", "id").mapInArrow(_pairs_across(percent), "left long, right long")
-    second = materialise(_promising(across.distinct().join(tried, ["left", "right"], "left_anti"), short, percent), "ngram-promising")
-    more = materialise(_links(docs, second, classes, size, percent), "ngram-links")
-    final = connected_components(links.unionByName(more), "left", "right")
+    final = connected_components(ngram_links(docs, classes, levels, hot, size, percent), "left", "right")
 
     named = classes.join(final.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     smallest = named.groupBy("component").agg(F.min("smallest").alias("component_id"), F.count(F.lit(1)).alias("members"))
@@ -399,13 +424,14 @@ def keep_one_of_each_component(docs: DataFrame, id_col: str = "doc_id", text_col
     """
     found = ngram_jaccard_join(docs, id_col, text_col, size, percent)
     alone = F.col("component_id").isNull() | (F.col("n_shingles") == 0)
-    drop = found.where(~alone & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id")).distinct()
-    left = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).join(drop, "_id", "left_anti")
-    repeated = found.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id"))
+    drop = found.where(~alone & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("dropped")).distinct()
+    given = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("did"), text_of(text_col).alias("body"))
+    left = given.join(drop, F.col("did") == F.col("dropped"), "left_anti")
+    repeated = found.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("twice"))
     if repeated.limit(1).count():
-        again = left.join(repeated, "_id", "left_semi").dropDuplicates(["_id", text_col])
-        left = left.join(repeated, "_id", "left_anti").unionByName(again)
-    return left.select(*docs.columns)
+        again = left.join(repeated, F.col("did") == F.col("twice"), "left_semi").dropDuplicates(["did", "body"])
+        left = left.join(repeated, F.col("did") == F.col("twice"), "left_anti").unionByName(again)
+    return left.select("row.*")
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
