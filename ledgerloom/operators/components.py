@@ -10,10 +10,14 @@ from ledgerloom.plans.scratch import materialise
 
 #: A node counts as a hub when it ends more than this share of all edges, so at most 2 / HUB_SHARE nodes are hubs.
 HUB_SHARE = 1 / 1000
+FEW_EDGES = 1_000_000
 
 
 def _with_least(rows: DataFrame, least: DataFrame, edges: int) -> DataFrame:
-    """Joins ``rows`` to their node's smallest neighbour. The few hubs are broadcast, so their rows stay where they are."""
+    """Joins ``rows`` to their node's smallest neighbour. The few hubs are broadcast, so their rows stay where they are;
+    of few edges no node has too many for one task."""
+    if edges <= FEW_EDGES:
+        return rows.join(least.select("u", "m"), "u")
     floor = max(1000, int(edges * HUB_SHARE))
     known = rows.join(F.broadcast(least.where(F.col("degree") > floor).select("u", F.col("m").alias("m_hub"))), "u", "left")
     other = least.where(F.col("degree") <= floor).select("u", F.col("m").alias("m_other"))
