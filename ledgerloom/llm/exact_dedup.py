@@ -48,33 +48,30 @@ def _cell(key: str, bits: int) -> Column:
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_capacity: int = 50_000, owners: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Builds the index over ``docs``; returns (one narrow row per document, one index entry per distinct text).
+    """Builds the index over ``docs``; returns (one narrow row per document with its bucket, one index entry per distinct text).
 
     Both are tables on shared files. An entry has its bucket, its place in the chain of texts with the same 64-bit key,
-    and the document that stays. The directory splits on distinct texts, so copies never overfill a bucket. Texts that
-    share a key are told apart by comparing their bytes: whole texts are grouped, pre-aggregated before the shuffle.
+    and the document that stays. The directory splits on distinct keys, so copies never overfill a bucket; it leads each
+    document to its bucket. Owner tasks hold ranges of buckets and keys. Texts that share a key are told apart by
+    comparing their bytes: whole texts are grouped, pre-aggregated before the shuffle.
     """
     spark = docs.sparkSession
-    norm = normalised(text_of(text_col))
+    text = text_of(text_col)
+    norm = normalised(text)
     rows = materialise(
-        docs.select(
-            F.col(id_col).cast("long").alias("doc_id"),
-            F.length(text_of(text_col)).cast("long").alias("n_chars"),
-            norm.alias("norm"),
-        ).select("doc_id", "n_chars", F.xxhash64("norm").alias("key"), F.sha2("norm", 256).alias("text_sha256"), F.monotonically_increasing_id().alias("row")),
+        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.length(text).cast("long").alias("n_chars"), F.xxhash64(text).alias("text_key"), norm.alias("norm")).select(
+            "doc_id", "n_chars", "text_key", F.xxhash64("norm").alias("key"), F.sha2("norm", 256).alias("text_sha256"), F.monotonically_increasing_id().alias("row")
+        ),
         "dedup-rows",
     )
-    best = F.min(F.struct((-F.col("n_chars")).alias("shorter"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
+    best = F.min(F.struct((-F.col("n_chars")).alias("shorter"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "row"))
     groups = materialise(rows.groupBy("key", "text_sha256").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size")), "dedup-groups")
     entries = groups.count()
     bits = min(MAX_DEPTH, max(0, (8 * entries // bucket_capacity).bit_length()))
     counts = {r["cell"]: r["count"] for r in groups.groupBy(_cell("key", bits).alias("cell")).count().collect()}
     buckets = split_directory(counts, bits, bucket_capacity)
-    owners = owners or min(len(buckets), 4 * spark.sparkContext.defaultParallelism)
-    directory = spark.createDataFrame(
-        [(cell, number, number * owners // len(buckets)) for number, (low, high, _) in enumerate(buckets) for cell in range(low, high)],
-        "cell int, bucket int, owner int",
-    )
+    directory = F.broadcast(spark.createDataFrame([(cell, number) for number, (low, high, _) in enumerate(buckets) for cell in range(low, high)], "cell int, bucket int"))
+    in_bucket = lambda frame: frame.withColumn("cell", _cell("key", bits)).join(directory, "cell").drop("cell")
     compared = (
         docs.select(norm.alias("norm"))
         .select(F.xxhash64("norm").alias("key"), "norm")
@@ -82,19 +79,17 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .agg(F.count(F.lit(1)).alias("copies"))
         .select("key", F.sha2("norm", 256).alias("text_sha256"), "copies")
     )
-    chain = Window.partitionBy("key").orderBy("text_sha256")
+    chain = Window.partitionBy("bucket", "key").orderBy("text_sha256")
     index = (
-        groups.join(compared, ["key", "text_sha256"])
+        in_bucket(groups.join(compared, ["key", "text_sha256"]))
         # Two texts with one digest would give a group fewer copies than rows.
         .where(F.assert_true(F.col("copies") == F.col("group_size"), F.lit("texts with one digest differ")).isNull())
         .withColumn("chain", F.row_number().over(chain))
-        .withColumn("cell", _cell("key", bits))
-        .join(F.broadcast(directory), "cell")
-        .select("owner", "bucket", "key", "chain", "text_sha256", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), "group_size")
-        .repartition(owners, "owner")
-        .sortWithinPartitions("owner", "bucket", "key", "chain")
+        .select("bucket", "key", "chain", "text_sha256", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), F.col("best.shorter").alias("shorter"), F.col("best.text_key").alias("keep_text_key"), "group_size")
+        .repartitionByRange(owners or min(len(buckets), 4 * spark.sparkContext.defaultParallelism), "bucket", "key")
+        .sortWithinPartitions("bucket", "key", "chain")
     )
-    return rows, materialise(index, "dedup-index")
+    return in_bucket(rows), materialise(index, "dedup-index")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_capacity: int = 50_000) -> DataFrame:
@@ -105,16 +100,26 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     one row is kept; an empty table gives no rows; further columns are ignored.
     """
     rows, index = build_index(docs, id_col, text_col, bucket_capacity)
-    found = lookup_join(rows, index.select("text_sha256", "keep_id", "keep_row", "group_size"), "text_sha256", "group_size")
+    entries = index.select("bucket", "key", "text_sha256", "keep_id", "keep_row", "group_size")
+    found = lookup_join(rows, entries, ["bucket", "key", "text_sha256"], "group_size")
     return found.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256")
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row for each distinct text; columns as given."""
-    key = lambda id_, sha: F.concat_ws(":", F.coalesce(F.col(id_).cast("string"), F.lit("none")), sha)
-    stays = exact_dedup(docs, id_col, text_col).where("kept").select(key("doc_id", F.col("text_sha256")).alias("_key")).distinct()
-    tagged = docs.withColumn("_key", key(id_col, F.sha2(normalised(text_of(text_col)), 256)))
-    return tagged.join(stays, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    """``docs`` with one row for each distinct text: the longest original, then the one with the smallest id, then any of
+    the rows with that id and text. Columns as given, whatever their names; nulls as in ``exact_dedup``."""
+    rows, index = build_index(docs, id_col, text_col)
+    stays = materialise(index.select(F.col("text_sha256").alias("sha"), (-F.col("shorter")).alias("chars"), F.col("keep_id"), F.col("keep_text_key")), "dedup-stays")
+    again = ["key", "text_sha256", "n_chars", "doc_id", "text_key"]
+    repeated = materialise(rows.groupBy(*again).count().where("count > 1").select(F.col("text_sha256").alias("sha")).distinct(), "dedup-repeated")
+    text = text_of(text_col)
+    given = docs.select(F.struct(*docs.columns).alias("given"), F.col(id_col).cast("long").alias("id"), F.length(text).cast("long").alias("n"), F.xxhash64(text).alias("t"), F.sha2(normalised(text), 256).alias("own"))
+    same = (F.col("own") == F.col("sha")) & (F.col("n") == F.col("chars")) & F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("t") == F.col("keep_text_key"))
+    kept = given.join(stays, same, "left_semi")
+    if repeated.limit(1).count():
+        several = kept.join(repeated, F.col("own") == F.col("sha"), "left_semi").dropDuplicates(["own"])
+        kept = kept.join(repeated, F.col("own") == F.col("sha"), "left_anti").unionByName(several)
+    return kept.select("given.*")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

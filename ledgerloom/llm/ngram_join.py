@@ -19,7 +19,7 @@ from ledgerloom.operators.components import connected_components
 
 from .common import HOT_SHARE, lookup_join, materialise, text_of
 from .occurrence import BlockIndex
-from .shingles import WordHashes, mixed, shingle_set
+from .shingles import mixed, shingle_sets
 
 SHINGLE_WORDS = 4
 #: Two documents link when 100 * intersection >= PERCENT * union.
@@ -35,7 +35,6 @@ BLOCK_DOCS, UNIT = 2_000, 1_000
 #: Order of shingles out of the counted slice, and of those in frequent cells: after all counted ones.
 UNCOUNTED, FREQUENT = 1 << 40, 1 << 41
 NO_ID = -(1 << 63)
-_STORE = WordHashes()
 
 
 def short_list_count(n: int, percent: int = PERCENT) -> int:
@@ -63,8 +62,8 @@ def _cells(found: np.ndarray) -> np.ndarray:
 
 def _each(batches: Iterator[pa.RecordBatch], size: int):
     for batch in batches:
-        for did, text in zip(batch.column("did").to_pylist(), batch.column("text")):
-            yield did, shingle_set(text.as_buffer().to_pybytes() if text.as_buffer() else b"", size, _STORE)
+        raws = (text.as_buffer().to_pybytes() if text.as_buffer() else b"" for text in batch.column("text"))
+        yield from zip(batch.column("did").to_pylist(), shingle_sets(raws, size))
 
 
 def _sizes_and_sketch(size: int):
@@ -330,16 +329,23 @@ def _searched(percent: int):
     return run
 
 
-def _block_links(rows: DataFrame, percent: int) -> DataFrame:
-    rows = rows.select("block", "visiting", "id", "component", "shingles")
-    return materialise(rows.repartition("block").sortWithinPartitions("block", "visiting", "id").mapInArrow(_searched(percent), _SEARCH), "ngram-links")
+def _block_links(docs: DataFrame, classes: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """left, right: links found in blocks. ``rows``: block, visiting, id, component; their sets are made from the texts,
+    which only those documents send whose bit is set."""
+    spark = docs.sparkSession
+    wanted = materialise(rows.join(classes.select(F.col("key").alias("id"), F.col("rep").alias("did")), "id"), "ngram-wanted")
+    bitmap = spark.sparkContext.broadcast(_bitmap(wanted.select("did").distinct()))
+    sets = docs.mapInArrow(_sets_of(bitmap, size), "did long, id long, shingles binary").join(wanted, ["id", "did"])
+    blocks = sets.select("block", "visiting", "id", "component", "shingles").repartition("block").sortWithinPartitions("block", "visiting", "id")
+    return materialise(blocks.mapInArrow(_searched(percent), _SEARCH), "ngram-links")
 
 
 def _visits(placed: DataFrame, components: DataFrame) -> DataFrame:
-    """id, block: which documents have to be compared with the documents of which other blocks.
+    """block, visiting, id, component: which documents have to be compared with which of other blocks.
 
     In a list whose documents are of different components, those that are not of its most frequent component visit the
-    blocks of the others. Of two such documents the one in the smaller block visits.
+    blocks of the others. Of two such documents the one in the smaller block visits. Of a visited block, only documents
+    of these lists take part.
     """
     known = placed.select("id", "block0", "tokens").join(components, "id").select("id", "component", F.col("block0").alias("block"), F.explode("tokens").alias("token"))
     known = materialise(known, "ngram-known")
@@ -348,9 +354,11 @@ def _visits(placed: DataFrame, components: DataFrame) -> DataFrame:
     major = materialise(major.where("kinds > 1").select("token", "members", "major"), "ngram-open")
     rows = materialise(lookup_join(known, major, "token", "members").drop("members"), "ngram-open-rows")
     targets = rows.groupBy("token", F.col("block").alias("target")).agg(F.max(F.col("component") == F.col("major")).alias("has_major"))
-    probes = rows.where("component != major").select("token", "id", "block")
-    met = probes.join(targets, "token").where("target != block and (has_major or target > block)")
-    return materialise(met.select("id", F.col("target").alias("block")).distinct(), "ngram-visits")
+    probes = rows.where("component != major").select("token", "id", "component", "block")
+    met = materialise(probes.join(targets, "token").where("target != block and (has_major or target > block)").select("token", "id", "component", F.col("target").alias("block")), "ngram-met")
+    guests = met.select("block", F.lit(True).alias("visiting"), "id", "component").distinct()
+    homes = rows.join(met.select("token", "block").distinct(), ["token", "block"], "left_semi").select("block", F.lit(False).alias("visiting"), "id", "component").distinct()
+    return materialise(homes.unionByName(guests), "ngram-visits")
 
 
 def _components_of(ids: DataFrame, links: DataFrame) -> DataFrame:
@@ -360,30 +368,19 @@ def _components_of(ids: DataFrame, links: DataFrame) -> DataFrame:
 
 def ngram_links(docs: DataFrame, classes: DataFrame, levels, hot: dict[int, int], size: int, percent: int) -> DataFrame:
     """left, right: links between classes of documents that make the same components as all links together."""
-    spark = docs.sparkSession
     placed = materialise(_placed(_prefixes(docs, size, percent, levels, hot)), "ngram-placed")
-    wanted = materialise(placed.select("id", "block0", "block1").join(classes.select(F.col("key").alias("id"), F.col("rep").alias("did")), "id"), "ngram-wanted")
-    bitmap = spark.sparkContext.broadcast(_bitmap(wanted.select("did").distinct()))
-    sets = docs.mapInArrow(_sets_of(bitmap, size), "did long, id long, shingles binary").join(wanted, ["id", "did"])
-    sets = materialise(sets.select("id", "block0", "block1", "shingles"), "ngram-sets")
-    ids = placed.select("id")
-
-    first = sets.select(F.col("block0").alias("block"), F.lit(False).alias("visiting"), "id", F.col("id").alias("component"), "shingles")
-    links = _block_links(first, percent)
+    ids, at_home = placed.select("id"), F.lit(False).alias("visiting")
+    links = _block_links(docs, classes, placed.select(F.col("block0").alias("block"), at_home, "id", F.col("id").alias("component")), size, percent)
     components = _components_of(ids, links)
-    again = sets.where("block1 is not null")
+    again = placed.where("block1 is not null")
     if again.limit(1).count():
-        second = again.join(components, "id").select(F.col("block1").alias("block"), F.lit(False).alias("visiting"), "id", "component", "shingles")
-        links = links.unionByName(_block_links(second, percent))
+        second = again.join(components, "id").select(F.col("block1").alias("block"), at_home, "id", "component")
+        links = links.unionByName(_block_links(docs, classes, second, size, percent))
         components = _components_of(ids, links)
-
     visits = _visits(placed, components)
     if not visits.limit(1).count():
         return links
-    known = sets.join(components, "id")
-    homes = known.join(visits.select(F.col("block").alias("block0")).distinct(), "block0", "left_semi").select(F.col("block0").alias("block"), F.lit(False).alias("visiting"), "id", "component", "shingles")
-    guests = visits.join(known, "id").select("block", F.lit(True).alias("visiting"), "id", "component", "shingles")
-    return links.unionByName(_block_links(homes.unionByName(guests), percent))
+    return links.unionByName(_block_links(docs, classes, visits, size, percent))
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:

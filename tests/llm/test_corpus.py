@@ -9,8 +9,9 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from ledgerloom.llm import exact_dedup, fingerprints, html_extract, license_scan, ngram_join, packing, sampled_pieces, token_counts, toxicity, url_filters
-from ledgerloom.llm.shingles import WordHashes, shingle_set
+from ledgerloom.llm import exact_dedup, fingerprints, html_extract, license_scan, ngram_join, occurrence, packing, sampled_pieces, token_counts, toxicity, url_filters
+from ledgerloom.llm import shingles
+from ledgerloom.llm.shingles import shingle_set, shingle_sets
 from ledgerloom.llm.unigram import make_unigram, public_unigram
 
 WORDS = "the of and river stone light house green under over walking table seven quick brown paper window silent morning bright".split()
@@ -53,6 +54,19 @@ def test_exact_dedup(docs):
     assert exact_dedup.exact_dedup(empty(docs)).count() == 0
 
 
+def test_rows_kept_of_copies_have_their_columns(spark):
+    rows = [(1, "aa bb cc dd"), (2, "aa bb cc dd "), (2, "aa  bb  cc dd "), (2, "aa  bb  cc dd "), (None, "x"), (None, "x"), (3, None), (4, " "), (5, ""), (6, "own")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'k' as key", "'o' as own", "'i' as id", "7 as row", "8 as _key", "9 as sha", "text as given", "'b' as bucket")
+    kept = exact_dedup.drop_exact_copies(docs)
+    assert kept.columns == docs.columns
+    found = kept.collect()
+    assert Counter((r.doc_id, r.text) for r in found) == Counter([(2, "aa  bb  cc dd "), (None, "x"), (4, " "), (6, "own")])
+    assert {(r.key, r.own, r.id, r.row, r._key, r.sha, r.bucket) for r in found} == {("k", "o", "i", 7, 8, 9, "b")} and all(r.text == r.given for r in found)
+    told = exact_dedup.exact_dedup(docs, bucket_capacity=1).collect()
+    assert sum(r.kept for r in told) == 4 and {(r.doc_id, r.keep_id, r.group_size) for r in told if r.keep_id == 2} == {(1, 2, 4), (2, 2, 4)}
+    assert exact_dedup.drop_exact_copies(docs.where("doc_id = 99")).count() == 0
+
+
 def test_directory_splits_only_overfull_buckets():
     assert exact_dedup.split_directory({0: 9, 1: 1, 7: 1}, 3, 4) == [(0, 1, 3), (1, 2, 3), (2, 4, 2), (4, 8, 1)]
     assert exact_dedup.split_directory({}, 3, 4) == [(0, 8, 0)]
@@ -195,23 +209,75 @@ def test_ngram_join(docs, size, percent):
 
 
 def test_ngram_join_with_small_blocks(docs, monkeypatch):
-    monkeypatch.setattr(ngram_join, "LIST_BLOCK", 3)
-    monkeypatch.setattr(ngram_join, "TILE", 2)
-    monkeypatch.setattr(ngram_join, "ROUNDS", 0)
+    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 2)  # groups over many blocks, so that documents visit other blocks
+    monkeypatch.setattr(ngram_join, "LONG_LIST", 3)
     found = ngram_join.ngram_jaccard_join(docs).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == brute_components(rows_of(docs), 4, 85)
 
 
+def test_ngram_join_of_copies_just_below_the_threshold(spark, monkeypatch):
+    """Copies with edits of their own, most pairs of which do not link; frequent shingles, since all texts share most of them."""
+    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 7)
+    base = text_of(77, 150).split()
+    rng = np.random.default_rng(3)
+    texts = []
+    for _ in range(60):
+        words = list(base)
+        for k in rng.integers(0, 150, rng.integers(1, 6)):
+            words[k] = f"edit{rng.integers(10**6)}"
+        texts.append(" ".join(words))
+    rows = [(i, t) for i, t in enumerate(texts + [text_of(500 + i, 100) for i in range(5)])]
+    found = ngram_join.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == brute_components(rows, 4, 85)
+    assert 2 < len({r.component_id for r in found}) < 60
+
+
+def test_block_index_equals_plain_comparison():
+    rng = np.random.default_rng(11)
+    base = np.unique(rng.integers(0, 1 << 60, 80, dtype=np.uint64))
+    sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(60, 80), replace=False), rng.integers(0, 1 << 60, rng.integers(0, 12), dtype=np.uint64)])) for _ in range(70)]
+    links = [(a, b) for a in range(70) for b in range(a) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))]
+
+    def parts(pairs):
+        where = list(range(70))
+        for a, b in pairs:
+            where = [where[a] if w == where[b] else w for w in where]
+        return {frozenset(i for i in range(70) if where[i] == w) for w in where}
+
+    inner = occurrence.BlockIndex(80)
+    for i, s in enumerate(sets):
+        inner.add(i, i, s)
+    found = inner.inner_links()
+    assert set(found) <= set(links) and parts(found) == parts(links) and 1 < len(parts(links)) < 70
+    home = occurrence.BlockIndex(80)
+    for i, s in enumerate(sets[:40]):
+        home.add(i, i, s)
+        home.add(i, i, s)
+    across = [link for i in range(40, 70) for link in home.visit(i, i, sets[i])]
+    assert set(across) <= set(links) and parts(across) == parts([(a, b) for a, b in links if a >= 40 > b])
+    assert home.inner_links() == []
+
+
+def test_rows_kept_of_near_copies_have_their_columns(spark, docs):
+    twice = docs.selectExpr("doc_id", "text", "'a' as _id", "'b' as row", "1 as did", "2 as id", "3 as component")
+    kept = ngram_join.keep_one_of_each_component(twice)
+    assert kept.columns == twice.columns and {(r._id, r.row, r.did, r.id, r.component) for r in kept.collect()} == {("a", "b", 1, 2, 3)}
+
+
 def test_ngram_join_of_nothing(docs):
     assert ngram_join.ngram_jaccard_join(empty(docs)).count() == 0
     kept = ngram_join.keep_one_of_each_component(docs)
     assert kept.columns == docs.columns and kept.where("doc_id = 8").count() == 1 and kept.where("doc_id in (3, 4, 5)").count() == 3
 
 
-def test_shingles_are_sets_of_windows():
-    store = WordHashes()
-    assert len(shingle_set("a b c d e", 4, store)) == 2 and len(shingle_set("A b", 4, store)) == 1 and len(shingle_set(" ", 4, store)) == 0
-    assert (shingle_set("A  b\tc d", 4, store) == shingle_set("a b c d", 4, store)).all() and not (shingle_set("a b", 4, store) == shingle_set("b a", 4, store)).all()
+def test_shingles_are_sets_of_windows(monkeypatch):
+    assert len(shingle_set("a b c d e", 4)) == 2 and len(shingle_set("A b", 4)) == 1 and len(shingle_set(" ", 4)) == 0
+    assert (shingle_set("A  b\tc d", 4) == shingle_set("a b c d", 4)).all() and not (shingle_set("a b", 4) == shingle_set("b a", 4)).all()
+    texts = [text_of(i, 5 + 40 * i).encode() for i in range(9)] + [b"", b"x" * 9000 + b" y " + b"x" * 8999, b" z "]
+    whole = [x.tolist() for x in shingle_sets(texts, 3)]
+    assert [len(x) for x in whole] == [len({tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))}) if w else 0 for w in (t.lower().split() for t in texts)]
+    monkeypatch.setattr(shingles, "PIECE", 100)  # long texts in pieces
+    assert [x.tolist() for x in shingle_sets(texts, 3)] == whole
 
 
 def test_html_extraction(spark):
@@ -244,7 +310,8 @@ def test_token_counts_equal_the_plain_recurrence(docs):
 
 def test_sampled_segmentations_follow_their_probabilities():
     model = make_unigram(["▁", "a", "b", "ab", "▁a", "▁ab", "ba"], [10, 11, 12, 13, 14, 15, 16], [100 + i for i in range(256)], 400)
-    lattice = sampled_pieces.Lattice(["aba b"], sampled_pieces.PieceTable(model))
+    lattice = sampled_pieces.Lattice(sampled_pieces.PieceTable(model))
+    states = lattice.read(["b ab", "aba b"])[1]
 
     def listed(text):
         return [((p, *rest), s + more) for p, s in model.edges(text, 0) for rest, more in listed(text[len(p) :])] if text else [((), 0.0)]
@@ -253,20 +320,37 @@ def test_sampled_segmentations_follow_their_probabilities():
     share = {x: w / sum(weights.values()) for x, w in weights.items()}
     names = {i: p for p, i in model.ids.items()}
     first, second, mass, n = Counter(), Counter(), Counter(), 4000
-    for seed in range(n):
-        drawn = sampled_pieces.sample_segmentations(lattice.states[0], lattice, seed * 7919 + 13, 2)
+    for drawn in sampled_pieces.sample_segmentations([states] * n, lattice, [seed * 7919 + 13 for seed in range(n)], 2):
         paths = [tuple(names[i] for i in lattice.piece_ids(d[0])) for d in drawn]
         assert len(set(paths)) == 2 and drawn[0][2] > drawn[1][2] and math.isclose(drawn[0][1], math.log(share[paths[0]]), abs_tol=1e-9)
         first[paths[0]] += 1
         second[paths[1]] += 1
         for path, d in zip(paths, drawn):
-            mass[path] += 1 / d[3]
+            mass[path] += math.exp(-d[3])
     for x, p in share.items():
         after = sum(q * p / (1 - q) for y, q in share.items() if y != x)
         assert abs(first[x] / n - p) < 0.03 and abs(second[x] / n - after) < 0.03
         assert abs(mass[x] / n - 1) < 0.35 if p > 0.05 else True
 
 
+def test_all_segmentations_of_a_short_text():
+    model = make_unigram(["▁", "a", "b", "ab", "▁a", "▁ab", "ba"], [10, 11, 12, 13, 14, 15, 16], [100 + i for i in range(256)], 400)
+    lattice = sampled_pieces.Lattice(sampled_pieces.PieceTable(model))
+    (drawn,) = sampled_pieces.sample_segmentations(lattice.read(["aba b"]), lattice, [5], 100)
+    assert len({tuple(d[0]) for d in drawn}) == len(drawn) == 6 and math.isclose(sum(math.exp(d[1]) for d in drawn), 1.0)
+    assert all(d[3] == 0.0 for d in drawn) and [d[2] for d in drawn] == sorted((d[2] for d in drawn), reverse=True)
+    assert -900.1 < sampled_pieces.log_inclusion(-900.0, 0.0) < -899.9 and sampled_pieces.log_inclusion(50.0, 0.0) <= 0.0
+
+
+def test_samples_of_a_long_text_do_not_depend_on_their_neighbours(spark):
+    long_text = text_of(9, 60_000)
+    alone = spark.createDataFrame([(1, long_text)], "doc_id long, text string")
+    beside = spark.createDataFrame([(2, text_of(4, 500)), (1, long_text), (3, None), (3, "")], "doc_id long, text string").repartition(1)
+    one, two = (sorted((r.sample, bytes(r.ids), r.log_inclusion) for r in sampled_pieces.sample_encodings(d).where("doc_id = 1").collect()) for d in (alone, beside))
+    assert one == two and len(one) == 2 and all(math.isfinite(x[2]) for x in one)
+    assert sampled_pieces.sample_encodings(alone.where("doc_id = 7")).count() == 0
+
+
 def test_sampled_encodings_decode(docs):
     found = sampled_pieces.sample_encodings(docs).collect()
     assert all(r.decoded_same for r in found) and {r.sample for r in found} == {1, 2}
