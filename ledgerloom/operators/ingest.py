@@ -85,23 +85,24 @@ def layout_score(cells: DataFrame) -> DataFrame:
     return grouped.select("file", score.alias("score"), (F.col("header") & F.col("marker") & (score >= 0.75)).alias("supported"))
 
 
-def dispositions(rows: DataFrame, stops_at_summary: bool = True) -> DataFrame:
+def dispositions(rows: DataFrame, stops_at_summary: bool = True, text: str = "raw_description", own_text: str | None = None) -> DataFrame:
     """Rows (file, row_no, raw_date, raw_description, raw_amount) of a statement with their disposition.
 
     Rows before the first summary mark count (a workbook stops there; with ``stops_at_summary`` false the mark only ends
     the section); after a mark for future entries rows are ``future``. A row without a date or description is dropped;
-    noise is ``ignored``; a date or amount that cannot be read is ``invalid``; the rest are ``candidate``.
+    noise is ``ignored``; a date or amount that cannot be read, or a zero amount, is ``invalid``; the rest are
+    ``candidate``. Marks are looked for in ``text``, noise in ``own_text`` or, without it, in ``text`` too.
     """
     order = Window.partitionBy("file").orderBy("row_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows, text = rows.withColumn("_control", control_text(F.col("raw_description"))), F.col("_control")
+    rows, control = rows.withColumn("_control", control_text(F.col(text))), F.col("_control")
+    own = control_text(F.col(own_text)) if own_text else control
     seen = lambda c: F.max(F.when(c, 1).otherwise(0)).over(order) == 1
-    marked = rows.withColumn("_future", seen(opens_future(text))).withColumn("_done", seen(opens_summary(text)))
-    kept = marked.where(~F.col("_done") | F.lit(not stops_at_summary)).where(
-        ~opens_future(text) & ~opens_summary(text) & F.col("raw_date").rlike("[0-9]") & (text != "")
-    )
+    marked = rows.withColumn("_future", seen(opens_future(control))).withColumn("_done", seen(opens_summary(control)))
+    kept = marked.where(~F.col("_done") | F.lit(not stops_at_summary)).where(~opens_future(control) & ~opens_summary(control) & F.col("raw_date").rlike("[0-9]") & (own != ""))
+    amount = parse_money(F.col("raw_amount"))
     rule = (
-        F.when(is_noise(text) | F.col("_done"), "ignored").when(F.col("_future"), "future")
-        .when(parse_date(F.col("raw_date")).isNull() | parse_money(F.col("raw_amount")).isNull(), "invalid").otherwise("candidate")
+        F.when(F.col("_done"), "ignored").when(F.col("_future"), "future").when(is_noise(own), "ignored")
+        .when(parse_date(F.col("raw_date")).isNull() | amount.isNull() | (amount == 0), "invalid").otherwise("candidate")
     )
     return kept.withColumn("disposition", rule).drop("_future", "_done", "_control")
 
@@ -129,34 +130,53 @@ def with_counterparty(rows: DataFrame, text: str) -> DataFrame:
     return rows.withColumn("document_number", by_rule(documents)).withColumn("counterparty_rule", rule).drop("_rule")
 
 
+def serialised(fields: dict[str, Column]) -> Column:
+    """Every field with the length of its name and of its value in UTF-16 units, so that no two records run together."""
+    units = lambda v: (F.octet_length(F.encode(v, "UTF-16BE")) / 2).cast("int").cast("string")
+    return F.concat(*[F.concat(F.lit(f"{len(name)}:{name}"), units(value), F.lit(":"), value) for name, value in fields.items()])
+
+
 def identity_key(bank: Column, company: Column, account: Column, date: Column, cents: Column, description: Column, document: Column) -> Column:
-    """What makes a transaction the same one: every part with its name and length, so that no two keys run together.
-    ``description`` is cleaned already."""
-    parts = {"version": F.lit(EXTERNAL_ID_VERSION), "bank": bank, "company": company, "account": account, "date": date.cast("string"), "cents": cents.cast("string"), "description": F.upper(description), "document": F.coalesce(document, F.lit(""))}
-    return F.concat(*[F.concat(F.lit(f"{len(n)}:{n}"), F.length(v).cast("string"), F.lit(":"), v) for n, v in parts.items()])
+    """What makes a transaction the same one. ``description`` is cleaned already."""
+    #: The names of the fields and their order.
+    fields = {
+        "externalIdVersion": F.lit(EXTERNAL_ID_VERSION), "bank": bank, "companyId": company, "bankAccountId": account, "date": date.cast("string"),
+        "amountMinorUnits": cents.cast("string"), "normalizedDescription": F.upper(description), "documentComponent": F.upper(F.trim(F.coalesce(document, F.lit("")))),
+    }
+    return serialised(fields)
+
+
+def external_id(base_key: Column, occurrence: Column) -> Column:
+    """The id of the n-th transaction with a base key in a file."""
+    return F.concat(F.lit(f"{EXTERNAL_ID_VERSION}:"), F.sha2(serialised({"base": base_key, "occurrenceIndex": occurrence.cast("string")}), 256))
 
 
 def canonical(lines: DataFrame, bank: str = "itau") -> DataFrame:
     """Candidate lines (file, row_no, company_id, bank_account_id, raw_date, raw_description, raw_amount) as transactions.
 
-    Adds base_key, occurrence (of the key, in file order) and external_id. A zero amount is left out.
+    Adds base_key, occurrence (of the key, in file order), external_id and balance_after (of a raw_balance, null where
+    that cannot be read). A zero amount is left out; ``dispositions`` has called it invalid.
     """
     lines = lines.withColumn("_text", statement_text(F.col("raw_description")))
+    balance = F.col("raw_balance") if "raw_balance" in lines.columns else F.lit(None).cast("string")
     rows = lines.select(
         "file", "row_no", "company_id", "bank_account_id", parse_date(F.col("raw_date")).alias("date"), parse_money(F.col("raw_amount")).alias("amount"),
-        F.col("_text").alias("description"),
+        F.col("_text").alias("description"), balance.alias("raw_balance"), parse_money(balance).alias("balance_after"),
     )
     rows = with_counterparty(rows, "description").where(F.col("date").isNotNull() & F.col("amount").isNotNull() & (F.col("amount") != 0))
     rows = rows.withColumn("type", F.when(F.col("amount") > 0, "income").otherwise("expense"))
     key = identity_key(F.lit(bank), F.col("company_id"), F.col("bank_account_id"), F.col("date"), minor_units(F.col("amount")), F.col("description"), F.col("document_number"))
     rows = rows.withColumn("base_key", key)
     rows = rows.withColumn("occurrence", F.row_number().over(Window.partitionBy("file", "base_key").orderBy("row_no")))
-    return rows.withColumn("external_id", F.concat(F.lit(f"{EXTERNAL_ID_VERSION}:"), F.sha2(F.concat_ws("|", "base_key", F.col("occurrence").cast("string")), 256)))
+    return rows.withColumn("external_id", external_id(F.col("base_key"), F.col("occurrence")))
 
 
-def fingerprint(*columns: str) -> Column:
-    """A digest of raw values that tells null from empty."""
-    return F.sha2(F.concat_ws("|", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in columns]), 256)
+def fingerprint(source: Column, file_id: Column, row_no: Column, page: Column, date: Column, description: Column, amount: Column) -> Column:
+    """A digest of where a row stands and of its raw values; null counts as empty."""
+    #: The names of the fields and their order.
+    names = ("source", "sourceFileId", "sourceRowNumber", "pageNumber", "rawDate", "rawDescription", "rawAmount")
+    values = (source, file_id, row_no, page, date, description, amount)
+    return F.sha2(serialised({n: F.coalesce(v.cast("string"), F.lit("")) for n, v in zip(names, values)}), 256)
 
 
 def first_of_each(rows: DataFrame) -> DataFrame:
@@ -166,10 +186,14 @@ def first_of_each(rows: DataFrame) -> DataFrame:
 
 def row_issues(rows: DataFrame) -> DataFrame:
     """One row per broken rule of a transaction: id columns, code."""
+    amount, income, expense = F.col("amount"), F.col("type").eqNullSafe("income"), F.col("type").eqNullSafe("expense")
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    #: The codes.
     checks = {
-        "MISSING_COMPANY": F.coalesce(F.trim("company_id"), F.lit("")) == "", "MISSING_ACCOUNT": F.coalesce(F.trim("bank_account_id"), F.lit("")) == "", "INVALID_DATE": F.col("date").isNull(),
-        "INVALID_AMOUNT": F.col("amount").isNull() | F.isnan("amount"), "ZERO_AMOUNT": F.col("amount") == 0, "MISSING_DESCRIPTION": F.coalesce(F.trim("description"), F.lit("")) == "",
-        "TYPE_MISMATCH": (F.col("type") == "income") != (F.col("amount") > 0), "INVALID_EXTERNAL_ID": ~F.col("external_id").startswith(f"{EXTERNAL_ID_VERSION}:"),
+        "MISSING_COMPANY_ID": blank("company_id"), "MISSING_BANK_ACCOUNT_ID": blank("bank_account_id"), "INVALID_DATE": F.col("date").isNull(),
+        "INVALID_AMOUNT": amount.isNull() | F.isnan("amount"), "ZERO_AMOUNT": amount == 0, "MISSING_DESCRIPTION": blank("description"),
+        "INVALID_TRANSACTION_TYPE": ((amount > 0) & ~income) | ((amount < 0) & ~expense),
+        "INVALID_EXTERNAL_ID": ~F.coalesce(F.col("external_id"), F.lit("")).startswith(f"{EXTERNAL_ID_VERSION}:"),
     }
     codes = F.array_compact(F.array(*[F.when(c, F.lit(code)) for code, c in checks.items()]))
     return rows.select("file", "row_no", F.explode(codes).alias("code"))

@@ -76,8 +76,9 @@ DISPOSED_SQL = LINES_SQL + """,
 marks as (select *, bool_or(control in ('LANCAMENTOS FUTUROS', 'SAIDAS FUTURAS')) over w as is_future, bool_or(control in ('POSICAO CONSOLIDADA', 'LIMITES', 'AVISO!') or starts_with(control, 'INFORMACOES ADICIONAIS')) over w as done
   from amounts window w as (partition by file order by row_no)),
 disposed as (
-  select *, case when control in ('SALDO ANTERIOR', 'LIMITE DA CONTA') or (starts_with(control, 'SALDO TOTAL DISPON') and ends_with(control, 'VEL DIA')) or starts_with(control, 'TOTAL ') or starts_with(control, 'RESUMO ') then 'ignored'
-      when is_future then 'future' when date is null or amount is null then 'invalid' else 'candidate' end as disposition
+  select *, case when is_future then 'future' when control in ('SALDO ANTERIOR', 'LIMITE DA CONTA') or (starts_with(control, 'SALDO TOTAL DISPON') and ends_with(control, 'VEL DIA'))
+        or starts_with(control, 'TOTAL ') or starts_with(control, 'RESUMO ') then 'ignored'
+      when date is null or amount is null or amount = 0 then 'invalid' else 'candidate' end as disposition
   from marks where not done and control not in ('LANCAMENTOS FUTUROS', 'SAIDAS FUTURAS') and regexp_matches(raw_date, '[0-9]'))"""
 
 
@@ -92,17 +93,29 @@ def _party_sql() -> str:
     return "case " + " ".join(arms) + " else {'p': null, 'd': null, 'r': null} end"
 
 
-def _key_sql() -> str:
-    parts = {"version": "'hash-v1'", "bank": "'itau'", "company": "company_id", "account": "bank_account_id", "date": "date::varchar", "cents": "floor((amount + 2.220446049250313e-16) * 100 + 0.5)::bigint::varchar", "description": "upper(description)", "document": "coalesce(document_number, '')"}
-    return " || ".join(f"'{len(n)}:{n}' || length({v}) || ':' || {v}" for n, v in parts.items())
+def _fields_sql(fields: dict[str, str]) -> str:
+    """A record: name and value of each field, each after its length. The data hold no astral characters."""
+    return " || ".join(f"'{len(n)}:{n}' || length({v}) || ':' || {v}" for n, v in fields.items())
+
+
+KEY_SQL = _fields_sql({
+    "externalIdVersion": "'hash-v1'", "bank": "'itau'", "companyId": "company_id", "bankAccountId": "bank_account_id", "date": "date::varchar",
+    "amountMinorUnits": "(floor((amount + 2.220446049250313e-16) * 100 + 0.5)::bigint)::varchar", "normalizedDescription": "upper(description)",
+    "documentComponent": "upper(trim(coalesce(document_number, '')))",
+})
+ID_SQL = "'hash-v1:' || sha256(" + _fields_sql({"base": "base_key", "occurrenceIndex": "(row_number() over (partition by file, base_key order by row_no))::varchar"}) + ")"
+PRINT_SQL = "sha256(" + _fields_sql({
+    "source": "'xlsx'", "sourceFileId": "file", "sourceRowNumber": "row_no::varchar", "pageNumber": "''", "rawDate": "coalesce(raw_date, '')",
+    "rawDescription": "coalesce(raw_description, '')", "rawAmount": "coalesce(raw_amount, '')",
+}) + ")"
 
 
 CANONICAL_SQL = DISPOSED_SQL + f""",
 told as (select *, trim(regexp_replace(raw_description, '\\s+', ' ', 'g')) as t from disposed where disposition = 'candidate' and amount <> 0),
 party as (select *, t as description, {_party_sql()} as c from told),
 parted as (select *, c.p as counterparty_name, c.d as document_number, c.r as counterparty_rule, case when amount > 0 then 'income' else 'expense' end as type from party),
-keyed as (select *, {_key_sql()} as base_key from parted),
-canonical as (select *, row_number() over (partition by file, base_key order by row_no)::int as occurrence, 'hash-v1:' || sha256(base_key || '|' || row_number() over (partition by file, base_key order by row_no)) as external_id from keyed)"""
+keyed as (select *, {KEY_SQL} as base_key from parted),
+canonical as (select *, row_number() over (partition by file, base_key order by row_no)::int as occurrence, {ID_SQL} as external_id from keyed)"""
 
 
 def _disposed(spark, sf_dir):
@@ -163,9 +176,11 @@ def external_id(spark, sf_dir):
     return _canonical(spark, sf_dir).select("file", "row_no", "external_id")
 
 
-@query(f"with {LINES_SQL} select file, row_no, sha256(concat_ws('|', '=' || file, '=' || row_no, coalesce('=' || raw_date, '-'), coalesce('=' || raw_description, '-'), coalesce('=' || raw_amount, '-'))) as fingerprint from lines")
+@query(f"with {LINES_SQL} select file, row_no, {PRINT_SQL} as fingerprint from lines")
 def row_fingerprint(spark, sf_dir):
-    return statement_lines(spark, sf_dir).select("file", "row_no", I.fingerprint("file", "row_no", "raw_date", "raw_description", "raw_amount").alias("fingerprint"))
+    c, none = F.col, F.lit(None).cast("string")
+    made = I.fingerprint(F.lit("xlsx"), c("file"), c("row_no"), none, c("raw_date"), c("raw_description"), c("raw_amount"))
+    return statement_lines(spark, sf_dir).select("file", "row_no", made.alias("fingerprint"))
 
 
 @query(f"with {CANONICAL_SQL} select file, row_no, row_number() over (partition by file, base_key order by row_no) > 1 as is_duplicate from canonical")
@@ -174,8 +189,9 @@ def dedupe_exact(spark, sf_dir):
 
 
 @query(f"""with {DISPOSED_SQL}, r as (select file, row_no, company_id, case when row_no % 10 = 0 then '' else bank_account_id end as bank_account_id, date, amount, case when row_no % 9 = 0 then '' else raw_description end as description, 'income' as type from disposed)
-  select file, row_no, unnest(list_filter([case when trim(bank_account_id) = '' then 'MISSING_ACCOUNT' end, case when date is null then 'INVALID_DATE' end, case when amount is null then 'INVALID_AMOUNT' end, case when amount = 0 then 'ZERO_AMOUNT' end,
-    case when trim(description) = '' then 'MISSING_DESCRIPTION' end, case when not amount > 0 then 'TYPE_MISMATCH' end, case when row_no % 8 = 0 then 'INVALID_EXTERNAL_ID' end], lambda x: x is not null)) as code from r""")
+  select file, row_no, unnest(list_filter([case when trim(bank_account_id) = '' then 'MISSING_BANK_ACCOUNT_ID' end, case when date is null then 'INVALID_DATE' end,
+    case when amount is null then 'INVALID_AMOUNT' end, case when amount = 0 then 'ZERO_AMOUNT' end, case when trim(description) = '' then 'MISSING_DESCRIPTION' end,
+    case when amount < 0 then 'INVALID_TRANSACTION_TYPE' end, case when row_no % 8 = 0 then 'INVALID_EXTERNAL_ID' end], lambda x: x is not null)) as code from r""")
 def validate_rows(spark, sf_dir):
     n = F.col("row_no")
     rows = _disposed(spark, sf_dir).select(

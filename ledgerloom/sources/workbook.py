@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships"}
-_SCHEMA = "file string, sheet string, row_no int, cells array<string>, error string"
+_SCHEMA = "file string, sheet_no int, sheet string, row_no int, cells array<string>, error string"
 #: A workbook that unpacks to more than this is not read.
 MAX_UNPACKED = 200 * 1024 * 1024
 
@@ -24,8 +24,8 @@ def _column(reference: str) -> int:
     return max(number - 1, 0)
 
 
-def workbook_rows(content: bytes) -> list[tuple[str, int, list[str]]]:
-    """(sheet, row number from 1, cells) of an .xlsx file; blank rows in between are kept. Raises ValueError with a code."""
+def workbook_rows(content: bytes) -> list[tuple[int, str, int, list[str]]]:
+    """(number of the sheet from 0, sheet, row number from 1, cells) of an .xlsx file; blank rows in between are kept. Raises ValueError with a code."""
     try:
         book = zipfile.ZipFile(io.BytesIO(content))
         names = set(book.namelist())
@@ -38,13 +38,13 @@ def workbook_rows(content: bytes) -> list[tuple[str, int, list[str]]]:
             strings = ["".join(t.text or "" for t in item.iter(f"{{{_NS['m']}}}t")) for item in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).findall("m:si", _NS)]
         targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
         out = []
-        for sheet in ElementTree.fromstring(book.read("xl/workbook.xml")).find("m:sheets", _NS):
+        for at_sheet, sheet in enumerate(ElementTree.fromstring(book.read("xl/workbook.xml")).find("m:sheets", _NS)):
             target = targets[sheet.get(f"{{{_NS['r']}}}id")].lstrip("/")
             tree = ElementTree.fromstring(book.read(target if target.startswith("xl/") else f"xl/{target}"))
             last = 0
             for row in tree.iter(f"{{{_NS['m']}}}row"):
                 number = int(row.get("r") or last + 1)
-                out += [(sheet.get("name"), blank, []) for blank in range(last + 1, number)]
+                out += [(at_sheet, sheet.get("name"), blank, []) for blank in range(last + 1, number)]
                 cells: list[str] = []
                 for cell in row.findall("m:c", _NS):
                     at = _column(cell.get("r") or "") if cell.get("r") else len(cells)
@@ -54,7 +54,7 @@ def workbook_rows(content: bytes) -> list[tuple[str, int, list[str]]]:
                         cells[at] = "".join(t.text or "" for t in cell.iter(f"{{{_NS['m']}}}t"))
                     elif value is not None:
                         cells[at] = strings[int(value.text)] if kind == "s" else value.text or ""
-                out.append((sheet.get("name"), number, cells))
+                out.append((at_sheet, sheet.get("name"), number, cells))
                 last = number
         return out
     except ValueError:
@@ -64,22 +64,22 @@ def workbook_rows(content: bytes) -> list[tuple[str, int, list[str]]]:
 
 
 def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
-    """Cells of all .xlsx files under a path that Spark can read: file, sheet, row_no, cells, error.
+    """Cells of all .xlsx files under a path that Spark can read: file, sheet_no, sheet, row_no, cells, error.
 
     A file that cannot be read gives one row with an error code. Files are the unit of parallelism.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["file", "sheet", "row_no", "cells", "error"]
+        names = ["file", "sheet_no", "sheet", "row_no", "cells", "error"]
         for batch in batches:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
                 try:
-                    rows = [(name, s, n, c, None) for s, n, c in workbook_rows(content)]
+                    rows = [(name, *row, None) for row in workbook_rows(content)]
                 except ValueError as problem:
-                    rows = [(name, None, None, None, str(problem))]
+                    rows = [(name, None, None, None, None, str(problem))]
                 if rows:
-                    kinds = (pa.string(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.string())
+                    kinds = (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.string())
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     return files.mapInArrow(read, _SCHEMA)
