@@ -163,12 +163,12 @@ def linked_suggestions(rows: DataFrame) -> DataFrame:
     split = R.split_by_identity(parts).withColumn("group_id", F.concat_ws("#", "component", "part"))
     kept = trimmed(split.select(*KEYS, "id"), rows)
     groups = materialise(kept.join(rows.select(*ROW), ["company_id", "type", "id"]).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*KEYS))).where("_n >= 2").drop("_n"), "linked-groups")
-    periods = materialise(G.periodicity(groups, KEYS).where(F.round("score", 9) >= MIN_PERIOD), "periods")
+    periods = materialise(G.periodicity(groups, KEYS).where(F.col("score") >= MIN_PERIOD), "periods")
     alive = groups.join(periods.select(*KEYS), KEYS, "left_semi")
     facts = _facts(alive).join(periods.select(*KEYS, F.col("score").alias("period"), "frequency", "next_date"), KEYS).join(group_similarity(alive), KEYS)
     facts = facts.where(~F.col("several_in_a_month") | F.col("installments").isNotNull()).where(~((F.col("variation_percent") > 100) & (F.col("text") < WEAK_TEXT)))
     facts = facts.join(contradicted(alive, rows, periods), KEYS, "left_anti")
-    score = G.legacy_score(F.round("period", 9), F.col("text"), F.col("amount_score"), F.col("category_score"), F.col("n"))
+    score = G.legacy_score(F.col("period"), F.col("text"), F.col("amount_score"), F.col("category_score"), F.col("n"))
     return _suggested(facts.withColumn("confidence", score).withColumn("pattern_kind", F.lit(None).cast("string")).where(F.col("confidence") >= MIN_SCORE))
 
 
@@ -207,7 +207,7 @@ def pattern_suggestions(rows: DataFrame) -> DataFrame:
     periods = materialise(G.periodicity(groups, KEYS), "periods")
     facts = _facts(groups).join(found.select(*KEYS, "key", "score"), KEYS).join(G.diversity(groups, KEYS), KEYS)
     plan = G.installments(groups, KEYS).select(*KEYS, F.col("score").alias("plan"))
-    monthly = periods.where(F.round("score", 9) >= MIN_PERIOD).select(*KEYS, F.col("score").alias("monthly"), F.col("next_date").alias("m_next"))
+    monthly = periods.where(F.col("score") >= MIN_PERIOD).select(*KEYS, F.col("score").alias("monthly"), F.col("next_date").alias("m_next"))
     short = G.short_cadence(groups, KEYS).select(*KEYS, F.col("score").alias("short"), F.col("frequency").alias("short_frequency"))
     often = G.frequent_business(groups, KEYS).select(*KEYS, F.col("score").alias("often"), F.col("kind").alias("often_kind"))
     for frame in (plan, monthly, short, often):
@@ -231,7 +231,7 @@ def pattern_suggestions(rows: DataFrame) -> DataFrame:
     facts = facts.where((F.col("pattern_kind") == "installment") | sound)
     rhythm = periods.withColumn("consistency", F.col("consistency"))
     facts = facts.join(contradicted(groups.join(facts.where(is_monthly).select(*KEYS), KEYS, "left_semi"), rows, rhythm), KEYS, "left_anti")
-    score = G.pattern_score(F.col("pattern_kind"), F.round("pattern", 9), identity, F.col("amount_score"), F.col("category_score"), n)
+    score = G.pattern_score(F.col("pattern_kind"), F.col("pattern"), identity, F.col("amount_score"), F.col("category_score"), n)
     next_date = F.when(is_monthly, F.coalesce("m_next", F.add_months(F.array_max(F.array("start_date")), 1)))
     return _suggested(facts.withColumn("confidence", score).withColumn("next_date", next_date).where(F.col("confidence") >= MIN_SCORE))
 

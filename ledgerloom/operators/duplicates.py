@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ledgerloom.functions.text import pair_text
 
@@ -16,12 +17,16 @@ def duplicate_pairs(txns: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Pairs (left_id < right_id) that score ``threshold`` or more, with what they share.
 
     A hash join on company, account, date, whole cents and type; a pair also needs an equal description, counterparty
-    or document. Rows with one external id are one transaction and never a pair.
+    or document. Texts are normalised only where a key occurs twice. Rows with one external id are one transaction and
+    never a pair.
     """
     cols = ["company_id", "bank_account_id", "date", "type"]
     external = F.col("external_id") if "external_id" in txns.columns else F.lit(None).cast("string")
-    rows = txns.select(*cols, F.floor(F.col("amount") * 100 + 0.5).alias("cents"), "id", external.alias("x"), pair_text(F.col("description")).alias("d"), pair_text(F.col("counterparty_name")).alias("c"), pair_text(F.col("document_number")).alias("n"))
     keys = [*cols, "cents"]
+    keyed = txns.select(*cols, F.floor(F.col("amount") * 100 + 0.5).alias("cents"), "id", external.alias("x"), "description", "counterparty_name", "document_number")
+    several = keyed.withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy(*keys))).where("rows > 1")
+    texts = {"d": "description", "c": "counterparty_name", "n": "document_number"}
+    rows = several.select(*keys, "id", "x", *[pair_text(F.col(c)).alias(k) for k, c in texts.items()])
     other = rows.select(*keys, *[F.col(k).alias(f"r_{k}") for k in ("id", "x", "d", "c", "n")])
     same = lambda k: (F.col(k) != "") & (F.col(k) == F.col(f"r_{k}"))
     pairs = rows.join(other, keys).where((F.col("id") < F.col("r_id")) & ~F.coalesce(F.col("x") == F.col("r_x"), F.lit(False)))

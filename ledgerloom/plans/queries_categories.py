@@ -167,7 +167,9 @@ def apply_decisions(spark, sf_dir):
 
 
 PAIRS_SQL = f"""with {COPIES_SQL},
-k as (select company_id, bank_account_id, date, type, floor(amount * 100 + 0.5) as cents, id, coalesce({n2('description')}, '') as d, coalesce({n2('counterparty_name')}, '') as c, coalesce({n2('document_number')}, '') as n from copies),
+keyed as (select company_id, bank_account_id, date, type, floor(amount * 100 + 0.5) as cents, id, description, counterparty_name, document_number from copies),
+several as materialized (select * from keyed qualify count(*) over (partition by company_id, bank_account_id, date, type, cents) > 1),
+k as materialized (select company_id, bank_account_id, date, type, cents, id, coalesce({n2('description')}, '') as d, coalesce({n2('counterparty_name')}, '') as c, coalesce({n2('document_number')}, '') as n from several),
 pairs as (
   select a.company_id, a.id as left_id, b.id as right_id, a.d <> '' and a.d = b.d as same_description, a.c <> '' and a.c = b.c as same_counterparty, a.n <> '' and a.n = b.n as same_document
   from k a join k b using (company_id, bank_account_id, date, type, cents) where a.id < b.id),

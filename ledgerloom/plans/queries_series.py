@@ -290,7 +290,7 @@ part as (select *, case when n_dates > 1 then (monthly + skipped * 0.75::double)
 period as (select *, greatest(0, least(1, case when n_dates < 2 then 0.0 when n_dates = 2 and monthly = 1 then least(ratio * 0.7 + consistency * 0.3, 0.62) when n_dates = 2 then least(ratio * 0.7 + consistency * 0.3, 0.2) else ratio * 0.7 + consistency * 0.3 end)) as score from part)"""
 
 
-@query(PERIOD_SQL + f" select {BY}, n_dates, round(ratio, 6) as ratio, round(consistency, 6) as consistency, round(score, 6) as score, case when round(score, 9) >= 0.55 and round(ratio, 9) >= 0.5 then 'monthly' else 'unknown' end as frequency from period")
+@query(PERIOD_SQL + f" select {BY}, n_dates, round(ratio, 6) as ratio, round(consistency, 6) as consistency, round(score, 6) as score, case when score >= 0.55::double and ratio >= 0.5::double then 'monthly' else 'unknown' end as frequency from period")
 def periodicity(spark, sf_dir):
     p = G.periodicity(rows_of(spark, sf_dir), KEYS)
     return p.select(*KEYS, "n_dates", six(F.col("ratio")).alias("ratio"), six(F.col("consistency")).alias("consistency"), six(F.col("score")).alias("score"), "frequency")
