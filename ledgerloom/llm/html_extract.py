@@ -7,14 +7,14 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import lookup_join, materialise, text_of
 from .html_tree import Page
 from .url_filters import url_host
 
-#: Paths that a host keeps, the winner first.
-PATHS_PER_HOST = 3
+#: A host keeps the paths with this share of its pages' votes, so at most fifty, the winner first. A page without text
+#: under any of them keeps its own vote.
+PATH_SHARE = 0.02
 #: Up to this many hosts their paths are broadcast; beyond it they are joined to the pages.
 BROADCAST_HOSTS = 20_000
 
@@ -50,9 +50,11 @@ def host_paths(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array([v[0] for v in votes], pa.string()), pa.array([v[1] for v in votes], pa.float64())], names=["host", "path", "score"])
 
     votes = pages.select("host", "html").mapInArrow(vote, "host string, path string, score double").groupBy("host", "path").agg(F.count(F.lit(1)).alias("pages"), F.sum(F.log1p("score")).alias("weight"))
-    ranked = votes.withColumn("place", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("weight"), "path")))
-    named = F.sort_array(F.collect_list(F.when((F.col("place") <= PATHS_PER_HOST) & (F.col("path") != ""), F.struct("place", "path"))))
-    return ranked.groupBy("host").agg(F.sum("pages").alias("n_pages"), named.alias("named")).select("host", "n_pages", F.col("named.path").alias("paths"))
+    sizes = votes.groupBy("host").agg(F.sum("pages").alias("n_pages"))
+    votes = votes.join(sizes, "host")
+    kept = (F.col("path") != "") & (F.col("pages") >= PATH_SHARE * F.col("n_pages"))
+    named = F.sort_array(F.collect_list(F.when(kept, F.struct((-F.col("weight")).alias("order"), "path"))))
+    return votes.groupBy("host", "n_pages").agg(named.alias("named")).select("host", "n_pages", F.col("named.path").alias("paths"))
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

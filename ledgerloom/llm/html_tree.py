@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|title|iframe|svg|xmp)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][\w:.-]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*|[^>]*)>"
-    r"|<[!?][^>]*>",
-    re.S | re.I,
-)
+#: Elements whose content is text of another kind, up to their end tag.
+RAW = frozenset("script style noscript template textarea title iframe svg xmp".split())
+_NAME = re.compile(r"[a-zA-Z][\w:.-]*+")
+#: Where a tag ends, or where a quoted value in it begins.
+_STOP = re.compile(r">|=\s*+([\"'])")
+_RAW_END = {name: re.compile(rf"</{name}\b[^>]*+(?:>|\Z)", re.I) for name in RAW}
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: Elements by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -22,16 +22,72 @@ CONTAINERS = frozenset("html body main article section div td center blockquote
 KEPT_WHOLE = frozenset("html body main article".split())
 #: Words in class, id or role names that mark what is not article text.
 MARKS = frozenset(
-    "ad ads adv advert adverts advertisement sponsor sponsored promo promotion banner nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar aside widget footer "
-    "masthead comment comments commentlist disqus respond reply replies cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login share "
-    "sharing social related recommended recommendations pagination pager toolbar search searchbox form skip contentinfo complementary".split()
+    "ad ads adv advert adverts advertisement advertisements sponsor sponsored promo promotion banner nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar aside footer "
+    "masthead comment comments commentlist disqus respond reply replies cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login "
+    "share sharing social related recommended recommendations pagination pager toolbar search searchbox form forms skip contentinfo complementary".split()
+)
+#: Words that may stand beside a mark in the name of such a part. With any other word beside it, as in
+#: "form-of-state" or "related-work", a mark is only a word.
+BESIDE = frozenset(
+    "site page top main global left right bottom center inner outer box block list item items wrap wrapper container bar area section widget widgets post posts article articles story stories "
+    "news link links btn button buttons icon icons header head primary secondary sticky fixed col column row panel slot unit space text title body message inline mobile desktop js group set "
+    "thread threads user users reader readers author media bottomline trail to me us now more also read you may like policy email mail google dfp mpu leaderboard skyscraper rail sub".split()
 )
-#: A name with one of these beside a mark says that a page has such a part, not that this is one.
-BESIDE = frozenset("has with no without".split())
+#: Words that say that a page has or lacks such a part, not that this is one.
+NEGATING = frozenset(["has", "with", "no", "without"])
 #: Marks only when they are the whole name, or stand after "site", "page" or "top".
 WHOLE = frozenset(["header", "head", "topbar", "bar"])
 
 
+def _tokens(source: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
+    """(first place, place after, name or null, whether it ends an element, attributes) of each tag, comment or raw element.
+
+    Every search for the end of something that fails ends the reading, or is followed by one that goes over the same
+    text for good, so the time is linear in the source.
+    """
+    at, size, last = 0, len(source), source.rfind(">")
+    while True:
+        start = source.find("<", at)
+        if start < 0:
+            return
+        mark = source[start + 1 : start + 2]
+        if mark in ("!", "?"):
+            comment = source.startswith("<!--", start)
+            end = source.find("-->" if comment else ">", start + 2)
+            at = size if end < 0 else end + (3 if comment else 1)
+            yield start, at, None, False, ""
+            continue
+        ending = mark == "/"
+        name = _NAME.match(source, start + 1 + ending)
+        if name is None:
+            at = start + 1
+            continue
+        if last < start:  # a tag that never ends
+            yield start, size, None, False, ""
+            return
+        place = name.end()
+        while True:
+            stop = _STOP.search(source, place)
+            if stop is None:
+                end = source.find(">", name.end())
+                break
+            if stop[1] is None:
+                end = stop.start()
+                break
+            place = source.find(stop[1], stop.end()) + 1
+            if not place:  # a quote that is never closed is no quote
+                end = source.find(">", name.end())
+                break
+        at = size if end < 0 else end + 1
+        tag = name[0].lower()
+        if tag in RAW and not ending and source[at - 2 : at - 1] != "/":
+            close = _RAW_END[tag].search(source, at)
+            at = size if close is None else close.end()
+            yield start, at, None, False, ""
+        else:
+            yield start, at, tag, ending, source[name.end() : at - 1]
+
+
 @dataclass
 class Node:
     tag: str
@@ -43,14 +99,17 @@ class Node:
     link_chars: int = 0
     links: int = 0
     chars: int = 0
+    #: Whether paragraphs of the same parent come before it, and whether it has paragraphs so far.
+    after_text: bool = False
+    has_text: bool = False
 
 
 def _is_marked(names: list[str]) -> bool:
     for name in names:
-        parts = [p for p in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()) if p]
-        if BESIDE.intersection(parts):
+        parts = [p for p in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()) if len(p) > 1]
+        if NEGATING.intersection(parts):
             continue
-        if MARKS.intersection(parts):
+        if MARKS.intersection(parts) and all(p in MARKS or p in BESIDE for p in parts):
             return True
         if parts and parts[-1] in WHOLE and (len(parts) == 1 or parts[-2] in ("site", "page", "top", "global", "main")):
             return True
@@ -98,18 +157,16 @@ class Page:
             while len(stack) > to:
                 stack.pop()
 
-        for m in _TOKEN.finditer(source):
-            if m.start() > position:
+        for start, end, tag, ending, attributes in _tokens(source):
+            if start > position:
                 owner = stack[-1]
-                piece = source[position : m.start()]
+                piece = source[position:start]
                 text.append(piece)
                 if in_link:
                     links[0] += len(piece)
-            position = m.end()
-            tag = m[3]
+            position = end
             if tag is None:
                 continue
-            tag, ending = tag.lower(), m[2] == "/"
             if tag in INLINE:
                 if tag == "a":
                     in_link = not ending
@@ -140,14 +197,15 @@ class Page:
             while len(stack) > 1 and (stack[-1].tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6") or (stack[-1].tag == tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option"))):
                 stack.pop()
             names = []
-            for attribute in _ATTRIBUTE.finditer(m[4] or ""):
+            for attribute in _ATTRIBUTE.finditer(attributes):
                 value = attribute[2] or attribute[3] or attribute[4] or ""
                 names += value.split() if attribute[1].lower() != "id" else [value]
             parent = stack[-1]
             dropped = parent.dropped or tag in DROPPED or (tag not in KEPT_WHOLE and bool(names) and _is_marked(names))
-            node = Node(tag, general_name(tag, names), parent, dropped)
+            node = Node(tag, general_name(tag, names), parent, dropped, after_text=parent.has_text)
+            parent.has_text = parent.has_text or tag == "p"
             self.nodes.append(node)
-            if not (m[4] or "").rstrip().endswith("/"):
+            if not attributes.rstrip().endswith("/"):
                 stack.append(node)
         if position < len(source):
             owner = stack[-1]
@@ -164,8 +222,22 @@ class Page:
         return "/".join(reversed(steps))
 
     def is_menu(self, node: Node) -> bool:
-        """Whether a list or table holds little but links."""
-        return node.tag in ("ul", "ol", "dl", "table") and node.links >= 3 and node.link_chars >= 0.8 * node.chars
+        """Whether a list or table holds little but links and stands by itself: neither in an article nor after a
+        paragraph of the same container, as a list of sources would."""
+        if not (node.tag in ("ul", "ol", "dl", "table") and node.links >= 3 and node.link_chars >= 0.8 * node.chars):
+            return False
+        place = node.parent
+        while place is not None and place.tag not in CONTAINERS and place.tag:
+            if place.after_text:
+                return False
+            place = place.parent
+        if place is not None and place.tag not in ("body", "html", "") and node.after_text:
+            return False
+        while place is not None:
+            if place.tag in ("article", "main"):
+                return False
+            place = place.parent
+        return True
 
     def kept(self, node: Node) -> bool:
         if node.dropped:
