@@ -13,11 +13,30 @@ from .unigram import SPACE, VOCABULARY, Unigram, public_unigram
 
 #: Nodes and pre-tokens that a worker holds; the trie starts anew when it is full.
 MAX_NODES, MAX_WORDS = 600_000, 300_000
+#: Longer pre-tokens are counted without the trie, so that it never holds many more nodes than that.
+LONG_WORD = 500
+
+
+def best_count(text: str, model: Unigram) -> int:
+    """The number of pieces of the best segmentation; of the forward scores only those that a piece can reach are held."""
+    longest = model.longest
+    best, tokens = [0.0] * (longest + 1), [0] * (longest + 1)
+    for end, char in enumerate(text, 1):
+        size, score = model.spelled(char) if char not in model.scores else (1, model.scores[char])
+        top, count = best[(end - 1) % (longest + 1)] + score, tokens[(end - 1) % (longest + 1)] + size
+        for start in range(max(0, end - longest), end - 1):
+            score = model.scores.get(text[start:end])
+            at = start % (longest + 1)
+            if score is not None and best[at] + score > top:
+                top, count = best[at] + score, tokens[at] + 1
+        best[end % (longest + 1)], tokens[end % (longest + 1)] = top, count
+    return tokens[len(text) % (longest + 1)]
 
 
 class PrefixTrie(dict):
     """Pre-token to token count. A missing one is inserted: nodes on its path that exist keep their forward scores, only
-    new nodes are computed, and the count of the best segmentation is stored at its last node."""
+    new nodes are computed, and the count of the best segmentation is stored at its last node. Very long ones are counted
+    without it."""
 
     def __init__(self, model: Unigram):
         super().__init__()
@@ -33,6 +52,8 @@ class PrefixTrie(dict):
         if len(self.best) > MAX_NODES or len(self) > MAX_WORDS:
             self.restart()
         text = SPACE + word
+        if len(word) > LONG_WORD:
+            return best_count(text, self.model)
         model, best, tokens = self.model, self.best, self.tokens
         scores, longest, path, node = model.scores, model.longest, [0], 0
         for end, char in enumerate(text, 1):
