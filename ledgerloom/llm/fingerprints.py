@@ -8,22 +8,31 @@ from pyspark.sql.window import Window
 
 from .common import materialise, text_of
 
-#: Marks that end a paragraph here: line ends and the marks that end a clause.
-BREAKS = r"[\n\r.!?;:,]+"
 #: Equality lanes of 32 bits, and likeness lanes of 16 bits.
-SUM_LANES, SKETCH_LANES = 4, 64
+SUM_LANES, SKETCH_LANES = 8, 64
 SUM_BASE, SKETCH_BASE = 1 << 32, 1 << 16
+#: Runs of other than white space are cut into pieces of so many characters for likeness.
+PIECE_CHARS = 8
 #: Ids are ordered with null before all others.
 NO_ID = -(1 << 63)
 
 
-def paragraph_hash(paragraph: Column) -> Column:
-    return F.xxhash64(F.trim(paragraph))
+def paragraphs(text: Column) -> Column:
+    """The lines of a text that are not blank, as they are. A text is equal to another, to this hash, when it has the
+    same lines equally often."""
+    return F.filter(F.split(text, "\n"), lambda p: F.trim(p) != "")
 
 
-def _lane_sums(h: Column) -> list[Column]:
-    """Sums over paragraphs with the hash ``h``: equality lanes, then likeness lanes, two to a long."""
-    sums = [F.sum(F.when(h.isNotNull(), F.xxhash64(h, F.lit(lane)).bitwiseAND(SUM_BASE - 1)).otherwise(0)).alias(f"e{lane}") for lane in range(SUM_LANES)]
+def features(paragraph: Column) -> Column:
+    """Hashes of neighbouring pieces of words; the first piece stands with the beginning of the paragraph."""
+    cut = F.regexp_replace(paragraph, rf"(\S{{{PIECE_CHARS}}})(?=\S)", "$1 ")
+    pieces = F.filter(F.split(F.concat(F.lit("^ "), cut), r"\s+"), lambda w: w != "")
+    return F.zip_with(F.slice(pieces, 1, F.size(pieces) - 1), F.slice(pieces, 2, F.size(pieces)), lambda a, b: F.xxhash64(F.concat(a, F.lit(" "), b)))
+
+
+def _lane_sums(digest: Column, h: Column) -> list[Column]:
+    """Sums over paragraphs: equality lanes of those with a ``digest``, then likeness lanes of features ``h``, two to a long."""
+    sums = [F.sum(F.when(digest.isNotNull(), F.xxhash64(F.concat(digest, F.lit(f":{lane}"))).bitwiseAND(SUM_BASE - 1)).otherwise(0)).alias(f"e{lane}") for lane in range(SUM_LANES)]
     lane, sign = h.bitwiseAND(SKETCH_LANES - 1), F.when(F.shiftright(h, 20).bitwiseAND(1) == 1, 1).otherwise(-1).cast("long")
     step = F.when(lane.bitwiseAND(1) == 1, F.shiftleft(sign, 32)).otherwise(sign)
     sums += [F.sum(F.when(F.shiftright(lane, 1) == pair, step).otherwise(0)).alias(f"s{pair}") for pair in range(SKETCH_LANES // 2)]
@@ -70,9 +79,12 @@ def fingerprint_sides(docs: DataFrame, keys: list[str], sides: dict[str, Column]
     """
     names = list(sides)
     flat = docs.select(*keys, F.posexplode(F.array(*sides.values())).alias("side", "body"))
-    parts = flat.select(*keys, "side", F.posexplode_outer(F.split("body", BREAKS)).alias("place", "part"))
-    parts = parts.select(*keys, "side", F.coalesce("place", F.lit(0)).alias("place"), F.when(F.trim("part") != "", paragraph_hash(F.col("part"))).alias("h"))
-    summed = parts.groupBy(*keys, "side").agg(F.sum(F.when(F.col("place") == 0, 1).otherwise(0)).alias("copies"), *_lane_sums(F.col("h")))
+    lines = flat.select(*keys, "side", F.posexplode_outer(paragraphs(F.col("body"))).alias("line", "part"))
+    lines = lines.select(*keys, "side", F.coalesce("line", F.lit(0)).alias("line"), F.sha2("part", 256).alias("digest"), features(F.col("part")).alias("hashes"))
+    parts = lines.select(*keys, "side", "line", "digest", F.posexplode_outer("hashes").alias("place", "h"))
+    first = F.coalesce("place", F.lit(0)) == 0
+    parts = parts.select(*keys, "side", (first & (F.col("line") == 0)).alias("head"), F.when(first, F.col("digest")).alias("digest"), "h")
+    summed = parts.groupBy(*keys, "side").agg(F.sum(F.when(F.col("head"), 1).otherwise(0)).alias("copies"), *_lane_sums(F.col("digest"), F.col("h")))
     sums, lanes = _reduced(F.col("copies"))
     summed = summed.select(*keys, "side", "copies", F.struct(sums.alias("sums"), lanes.alias("lanes")).alias("print"))
     paired = summed.groupBy(*keys).agg(F.max("copies").alias("copies"), *[F.max(F.when(F.col("side") == i, F.col("print"))).alias(n) for i, n in enumerate(names)])

@@ -3,8 +3,10 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -288,6 +290,61 @@ def test_html_extraction(spark):
     assert (found[90].text, found[91].text, found[92].text, found[93].text) == ("", "", "just <text", "a") and found[0].n_chars == len(found[0].text)
 
 
+def test_html_drops_nothing_else():
+    page = (
+        '<body><nav><ul><li><a>Home</a></ul></nav><div class="ad">Buy</div><article><h1>T</h1><p title=it\'s>Intro</p><ul><li><a href=1>One</a><li><a href=2>Two</a><li><a href="a>b">Three</a></ul>'
+        '<div class="form-of-state"><p>Monarchy</p></div><div class="related-work"><p>Others</p></div><div class="user-comments"><p>bad</p></div><div id="cookieBanner">no</div></article><footer>f</footer>'
+    )
+    assert html_extract.extract(page, [])[0] == "T\n\nIntro\n\nOne\n\nTwo\n\nThree\n\nMonarchy\n\nOthers"
+    assert html_extract.extract("<ul><li><a>A</a><li><a>B</a><li><a>C</a></ul><div><p>text</p></div>", [])[0] == "text"
+    assert html_extract.extract("", ["body"]) == ("", "") and html_extract.extract("<p", []) == ("", "") and html_extract.extract("a <3 b", [])[0] == "a <3 b"
+
+
+@pytest.mark.parametrize("part", ['<a href="', '<a href="x>', "<a '>", "<!--", "<script>", "<p title='x\">", "<", "</"])
+def test_html_is_read_in_linear_time(part):
+    start = time.process_time()
+    html_extract.extract(part * (1_000_000 // len(part)), [])
+    assert time.process_time() - start < 20
+
+
+class ArticleReader(HTMLParser):
+    """The blocks of article elements, read with another parser."""
+
+    def __init__(self, source):
+        super().__init__()
+        self.depth, self.blocks, self.now = 0, [], []
+        self.feed(source)
+        self.close()
+
+    def block(self):
+        text = " ".join("".join(self.now).split())
+        self.blocks += [text] if text and self.depth else []
+        self.now = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.now.append(" ")
+        elif tag not in ("b", "i", "a"):
+            self.block()
+            self.depth += tag == "article"
+
+    def handle_endtag(self, tag):
+        if tag not in ("b", "i", "a", "br"):
+            self.block()
+            self.depth -= tag == "article"
+
+    def handle_data(self, data):
+        self.now.append(data)
+
+
+def test_html_extraction_of_the_pages_table(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").selectExpr("*", "1 as host", "2 as path", "3 as paths", "4 as text")
+    source = {r.page_id: r.html or "" for r in pages.collect()}
+    found = html_extract.extract_pages(pages).collect()
+    assert len(found) == len(source) and all(r.text == "\n\n".join(ArticleReader(source[r.page_id]).blocks) and r.n_chars == len(r.text) for r in found)
+    assert html_extract.extract_pages(pages.where("page_id is null")).count() == 0
+
+
 def test_token_counts_equal_the_plain_recurrence(docs):
     model = public_unigram()
 
@@ -305,7 +362,13 @@ def test_token_counts_equal_the_plain_recurrence(docs):
 
     found = Counter((r.doc_id, r.n_words, r.n_tokens) for r in token_counts.count_tokens(docs).collect())
     assert found == Counter((i, len(t.split()), sum(map(plain, t.split()))) for i, t in rows_of(docs))
-    assert token_counts.PrefixTrie(model)["日本語é😀"] == plain("日本語é😀")
+    trie = token_counts.PrefixTrie(model)
+    assert trie["日本語é😀"] == plain("日本語é😀")
+    words = [w for _, t in rows_of(docs) for w in t.split()][:500] + ["日本語é😀"]
+    assert [token_counts.best_count("▁" + w, model) for w in words] == [trie[w] for w in words]
+    nodes = len(trie.best)
+    assert trie["ab😀" * 20_000] == plain("ab😀" * 20_000) and len(trie.best) == nodes  # one very long word makes no nodes
+    assert token_counts.count_tokens(empty(docs)).count() == 0
 
 
 def test_sampled_segmentations_follow_their_probabilities():
@@ -376,10 +439,49 @@ def test_fingerprints(spark, docs):
     assert fingerprints.compare_with_next(empty(docs)).count() == 0
 
 
+def plain_fingerprint(text):
+    """Equality and likeness lanes by the definition, paragraph by paragraph."""
+    from xxhash import xxh64_intdigest
+
+    sums, lanes = [0] * fingerprints.SUM_LANES, [0] * fingerprints.SKETCH_LANES
+    for line in text.split("\n"):
+        if not line.strip(" "):
+            continue
+        digest = hashlib.sha256(line.encode()).hexdigest()
+        for lane in range(len(sums)):
+            sums[lane] = (sums[lane] + (xxh64_intdigest(f"{digest}:{lane}".encode(), seed=42) & 0xFFFFFFFF)) % 2**32
+        pieces = ["^"] + [w[k : k + 8] for w in re.split(r"[ \t\n\x0b\f\r]+", line) for k in range(0, len(w), 8)]
+        for a, b in zip(pieces, pieces[1:]):
+            h = xxh64_intdigest(f"{a} {b}".encode(), seed=42)
+            lanes[h & 63] += 1 if h >> 20 & 1 else -1
+    return "".join(f"{x:08x}" for x in sums) + "".join(f"{x % 2**16:04x}" for x in lanes), lanes
+
+
+def cosine(x, y):
+    if x == y:
+        return 1.0
+    a, b = sum(v * v for v in x), sum(v * v for v in y)
+    return max(0.0, min(1.0, sum(p * q for p, q in zip(x, y)) / math.sqrt(a * b))) if a and b else 0.0
+
+
+def test_fingerprints_equal_the_definition(spark, docs):
+    rows = [(i, t) for i, t in rows_of(docs) if i is not None and i != 8] + [(400, "one"), (401, "a, b"), (402, "a.b"), (403, "x" * 40), (404, "line\n\nline\n  \nother line"), (405, "é😀 日本語 " * 30)]
+    found = {r.doc_id: r for r in fingerprints.compare_with_next(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    order, text = sorted(i for i, _ in rows), dict(rows)
+    for k, i in enumerate(order):
+        n, following = len(text[i]), text[order[(k + 1) % len(order)]]
+        own, lanes = plain_fingerprint(text[i])
+        changed, changed_lanes = plain_fingerprint(text[i][: n - n // 4] + following[: n // 4])
+        assert (found[i].fingerprint, found[i].edited_fingerprint) == (own, changed)
+        assert math.isclose(found[i].near_edited, cosine(lanes, changed_lanes), abs_tol=1e-9)
+        assert math.isclose(found[i].near_next, cosine(lanes, plain_fingerprint(following)[1]), abs_tol=1e-9)
+    assert found[401].fingerprint != found[402].fingerprint and found[403].near_edited > 0.5
+
+
 def test_fingerprints_add_up_in_any_order(spark):
     from pyspark.sql import functions as F
 
-    frame = spark.createDataFrame([("k", "a. b. c. c", "c! a; c, b", "a. b", "c. c")], "k string, x string, y string, p string, q string")
+    frame = spark.createDataFrame([("k", "a x\nb\nc\nc", "c\na x\n\nc\nb", "a x\nb", "c\nc")], "k string, x string, y string, p string, q string")
     r = fingerprints.fingerprint_sides(frame, ["k"], {c: F.col(c) for c in "xypq"})
     both = fingerprints.combine(F.col("p_sums"), F.col("q_sums"), fingerprints.SUM_BASE)
     back = fingerprints.combine(F.col("x_sums"), F.col("q_sums"), fingerprints.SUM_BASE, -1)
