@@ -7,24 +7,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ledgerloom.functions.text import strip_accents
 from ledgerloom.plans.scratch import materialise
 
-#: Lower bounds of the amount bands of audits.
-BANDS = (0, 100, 500, 1000, 5000, 20000)
+#: Upper bounds and names of the amount bands of audits.
+BANDS = ((100, "0-99.99"), (500, "100-499.99"), (1000, "500-999.99"), (5000, "1000-4999.99"), (20000, "5000-19999.99"))
+LAST_BAND = "20000+"
+#: Words that a description family leaves out, and the name of an empty one.
+FAMILY_NOISE = "SYN DOC NF REF PARC CP ISO".split()
+NO_FAMILY = "SEM DESCRICAO"
+#: The category that no rule is mined for.
+UNCATEGORISED = "cat-uncategorized"
 
 
 def amount_band(amount: Column) -> Column:
-    """``0-100`` to ``5000-20000``, then ``20000+``."""
-    a = F.abs(amount)
-    rule = F.when(a < BANDS[1], f"{BANDS[0]}-{BANDS[1]}")
-    for low, high in zip(BANDS[1:], BANDS[2:]):
-        rule = rule.when(a < high, f"{low}-{high}")
-    return rule.otherwise(f"{BANDS[-1]}+")
+    """``0-99.99`` to ``5000-19999.99``, then ``20000+``."""
+    a, rule = F.abs(amount), F
+    for high, name in BANDS:
+        rule = rule.when(a < high, name)
+    return rule.otherwise(LAST_BAND)
+
+
+def audit_text(text: Column) -> Column:
+    """Upper case without accents; anything but A-Z and digits is one space; null is empty."""
+    return F.trim(F.regexp_replace(F.upper(strip_accents(F.coalesce(text, F.lit("")))), "[^A-Z0-9]+", " "))
 
 
 def description_family(text: Column) -> Column:
-    """A description without its dates and numbers."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.upper(text), "[0-9]{2}/[0-9]{2}|[0-9]+", " "), r"\s+", " "))
+    """A description in audit form without numbers and the words that stand for documents."""
+    plain = F.regexp_replace(F.regexp_replace(audit_text(text), r"\b[0-9]+\b", " "), rf"\b({'|'.join(FAMILY_NOISE)})\b", " ")
+    return F.coalesce(F.nullif(F.trim(F.regexp_replace(plain, r"\s+", " ")), F.lit("")), F.lit(NO_FAMILY))
 
 
 def count_by(rows: DataFrame, key: str) -> DataFrame:
@@ -33,20 +45,30 @@ def count_by(rows: DataFrame, key: str) -> DataFrame:
 
 
 def mine_rules(rows: DataFrame, purity: float = 0.9, least: int = 3, months: int = 3) -> DataFrame:
-    """Keys of categorised rows that point to one category: (key_type, key, category_id, n, months, purity, general).
+    """Keys of categorised rows that point to one category: (rule_type, value, category_id, n, months, purity, general).
 
-    ``rows``: counterparty_name, document_number, family, description, category_id, date. A key is general when its
-    dominant category has at least ``purity`` of ``least`` rows or more in ``months`` months or more.
+    ``rows``: counterparty_name, document_number, family, amount, category_id, date. ``n`` and ``months`` count the rows of
+    the dominant category, the most frequent one, then the first by name. A key is general when they are ``least`` rows or
+    more in ``months`` months or more, and ``purity`` of its rows at least.
     """
-    kinds = {"counterparty": "counterparty_name", "document": "document_number", "family": "family", "description": "description"}
-    keys = F.explode(F.array(*[F.struct(F.lit(k).alias("key_type"), F.col(c).alias("key")) for k, c in kinds.items()]))
-    each = rows.where("category_id is not null").select("category_id", "date", keys.alias("k")).select("category_id", "date", "k.*").where("key <> ''")
-    counted = each.groupBy("key_type", "key", "category_id").agg(F.count(F.lit(1)).alias("k"))
-    total = each.groupBy("key_type", "key").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.trunc("date", "MM")).alias("months"))
-    best = counted.groupBy("key_type", "key").agg(F.min(F.struct((-F.col("k")).alias("k"), "category_id")).alias("b"))
-    share = -F.col("b.k") / F.col("n")
-    joined = total.join(best, ["key_type", "key"])
-    return joined.select("key_type", "key", F.col("b.category_id").alias("category_id"), "n", "months", share.alias("purity"), ((share >= purity) & (F.col("n") >= least) & (F.col("months") >= months)).alias("general"))
+    party = F.coalesce("counterparty_name", F.lit(""))
+    kinds = {
+        "document_equals": F.col("document_number"), "counterparty_contains": party, "description_contains": F.col("family"),
+        "counterparty_and_amount_range": F.when(party != "", F.concat(party, F.lit("|"), amount_band(F.col("amount")))),
+    }
+    keys = F.explode(F.array(*[F.struct(F.lit(k).alias("rule_type"), c.alias("value")) for k, c in kinds.items()]))
+    each = rows.where((F.col("category_id") != "") & (F.col("category_id") != UNCATEGORISED)).select("category_id", F.trunc("date", "MM").alias("month"), keys.alias("k"))
+    each = each.select("category_id", "month", "k.*").where("value <> ''")
+    counted = each.groupBy("rule_type", "value", "category_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("month").alias("months"))
+    best = counted.groupBy("rule_type", "value").agg(F.sum("n").alias("all"), F.min(F.struct((-F.col("n")).alias("order"), "category_id", "n", "months")).alias("b"))
+    share = F.col("b.n") / F.col("all")
+    general = (share >= purity) & (F.col("b.n") >= least) & (F.col("b.months") >= months)
+    return best.select("rule_type", "value", "b.category_id", "b.n", "b.months", share.alias("purity"), general.alias("general"))
+
+
+def mined_coverage(mined: DataFrame) -> DataFrame:
+    """Rules and rows of the general candidates of each rule type."""
+    return mined.where("general").groupBy("rule_type").agg(F.count(F.lit(1)).alias("rules"), F.sum("n").alias("transactions"))
 
 
 def coverage(matches: DataFrame) -> DataFrame:
@@ -55,11 +77,15 @@ def coverage(matches: DataFrame) -> DataFrame:
 
 
 def pending_kpis(items: DataFrame) -> DataFrame:
-    """Open items of each company in several units: rows, transactions, pairs, and distinct business objects."""
+    """Open items of each company in several units: items, business events and the things they are about.
+
+    ``items``: company_id, pending_type, transaction_id, suggestion_id, recurrence_suggestion_id, duplicate_candidate_id,
+    dedup_key. An event is the first of these ids that an item has, of one type.
+    """
+    thing = F.coalesce("transaction_id", "suggestion_id", "recurrence_suggestion_id", "duplicate_candidate_id", "dedup_key")
     return items.groupBy("company_id").agg(
-        F.count(F.lit(1)).alias("items"), F.count_distinct("transaction_id").alias("transactions"), F.count_distinct("dedup_key").alias("keys"),
-        F.count_distinct(F.coalesce("suggestion_id", "transaction_id", "dedup_key")).alias("objects"), F.count_distinct("pending_type").alias("types"),
-        F.count_distinct(F.when(F.col("severity") == "high", F.col("dedup_key"))).alias("high"),
+        F.count(F.lit(1)).alias("items"), F.count_distinct(F.struct("pending_type", thing)).alias("events"), F.count_distinct("transaction_id").alias("transactions"),
+        F.count_distinct("suggestion_id").alias("suggestions"), F.count_distinct("recurrence_suggestion_id").alias("recurrence_groups"), F.count_distinct("duplicate_candidate_id").alias("duplicates"),
     )
 
 
@@ -109,64 +135,124 @@ def top_per_group(rows: DataFrame, keys: list[str], order: list[Column], most: i
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("place") <= most)
 
 
-def candidate_classes(found: DataFrame, truth: DataFrame) -> DataFrame:
-    """Class of each found group against labelled groups: exact_match, partial_match, merge_error, ambiguous, false_positive.
+def candidate_classes(found: DataFrame, truth: DataFrame, candidates: DataFrame, groups: DataFrame) -> DataFrame:
+    """Class of each suggestion against labelled groups: suggestion_id, group_id, mapped, precision, recall, f1, confidence, class.
 
-    ``found``: (suggestion_id, transaction_id); ``truth``: (group_id, transaction_id). A suggestion with rows of several
-    groups is a merge error when the largest has under 80 % of its labelled rows; one whose rows are half or more
-    unlabelled is ambiguous.
+    ``found``: (suggestion_id, transaction_id); ``truth``: (transaction_id, group_id, kind, month, party), one row for each
+    labelled transaction; ``candidates``: (suggestion_id, frequency, confidence); ``groups``: (group_id, kind, frequency).
+    Two groups with two rows and 15 % of a suggestion's labelled rows each make it a merge error. With two rows of its best
+    group it is exact at a precision of 0.9, a recall of 0.8 and a fitting frequency, else partial. Of the others those of
+    transfers are false, those of one party over four months ambiguous.
     """
-    labelled = found.join(truth, "transaction_id", "left")
-    per_group = labelled.where("group_id is not null").groupBy("suggestion_id", "group_id").agg(F.count(F.lit(1)).alias("k"))
-    best = per_group.groupBy("suggestion_id").agg(F.min(F.struct((-F.col("k")).alias("k"), "group_id")).alias("b"), F.count(F.lit(1)).alias("groups"), F.sum("k").alias("labelled"))
-    size = found.groupBy("suggestion_id").agg(F.count(F.lit(1)).alias("size"))
-    expected = truth.groupBy("group_id").agg(F.count(F.lit(1)).alias("expected"))
-    joined = size.join(best, "suggestion_id", "left").withColumn("group_id", F.col("b.group_id")).join(expected, "group_id", "left")
-    k = -F.col("b.k")
+    labelled = found.join(truth, "transaction_id")
+    known = labelled.groupBy("suggestion_id").agg(F.count(F.lit(1)).alias("mapped"), F.count_distinct("month").alias("months"), F.count_if(F.col("kind").rlike("(?i)transfer")).alias("transfers"))
+    party = labelled.where("party <> ''").groupBy("suggestion_id", "party").agg(F.count(F.lit(1)).alias("n")).groupBy("suggestion_id").agg(F.max("n").alias("of_party"))
+    per_group = labelled.where("group_id is not null").groupBy("suggestion_id", "group_id").agg(F.count(F.lit(1)).alias("k")).join(known.select("suggestion_id", "mapped"), "suggestion_id")
+    best = per_group.groupBy("suggestion_id").agg(
+        F.min(F.struct((-F.col("k")).alias("order"), "group_id", "k")).alias("b"), F.count_if((F.col("k") >= 2) & (F.col("k") / F.col("mapped") >= 0.15)).alias("significant")
+    )
+    expected = truth.where("group_id is not null").groupBy("group_id").agg(F.count(F.lit(1)).alias("expected"))
+    sides = groups.join(expected, "group_id", "left").select("group_id", F.col("kind").alias("group_kind"), F.col("frequency").alias("group_frequency"), "expected")
+    joined = candidates.join(known, "suggestion_id", "left").join(party, "suggestion_id", "left").join(best, "suggestion_id", "left").withColumn("group_id", F.col("b.group_id")).join(sides, "group_id", "left")
+    count = lambda c: F.coalesce(F.col(c), F.lit(0))
+    mapped, k = F.greatest(count("mapped"), F.lit(1)), F.coalesce(F.col("b.k"), F.lit(0))
+    precision, recall = k / mapped, k / F.greatest(count("expected"), F.lit(1))
+    f1 = F.when(precision + recall == 0, 0.0).otherwise(2 * precision * recall / (precision + recall))
+    fits = F.coalesce((F.col("frequency") == F.col("group_frequency")) | ((F.col("group_kind") == "frequent_supplier") & (F.col("frequency") == "biweekly")), F.lit(False))
     kind = (
-        F.when(F.col("labelled").isNull(), "false_positive").when((F.col("groups") > 1) & (k < 0.8 * F.col("labelled")), "merge_error")
-        .when((k == F.col("size")) & (k == F.col("expected")), "exact_match").when(F.col("labelled") * 2 <= F.col("size"), "ambiguous").otherwise("partial_match")
+        F.when(count("significant") >= 2, "merge_error").when((k >= 2) & (precision >= 0.9) & (recall >= 0.8) & fits, "exact_match").when(k >= 2, "partial_match")
+        .when(count("transfers") / mapped >= 0.5, "false_positive").when((count("months") >= 4) & (count("of_party") / mapped >= 0.75), "ambiguous").otherwise("false_positive")
     )
-    return joined.select("suggestion_id", "group_id", "size", kind.alias("class"))
+    return joined.select("suggestion_id", "group_id", count("mapped").alias("mapped"), precision.alias("precision"), recall.alias("recall"), f1.alias("f1"), "confidence", kind.alias("class"))
+
 
+def mark_variants(classes: DataFrame, labelled: DataFrame, share: float = 0.7) -> DataFrame:
+    """``classes`` with the variants of better suggestions as ``duplicate_variant``.
 
-def group_coverage(classes: DataFrame, truth: DataFrame) -> DataFrame:
-    """How each labelled group is represented: exact, partial (one suggestion), fragmented (several) or absent."""
-    seen = classes.where("group_id is not null").groupBy("group_id").agg(F.bool_or(F.col("class") == "exact_match").alias("exact"), F.count(F.lit(1)).alias("n"))
-    joined = truth.select("group_id").distinct().join(seen, "group_id", "left")
-    kind = F.when(F.col("n").isNull(), "absent").when(F.col("exact"), "exact").when(F.col("n") > 1, "fragmented").otherwise("partial")
-    return joined.select("group_id", kind.alias("coverage"))
+    Of the suggestions of one group, other than merge errors, the best by f1, then confidence, then id is taken first; one
+    that shares more than ``share`` of the smaller set of labelled rows with a taken one is a variant. ``labelled``:
+    (suggestion_id, transaction_id). Only pairs that share a row are counted.
+    """
+    ranked = classes.where("group_id is not null and class <> 'merge_error'").select("group_id", "suggestion_id", "f1", "confidence")
+    rows = labelled.join(ranked.select("suggestion_id", "group_id"), "suggestion_id").distinct()
+    sizes = rows.groupBy("suggestion_id").agg(F.count(F.lit(1)).alias("size"))
+    side = lambda frame, name, *more: frame.select(F.col("suggestion_id").alias(name), *more)
+    keys = ("group_id", "transaction_id")
+    pairs = side(rows, "one", *keys).join(side(rows, "other", *keys), list(keys)).where("one < other")
+    shared = pairs.groupBy("group_id", "one", "other").agg(F.count(F.lit(1)).alias("both"))
+    least = shared.join(side(sizes, "one", F.col("size").alias("n")), "one").join(side(sizes, "other", F.col("size").alias("m")), "other")
+    close = least.where(F.col("both") / F.least("n", "m") > share).select("group_id", "one", "other")
+
+    def choose(suggestions: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        near: dict[str, set[str]] = {}
+        for one, other in zip(pairs["one"], pairs["other"]):
+            near.setdefault(one, set()).add(other)
+            near.setdefault(other, set()).add(one)
+        taken, variants = set(), []
+        for s in suggestions.sort_values(["f1", "confidence", "suggestion_id"], ascending=[False, False, True])["suggestion_id"]:
+            if near.get(s, set()) & taken:
+                variants.append(s)
+            else:
+                taken.add(s)
+        return pd.DataFrame({"suggestion_id": variants}, dtype=object)
+
+    close = materialise(close, "variant-pairs")
+    involved = materialise(ranked, "variant-ranks").join(close.select("group_id").distinct(), "group_id", "left_semi")
+    variants = involved.groupBy("group_id").cogroup(close.groupBy("group_id")).applyInPandas(choose, "suggestion_id string").withColumn("variant", F.lit(True))
+    return classes.join(variants, "suggestion_id", "left").withColumn("class", F.when(F.col("variant"), "duplicate_variant").otherwise(F.col("class"))).drop("variant")
+
+
+def group_coverage(classes: DataFrame, groups: DataFrame) -> DataFrame:
+    """How each labelled group is found: (group_id, coverage: exact, partial or absent, fragmented: by several)."""
+    seen = classes.where(F.col("class").isin("exact_match", "partial_match")).groupBy("group_id").agg(F.bool_or(F.col("class") == "exact_match").alias("exact"), F.count(F.lit(1)).alias("n"))
+    joined = groups.select("group_id").distinct().join(seen, "group_id", "left")
+    kind = F.when(F.col("n").isNull(), "absent").when(F.col("exact"), "exact").otherwise("partial")
+    return joined.select("group_id", kind.alias("coverage"), (F.coalesce("n", F.lit(0)) > 1).alias("fragmented"))
+
+
+#: What a class means to a reviewer, and what to do with it.
+ACTIONS = {
+    "exact_match": ("true_positive", "manter melhor representante"), "partial_match": ("fragmented_true_positive", "manter melhor representante"), "duplicate_variant": ("duplicate_actionable", "superseded"),
+    "ambiguous": ("ambiguous", "revisao humana"), "merge_error": ("false_positive", "non_actionable/rejected"), "false_positive": ("false_positive", "non_actionable/rejected"),
+}
+
+
+def dispositions_of(classes: DataFrame) -> DataFrame:
+    """Adds ``actionable`` and ``disposition`` to classified suggestions."""
+    named = lambda i: F.element_at(F.create_map(*[F.lit(x) for k, v in ACTIONS.items() for x in (k, v[i])]), F.col("class"))
+    return classes.withColumn("actionable", named(0)).withColumn("disposition", named(1))
 
 
 def actionable(classes: DataFrame, useful: float = 0.7, false: float = 0.2) -> DataFrame:
     """Counts of what a reviewer can use, and whether the queue passes: ``useful`` share at least, ``false`` share at most."""
-    c = F.col("class")
-    total = classes.agg(F.count(F.lit(1)).alias("total"), F.count_if(c.isin("exact_match", "partial_match")).alias("true_positive"), F.count_if(c == "ambiguous").alias("ambiguous"), F.count_if(c.isin("false_positive", "merge_error")).alias("false_positive"))
-    share = lambda n: F.when(F.col("total") > 0, n / F.col("total")).otherwise(0.0)
-    good, bad = share(F.col("true_positive") + F.col("ambiguous")), share(F.col("false_positive"))
-    return total.select("*", good.alias("useful_share"), bad.alias("false_share"), ((good >= useful) & (bad <= false)).alias("passes"))
+    kinds = sorted({v[0] for v in ACTIONS.values()})
+    total = dispositions_of(classes).agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.col("actionable") == k).alias(k) for k in kinds])
+    good = (F.col("true_positive") + F.col("fragmented_true_positive") + F.col("ambiguous")) / F.greatest("total", F.lit(1))
+    return total.select("*", good.alias("useful_share"), ((good >= useful) & (F.col("false_positive") <= F.col("total") * false)).alias("passes"))
 
 
 def link_records(stored: DataFrame, truth: DataFrame) -> DataFrame:
     """One-to-one links of stored rows to labelled ones of one company, date and cents: (stored_id, truth_id, score, tied).
 
-    Of a block's pairs the best score is taken first: one point, ten for equal text, five for one counterparty, three
-    for one document. Blocks hold the few rows of a company that share a day and an amount.
+    Of a block's pairs the best score is taken first: one point, ten for equal text, five for one document, three for one
+    counterparty. ``tied``: the two best pairs of the stored row have one score. Blocks hold the few rows of a company that
+    share a day and an amount.
     """
     keys = ["company_id", "date", "cents"]
     t = truth.select(*keys, F.col("id").alias("truth_id"), F.col("text").alias("t_text"), F.col("party").alias("t_party"), F.col("document").alias("t_document"))
     pairs = stored.select(*keys, F.col("id").alias("stored_id"), "text", "party", "document").join(t, keys)
     same = lambda a, b, n: F.when(F.col(a) == F.col(b), n).otherwise(0)
-    scored = pairs.select(*keys, "stored_id", "truth_id", (1 + same("text", "t_text", 10) + same("party", "t_party", 5) + same("document", "t_document", 3)).cast("int").alias("score"))
+    scored = pairs.select(*keys, "stored_id", "truth_id", (1 + same("text", "t_text", 10) + same("document", "t_document", 5) + same("party", "t_party", 3)).cast("int").alias("score"))
 
     def greedy(block: pd.DataFrame) -> pd.DataFrame:
         left, right, rows = set(), set(), []
+        top = block.groupby("stored_id")["score"].transform("max")
+        ties = block[block["score"] == top].groupby("stored_id").size()
         for p in block.sort_values(["score", "stored_id", "truth_id"], ascending=[False, True, True]).itertuples():
             if p.stored_id not in left and p.truth_id not in right:
                 left.add(p.stored_id)
                 right.add(p.truth_id)
-                rivals = block[(block.score == p.score) & ((block.stored_id == p.stored_id) ^ (block.truth_id == p.truth_id))]
-                rows.append((p.stored_id, p.truth_id, p.score, len(rivals) > 0))
+                rows.append((p.stored_id, p.truth_id, p.score, bool(ties[p.stored_id] > 1)))
         return pd.DataFrame(rows, columns=["stored_id", "truth_id", "score", "tied"])
 
     # Nearly all blocks hold one pair, which needs no choice.

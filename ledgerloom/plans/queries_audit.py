@@ -179,12 +179,16 @@ def count_by(spark, sf_dir):
     return A.count_by(ledger(spark, sf_dir), "category_id")
 
 
-@query(f"with {LEDGER_SQL} select case when abs(amount) < 100 then '0-100' when abs(amount) < 500 then '100-500' when abs(amount) < 1000 then '500-1000' when abs(amount) < 5000 then '1000-5000' when abs(amount) < 20000 then '5000-20000' else '20000+' end as band, count(*) as n from ledger group by band")
-def amount_band(spark, sf_dir):
-    return ledger(spark, sf_dir).groupBy(A.amount_band(F.col("amount")).alias("band")).agg(F.count(F.lit(1)).alias("n"))
+BAND_SQL = """case when abs(amount) < 100 then '0-99.99' when abs(amount) < 500 then '100-499.99' when abs(amount) < 1000 then '500-999.99'
+  when abs(amount) < 5000 then '1000-4999.99' when abs(amount) < 20000 then '5000-19999.99' else '20000+' end"""
+AUDIT_TEXT = "trim(regexp_replace(upper(strip_accents(coalesce({}, ''))), '[^A-Z0-9]+', ' ', 'g'))"
+FAMILY = f"""coalesce(nullif(trim(regexp_replace(regexp_replace(regexp_replace({AUDIT_TEXT.format('description')}, '\\b[0-9]+\\b', ' ', 'g'),
+  '\\b(SYN|DOC|NF|REF|PARC|CP|ISO)\\b', ' ', 'g'), '\\s+', ' ', 'g')), ''), 'SEM DESCRICAO')"""
 
 
-FAMILY = "trim(regexp_replace(regexp_replace(upper(description), '[0-9]{2}/[0-9]{2}|[0-9]+', ' ', 'g'), '\\s+', ' ', 'g'))"
+@query(f"with {LEDGER_SQL} select {BAND_SQL} as band, count(*) as n from ledger group by band")
+def amount_band(spark, sf_dir):
+    return ledger(spark, sf_dir).groupBy(A.amount_band(F.col("amount")).alias("band")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"with {LEDGER_SQL} select {FAMILY} as family, count(*) as n from ledger group by family")
@@ -192,15 +196,29 @@ def description_family(spark, sf_dir):
     return ledger(spark, sf_dir).groupBy(A.description_family(F.col("description")).alias("family")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""with {LEDGER_SQL}, e as (
-    select category_id, date, 'counterparty' as key_type, counterparty_name as key from ledger where category_id is not null union all select category_id, date, 'document', document_number from ledger where category_id is not null union all
-    select category_id, date, 'family', {FAMILY} from ledger where category_id is not null union all select category_id, date, 'description', description from ledger where category_id is not null),
-  c as (select key_type, key, category_id, count(*) as k from e where key <> '' group by all), t as (select key_type, key, count(*) as n, count(distinct date_trunc('month', date)) as months from e where key <> '' group by all),
-  b as (select * from c qualify row_number() over (partition by key_type, key order by k desc, category_id) = 1)
-  select key_type, key, category_id, n, months, round(k / n, 6) as purity, k / n >= 0.9 and n >= 3 and months >= 3 as general from t join b using (key_type, key)""")
+#: Categories of rows; those of one part of the ledger say that there is none.
+MINED_SQL = f"""with {LEDGER_SQL}, r as (select *, case when amount < 0 and category_id like 'PROMO%' then 'cat-uncategorized' else category_id end as category, date_trunc('month', date) as month from ledger),
+  e as (select category, month, 'document_equals' as rule_type, document_number as value from r union all select category, month, 'counterparty_contains', counterparty_name from r
+    union all select category, month, 'description_contains', {FAMILY} from r union all select category, month, 'counterparty_and_amount_range', counterparty_name || '|' || {BAND_SQL} from r),
+  c as (select rule_type, value, category, count(*) as n, count(distinct month) as months from e where value <> '' and category <> 'cat-uncategorized' group by all),
+  mined as (select rule_type, value, category as category_id, n, months, n / sum(n) over key as purity, n / sum(n) over key >= 0.9 and n >= 3 and months >= 3 as general
+    from c window key as (partition by rule_type, value) qualify row_number() over (partition by rule_type, value order by n desc, category) = 1)"""
+
+
+def _mined(spark, sf_dir):
+    rows = ledger(spark, sf_dir).withColumn("family", A.description_family(F.col("description")))
+    none = (F.col("amount") < 0) & F.col("category_id").startswith("PROMO")
+    return A.mine_rules(rows.withColumn("category_id", F.when(none, A.UNCATEGORISED).otherwise(F.col("category_id"))))
+
+
+@query(MINED_SQL + " select * replace (round(purity, 6) as purity) from mined")
 def rule_mining(spark, sf_dir):
-    mined = A.mine_rules(ledger(spark, sf_dir).withColumn("family", A.description_family(F.col("description"))))
-    return mined.withColumn("purity", six(F.col("purity")))
+    return _mined(spark, sf_dir).withColumn("purity", six(F.col("purity")))
+
+
+@query(MINED_SQL + " select rule_type, count(*) as rules, sum(n)::bigint as transactions from mined where general group by rule_type")
+def mined_coverage(spark, sf_dir):
+    return A.mined_coverage(_mined(spark, sf_dir))
 
 
 @query(MATCH_SQL + " select rule_type, count(*) as matches, count(distinct id) as transactions, count(distinct rule_id) as rules from matches group by rule_type")
@@ -215,43 +233,83 @@ def rule_set_cover(spark, sf_dir):
     return A.partition_cover(open_, 0.8)
 
 
-@query(OUTCOMES_SQL + ", k as (select *, concat_ws(':', company_id, transaction_id, pending_type) as dedup_key from pending) select company_id, count(*) as items, count(distinct transaction_id) as transactions, count(distinct dedup_key) as keys, count(distinct transaction_id) as objects, count(distinct pending_type) as types, count(distinct dedup_key) filter (severity = 'high') as high from k group by company_id")
+@query(OUTCOMES_SQL + """, k as (select company_id, pending_type, concat_ws(':', company_id, transaction_id, pending_type) as dedup_key, case when hash_of % 5 > 0 then transaction_id end as transaction_id,
+    case when hash_of % 5 = 0 and hash_of % 2 = 0 then 's' || hash_of % 50 end as suggestion_id, case when hash_of % 7 = 0 then 'r' || hash_of % 91 end as recurrence_suggestion_id,
+    case when hash_of % 11 = 0 then 'd' || hash_of % 121 end as duplicate_candidate_id from (select *, split_part(transaction_id, '-', 1)::bigint as hash_of from pending))
+  select company_id, count(*) as items, count(distinct pending_type || '|' || coalesce(transaction_id, suggestion_id, recurrence_suggestion_id, duplicate_candidate_id, dedup_key)) as events, count(distinct transaction_id) as transactions,
+    count(distinct suggestion_id) as suggestions, count(distinct recurrence_suggestion_id) as recurrence_groups, count(distinct duplicate_candidate_id) as duplicates from k group by company_id""")
 def pending_kpis(spark, sf_dir):
     items = C.pending_items(C.outcomes(ledger(spark, sf_dir), rules(spark, sf_dir), categories(spark)))
-    return A.pending_kpis(items.withColumn("suggestion_id", F.lit(None).cast("string")))
+    h = F.split_part("transaction_id", F.lit("-"), F.lit(1)).cast("long")
+    named = lambda when, mark, n: F.when(when, F.concat(F.lit(mark), (h % n).cast("string")))
+    return A.pending_kpis(items.withColumns({
+        "transaction_id": F.when(h % 5 > 0, F.col("transaction_id")), "suggestion_id": named((h % 5 == 0) & (h % 2 == 0), "s", 50),
+        "recurrence_suggestion_id": named(h % 7 == 0, "r", 91), "duplicate_candidate_id": named(h % 11 == 0, "d", 121),
+    }))
 
 
+#: The series of one description as suggestions, counterparties as labelled groups; rows of the first of a month are not labelled.
 TRUTH_SQL = REC_SQL + """,
-found as (select company_id || type || normalized_description as suggestion_id, id as transaction_id from rec), truth as (select company_id || type || counterparty_name as group_id, id as transaction_id from rec where counterparty_name is not null),
-lab as (select suggestion_id, group_id from found left join truth using (transaction_id)), pg as (select suggestion_id, group_id, count(*) as k from lab where group_id is not null group by all),
-best as (select *, count(*) over (partition by suggestion_id) as groups, sum(k) over (partition by suggestion_id) as labelled from pg qualify row_number() over (partition by suggestion_id order by k desc, group_id) = 1),
-sized as (select suggestion_id, count(*) as size from found group by 1), expected as (select group_id, count(*) as expected from truth group by 1),
-classes as (select suggestion_id, b.group_id, size, case when labelled is null then 'false_positive' when groups > 1 and k < 0.8 * labelled then 'merge_error' when k = size and k = expected then 'exact_match' when labelled * 2 <= size then 'ambiguous' else 'partial_match' end as class
-  from sized left join best b using (suggestion_id) left join expected e on e.group_id = b.group_id)"""
+found as (select company_id || type || normalized_description as suggestion_id, id as transaction_id from rec),
+truth as (select id as transaction_id, company_id || type || counterparty_name as group_id, case when category_id is null then 'internal-transfer' else category_id end as kind, date_trunc('month', date) as month, coalesce(counterparty_name, normalized_description) as party
+  from rec where day(date) <> 1),
+candidates as (select suggestion_id, case when length(suggestion_id) % 3 = 0 then 'biweekly' else 'monthly' end as frequency, length(suggestion_id) % 10 as confidence from found group by 1),
+labelled as (select * from found join truth using (transaction_id)),
+known as (select suggestion_id, count(*) as mapped, count(distinct month) as months, count(*) filter (kind ilike '%transfer%') as transfers from labelled group by 1),
+parties as (select suggestion_id, max(n) as of_party from (select suggestion_id, party, count(*) as n from labelled where party <> '' group by all) group by 1),
+per as (select suggestion_id, group_id, count(*) as k from labelled where group_id is not null group by all),
+best as (select suggestion_id, group_id, k, count(*) filter (k >= 2 and k / mapped >= 0.15) over (partition by suggestion_id) as significant from per join known using (suggestion_id)
+  qualify row_number() over (partition by suggestion_id order by k desc, group_id) = 1),
+expected as (select group_id, count(*) as expected from truth where group_id is not null group by 1),
+measured as (select c.suggestion_id, c.frequency, c.confidence, b.group_id, coalesce(mapped, 0) as mapped, coalesce(k, 0) as k, coalesce(k, 0) / greatest(coalesce(mapped, 0), 1) as precision, coalesce(k, 0) / greatest(coalesce(expected, 0), 1) as recall,
+    coalesce(significant, 0) as significant, coalesce(transfers, 0) as transfers, coalesce(months, 0) as months, coalesce(of_party, 0) as of_party,
+    coalesce(c.frequency = 'monthly' or (length(b.group_id) % 2 = 0 and c.frequency = 'biweekly'), false) as fits
+  from candidates c left join known using (suggestion_id) left join parties using (suggestion_id) left join best b using (suggestion_id) left join expected e on e.group_id = b.group_id),
+classes as (select suggestion_id, group_id, mapped, precision, recall, case when precision + recall = 0 then 0 else 2 * precision * recall / (precision + recall) end as f1, confidence,
+    case when significant >= 2 then 'merge_error' when k >= 2 and precision >= 0.9 and recall >= 0.8 and fits and group_id is not null then 'exact_match' when k >= 2 then 'partial_match' when transfers / greatest(mapped, 1) >= 0.5 then 'false_positive'
+      when months >= 4 and of_party / greatest(mapped, 1) >= 0.75 then 'ambiguous' else 'false_positive' end as class from measured)"""
 
 
 def _truth(spark, sf_dir):
+    """(classes, labelled rows of suggestions, groups)."""
     rows = rows_of(spark, sf_dir)
     found = rows.select(F.concat("company_id", "type", "normalized_description").alias("suggestion_id"), F.col("id").alias("transaction_id"))
-    truth = rows.where("counterparty_name is not null").select(F.concat("company_id", "type", "counterparty_name").alias("group_id"), F.col("id").alias("transaction_id"))
-    return A.candidate_classes(found, truth), truth
+    truth = rows.where(F.day("date") != 1).select(
+        F.col("id").alias("transaction_id"), F.concat("company_id", "type", "counterparty_name").alias("group_id"), F.coalesce("category_id", F.lit("internal-transfer")).alias("kind"),
+        F.trunc("date", "MM").alias("month"), F.coalesce("counterparty_name", "normalized_description").alias("party"),
+    )
+    length = F.length("suggestion_id")
+    candidates = found.select("suggestion_id").distinct().select("suggestion_id", F.when(length % 3 == 0, "biweekly").otherwise("monthly").alias("frequency"), (length % 10).alias("confidence"))
+    groups = truth.where("group_id is not null").select("group_id").distinct().select("group_id", F.when(F.length("group_id") % 2 == 0, "frequent_supplier").otherwise("fixed").alias("kind"), F.lit("monthly").alias("frequency"))
+    return A.candidate_classes(found, truth, candidates, groups), found.join(truth.select("transaction_id"), "transaction_id", "left_semi"), groups
 
 
-@query(TRUTH_SQL + " select * from classes")
+@query(TRUTH_SQL + " select suggestion_id, group_id, mapped, round(precision, 6) as precision, round(recall, 6) as recall, round(f1, 6) as f1, class from classes")
 def candidate_class(spark, sf_dir):
-    return _truth(spark, sf_dir)[0]
+    c = _truth(spark, sf_dir)[0]
+    return c.select("suggestion_id", "group_id", "mapped", *[six(F.col(x)).alias(x) for x in ("precision", "recall", "f1")], "class")
+
+
+@query()
+def duplicate_variant(spark, sf_dir):
+    """Classes with the variants of better suggestions of one group; the greedy choice has no SQL form."""
+    classes, labelled, _ = _truth(spark, sf_dir)
+    return A.dispositions_of(A.mark_variants(classes, labelled)).select("suggestion_id", "group_id", "class", "actionable", "disposition")
 
 
-@query(TRUTH_SQL + ", seen as (select group_id, bool_or(class = 'exact_match') as exact, count(*) as n from classes where group_id is not null group by 1) select group_id, case when n is null then 'absent' when exact then 'exact' when n > 1 then 'fragmented' else 'partial' end as coverage from (select distinct group_id from truth) left join seen using (group_id)")
+@query(TRUTH_SQL + """, seen as (select group_id, bool_or(class = 'exact_match') as exact, count(*) as n from classes where class in ('exact_match', 'partial_match') group by 1)
+  select group_id, case when n is null then 'absent' when exact then 'exact' else 'partial' end as coverage, coalesce(n, 0) > 1 as fragmented from (select distinct group_id from truth where group_id is not null) left join seen using (group_id)""")
 def group_coverage(spark, sf_dir):
-    return A.group_coverage(*_truth(spark, sf_dir))
+    classes, _, groups = _truth(spark, sf_dir)
+    return A.group_coverage(classes, groups)
 
 
-@query(TRUTH_SQL + """, t as (select count(*) as total, count(*) filter (class in ('exact_match', 'partial_match')) as true_positive, count(*) filter (class = 'ambiguous') as ambiguous, count(*) filter (class in ('false_positive', 'merge_error')) as false_positive from classes)
-  select *, round((true_positive + ambiguous) / total, 6) as useful_share, round(false_positive / total, 6) as false_share, (true_positive + ambiguous) / total >= 0.7 and false_positive / total <= 0.2 as passes from t""")
+@query(TRUTH_SQL + """, t as (select count(*) as total, count(*) filter (class = 'exact_match') as true_positive, count(*) filter (class = 'partial_match') as fragmented_true_positive, count(*) filter (class = 'duplicate_variant') as duplicate_actionable,
+    count(*) filter (class = 'ambiguous') as ambiguous, count(*) filter (class in ('false_positive', 'merge_error')) as false_positive from classes)
+  select *, round((true_positive + fragmented_true_positive + ambiguous) / greatest(total, 1), 6) as useful_share, (true_positive + fragmented_true_positive + ambiguous) / greatest(total, 1) >= 0.7 and false_positive <= total * 0.2 as passes from t""")
 def actionable_audit(spark, sf_dir):
     a = A.actionable(_truth(spark, sf_dir)[0])
-    return a.withColumn("useful_share", six(F.col("useful_share"))).withColumn("false_share", six(F.col("false_share")))
+    return a.withColumn("useful_share", six(F.col("useful_share")))
 
 
 @query()
