@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerloom.functions.text import strip_accents
+from ledgerloom.functions.text import audit_text
 from ledgerloom.plans.scratch import materialise
 
 #: Upper bounds and names of the amount bands of audits.
@@ -28,14 +28,9 @@ def amount_band(amount: Column) -> Column:
     return rule.otherwise(LAST_BAND)
 
 
-def audit_text(text: Column) -> Column:
-    """Upper case without accents; anything but A-Z and digits is one space; null is empty."""
-    return F.trim(F.regexp_replace(F.upper(strip_accents(F.coalesce(text, F.lit("")))), "[^A-Z0-9]+", " "))
-
-
 def description_family(text: Column) -> Column:
     """A description in audit form without numbers and the words that stand for documents."""
-    plain = F.regexp_replace(F.regexp_replace(audit_text(text), r"\b[0-9]+\b", " "), rf"\b({'|'.join(FAMILY_NOISE)})\b", " ")
+    plain = F.regexp_replace(F.regexp_replace(audit_text(F.coalesce(text, F.lit(""))), r"\b[0-9]+\b", " "), rf"\b({'|'.join(FAMILY_NOISE)})\b", " ")
     return F.coalesce(F.nullif(F.trim(F.regexp_replace(plain, r"\s+", " ")), F.lit("")), F.lit(NO_FAMILY))
 
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerloom.functions.money import is_cadence_pair, month_index, relative_difference
-from ledgerloom.functions.similarity import same_counterparty, same_document, same_installments, same_merchant, shared_alias, STRICT_GROUPS, VARIABLE_GROUPS
-from ledgerloom.functions.text import digits, distinctive, document_in_text, recurrence_tokens
+from ledgerloom.functions.similarity import STRICT_GROUPS, VARIABLE_GROUPS
+from ledgerloom.functions.text import GENERIC_TOKENS, alias_groups, digits, distinctive, document_in_text, installment, recurrence_tokens
+from ledgerloom.plans.scratch import materialise
 
 from .components import connected_components
 
@@ -72,28 +73,49 @@ def identity_groups(rows: DataFrame, least: int = 3) -> DataFrame:
     return each.join(big, ["company_id", "type", "key"])
 
 
+#: How a shared ground links a pair: at once, with different parts of one plan, or with amounts that are very near.
+AT_ONCE, OTHER_PART, NEAR = 0, 1, 2
+
+
+def _grounds(tokens: Column, specific: Column, groups: Column, document: Column, party: Column, total: Column) -> Column:
+    """array of struct(ground, how): everything of a row that a linked row has to share, alone or in pairs."""
+    ground = lambda how, *parts: F.struct(F.concat(*parts).alias("ground"), F.lit(how).alias("how"))
+    single = F.array_compact(F.array(F.when(document.isNotNull(), ground(AT_ONCE, F.lit("d:"), document)), F.when(party.isNotNull(), ground(AT_ONCE, F.lit("c:"), party))))
+    # A specific token counts with a second token or an alias group.
+    both = F.flatten(F.transform(specific, lambda a: F.transform(F.filter(tokens, lambda b: b != a), lambda b: ground(AT_ONCE, F.lit("t:"), F.least(a, b), F.lit("+"), F.greatest(a, b)))))
+    named = F.flatten(F.transform(specific, lambda a: F.transform(groups, lambda g: ground(AT_ONCE, F.lit("g:"), a, F.lit("+"), g))))
+    plan = F.when(total.isNotNull(), F.transform(specific, lambda a: ground(OTHER_PART, F.lit("p:"), total.cast("string"), F.lit("+"), a)))
+    alias = lambda how, mark, names: F.transform(F.filter(groups, lambda g: g.isin(*names)), lambda g: ground(how, F.lit(mark), g))
+    found = [single, both, named, F.coalesce(plan, F.slice(single, 1, 0)), alias(AT_ONCE, "v:", VARIABLE_GROUPS), alias(NEAR, "s:", STRICT_GROUPS)]
+    return F.array_distinct(F.concat(*found))
+
+
 def link_edges(rows: DataFrame, max_months: int = 3, tolerance: float = 0.6, strict: float = 0.12) -> DataFrame:
     """(company_id, left_id, right_id): pairs that may belong to one monthly series.
 
-    A cadence pair is at most ``max_months`` months apart, so one side is copied to its month and the next ones and the
-    join is by hash on company, type and month instead of all pairs of a company.
+    Every linked pair shares a ground: a document, a counterparty, a specific token with another token or an alias group, a
+    plan of instalments, or certain alias groups. Rows are spread over their grounds and joined by hash on company, type,
+    ground and a block of months, so only rows with something in common meet. Amounts within ``tolerance`` (up to 0.6) are
+    in neighbouring bands, which is the other thing that a pair must share.
     """
-    cols = ["id", "date", "description", "tokens", "normalized_counterparty", "document_number", "abs_amount", "normalized_description", "distinctive", "bucket"]
-    left = rows.select("company_id", "type", month_index(F.col("date")).alias("m"), *[F.col(c).alias(f"l_{c}") for c in cols])
-    right = rows.select("company_id", "type", F.explode(F.transform(F.sequence(F.lit(0), F.lit(max_months)), lambda k: month_index(F.col("date")) - k)).alias("m"), *[F.col(c).alias(f"r_{c}") for c in cols])
-    pairs = left.join(right, ["company_id", "type", "m"])
-    once = (month_index(F.col("l_date")) < month_index(F.col("r_date"))) | (F.col("l_id") < F.col("r_id"))
+    tokens, plan = F.col("tokens"), installment(F.col("description"))
+    valid = F.when((plan["current"] >= 1) & (plan["total"] >= 2) & (plan["current"] <= plan["total"]), plan)
+    told = rows.select("company_id", "type", "id", "date", "abs_amount", tokens, F.filter(tokens, lambda w: ~w.isin(GENERIC_TOKENS)).alias("specific"), alias_groups(tokens).alias("groups"),
+                       digits(F.col("document_number")).alias("document"), F.col("normalized_counterparty").alias("party"), valid.alias("plan"))
+    grounds = _grounds(F.col("tokens"), F.col("specific"), F.col("groups"), F.col("document"), F.col("party"), F.col("plan.total"))
+    spread = told.select("company_id", "type", "id", "date", "abs_amount", F.col("plan.current").alias("part"), month_index(F.col("date")).alias("month"), F.explode(grounds).alias("g"))
+    spread = materialise(spread.select("*", "g.ground", "g.how").drop("g"), "link-grounds")
+    width = max_months + 1
+    side = lambda mark, block: spread.select("company_id", "type", "ground", "how", block.alias("block"), *[F.col(c).alias(mark + c) for c in ("id", "date", "abs_amount", "part", "month")])
+    own = F.floor(F.col("month") / width)
+    left, right = side("l_", own), side("r_", F.explode(F.array(own, own - 1)))
+    pairs = left.join(right, ["company_id", "type", "ground", "how", "block"])
+    later = F.col("r_month") - F.col("l_month")
+    once = later.between(1, max_months) | ((later == 0) & (F.col("l_id") < F.col("r_id")))
     difference = relative_difference(F.col("l_abs_amount"), F.col("r_abs_amount"))
-    near = pairs.where(once & is_cadence_pair(F.col("l_date"), F.col("r_date"), max_months) & (difference <= tolerance))
-    grounds = (
-        same_document("l_", "r_") | same_counterparty("l_", "r_") | same_installments("l_", "r_") | same_merchant("l_", "r_")
-        | shared_alias("l_", "r_", VARIABLE_GROUPS) | (shared_alias("l_", "r_", STRICT_GROUPS) & (difference <= strict))
-    )
-    linked = near.where(grounds)
-    # A pair must also share a block: neighbouring bands, or a common identity key of two tokens or more.
-    in_order = F.size(F.array_intersect("l_distinctive", "r_distinctive")) >= 2
-    shares = (F.abs(F.col("l_bucket") - F.col("r_bucket")) <= 1) | same_document("l_", "r_") | same_counterparty("l_", "r_") | ((F.col("l_normalized_description") == F.col("r_normalized_description")) & (F.col("l_normalized_description") != "")) | in_order
-    return linked.where(shares).select("company_id", F.least("l_id", "r_id").alias("left_id"), F.greatest("l_id", "r_id").alias("right_id")).distinct()
+    how = F.when(F.col("how") == OTHER_PART, F.col("l_part") != F.col("r_part")).when(F.col("how") == NEAR, difference <= strict).otherwise(F.lit(True))
+    linked = pairs.where(once & (difference <= tolerance) & how & is_cadence_pair(F.col("l_date"), F.col("r_date"), max_months))
+    return linked.select("company_id", F.least("l_id", "r_id").alias("left_id"), F.greatest("l_id", "r_id").alias("right_id")).distinct()
 
 
 def linked_groups(edges: DataFrame) -> DataFrame:
