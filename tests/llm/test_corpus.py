@@ -174,6 +174,39 @@ def test_toxicity_learns_held_out_rows(spark):
     assert toxicity.drop_toxic(docs, lexicon).count() == sum(1 for r in found.values() if not r.predicted)
 
 
+def plain_measures(lexicon, text):
+    """The three measures by trying every entry at every place."""
+    text = toxicity.fold(text)
+    safe = [(k, k + len(p) - 1) for p in map(toxicity.fold, lexicon.exceptions) for k in range(len(text)) if text.startswith(p, k)]
+    times = Counter()
+    for k in range(len(text)):
+        here = [e for e in lexicon.weights if text.startswith(e, k) and (k == 0 or not text[k - 1].isalnum())]
+        here = [e for e in here if not any(a <= k and k + len(e) - 1 <= b for a, b in safe)]
+        if here:
+            times[max(here, key=len)] += 1
+    total = sum(lexicon.weights[e] * (1 + math.log(n)) for e, n in times.items())
+    words = text.count(" ") + text.count("\n") + 1
+    return [math.log((total + 0.1) / (words + 20)) - math.log(0.1 / 20), math.log1p(total), math.log1p(len(times))] if times else [0.0, 0.0, 0.0]
+
+
+def test_toxicity_scores_equal_the_definition(spark):
+    lexicon = toxicity.Lexicon({"trash": 5.0, "tras": 3.0, "idi": 4.0, "verm": 2.5, "vermin": 3.5}, curve=[-3.0, 1.0, 0.5, 0.25])
+    rng = np.random.default_rng(4)
+    parts = ["trash", "trash can", "tra5h", "идиот", "idiot", "not an idiot", "vermin", "verm1n", "mytrash", "clean", "words", "\n", "VERMIN!", "ｔrash", "ver\u200bmin"]
+    texts = [" ".join(rng.choice(parts, rng.integers(0, 30))) for _ in range(200)] + ["", None, "vermin " * 20_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "1 as score", "2 as predicted", "3 as held_out", "4 as source")
+    found = {r.doc_id: r for r in toxicity.score_toxicity(docs, lexicon).collect()}
+    for i, text in enumerate(texts):
+        x = plain_measures(lexicon, text or "") if i < 202 else lexicon.measures([text])[0]
+        expected = 1 / (1 + math.exp(-(lexicon.curve[0] + sum(a * b for a, b in zip(lexicon.curve[1:], x)))))
+        assert math.isclose(found[i].score, expected, rel_tol=1e-9) and found[i].predicted == (found[i].score >= 0.5)
+    kept = toxicity.drop_toxic(docs, lexicon)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in found.items() if not r.predicted}
+    assert toxicity.score_toxicity(docs.where("doc_id < 0"), lexicon).count() == 0
+    nothing = toxicity.learn_lexicon(docs.where("doc_id < 0"), spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    assert {r.score for r in toxicity.score_toxicity(docs, nothing).collect()} == {0.0}
+
+
 def test_exception_phrases_and_folding():
     lexicon = toxicity.Lexicon({"trash": 5.0}, curve=[-3.0, 1.0, 0.0, 0.0])
     plain, safe, folded, inside = lexicon.measures(["you trash", "the trash can", "you тra5h", "mytrash"])
@@ -487,3 +520,55 @@ def test_fingerprints_add_up_in_any_order(spark):
     back = fingerprints.combine(F.col("x_sums"), F.col("q_sums"), fingerprints.SUM_BASE, -1)
     row = r.select("x_sums", "y_sums", both.alias("both"), back.alias("back"), "p_sums", "x_lanes", "y_lanes").first()
     assert row.x_sums == row.y_sums == row.both and row.back == row.p_sums and row.x_lanes == row.y_lanes
+
+
+def test_pipeline_equals_its_stages_by_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(6)
+    rows, labels = [], []
+    for i in range(400):
+        words = text_of(1000 + i, 60).split()
+        toxic = i % 4 == 0
+        if toxic:
+            for k in rng.integers(0, 60, 5):
+                words[k] = ["vermin", "dimwit", "rotten"][rng.integers(3)]
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(toxic)))
+    base = text_of(7, 120).split()
+    rows += [(500 + k, " ".join(base[:k] + ["other"] + base[k + 1 :])) for k in range(10, 100, 9)] + [(520, " ".join(base)), (521, "  ".join(base) + " "), (521, "\n".join(base)), (530, None), (531, ""), (532, " "), (None, "no id"), (None, "no id"), (533, text_of(8, 9000))]
+    spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' as lang", "'s' as source", "length(text) as n_chars").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs, kept = spark.read.parquet(str(tmp_path / "documents.parquet")), []
+    for name, stage in corpus_pipeline.STAGES:
+        given, docs = docs, stage(spark, docs, str(tmp_path))
+        docs.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        if name != "packing":
+            assert docs.columns == given.columns
+            kept.append(Counter((r.doc_id, r.text) for r in docs.collect()))
+    clean, single, apart = kept
+    told = dict(labels_ for labels_ in ((i, t) for i, _, t in labels))
+    assert all(not told.get(i) for i, _ in clean) and sum(clean.values()) == len(rows) - sum(told.values())
+    best = {}
+    for i, t in clean.elements():
+        key = re.sub("[ \t-\r]", "", t or "")
+        rank = (-len(t or ""), i is None, i or 0)
+        if key not in best or rank < best[key][0]:
+            best[key] = (rank, i, t)
+    assert single == Counter((i, t) for _, i, t in best.values())
+    left = [(i, t or "") for i, t in single.elements()]
+    parts = brute_components(left, 5, 80)
+    assert {i for i, _ in apart} == {c if n else i for i, n, c in parts}
+    packed = defaultdict(int)
+    for r in docs.collect():
+        packed[r.doc_id] += r.length
+    assert set(packed) == {i for i, _ in apart} and all(packed[r.doc_id] == r.doc_tokens for r in docs.collect() if r.doc_id is not None)
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
