@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HORIZONS = (30, 60, 90)
-#: Steps are generated up to this many before the start of the horizon and after it; a weekly series of thirty years fits.
-MAX_CATCH_UP, MAX_STEPS = 1600, 16
 
 
 def next_date(date: Column, frequency: Column) -> Column:
@@ -40,6 +38,7 @@ def projection_dates(recurrences: DataFrame, as_of: Column, horizons=HORIZONS) -
     ``recurrences``: company_id, recurrence_id, status, frequency, next_date, start_date, end_date, installment_count,
     observed. Only active ones count. A series rolls forward to ``as_of``; if that takes as many steps as instalments
     are left, nothing is projected, but the steps do not use instalments up. An unknown frequency gives one date at most.
+    As many steps are made as the shortest frequency takes to pass the longest horizon.
     """
     today, horizon = as_of.cast("date"), F.col("horizon_days")
     active = recurrences.where("status = 'active'").withColumn("first", F.coalesce("next_date", "start_date"))
@@ -48,7 +47,7 @@ def projection_dates(recurrences: DataFrame, as_of: Column, horizons=HORIZONS) -
     ready = active.withColumn("remaining", left).withColumn("cursor", first).withColumn("taken", taken)
     ready = ready.where(F.col("cursor").isNotNull() & ~F.coalesce((F.col("taken") > 0) & (F.col("taken") >= F.col("remaining")), F.lit(False)))
     steps = F.aggregate(
-        F.sequence(F.lit(2), F.lit(MAX_STEPS)), F.array("cursor"),
+        F.sequence(F.lit(2), F.lit(max(horizons) // 7 + 3)), F.array("cursor"),
         lambda a, _: F.when(next_date(F.element_at(a, -1), F.col("frequency")).isNotNull(), F.concat(a, F.array(next_date(F.element_at(a, -1), F.col("frequency"))))).otherwise(a),
     )
     each = ready.withColumn("horizon_days", F.explode(F.array(*map(F.lit, horizons)))).select("*", F.posexplode(steps).alias("place", "date"))

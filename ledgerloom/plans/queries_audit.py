@@ -97,14 +97,12 @@ def detected_recurrences(spark, sf_dir):
     return found.select("suggestion_id", "company_id", "type", "frequency", "recurrence_type", "confidence", "average_amount", "representative", F.size("transaction_ids").alias("n"))
 
 
-LINKS_SQL = IDENTITY_SQL + ", links as (select distinct company_id || type || key as suggestion_id, unnest(ids) as transaction_id from groups where n <= 12)"
+LINKS_SQL = IDENTITY_SQL + ", links as (select distinct company_id || type || key as suggestion_id, unnest(ids) as transaction_id from groups)"
 
 
-def _links(spark, sf_dir, whole=False):
-    """Identity groups as suggestions: those of up to 12 rows, as the SQL has them, or all."""
+def _links(spark, sf_dir):
+    """Identity groups as suggestions."""
     named = R.identity_groups(rows_of(spark, sf_dir)).withColumn("suggestion_id", F.concat("company_id", "type", "key"))
-    if not whole:
-        named = named.join(named.groupBy("suggestion_id").agg(F.count(F.lit(1)).alias("n")).where("n <= 12").drop("n"), "suggestion_id")
     return named.select("suggestion_id", F.col("id").alias("transaction_id")).distinct()
 
 
@@ -117,36 +115,43 @@ OVERLAP_SQL = LINKS_SQL + """, s as (select suggestion_id, count(*) as size from
   p as (select o.*, round(shared / (x.size + y.size - shared), 6) as jaccard, round(shared / least(x.size, y.size), 6) as overlap from o join s x on x.suggestion_id = left_id join s y on y.suggestion_id = right_id)"""
 
 
-@query(OVERLAP_SQL + " select * from p")
+ALL_OVERLAPS_SQL = OVERLAP_SQL + " select * from p"
+TOP_OVERLAPS_SQL = OVERLAP_SQL + " select * from p order by overlap desc, jaccard desc, left_id, right_id limit 50"
+
+
+@query(ALL_OVERLAPS_SQL)
 def overlap_pairs(spark, sf_dir):
     return _overlaps(_links(spark, sf_dir))
 
 
-@query(OVERLAP_SQL + " select * from p order by overlap desc, jaccard desc, left_id, right_id limit 50")
+@query(TOP_OVERLAPS_SQL)
 def overlap_top50(spark, sf_dir):
     return _overlaps(_links(spark, sf_dir), 50)
 
 
-@query()
+# Earlier names of the same queries, as below.
+@query(ALL_OVERLAPS_SQL)
 def overlap_pairs_whole(spark, sf_dir):
-    """Overlaps of identity groups of all sizes; the SQL above and below has those of up to 12 rows."""
-    return _overlaps(_links(spark, sf_dir, whole=True))
+    return overlap_pairs(spark, sf_dir)
 
 
-@query()
+@query(TOP_OVERLAPS_SQL)
 def overlap_top50_whole(spark, sf_dir):
-    return _overlaps(_links(spark, sf_dir, whole=True), 50)
+    return overlap_top50(spark, sf_dir)
 
 
-@query(LINKS_SQL + ", p as (select suggestion_id, count(*) as n from links group by 1), q as (select suggestion_id, n from p where n % 4 <> 0 union all select suggestion_id || '?', n from p where n % 7 = 0) select coalesce(p.suggestion_id, q.suggestion_id) as suggestion_id, case when p.suggestion_id is null then 'extra' when q.suggestion_id is null then 'missing' when q.n % 4 > 1 then 'multiple' end as problem from p full join q using (suggestion_id) where p.suggestion_id is null or q.suggestion_id is null or q.n % 4 > 1")
+INTEGRITY_SQL = LINKS_SQL + ", p as (select suggestion_id, count(*) as n from links group by 1), q as (select suggestion_id, n from p where n % 4 <> 0 union all select suggestion_id || '?', n from p where n % 7 = 0) select coalesce(p.suggestion_id, q.suggestion_id) as suggestion_id, case when p.suggestion_id is null then 'extra' when q.suggestion_id is null then 'missing' when q.n % 4 > 1 then 'multiple' end as problem from p full join q using (suggestion_id) where p.suggestion_id is null or q.suggestion_id is null or q.n % 4 > 1"
+
+
+@query(INTEGRITY_SQL)
 def pending_integrity(spark, sf_dir):
     """Suggestions with as many items as their size modulo four, and items of suggestions that do not exist."""
     return _integrity(_links(spark, sf_dir))
 
 
-@query()
+@query(INTEGRITY_SQL)
 def pending_integrity_whole(spark, sf_dir):
-    return _integrity(_links(spark, sf_dir, whole=True))
+    return pending_integrity(spark, sf_dir)
 
 
 def _integrity(links):

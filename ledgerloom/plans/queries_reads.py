@@ -168,13 +168,12 @@ recurrences as (
   select 'company-' || (o_custkey % 10) as company_id, o_orderkey as recurrence_id, case when o_orderkey % 11 = 0 then 'paused' else 'active' end as status,
     ['weekly', 'biweekly', 'monthly', 'yearly', 'unknown'][o_orderkey % 5 + 1] as frequency, case when o_orderkey % 3 = 0 then null else cast(o_orderdate as date) + 20 end as next_date,
     cast(o_orderdate as date) as start_date, case when o_orderkey % 7 = 0 then date '2001-08-20' end as end_date, case when o_orderkey % 4 = 0 then (o_orderkey % 97)::int end as installment_count, (o_orderkey % 5)::int as observed
-  from orders where o_orderdate >= date '1998-01-01')"""
+  from orders)"""
 
 
-def recurrences(spark, sf_dir, whole=False):
-    """Orders since 1998, or all of them, as approved recurrences."""
+def recurrences(spark, sf_dir):
+    """Orders as approved recurrences."""
     o, key = table(spark, sf_dir, "orders"), F.col("o_orderkey")
-    o = o if whole else o.where("o_orderdate >= date '1998-01-01'")
     day = F.to_date("o_orderdate")
     return o.select(
         F.concat(F.lit("company-"), (F.col("o_custkey") % 10).cast("string")).alias("company_id"), key.alias("recurrence_id"), F.when(key % 11 == 0, "paused").otherwise("active").alias("status"),
@@ -212,32 +211,38 @@ def _horizons(found):
     return P.projection_dates(found, F.lit("2001-07-15")).groupBy("company_id").pivot("horizon_days", list(P.HORIZONS)).agg(_count()).fillna(0)
 
 
-@query(DATES_SQL + " select company_id, recurrence_id, horizon_days, date::varchar as date from dated")
+_DATES_SQL = DATES_SQL + " select company_id, recurrence_id, horizon_days, date::varchar as date from dated"
+_ITEMS_SQL = DATES_SQL + " select company_id, horizon_days, count(*) as items, count(distinct recurrence_id) as series, min(date)::varchar as first_date from dated group by all"
+_HORIZONS_SQL = DATES_SQL + """ select company_id, count(*) filter (horizon_days = 30) as "30", count(*) filter (horizon_days = 60) as "60", count(*) filter (horizon_days = 90) as "90"
+  from dated group by company_id"""
+
+
+@query(_DATES_SQL)
 def projection_dates(spark, sf_dir):
     return _dates(recurrences(spark, sf_dir))
 
 
-@query(DATES_SQL + " select company_id, horizon_days, count(*) as items, count(distinct recurrence_id) as series, min(date)::varchar as first_date from dated group by all")
+@query(_ITEMS_SQL)
 def projection(spark, sf_dir):
     return _items(recurrences(spark, sf_dir))
 
 
-@query(DATES_SQL + ' select company_id, count(*) filter (horizon_days = 30) as "30", count(*) filter (horizon_days = 60) as "60", count(*) filter (horizon_days = 90) as "90" from dated group by company_id')
+@query(_HORIZONS_SQL)
 def projection_horizons(spark, sf_dir):
     return _horizons(recurrences(spark, sf_dir))
 
 
-@query()
+# Earlier names of the same queries, from when those above held a slice.
+@query(_DATES_SQL)
 def projection_dates_whole(spark, sf_dir):
-    """The projections over all orders; the SQL of ``projection_dates`` and the two below has those since 1998."""
-    return _dates(recurrences(spark, sf_dir, whole=True))
+    return projection_dates(spark, sf_dir)
 
 
-@query()
+@query(_ITEMS_SQL)
 def projection_whole(spark, sf_dir):
-    return _items(recurrences(spark, sf_dir, whole=True))
+    return projection(spark, sf_dir)
 
 
-@query()
+@query(_HORIZONS_SQL)
 def projection_horizons_whole(spark, sf_dir):
-    return _horizons(recurrences(spark, sf_dir, whole=True))
+    return projection_horizons(spark, sf_dir)

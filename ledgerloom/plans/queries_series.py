@@ -146,47 +146,47 @@ def candidate_signature(spark, sf_dir):
     return R.distinct_candidates(g).select("company_id", "key", "score", "signature")
 
 
-@query(IDENTITY_SQL + """,
-g5 as (select company_id, type, key, score, n, unnest(ids) as id from groups where n between 5 and 40 and starts_with(key, 'description:')),
+LANES_SQL = IDENTITY_SQL + """,
+g5 as (select company_id, type, key, score, n, unnest(ids) as id from groups where n >= 5),
 rows5 as (select g5.*, r.date, r.abs_amount from g5 join rec r using (id)),
 near as (
   select a.company_id, a.type, a.key, a.score, a.n, b.id as anchor_id, 'day' as lane, a.id from rows5 a join rows5 b on a.company_id = b.company_id and a.type = b.type and a.key = b.key where abs(day(a.date) - day(b.date)) <= 3 union all
   select a.company_id, a.type, a.key, a.score, a.n, b.id, 'amount', a.id from rows5 a join rows5 b on a.company_id = b.company_id and a.type = b.type and a.key = b.key
   where case when a.abs_amount + b.abs_amount = 0 then 0 else abs(a.abs_amount - b.abs_amount) / ((a.abs_amount + b.abs_amount) / 2) end <= 0.35)
-select company_id, key, lane, anchor_id, count(*) as n, md5(string_agg(id, '|' order by id)) as signature from near group by company_id, type, key, lane, anchor_id, near.n having count(*) >= 3 and count(*) < near.n""")
-def lanes(spark, sf_dir):
-    rows = rows_of(spark, sf_dir)
-    groups = R.identity_groups(rows).where(F.col("key").startswith("description:"))
-    sizes = groups.groupBy("company_id", "type", "key").agg(F.count(F.lit(1)).alias("n")).where("n between 5 and 40").drop("n")
-    members = groups.join(sizes, ["company_id", "type", "key"]).join(rows.select("id", "date", "abs_amount"), "id")
-    return R.lanes(members).select("company_id", "key", "lane", "anchor_id", F.size("ids").cast("long").alias("n"), F.md5(F.array_join("ids", "|")).alias("signature"))
+select company_id, type, key, lane, anchor_id, count(*) as n, md5(string_agg(id, '|' order by id)) as signature from near group by company_id, type, key, lane, anchor_id, near.n having count(*) >= 3 and count(*) < near.n"""
 
 
-@query()
-def lanes_whole(spark, sf_dir):
-    """The lanes of all identity groups of five rows or more; the SQL of ``lanes`` has descriptions of 5 to 40 rows."""
+@query(LANES_SQL)
+def lanes(spark, sf_dir):
     rows = rows_of(spark, sf_dir)
     found = R.lanes(R.identity_groups(rows).join(rows.select("id", "date", "abs_amount"), "id"))
     return found.select("company_id", "type", "key", "lane", "anchor_id", F.size("ids").cast("long").alias("n"), F.md5(F.array_join("ids", "|")).alias("signature"))
 
 
-@query(REC_SQL + """,
-i as (select * from rec where type = 'income' and id like '1%'),
+# Earlier names of the same queries, from when some of them held a slice; as below.
+@query(LANES_SQL)
+def lanes_whole(spark, sf_dir):
+    return lanes(spark, sf_dir)
+
+
+TRACKS_SQL = REC_SQL + """,
+i as (select * from rec where type = 'income'),
 near as (select a.company_id, b.id as anchor_id, a.id, a.date, a.normalized_description, abs(a.abs_amount - b.abs_amount) / ((a.abs_amount + b.abs_amount) / 2) as off from i a join i b on a.company_id = b.company_id
   where abs(day(a.date) - day(b.date)) <= 2 and case when a.abs_amount + b.abs_amount = 0 then 0 else abs(a.abs_amount - b.abs_amount) / ((a.abs_amount + b.abs_amount) / 2) end <= 0.55),
 f as (select *, count(*) over (partition by anchor_id, normalized_description) as frequency from near),
 best as (select * from f qualify row_number() over (partition by anchor_id, date_trunc('month', date) order by frequency desc, off, date, id) = 1)
-select company_id, anchor_id, count(*) as n, md5(string_agg(id, '|' order by id)) as signature from best group by company_id, anchor_id having count(*) >= 4""")
+select company_id, anchor_id, count(*) as n, md5(string_agg(id, '|' order by id)) as signature from best group by company_id, anchor_id having count(*) >= 4"""
+
+
+@query(TRACKS_SQL)
 def income_tracks(spark, sf_dir):
-    found = R.income_tracks(rows_of(spark, sf_dir).where("id like '1%'"))
+    found = R.income_tracks(rows_of(spark, sf_dir))
     return found.select("company_id", "anchor_id", F.size("ids").cast("long").alias("n"), F.md5(F.array_join("ids", "|")).alias("signature"))
 
 
-@query()
+@query(TRACKS_SQL)
 def income_tracks_whole(spark, sf_dir):
-    """``income_tracks`` over the whole ledger; its pairs of rows are too many for the SQL."""
-    found = R.income_tracks(rows_of(spark, sf_dir))
-    return found.select("company_id", "anchor_id", F.size("ids").cast("long").alias("n"), F.md5(F.array_join("ids", "|")).alias("signature"))
+    return income_tracks(spark, sf_dir)
 
 
 PAIR_SQL = REC_SQL + """,
@@ -245,23 +245,23 @@ def link_edges(spark, sf_dir):
     return R.link_edges(rows_of(spark, sf_dir))
 
 
-#: The SQL's recursion needs a slice: the companies whose number ends in 0. ``components_whole`` has all of them.
-_THIN = "id like '%0'"
+COMPONENTS_SQL = LINK_SQL.replace("with ", "with recursive ", 1) + """,
+ends as materialized (select left_id as a, right_id as b from links union all select right_id, left_id from links),
+reach(id, component) using key (id) as (
+  select distinct a, a from ends union
+  select e.a, min(r.component) from reach r join ends e on e.b = r.id join recurring.reach k on k.id = e.a group by e.a having min(r.component) < min(k.component))
+select id, component from reach"""
 
 
-@query(LINK_SQL.replace("source as (select * from ledger)", f"source as (select * from ledger where {_THIN})").replace("with ", "with recursive ", 1) + """,
-ends as (select left_id as a, right_id as b from links union all select right_id, left_id from links),
-reach(a, b) as (select a, a from ends union select r.a, ends.b from reach r join ends on ends.a = r.b)
-select a as id, min(b) as component from reach group by a""")
+@query(COMPONENTS_SQL)
 def components(spark, sf_dir):
-    """Connected components of the links of a slice of the ledger, as the SQL has it."""
-    return R.linked_groups(R.link_edges(R.normalized_rows(ledger(spark, sf_dir).where(_THIN))))
+    """Connected components of the links."""
+    return R.linked_groups(R.link_edges(rows_of(spark, sf_dir)))
 
 
-@query()
+@query(COMPONENTS_SQL)
 def components_whole(spark, sf_dir):
-    """Connected components of the links of the whole ledger."""
-    return R.linked_groups(R.link_edges(rows_of(spark, sf_dir)))
+    return components(spark, sf_dir)
 
 
 @query(REC_SQL + """, w as (select *, regexp_replace(document_number, '[^0-9]', '', 'g') as doc, normalized_description as g from rec),
@@ -409,23 +409,23 @@ def cadence_track(spark, sf_dir):
     return G.cadence_track(rows_of(spark, sf_dir), KEYS, 14).select("id")
 
 
-@query(REC_SQL + """, f as (select company_id || normalized_description as g, id from rec where id like '%1'), x as (select company_id || coalesce(normalized_counterparty, id) as g, id from rec where id like '%1'),
+PAIR_EVAL_SQL = REC_SQL + """, f as (select company_id || normalized_description as g, id from rec), x as (select company_id || coalesce(normalized_counterparty, id) as g, id from rec),
   fp as (select distinct a.id as a, b.id as b from f a join f b using (g) where a.id < b.id), xp as (select distinct a.id as a, b.id as b from x a join x b using (g) where a.id < b.id),
   c as (select count(*) filter (fp.a is not null and xp.a is not null) as hit, count(fp.a) as n_found, count(xp.a) as n_expected from fp full join xp using (a, b)),
   s as (select *, case when n_found = 0 then 1 else hit / n_found end as p, case when n_expected = 0 then 1 else hit / n_expected end as r from c)
-  select hit, n_found, n_expected, p::double as precision, r::double as recall, (case when p + r = 0 then 0 else 2 * p * r / (p + r) end)::double as f1 from s""")
-def pair_eval(spark, sf_dir):
-    """How well groups by description recover groups by counterparty, over the pairs of rows in each."""
-    rows = rows_of(spark, sf_dir).where("id like '%1'")
-    found = rows.select(F.concat("company_id", "normalized_description").alias("group_id"), "id")
-    expected = rows.select(F.concat("company_id", F.coalesce("normalized_counterparty", "id")).alias("group_id"), "id")
-    return R.pair_evaluation(found, expected)
+  select hit, n_found, n_expected, p::double as precision, r::double as recall, (case when p + r = 0 then 0 else 2 * p * r / (p + r) end)::double as f1 from s"""
 
 
-@query()
-def pair_eval_whole(spark, sf_dir):
-    """``pair_eval`` over the whole ledger; pairs are counted from the sizes of groups."""
+@query(PAIR_EVAL_SQL)
+def pair_eval(spark, sf_dir):
+    """How well groups by description recover groups by counterparty, over the pairs of rows in each; pairs are counted
+    from the sizes of groups."""
     rows = rows_of(spark, sf_dir)
     found = rows.select(F.concat("company_id", "normalized_description").alias("group_id"), "id")
     expected = rows.select(F.concat("company_id", F.coalesce("normalized_counterparty", "id")).alias("group_id"), "id")
     return R.partition_evaluation(found, expected)
+
+
+@query(PAIR_EVAL_SQL)
+def pair_eval_whole(spark, sf_dir):
+    return pair_eval(spark, sf_dir)
