@@ -142,4 +142,4 @@ def installment(text: Column) -> Column:
     """struct(current, total) of the first ``n/m`` in a text; null without one."""
     found = F.regexp_extract(text, r"(?i)(?:parcela\s*)?([0-9]{1,2})\s*/\s*([0-9]{1,2})", 0)
     part = lambda i: F.regexp_extract(text, r"(?i)(?:parcela\s*)?([0-9]{1,2})\s*/\s*([0-9]{1,2})", i).cast("int")
-    return F.when(found != "", F.struct(part(1).alias("current"), part(2).alias("total")))
+    return F.when(found != "", F.named_struct(F.lit("current"), part(1), F.lit("total"), part(2)))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerloom.functions.money import relative_difference
-from ledgerloom.functions.similarity import same_merchant, text_similarity
+from ledgerloom.functions.similarity import text_similarity
 from ledgerloom.functions.text import installment
 from ledgerloom.plans.scratch import materialise
 
@@ -21,9 +23,20 @@ ROW = ["company_id", "type", "id", "date", "amount", "abs_amount", "description"
 KEYS = ["company_id", "type", "group_id"]
 
 
+def without_external_copies(rows: DataFrame) -> DataFrame:
+    """Keeps the first row, by date and id, of each company, account, source and external id; rows without one all stay."""
+    if "external_id" not in rows.columns:
+        return rows
+    source = F.coalesce(F.col("source"), F.lit("")) if "source" in rows.columns else F.lit("")
+    own = Window.partitionBy("company_id", F.coalesce("bank_account_id", F.lit("")), source, "external_id").orderBy("date", "id")
+    known = rows.where("external_id <> ''").withColumn("_n", F.row_number().over(own)).where("_n = 1").drop("_n")
+    return known.unionByName(rows.where("external_id is null or external_id = ''"))
+
+
 def without_near_copies(rows: DataFrame, threshold: float = 0.9) -> DataFrame:
-    """Leaves out exact copies, and rows whose text is nearly that of an earlier row of one account, date and cents."""
-    rows = R.without_exact_copies(rows).withColumn("_cents", F.floor(F.col("amount") * 100 + 0.5))
+    """Leaves out rows with an external id seen before, exact copies, and rows whose text is nearly that of an earlier row
+    of one account, date and cents."""
+    rows = R.without_exact_copies(without_external_copies(rows)).withColumn("_cents", F.floor(F.col("amount") * 100 + 0.5))
     keys = ["company_id", "bank_account_id", "date", "_cents"]
     side = lambda p: rows.select(*keys, *[F.col(c).alias(f"{p}{c}") for c in ("id", "tokens", "document_number", "normalized_counterparty")])
     near = side("l_").join(side("r_"), keys).where("l_id < r_id").where(text_similarity("l_", "r_") >= threshold).select(*keys, F.col("l_id").alias("first"), F.col("r_id").alias("second"))
@@ -101,10 +114,19 @@ def trimmed(members: DataFrame, rows: DataFrame, keep_track: bool = True) -> Dat
 
 
 def context_dates(groups: DataFrame, rows: DataFrame, tolerance: float = 0.35) -> DataFrame:
-    """(keys, id, date) of rows outside a group that look like its payee and amount."""
-    side = lambda frame, p, extra: frame.select("company_id", "type", *extra, *[F.col(c).alias(f"{p}{c}") for c in ("id", "date", "abs_amount", "tokens", "document_number", "normalized_counterparty")])
-    near = side(groups, "l_", ["group_id"]).join(side(rows, "r_", []), ["company_id", "type"]).where(relative_difference(F.col("l_abs_amount"), F.col("r_abs_amount")) <= tolerance)
-    found = near.where((F.col("l_id") != F.col("r_id")) & same_merchant("l_", "r_")).select(*KEYS, F.col("r_id").alias("id"), F.col("r_date").alias("date")).distinct()
+    """(keys, id, date) of rows outside a group that look like its payee and amount.
+
+    Such rows share a ground with a member (a document, a counterparty, a specific token with another or an alias group)
+    and are in its amount band or a neighbouring one, so the join is by hash on ground and band.
+    """
+    ratio = (2 + tolerance) / (2 - tolerance)
+    band = F.floor(F.log(F.greatest("abs_amount", F.lit(1e-9))) / F.lit(math.log(ratio) + 1e-9)).cast("long")
+    grounds = lambda frame: F.filter(R.row_grounds(frame), lambda g: (g["how"] == R.AT_ONCE) & ~g["ground"].startswith("v:"))["ground"]
+    members = groups.select(*KEYS, F.col("id").alias("l_id"), F.col("abs_amount").alias("l_amount"), band.alias("band"), F.explode(grounds(groups)).alias("ground"))
+    others = rows.select("company_id", "type", "id", "date", F.col("abs_amount").alias("r_amount"), F.explode(F.array(band - 1, band, band + 1)).alias("band"), grounds(rows).alias("all"))
+    others = others.select("company_id", "type", "id", "date", "r_amount", "band", F.explode("all").alias("ground"))
+    near = members.join(others, ["company_id", "type", "ground", "band"]).where(relative_difference(F.col("l_amount"), F.col("r_amount")) <= tolerance)
+    found = near.where("l_id <> id").select(*KEYS, "id", "date").distinct()
     return found.join(groups.select(*KEYS, "id"), [*KEYS, "id"], "left_anti")
 
 
@@ -195,21 +217,26 @@ def candidate_groups(rows: DataFrame) -> DataFrame:
     return R.distinct_candidates(whole.unionByName(lanes).unionByName(tracks))
 
 
-def pattern_suggestions(rows: DataFrame) -> DataFrame:
-    """Suggestions from identity candidates, each with the first pattern that it fits: instalments, monthly, weekly or
-    biweekly, frequent business."""
-    found = materialise(candidate_groups(rows).withColumn("group_id", F.col("signature")), "candidates")
-    members = found.select(*KEYS, F.explode("ids").alias("id"))
-    free = found.where(F.col("key").startswith("track:")).select(*KEYS)
-    kept = trimmed(members.join(free, KEYS, "left_anti"), rows, keep_track=False).unionByName(members.join(free, KEYS, "left_semi"))
-    groups = materialise(kept.join(rows.select(*ROW), ["company_id", "type", "id"]).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*KEYS))).where("_n >= 3").drop("_n"), "candidate-groups")
-    groups = groups.join(competing_cores(groups), KEYS, "left_anti")
-    periods = materialise(G.periodicity(groups, KEYS), "periods")
-    facts = _facts(groups).join(found.select(*KEYS, "key", "score"), KEYS).join(G.diversity(groups, KEYS), KEYS)
+def contaminated(groups: DataFrame, keys: DataFrame) -> DataFrame:
+    """Keys of single-token groups (``keys``: KEYS, key) with a second token on 60 % of their rows or more but not on all,
+    while some other row has second tokens without that one. Of such tokens the most frequent counts, then the first."""
+    core = F.regexp_extract("key", r"^token:([^|]+)(\||$)", 1)
+    cores = keys.select(*KEYS, core.alias("core")).where("core <> ''")
+    rows = groups.select(*KEYS, "id", "distinctive").join(cores, KEYS).select(*KEYS, "id", F.filter("distinctive", lambda t: t != F.col("core")).alias("second"))
+    sizes = rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"))
+    counts = rows.select(*KEYS, F.explode("second").alias("token")).groupBy(*KEYS, "token").agg(F.count(F.lit(1)).alias("k")).join(sizes, KEYS)
+    dominant = counts.where((F.col("k") >= 0.6 * F.col("n")) & (F.col("k") < F.col("n"))).groupBy(*KEYS).agg(F.min(F.struct((-F.col("k")).alias("k"), "token")).getField("token").alias("dominant"))
+    return rows.join(dominant, KEYS).where((F.size("second") > 0) & ~F.array_contains("second", F.col("dominant"))).select(*KEYS).distinct()
+
+
+def best_patterns(groups: DataFrame, periods: DataFrame) -> DataFrame:
+    """KEYS, pattern_kind, frequency, pattern, next_date of each group that fits one: the first of instalments, monthly,
+    weekly or biweekly, and frequent business. ``periods`` are the groups' periodicities."""
     plan = G.installments(groups, KEYS).select(*KEYS, F.col("score").alias("plan"))
-    monthly = periods.where(F.col("score") >= MIN_PERIOD).select(*KEYS, F.col("score").alias("monthly"), F.col("next_date").alias("m_next"))
+    monthly = periods.where(F.col("score") >= MIN_PERIOD).select(*KEYS, F.col("score").alias("monthly"), "next_date")
     short = G.short_cadence(groups, KEYS).select(*KEYS, F.col("score").alias("short"), F.col("frequency").alias("short_frequency"))
     often = G.frequent_business(groups, KEYS).select(*KEYS, F.col("score").alias("often"), F.col("kind").alias("often_kind"))
+    facts = G.amount_stability(groups, KEYS).select(*KEYS, "recurrence_type")
     for frame in (plan, monthly, short, often):
         facts = facts.join(frame, KEYS, "left")
     income = F.col("type") == "income"
@@ -219,18 +246,54 @@ def pattern_suggestions(rows: DataFrame) -> DataFrame:
         .when(F.col("short").isNotNull(), F.when(income, "recurring_income").otherwise(F.concat("short_frequency", F.lit("_recurring")))).when(F.col("often").isNotNull(), F.when(income, "recurring_income").otherwise(F.col("often_kind")))
     )
     frequency = F.when(F.col("plan").isNotNull() | F.col("monthly").isNotNull(), "monthly").when(F.col("short").isNotNull(), F.col("short_frequency")).otherwise("unknown")
-    facts = facts.withColumn("pattern_kind", kind).withColumn("frequency", frequency).withColumn("pattern", F.coalesce("plan", "monthly", "short", "often")).where("pattern_kind is not null")
+    return facts.select(*KEYS, kind.alias("pattern_kind"), frequency.alias("frequency"), F.coalesce("plan", "monthly", "short", "often").alias("pattern"), F.col("next_date").alias("m_next")).where("pattern_kind is not null")
+
+
+def on_cadence(groups: DataFrame) -> DataFrame:
+    """``groups`` with each weekly or biweekly one cut down to its dominant cadence track, where that has four rows or more."""
+    kinds = best_patterns(groups, materialise(G.periodicity(groups, KEYS), "first-periods"))
+    kinds = materialise(kinds.where(F.col("pattern_kind").isin("weekly_recurring", "biweekly_recurring")).select(*KEYS, "pattern_kind"), "cadence-kinds")
+    tracks = None
+    for kind, days in (("weekly_recurring", 7), ("biweekly_recurring", 14)):
+        track = G.cadence_track(groups.join(kinds.where(F.col("pattern_kind") == kind).select(*KEYS), KEYS, "left_semi"), KEYS, days).select(*KEYS, "id")
+        tracks = track if tracks is None else tracks.unionByName(track)
+    tracks = materialise(tracks, "cadence-tracks")
+    cut = tracks.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("k")).where("k >= 4").select(*KEYS)
+    kept = groups.join(tracks.join(cut, KEYS), [*KEYS, "id"], "left_semi")
+    return groups.join(cut, KEYS, "left_anti").unionByName(kept)
+
+
+def candidate_members(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(candidates with KEYS, key and score; their rows after trimming, without groups that hold two series)."""
+    found = materialise(candidate_groups(rows).withColumn("group_id", F.col("signature")), "candidates")
+    members = found.select(*KEYS, F.explode("ids").alias("id"))
+    free = found.where(F.col("key").startswith("track:")).select(*KEYS)
+    kept = trimmed(members.join(free, KEYS, "left_anti"), rows, keep_track=False).unionByName(members.join(free, KEYS, "left_semi"))
+    groups = materialise(kept.join(rows.select(*ROW), ["company_id", "type", "id"]).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*KEYS))).where("_n >= 3").drop("_n"), "candidate-groups")
+    return found, materialise(groups.join(competing_cores(groups), KEYS, "left_anti"), "candidate-members")
+
+
+def pattern_suggestions(rows: DataFrame) -> DataFrame:
+    """Suggestions from identity candidates, each with the first pattern that it fits: instalments, monthly, weekly or
+    biweekly, frequent business."""
+    found, groups = candidate_members(rows)
+    groups = materialise(on_cadence(groups), "cadence-groups")
+    periods = materialise(G.periodicity(groups, KEYS), "periods")
+    facts = _facts(groups).join(found.select(*KEYS, "key", "score"), KEYS).join(G.diversity(groups, KEYS), KEYS).join(best_patterns(groups, periods), KEYS)
     episodic = groups.groupBy(*KEYS).agg(F.bool_and(F.col("description").rlike(r"(?i)\b(compra|pedido|comanda|turma|reserva|acessorio|avulso|avulsos)\b")).alias("episodic"))
     facts = facts.join(episodic, KEYS).join(G.stable_identity(groups, KEYS), KEYS)
+    facts = facts.join(contaminated(groups, found).withColumn("contaminated", F.lit(True)), KEYS, "left").fillna(False, ["contaminated"])
     is_monthly, n, identity = F.col("frequency") == "monthly", F.col("n"), F.col("score")
     enough = F.when(is_monthly, n >= 4).when(F.col("pattern_kind").isin("weekly_recurring", "biweekly_recurring"), F.lit(True)).otherwise(n >= 6)
+    mixed = (F.col("text_diversity") > 0.6) | (F.col("context_diversity") > 0.75) | F.col("contaminated")
     sound = (
-        enough & ~(is_monthly & F.col("several_in_a_month")) & ~(is_monthly & F.col("episodic") & ~F.col("stable")) & ~((identity <= 0.72) & ((F.col("text_diversity") > 0.6) | (F.col("context_diversity") > 0.75)))
+        enough & ~(is_monthly & F.col("several_in_a_month")) & ~(is_monthly & F.col("episodic") & ~F.col("stable")) & ~((identity <= 0.72) & mixed)
         & ~((identity < 0.95) & (F.col("text_diversity") <= 0.25) & (F.col("context_diversity") > 0.6))
     )
     facts = facts.where((F.col("pattern_kind") == "installment") | sound)
-    rhythm = periods.withColumn("consistency", F.col("consistency"))
-    facts = facts.join(contradicted(groups.join(facts.where(is_monthly).select(*KEYS), KEYS, "left_semi"), rows, rhythm), KEYS, "left_anti")
+    # What is judged as monthly by its instalments alone has no monthly rhythm that could fall apart.
+    rhythm = groups.join(facts.where(is_monthly & F.col("m_next").isNotNull()).select(*KEYS), KEYS, "left_semi")
+    facts = facts.join(contradicted(rhythm, rows, periods), KEYS, "left_anti")
     score = G.pattern_score(F.col("pattern_kind"), F.col("pattern"), identity, F.col("amount_score"), F.col("category_score"), n)
     next_date = F.when(is_monthly, F.coalesce("m_next", F.add_months(F.array_max(F.array("start_date")), 1)))
     return _suggested(facts.withColumn("confidence", score).withColumn("next_date", next_date).where(F.col("confidence") >= MIN_SCORE))

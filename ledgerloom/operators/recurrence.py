@@ -79,7 +79,7 @@ AT_ONCE, OTHER_PART, NEAR = 0, 1, 2
 
 def _grounds(tokens: Column, specific: Column, groups: Column, document: Column, party: Column, total: Column) -> Column:
     """array of struct(ground, how): everything of a row that a linked row has to share, alone or in pairs."""
-    ground = lambda how, *parts: F.struct(F.concat(*parts).alias("ground"), F.lit(how).alias("how"))
+    ground = lambda how, *parts: F.named_struct(F.lit("ground"), F.concat(*parts), F.lit("how"), F.lit(how))
     single = F.array_compact(F.array(F.when(document.isNotNull(), ground(AT_ONCE, F.lit("d:"), document)), F.when(party.isNotNull(), ground(AT_ONCE, F.lit("c:"), party))))
     # A specific token counts with a second token or an alias group.
     both = F.flatten(F.transform(specific, lambda a: F.transform(F.filter(tokens, lambda b: b != a), lambda b: ground(AT_ONCE, F.lit("t:"), F.least(a, b), F.lit("+"), F.greatest(a, b)))))
@@ -90,6 +90,19 @@ def _grounds(tokens: Column, specific: Column, groups: Column, document: Column,
     return F.array_distinct(F.concat(*found))
 
 
+def _plan() -> Column:
+    """struct(current, total) of a row's instalments, where they make sense."""
+    plan = installment(F.col("description"))
+    return F.when((plan["current"] >= 1) & (plan["total"] >= 2) & (plan["current"] <= plan["total"]), plan)
+
+
+def row_grounds(rows: DataFrame) -> Column:
+    """What the rows of a normalised frame can share, as ``_grounds``."""
+    tokens = rows["tokens"]
+    specific = F.filter(tokens, lambda w: ~w.isin(GENERIC_TOKENS))
+    return _grounds(tokens, specific, alias_groups(tokens), digits(rows["document_number"]), rows["normalized_counterparty"], _plan()["total"])
+
+
 def link_edges(rows: DataFrame, max_months: int = 3, tolerance: float = 0.6, strict: float = 0.12) -> DataFrame:
     """(company_id, left_id, right_id): pairs that may belong to one monthly series.
 
@@ -98,12 +111,7 @@ def link_edges(rows: DataFrame, max_months: int = 3, tolerance: float = 0.6, str
     ground and a block of months, so only rows with something in common meet. Amounts within ``tolerance`` (up to 0.6) are
     in neighbouring bands, which is the other thing that a pair must share.
     """
-    tokens, plan = F.col("tokens"), installment(F.col("description"))
-    valid = F.when((plan["current"] >= 1) & (plan["total"] >= 2) & (plan["current"] <= plan["total"]), plan)
-    told = rows.select("company_id", "type", "id", "date", "abs_amount", tokens, F.filter(tokens, lambda w: ~w.isin(GENERIC_TOKENS)).alias("specific"), alias_groups(tokens).alias("groups"),
-                       digits(F.col("document_number")).alias("document"), F.col("normalized_counterparty").alias("party"), valid.alias("plan"))
-    grounds = _grounds(F.col("tokens"), F.col("specific"), F.col("groups"), F.col("document"), F.col("party"), F.col("plan.total"))
-    spread = told.select("company_id", "type", "id", "date", "abs_amount", F.col("plan.current").alias("part"), month_index(F.col("date")).alias("month"), F.explode(grounds).alias("g"))
+    spread = rows.select("company_id", "type", "id", "date", "abs_amount", _plan()["current"].alias("part"), month_index(F.col("date")).alias("month"), F.explode(row_grounds(rows)).alias("g"))
     spread = materialise(spread.select("*", "g.ground", "g.how").drop("g"), "link-grounds")
     width = max_months + 1
     side = lambda mark, block: spread.select("company_id", "type", "ground", "how", block.alias("block"), *[F.col(c).alias(mark + c) for c in ("id", "date", "abs_amount", "part", "month")])

@@ -90,9 +90,14 @@ def consolidated_suggestions(spark, sf_dir):
     return K.consolidate(suggestions(spark, sf_dir))
 
 
+def _suggestion_rows(found):
+    return found.select("suggestion_id", "company_id", "type", "pattern_kind", "frequency", "recurrence_type", "confidence", "average_amount", "representative", F.size("transaction_ids").alias("n"))
+
+
 @query()
 def detected_recurrences(spark, sf_dir):
-    """Linked-group detection over the whole ledger; iterative trimming has no SQL form."""
+    """Linked-group detection over the whole ledger; iterative trimming has no SQL form. The README says why the path over
+    identity candidates is not part of it."""
     found = E.detect_recurrences(ledger(spark, sf_dir), patterns=False)
     return found.select("suggestion_id", "company_id", "type", "frequency", "recurrence_type", "confidence", "average_amount", "representative", F.size("transaction_ids").alias("n"))
 

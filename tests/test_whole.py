@@ -97,7 +97,7 @@ def month_later(d, months):
 def test_projection_of_all_orders(spark):
     step = {"weekly": lambda d: d + timedelta(7), "biweekly": lambda d: d + timedelta(14), "monthly": lambda d: month_later(d, 1), "yearly": lambda d: month_later(d, 12)}
     today, expected, early = date(2001, 7, 15), set(), 0
-    for r in queries_reads.recurrences(spark, SF, whole=True).where("status = 'active'").collect():
+    for r in queries_reads.recurrences(spark, SF).where("status = 'active'").collect():
         d, taken, place, go = r.next_date or r.start_date, 0, 0, step.get(r.frequency)
         left = None if r.installment_count is None else max(r.installment_count - r.observed, 0)
         while d < today and go:
