@@ -161,6 +161,7 @@ def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     rows = ", ".join(f"({number}, '{label}', {words!r}, {needed})" for number, label, words, needed in template_list())
     phrases = ", ".join(f"('{label}', {phrase.split()!r})" for phrase, label in PHRASES.items())
+    longest = max(len(text.split()) for _, text in TEMPLATES)
     return rf"""
 with p(label, parts) as (values {phrases}),
 t(template, label, words, needed) as (values {rows}),
@@ -171,7 +172,11 @@ places as (
   where words[i:i + len(p.parts) - 1] = p.parts),
 base as (
   select doc_id, count(*) as n_base, min(pos) as first_word, max(pos) as last_word, list_sort(list_distinct(list(label))) as labels from places group by doc_id),
-blocks as (select doc_id, regexp_extract_all(line, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from (select doc_id, unnest(string_split(text, chr(10))) as line from d)),
+paragraphs as (select doc_id, unnest(regexp_split_to_array(text, '\n[\x00-\x20]*\n')) as part from d),
+wrapped as (select doc_id, regexp_extract_all(part, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from paragraphs where contains(part, chr(10))),
+blocks as (
+  select doc_id, regexp_extract_all(line, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from (select doc_id, unnest(string_split(part, chr(10))) as line from paragraphs)
+  union all select doc_id, words[i + 1:i + {2 * longest}] from wrapped, unnest(generate_series(0, greatest(len(words) - {longest} - 1, 0), {longest})) as g(i)),
 own as (
   select doc_id, t.label, len(list_intersect(t.words, b.words)) / len(t.words) as containment from blocks b, t
   where len(list_intersect(t.words, b.words)) >= t.needed),
