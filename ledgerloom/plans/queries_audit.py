@@ -8,6 +8,7 @@ from ledgerloom.functions import text as T
 from ledgerloom.operators import audit as A
 from ledgerloom.operators import categorize as C
 from ledgerloom.operators import consolidate as K
+from ledgerloom.operators import persist as P
 from ledgerloom.operators import detect as E
 from ledgerloom.operators import recurrence as R
 
@@ -94,6 +95,21 @@ def _suggestion_rows(found):
     return found.select("suggestion_id", "company_id", "type", "pattern_kind", "frequency", "recurrence_type", "confidence", "average_amount", "representative", F.size("transaction_ids").alias("n"))
 
 
+def _run(spark, sf_dir):
+    """The series as a run's suggestions meet those of a run before, in all states."""
+    found = suggestions(spark, sf_dir)
+    states = F.array(*map(F.lit, ("pending", "edited", "approved", "superseded", "rejected")))
+    stored = found.withColumn("status", F.get(states, F.pmod(F.xxhash64("id"), F.lit(5)).cast("int"))).withColumn("approved", F.col("status") == "approved")
+    stored = stored.withColumn("dedup_key", F.col("id")).withColumn("id", F.concat("id", F.lit("-before")))
+    return P.persisted(found, stored)
+
+
+@query()
+def persisted_suggestions(spark, sf_dir):
+    """What a run makes of stored suggestions; which of several equal ones stands for them has no short SQL form."""
+    return _run(spark, sf_dir).select("company_id", "id", "status", "change", "confidence", F.size("transaction_ids").alias("n"))
+
+
 @query()
 def detected_recurrences(spark, sf_dir):
     """Linked-group detection over the whole ledger; iterative trimming has no SQL form. The README says why the path over

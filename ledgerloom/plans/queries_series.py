@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import money as M
 from ledgerloom.functions import similarity as S
 from ledgerloom.functions import text as T
+from ledgerloom.operators import consolidate as K
 from ledgerloom.operators import recurrence as R
 from ledgerloom.operators import series as G
 
@@ -200,6 +201,14 @@ def _same_day(spark, sf_dir):
     return side("l_").join(side("r_"), ["company_id", "date"]).where("l_id < r_id")
 
 
+@query(PAIR_SQL + """ select left_id, right_id, case when len(a) > 0 and len(b) > 0 then round(len(list_intersect(a, b)) / least(len(a), len(b)), 6) else 0 end::double as overlap,
+  case when len(a) > 0 and len(b) > 0 then round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) else 0 end::double as jaccard from pairs""")
+def set_overlap(spark, sf_dir):
+    """Overlap and Jaccard coefficients of the tokens of two rows of one day."""
+    a, b = F.col("l_tokens"), F.col("r_tokens")
+    return _same_day(spark, sf_dir).select(F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id"), six(K.overlap_coefficient(a, b)).alias("overlap"), six(K.jaccard(a, b)).alias("jaccard"))
+
+
 @query(PAIR_SQL + f""", m as (select *, len(list_intersect(a, b)) as common, len(list_distinct(a || b)) as whole, list_filter(a, lambda w: length(w) >= 4) as la, list_filter(b, lambda w: length(w) >= 4) as lb, {aliases('a')} as ga, {aliases('b')} as gb from pairs)
   select left_id, right_id, round(greatest(case when whole > 0 then common / whole else 0 end, case when least(len(a), len(b)) > 0 then common / least(len(a), len(b)) * 0.85 else 0 end,
     case when len(list_intersect(la, lb)) >= 2 and len(list_intersect(la, lb)) / least(len(la), len(lb)) >= 0.66 then 0.72 else 0 end, case when list_has_any(ga, gb) then 0.35 else 0 end,
