@@ -98,6 +98,34 @@ def ranked(found: DataFrame) -> DataFrame:
     return found.select("*", place.alias("place"), (F.count(F.lit(1)).over(own) > 1).alias("has_conflict"))
 
 
+#: Fixed value: the version of the decision ladder that evaluation ids carry.
+ENGINE_VERSION = "categorization-engine-v1"
+
+
+def evaluation_ids(txns: DataFrame, rules: DataFrame, engine: str = ENGINE_VERSION) -> DataFrame:
+    """company_id, transaction_id, evaluation_id: a digest of the engine, the transaction and its company's active rules.
+
+    The same transaction under the same rules (id, version, priority, confidence, sorted by id) has the same id again, so
+    a repeated run adds nothing. The digest is of one JSON record; the list of rules is made once for each company.
+    """
+    text = lambda c: F.when(F.col(c).isNull(), "null").otherwise(F.regexp_replace(F.to_json(F.array(F.col(c).cast("string"))), r"^\[|\]$", ""))
+    number = lambda c: F.when(F.col(c).isNull(), "null").otherwise(F.regexp_replace(F.regexp_replace(F.col(c).cast("decimal(38,6)").cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", ""))
+    record = lambda **fields: F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{k}":'), v) for k, v in fields.items()]), F.lit("}"))
+    rule = record(id=text("rule_id"), version=number("version"), priority=number("priority"), confidence=number("confidence"))
+    listed = rules.where("status = 'active'").groupBy("company_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rule_id", rule.alias("json")))), lambda r: r["json"]), ",").alias("listed"))
+    day = F.concat(F.lit('"'), F.col("date").cast("string"), F.lit('T00:00:00.000Z"'))
+    transaction = record(id=text("id"), companyId=text("company_id"), date=day, description=text("description"), amount=number("amount"), type=text("type"), counterpartyName=text("counterparty_name"), documentNumber=text("document_number"))
+    whole = record(engineVersion=F.lit(f'"{engine}"'), transaction=transaction, rules=F.concat(F.lit("["), F.coalesce("listed", F.lit("")), F.lit("]")))
+    return txns.join(listed, "company_id", "left").select("company_id", F.col("id").alias("transaction_id"), F.sha2(whole, 256).alias("evaluation_id"))
+
+
+def suggestion_keys(found: DataFrame, evaluations: DataFrame) -> DataFrame:
+    """Adds evaluation_id and dedup_key (evaluation and category) to candidates, and leaves out repeated keys."""
+    keyed = found.join(evaluations, ["company_id", "transaction_id"]).withColumn("dedup_key", F.concat_ws(":", "evaluation_id", "category_id"))
+    own = Window.partitionBy("dedup_key").orderBy(F.desc("score"), "rule_id")
+    return keyed.withColumn("_n", F.row_number().over(own)).where("_n = 1").drop("_n")
+
+
 def outcomes(txns: DataFrame, rules: DataFrame, categories: DataFrame) -> DataFrame:
     """One row per transaction with the outcome of the decision ladder, in this order: already categorised, no rule,
     conflict, inactive or unknown category, type that does not fit, then high, medium or low confidence."""
