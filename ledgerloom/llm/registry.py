@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import exact_dedup, fingerprints, html_extract, license_scan, line_dedup, ngram_join, packing, sampled_pieces, token_counts, toxicity, url_filters
+from . import conversation_repair, exact_dedup, fingerprints, html_extract, license_scan, line_dedup, ngram_join, packing, sampled_pieces, token_counts, toxicity, url_filters
 
 
 def queries() -> dict:
@@ -20,6 +20,7 @@ def queries() -> dict:
         "op9_sampled_pieces": sampled_pieces.op9_sampled_pieces,
         "op10_document_fingerprints": fingerprints.op10_document_fingerprints,
         "op12_line_dedup": line_dedup.op12_line_dedup,
+        "op13_conversation_repair": conversation_repair.op13_conversation_repair,
         "pipeline": corpus_pipeline.run,
     }
 
