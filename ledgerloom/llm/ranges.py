@@ -28,7 +28,7 @@ def running(rows: DataFrame, group: str, order: list[str], sums: list[str], name
     shared files. A null group is a group.
     """
     added = ["place", *[f"run_{c}" for c in sums]]
-    schema = StructType(rows.schema.fields)
+    schema = StructType(list(rows.schema.fields))
     for c in ["part", *added]:
         schema = schema.add(c, LongType())
     schema = schema.add("edge", "boolean")
@@ -64,7 +64,9 @@ def running(rows: DataFrame, group: str, order: list[str], sums: list[str], name
     # The groups that go on: the last of each range. Both kinds are a row for each range.
     lasts = counted.groupBy("part").agg(F.max(F.struct(F.col(group).isNotNull().alias("known"), F.col(group).alias("group"), "place", *[F.col(c) for c in added[1:]])).alias("end"))
     over = Window.partitionBy("group").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    ends = counted.where("edge").groupBy("part", F.col(group).alias("group")).agg(*[F.max(F.struct("place", c)).getField(c).alias(c) for c in added]).unionByName(lasts.select("part", F.col("end.group").alias("group"), *[f"end.{c}" for c in added])).dropDuplicates(["part", "group"])
+    firsts = counted.where("edge").groupBy("part", F.col(group).alias("group")).agg(F.max(F.struct(*added)).alias("end"))
+    named = [F.col(f"end.{c}").alias(c) for c in added]
+    ends = firsts.select("part", "group", *named).unionByName(lasts.select("part", F.col("end.group").alias("group"), *named)).dropDuplicates(["part", "group"])
     before = ends.select(F.col("part").alias("_part"), F.col("group").alias("_group"), *[F.coalesce(F.sum(c).over(over), F.lit(0)).alias(f"_{c}") for c in added])
     before = materialise(before.where("_place > 0"), name + "-before")
     joined = counted.join(F.broadcast(before), (F.col("part") == F.col("_part")) & F.col(group).eqNullSafe(F.col("_group")), "left")
@@ -101,3 +103,47 @@ def sha256_of_pieces(pieces: DataFrame, keys: list[str], order: list[str], piece
     record = lambda owners, digests: pa.RecordBatch.from_arrays([*[pa.array(list(c), pa.int64() if isinstance(t.dataType, LongType) else None) for c, t in zip(zip(*owners), types.fields)], pa.array(digests)], types.names)
     # Batches end by their number of rows: pieces of some size go in few rows.
     return pieces.select(*keys, *order, piece).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(chain, types)
+
+
+def sha256_of_lists(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """``keys`` (longs) and ``sha256`` of each group's ``value`` (longs) as decimals, ascending, joined by commas.
+
+    Rows are sorted in ranges; a group within one range is done there, and of others each range makes pieces.
+    """
+    schema = StructType([f for f in rows.select(*keys).schema.fields]).add("part", "integer").add("number", "integer").add("alone", "string").add("piece", "binary")
+
+    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, now, held, size, number, first, out = TaskContext.get().partitionId(), None, [], 0, 0, True, []
+
+        def made() -> Iterator[pa.RecordBatch]:
+            if out:
+                yield pa.RecordBatch.from_arrays([*[pa.array([r[0][i] for r in out], pa.int64()) for i in range(len(keys))], *[pa.array([r[i] for r in out], t) for i, t in ((1, pa.int32()), (2, pa.int32()), (3, pa.string()), (4, pa.binary()))]], schema.names)
+            out.clear()
+
+        def end(whole: bool) -> None:
+            text = ",".join(map(str, held)).encode()
+            out.append((now, part, number, hashlib.sha256(text).hexdigest(), None) if whole else (now, part, number, None, text))
+
+        for batch in batches:
+            for *key, x in zip(*[batch.column(k).to_pylist() for k in (*keys, value)], strict=True):
+                key = tuple(key)
+                if key != now:
+                    if now is not None:
+                        end(not first and not number)
+                        first = False
+                    now, held, size, number = key, [], 0, 0
+                elif size >= PIECE_BYTES // 16:
+                    end(False)
+                    held, size, number = [], 0, number + 1
+                held.append(x)
+                size += 1
+            if len(out) > 2000:
+                yield from made()
+        if now is not None:
+            end(False)
+        yield from made()
+
+    ranged = rows.select(*keys, value).repartitionByRange(*keys, value).sortWithinPartitions(*keys, value)
+    read_rows = materialise(ranged.mapInArrow(read, schema), name)
+    whole = read_rows.where("alone is not null").select(*keys, F.col("alone").alias("sha256"))
+    return whole.unionByName(sha256_of_pieces(read_rows.where("alone is null"), keys, ["part", "number"], "piece", b","))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import conversation_repair, exact_dedup, fingerprints, html_extract, license_scan, line_dedup, ngram_join, packing, sampled_pieces, token_counts, toxicity, url_filters
+from . import conversation_repair, exact_dedup, fingerprints, html_extract, license_scan, line_dedup, ngram_join, packing, prefix_trie, sampled_pieces, token_counts, toxicity, url_filters
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op8_token_counts": token_counts.op8_token_counts,
         "op9_sampled_pieces": sampled_pieces.op9_sampled_pieces,
         "op10_document_fingerprints": fingerprints.op10_document_fingerprints,
+        "op11_prefix_trie": prefix_trie.op11_prefix_trie,
         "op12_line_dedup": line_dedup.op12_line_dedup,
         "op13_conversation_repair": conversation_repair.op13_conversation_repair,
         "pipeline": corpus_pipeline.run,
@@ -30,5 +31,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_exact_dedup": exact_dedup.SQL,
         "op2_url_filters": url_filters.SQL,
         "op4_license_scans": license_scan.SQL,
+        "op11_prefix_trie": prefix_trie.SQL,
         "op12_line_dedup": line_dedup.SQL,
     }
