@@ -11,18 +11,29 @@ from pyspark.sql.window import Window
 
 from ledgerloom.functions.money import relative_difference
 from ledgerloom.functions.similarity import text_similarity
-from ledgerloom.functions.text import installment
+from ledgerloom.functions.text import context_shape, installment
 from ledgerloom.plans.scratch import materialise
 
 from . import recurrence as R
 from . import series as G
+from .trimming import WEAK_TEXT, on_monthly_track, without_outliers
 
-MIN_PERIOD, MIN_SCORE, WEAK_TEXT = 0.55, 60, 0.35
-#: Columns of a row that the stages need.
-ROW = ["company_id", "type", "id", "date", "amount", "abs_amount", "description", "normalized_description", "normalized_counterparty", "document_number", "tokens", "distinctive", "category_id"]
+MIN_PERIOD, MIN_SCORE = 0.55, 60
+#: Words of descriptions of single purchases: fixed values.
+EPISODIC = r"(?i)\b(compra|pedido|comanda|turma|reserva|acessorio|avulso|avulsos)\b"
+#: Columns of a row that groups carry; what is longer is joined where it is needed.
+ROW = ["company_id", "type", "id", "date", "amount", "abs_amount", "normalized_description", "normalized_counterparty", "document_number", "distinctive", "category_id", "total", "shape", "marked", "episodic"]
 KEYS = ["company_id", "type", "group_id"]
 
 
+def detection_rows(txns: DataFrame) -> DataFrame:
+    """Normalised rows without copies, with what groups ask of each description: ``total`` of its instalments, a hash of its
+    ``shape``, whether it is ``marked`` with n/m and names a single purchase (``episodic``)."""
+    rows = without_near_copies(R.normalized_rows(txns))
+    text = F.col("description")
+    return rows.withColumns({"total": installment(text)["total"], "shape": F.xxhash64(context_shape(text)), "marked": text.rlike(r"[0-9]{1,2}\s*/\s*[0-9]{1,2}"), "episodic": text.rlike(EPISODIC)})
+
+
 def without_external_copies(rows: DataFrame) -> DataFrame:
     """Keeps the first row, by date and id, of each company, account, source and external id; rows without one all stay."""
     if "external_id" not in rows.columns:
@@ -51,68 +62,6 @@ def without_near_copies(rows: DataFrame, threshold: float = 0.9) -> DataFrame:
     return rows.join(near.groupBy(*keys).applyInPandas(greedy, "id string"), "id", "left_anti").drop("_cents")
 
 
-def _period(dates: list) -> tuple[float, float]:
-    """(score, ratio of monthly gaps) of distinct dates, for trimming; the same rule as ``series.periodicity``."""
-    days = sorted(set(dates))
-    if len(days) < 2:
-        return 0.0, 0.0
-    last = lambda d: (d + pd.Timedelta(days=1)).month != d.month
-    evidence, first_is_monthly = 0.0, False
-    for a, b in zip(days, days[1:]):
-        months, gap = (b.year - a.year) * 12 + b.month - a.month, (b - a).days
-        monthly = 25 <= gap <= 35 or (months == 1 and abs(a.day - b.day) <= 5)
-        evidence += 1.0 if monthly else 0.75 if 2 <= months <= 3 and (a.day == b.day or (last(a) and last(b))) else 0.0
-        first_is_monthly = monthly
-    ratio = evidence / (len(days) - 1)
-    middle = sorted(d.day for d in days)[len(days) // 2]
-    score = 0.7 * ratio + 0.3 * min(1.0, max(0.0, 1 - sum(abs(d.day - middle) for d in days) / len(days) / 5))
-    return (min(score, 0.62 if first_is_monthly else 0.2) if len(days) == 2 else score), ratio
-
-
-def trimmed(members: DataFrame, rows: DataFrame, keep_track: bool = True) -> DataFrame:
-    """Members (keys, id) of groups after trimming.
-
-    While four rows or more are left, the row with a mean text similarity under 0.35 whose loss raises the period score
-    most, and by 0.1 at least, goes; then, with ``keep_track``, rows off the dominant day of the month. Similarities are
-    computed as a join; only ids, dates and the mean similarities reach the loop.
-    """
-    own = members.join(rows.select("id", "date", "tokens", "document_number", "normalized_counterparty"), "id")
-    side = lambda p: own.select(*KEYS, *[F.col(c).alias(f"{p}{c}") for c in ("id", "tokens", "document_number", "normalized_counterparty")])
-    big = own.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*KEYS)))
-    pairs = side("l_").join(side("r_"), KEYS).where("l_id <> r_id").select(*KEYS, F.col("l_id").alias("id"), F.struct(F.col("r_id").alias("other"), text_similarity("l_", "r_").alias("s")).alias("p"))
-    texts = pairs.groupBy(*KEYS, "id").agg(F.collect_list("p").alias("pairs"))
-    ready = big.where("_n >= 4").select(*KEYS, "id", "date").join(texts, [*KEYS, "id"])
-
-    def trim(group: pd.DataFrame) -> pd.DataFrame:
-        dates = dict(zip(group["id"], pd.to_datetime(group["date"])))
-        like = {i: {p["other"]: p["s"] for p in ps} for i, ps in zip(group["id"], group["pairs"])}
-        left = sorted(dates, key=lambda i: (dates[i], i))
-        while len(left) >= 4:
-            base = _period([dates[i] for i in left])[0]
-            gains = []
-            for i in left:
-                others = [j for j in left if j != i]
-                gain = _period([dates[j] for j in others])[0] - base
-                if sum(like[i][j] for j in others) / len(others) < WEAK_TEXT and gain >= 0.1:
-                    gains.append((-gain, left.index(i)))
-            if not gains:
-                break
-            left.pop(min(gains)[1])
-        if keep_track and len(left) >= 5:
-            ends = {i: (dates[i] + pd.Timedelta(days=1)).month != dates[i].month for i in left}
-            near = lambda a, b, t: (ends[a] and ends[b]) or abs(dates[a].day - dates[b].day) <= t
-            core = max(([j for j in left if near(i, j, 1)] for i in left), key=len)
-            if len(core) >= 3 and len(core) >= 0.6 * len(left):
-                kept = [j for j in left if near(core[0], j, 2)]
-                if 3 <= len(kept) < len(left) and _period([dates[j] for j in kept])[0] >= _period([dates[j] for j in left])[0]:
-                    left = kept
-        first = group.iloc[0]
-        return pd.DataFrame({**{k: [first[k]] * len(left) for k in KEYS}, "id": left})
-
-    small = big.where("_n < 4").select(*KEYS, "id")
-    return small.unionByName(ready.groupBy(*KEYS).applyInPandas(trim, "company_id string, type string, group_id string, id string"))
-
-
 def context_dates(groups: DataFrame, rows: DataFrame, tolerance: float = 0.35) -> DataFrame:
     """(keys, id, date) of rows outside a group that look like its payee and amount.
 
@@ -136,10 +85,10 @@ def contradicted(groups: DataFrame, rows: DataFrame, periods: DataFrame) -> Data
     Strong groups (four rows or more, score 0.9, day 0.8), groups with ``n/m`` in a description and groups with one
     document or counterparty are never contradicted.
     """
-    sizes = groups.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("description").rlike(r"[0-9]{1,2}\s*/\s*[0-9]{1,2}")).alias("marked"))
+    sizes = groups.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.bool_or("marked").alias("marked"))
     facts = sizes.join(periods.select(*KEYS, "score", "ratio", "consistency"), KEYS).join(G.stable_identity(groups, KEYS), KEYS)
     open_ = facts.where(~((F.col("n") >= 4) & (F.col("score") >= 0.9) & (F.col("consistency") >= 0.8)) & ~F.col("marked") & ~F.col("stable"))
-    doubtful = groups.join(open_.select(*KEYS), KEYS)
+    doubtful = groups.select(*KEYS, "id").join(open_.select(*KEYS), KEYS).join(rows, ["company_id", "type", "id"])
     outside = context_dates(doubtful, rows)
     expanded = G.periodicity(doubtful.select(*KEYS, "date").unionByName(outside.select(*KEYS, "date")), KEYS).select(*KEYS, F.col("score").alias("x_score"), F.col("ratio").alias("x_ratio"))
     counted = outside.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("outside"))
@@ -148,27 +97,47 @@ def contradicted(groups: DataFrame, rows: DataFrame, periods: DataFrame) -> Data
     return judged.where(F.when(F.col("n") == 2, (drop >= 0.04) & (F.col("x_ratio") < F.col("ratio"))).otherwise((F.col("outside") >= 2) & (F.col("x_score") < MIN_PERIOD) & (drop >= 0.25))).select(*KEYS)
 
 
-def group_similarity(groups: DataFrame) -> DataFrame:
-    """Mean text similarity over all pairs of a group; 0 for a single row."""
-    side = lambda p: groups.select(*KEYS, *[F.col(c).alias(f"{p}{c}") for c in ("id", "tokens", "document_number", "normalized_counterparty")])
-    pairs = side("l_").join(side("r_"), KEYS).where("l_id < r_id")
-    return pairs.groupBy(*KEYS).agg(F.avg(text_similarity("l_", "r_")).alias("text"))
+def group_similarity(members: DataFrame, rows: DataFrame) -> DataFrame:
+    """Mean, least and greatest text similarity over all pairs of rows of a group (KEYS, id); 0 for a single row.
+
+    Rows of equal tokens, document and counterparty are one profile: pairs are made of profiles and weighed by how many
+    pairs of rows they stand for, so a group of copies costs as much as one row.
+    """
+    profile = ["tokens", "document_number", "normalized_counterparty"]
+    own = members.join(rows.select("id", *profile), "id").groupBy(*KEYS, *profile).agg(F.count(F.lit(1)).alias("k"))
+    own = own.withColumn("mark", F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in profile]))
+    side = lambda p: own.select(*KEYS, *[F.col(c).alias(f"{p}{c}") for c in (*profile, "k", "mark")])
+    across = side("l_").join(side("r_"), KEYS).where("l_mark < r_mark").select(*KEYS, (F.col("l_k") * F.col("r_k")).alias("w"), text_similarity("l_", "r_").alias("s"))
+    twin = own.select(*KEYS, *[F.col(c).alias(f"{p}{c}") for p in ("l_", "r_") for c in (*profile, "k")]).where("l_k > 1")
+    within = twin.select(*KEYS, F.expr("l_k * (l_k - 1) div 2").alias("w"), text_similarity("l_", "r_").alias("s"))
+    grouped = across.unionByName(within).groupBy(*KEYS).agg((F.sum(F.col("w") * F.col("s")) / F.sum("w")).alias("text"), F.min("s").alias("least_text"), F.max("s").alias("most_text"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+    return own.select(*KEYS).distinct().join(grouped, KEYS, "left").select(*KEYS, zero("text"), zero("least_text"), zero("most_text"))
 
 
 def modal_installments(groups: DataFrame) -> DataFrame:
     """The most frequent m of ``n/m`` in a group's descriptions; ties go to the one that comes first."""
-    marked = groups.withColumn("total", installment(F.col("description"))["total"]).where("total is not null")
+    marked = groups.where("total is not null")
     each = marked.groupBy(*KEYS, "total").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("date", "id")).alias("first"))
     best = each.groupBy(*KEYS).agg(F.min(F.struct((-F.col("k")).alias("k"), "first", "total")).alias("b"))
     return best.select(*KEYS, F.col("b.total").alias("installments")).where("installments > 0")
 
 
-def _facts(groups: DataFrame) -> DataFrame:
-    stable = G.amount_stability(groups, KEYS)
-    whole = stable.join(G.category_consistency(groups, KEYS), KEYS).join(G.several_in_a_month(groups, KEYS), KEYS).join(modal_installments(groups), KEYS, "left")
-    ids = groups.groupBy(*KEYS).agg(F.transform(F.array_sort(F.collect_list(F.struct("date", "id"))), lambda x: x["id"]).alias("transaction_ids"), F.min("date").alias("start_date"))
-    named = G.representative(groups, KEYS).join(groups.select("id", F.col("description").alias("representative")).distinct(), "id").drop("id")
-    return whole.join(ids, KEYS).join(named, KEYS)
+def merged(*frames: DataFrame) -> DataFrame:
+    """One row for each group (KEYS) with the columns of all ``frames``, which have a row for a group at most; null where one
+    has none. A union and one aggregation: a chain of joins would sort every frame at once in one task."""
+    types = {c: t for f in frames for c, t in f.dtypes if c not in KEYS}
+    parts = [f.select(*KEYS, *[F.col(c) if c in f.columns else F.lit(None).cast(t).alias(c) for c, t in types.items()]) for f in frames]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole.groupBy(*KEYS).agg(*[F.first(c, ignorenulls=True).alias(c) for c in types])
+
+
+def _facts(groups: DataFrame, rows: DataFrame) -> list[DataFrame]:
+    ids = groups.groupBy(*KEYS).agg(F.transform(F.array_sort(F.collect_list(F.struct("date", "id"))), lambda x: x["id"]).alias("transaction_ids"), F.min("date").alias("start_date"), F.max("date").alias("last_date"))
+    named = G.representative(groups, KEYS).join(rows.select("id", F.col("description").alias("representative")), "id").drop("id")
+    return [G.amount_stability(groups, KEYS), G.category_consistency(groups, KEYS), G.several_in_a_month(groups, KEYS), modal_installments(groups), ids, named]
 
 
 def _suggested(facts: DataFrame) -> DataFrame:
@@ -181,13 +150,13 @@ def _suggested(facts: DataFrame) -> DataFrame:
 
 def linked_suggestions(rows: DataFrame) -> DataFrame:
     """Suggestions from groups of linked rows (``rows`` are normalised and without copies)."""
-    parts = R.linked_groups(R.link_edges(rows)).join(rows.select(*ROW), "id")
+    parts = R.linked_groups(R.link_edges(rows)).join(rows.select("company_id", "type", "id", "document_number", "normalized_counterparty"), "id")
     split = R.split_by_identity(parts).withColumn("group_id", F.concat_ws("#", "component", "part"))
-    kept = trimmed(split.select(*KEYS, "id"), rows)
+    kept = on_monthly_track(without_outliers(split.select(*KEYS, "id"), rows, KEYS), rows, KEYS)
     groups = materialise(kept.join(rows.select(*ROW), ["company_id", "type", "id"]).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*KEYS))).where("_n >= 2").drop("_n"), "linked-groups")
     periods = materialise(G.periodicity(groups, KEYS).where(F.col("score") >= MIN_PERIOD), "periods")
     alive = groups.join(periods.select(*KEYS), KEYS, "left_semi")
-    facts = _facts(alive).join(periods.select(*KEYS, F.col("score").alias("period"), "frequency", "next_date"), KEYS).join(group_similarity(alive), KEYS)
+    facts = materialise(merged(*_facts(alive, rows), periods.select(*KEYS, F.col("score").alias("period"), "frequency", "next_date"), group_similarity(alive.select(*KEYS, "id"), rows)).where("n is not null"), "linked-facts")
     facts = facts.where(~F.col("several_in_a_month") | F.col("installments").isNotNull()).where(~((F.col("variation_percent") > 100) & (F.col("text") < WEAK_TEXT)))
     facts = facts.join(contradicted(alive, rows, periods), KEYS, "left_anti")
     score = G.legacy_score(F.col("period"), F.col("text"), F.col("amount_score"), F.col("category_score"), F.col("n"))
@@ -196,25 +165,55 @@ def linked_suggestions(rows: DataFrame) -> DataFrame:
 
 def competing_cores(groups: DataFrame) -> DataFrame:
     """Keys of groups of four rows or more that hold two series: two tokens on disjoint rows, on 70 % of them together,
-    apart in amount (each steady) or by six days of the month."""
-    sized = groups.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy(*KEYS))).where("size >= 4")
-    each = sized.select(*KEYS, "size", "id", "abs_amount", F.day("date").alias("day"), F.explode("distinctive").alias("token"))
-    cores = each.groupBy(*KEYS, "size", "token").agg(F.count(F.lit(1)).alias("k"), F.collect_set("id").alias("ids"), F.avg("abs_amount").alias("mean"), F.stddev_pop("abs_amount").alias("deviation"), F.avg("day").alias("day"))
-    cores = cores.where((F.col("k") >= 2) & (F.col("k") <= 0.7 * F.col("size")))
-    side = lambda p: cores.select(*KEYS, "size", *[F.col(c).alias(f"{p}{c}") for c in ("token", "k", "ids", "mean", "deviation", "day")])
-    pairs = side("l_").join(side("r_"), [*KEYS, "size"]).where("l_token < r_token").where(~F.arrays_overlap("l_ids", "r_ids") & (F.col("l_k") + F.col("r_k") >= 0.7 * F.col("size")))
+    apart in amount (each steady) or by six days of the month.
+
+    One of two such tokens is on 35 % of the rows or more, and a group has few of those; only they meet the others.
+    """
+    sized = groups.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("size")).where("size >= 4")
+    each = groups.select(*KEYS, "id", "abs_amount", F.day("date").alias("day"), F.explode("distinctive").alias("token"))
+    cores = each.groupBy(*KEYS, "token").agg(F.count(F.lit(1)).alias("k"), F.avg("abs_amount").alias("mean"), F.stddev_pop("abs_amount").alias("deviation"), F.avg("day").alias("day"))
+    cores = materialise(cores.join(sized, KEYS).where((F.col("k") >= 2) & (F.col("k") <= 0.7 * F.col("size"))), "cores")
+    side = lambda p: cores.select(*KEYS, *[F.col(c).alias(f"{p}{c}") for c in ("token", "k", "mean", "deviation", "day", "size")])
+    pairs = side("l_").where("l_k >= 0.35 * l_size").join(side("r_"), KEYS).where("l_token <> r_token and l_k + r_k >= 0.7 * l_size and l_k >= r_k")
     steady = lambda p: F.when(F.col(f"{p}mean") == 0, 0.0).otherwise(F.col(f"{p}deviation") / F.col(f"{p}mean")) <= 0.25
     apart = steady("l_") & steady("r_") & (relative_difference(F.col("l_mean"), F.col("r_mean")) >= 0.25)
-    return pairs.where(apart | (F.abs(F.col("l_day") - F.col("r_day")) >= 6)).select(*KEYS).distinct()
+    rivals = materialise(pairs.where(apart | (F.abs(F.col("l_day") - F.col("r_day")) >= 6)).select(*KEYS, "l_token", "r_token"), "rival-cores")
+    # Rivals that some row has both of are no rivals.
+    met = groups.select(*KEYS, "distinctive").join(rivals, KEYS).where(F.array_contains("distinctive", F.col("l_token")) & F.array_contains("distinctive", F.col("r_token")))
+    return rivals.join(met.select(*KEYS, "l_token", "r_token").distinct(), [*KEYS, "l_token", "r_token"], "left_anti").select(*KEYS).distinct()
+
 
+def identity_candidates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(candidates: KEYS, key and score; members: KEYS, id) of identity groups, their lanes and income tracks.
 
-def candidate_groups(rows: DataFrame) -> DataFrame:
-    """(company_id, type, key, score, ids): identity groups, their lanes and income tracks, one for each set of rows."""
+    A candidate is told by sums of its rows' hashes, so equal sets are found, and one of each chosen (highest score, then
+    smallest key), before any list of rows is made. A day has one lane in a group, and so has an amount, whatever the
+    number of rows that have it.
+    """
+    keys = ["company_id", "type", "key"]
     named = R.identity_groups(rows)
-    whole = named.groupBy("company_id", "type", "key", "score").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    lanes = R.lanes(named.join(rows.select("id", "date", "abs_amount"), "id")).withColumn("key", F.concat_ws("|", "key", "lane", "anchor_id")).drop("lane", "anchor_id")
-    tracks = R.income_tracks(rows).select("company_id", F.lit("income").alias("type"), F.concat(F.lit("track:"), "anchor_id").alias("key"), F.lit(0.68).alias("score"), "ids")
-    return R.distinct_candidates(whole.unionByName(lanes).unionByName(tracks))
+    sizes = named.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    sized = materialise(named.join(sizes, keys).join(rows.select("id", "date", "abs_amount"), "id"), "identity-rows")
+    large = sized.where(F.col("n") >= R.LEAST_LANE)
+    by_lane = {"day": R.day_lanes(large, keys), "amount": R.amount_lanes(large, keys)}
+    by_lane = {lane: frame.withColumn("anchor", F.col("anchor").cast("double")) for lane, frame in by_lane.items()}
+    tracks = materialise(R.income_track_rows(rows), "income-tracks")
+    none = F.lit(None).cast("double").alias("anchor")
+    found = sized.groupBy(*keys, "score", F.lit("").alias("lane"), none).agg(F.count(F.lit(1)).alias("m"), *R.set_hash(F.col("id")))
+    for lane, frame in by_lane.items():
+        each = frame.groupBy(*keys, "score", "n", F.lit(lane).alias("lane"), "anchor").agg(F.count(F.lit(1)).alias("m"), *R.set_hash(F.col("id")))
+        found = found.unionByName(each.where((F.col("m") >= 3) & (F.col("m") < F.col("n"))).drop("n"))
+    each = tracks.groupBy("company_id", F.lit("income").alias("type"), F.concat(F.lit("track:"), "anchor_id").alias("key"), F.lit(0.68).alias("score"), F.lit("track").alias("lane"), none)
+    found = found.unionByName(each.agg(F.count(F.lit(1)).alias("m"), *R.set_hash(F.col("id"))))
+    best = found.groupBy("company_id", "h1", "h2", "m").agg(F.min(F.struct((-F.col("score")).alias("worse"), "key", "lane", "anchor", "type")).alias("b"))
+    chosen = materialise(best.select("company_id", "b.type", F.concat_ws("-", "h1", "h2", "m").alias("group_id"), "b.key", (-F.col("b.worse")).alias("score"), "b.lane", "b.anchor"), "candidates")
+    of = lambda lane: chosen.where(F.col("lane") == lane).select(*keys, "anchor", "group_id")
+    members = sized.select(*keys, "id").join(of("").drop("anchor"), keys)
+    for lane, frame in by_lane.items():
+        members = members.unionByName(frame.select(*keys, "anchor", "id").join(of(lane), [*keys, "anchor"]).drop("anchor"))
+    track = tracks.select("company_id", F.lit("income").alias("type"), F.concat(F.lit("track:"), "anchor_id").alias("key"), "id")
+    members = members.unionByName(track.join(of("track").drop("anchor"), keys))
+    return chosen.select(*KEYS, "key", "score"), members.select(*KEYS, "id")
 
 
 def contaminated(groups: DataFrame, keys: DataFrame) -> DataFrame:
@@ -232,44 +231,50 @@ def contaminated(groups: DataFrame, keys: DataFrame) -> DataFrame:
 def best_patterns(groups: DataFrame, periods: DataFrame) -> DataFrame:
     """KEYS, pattern_kind, frequency, pattern, next_date of each group that fits one: the first of instalments, monthly,
     weekly or biweekly, and frequent business. ``periods`` are the groups' periodicities."""
-    plan = G.installments(groups, KEYS).select(*KEYS, F.col("score").alias("plan"))
-    monthly = periods.where(F.col("score") >= MIN_PERIOD).select(*KEYS, F.col("score").alias("monthly"), "next_date")
+    plan = G.installments(groups, KEYS, F.col("total")).select(*KEYS, F.col("score").alias("plan"))
+    monthly = periods.where(F.col("score") >= MIN_PERIOD).select(*KEYS, F.col("score").alias("monthly"), F.col("next_date").alias("m_next"), F.col("frequency").alias("m_frequency"))
     short = G.short_cadence(groups, KEYS).select(*KEYS, F.col("score").alias("short"), F.col("frequency").alias("short_frequency"))
     often = G.frequent_business(groups, KEYS).select(*KEYS, F.col("score").alias("often"), F.col("kind").alias("often_kind"))
-    facts = G.amount_stability(groups, KEYS).select(*KEYS, "recurrence_type")
-    for frame in (plan, monthly, short, often):
-        facts = facts.join(frame, KEYS, "left")
+    facts = merged(G.amount_stability(groups, KEYS).select(*KEYS, F.col("recurrence_type").alias("steady")), plan, monthly, short, often)
     income = F.col("type") == "income"
-    fixed = F.when(F.col("recurrence_type") == "fixed", "monthly_fixed").otherwise("monthly_variable")
+    fixed = F.when(F.col("steady") == "fixed", "monthly_fixed").otherwise("monthly_variable")
     kind = (
         F.when(F.col("plan").isNotNull(), "installment").when(F.col("monthly").isNotNull(), F.when(income, "recurring_income").otherwise(fixed))
         .when(F.col("short").isNotNull(), F.when(income, "recurring_income").otherwise(F.concat("short_frequency", F.lit("_recurring")))).when(F.col("often").isNotNull(), F.when(income, "recurring_income").otherwise(F.col("often_kind")))
     )
-    frequency = F.when(F.col("plan").isNotNull() | F.col("monthly").isNotNull(), "monthly").when(F.col("short").isNotNull(), F.col("short_frequency")).otherwise("unknown")
-    return facts.select(*KEYS, kind.alias("pattern_kind"), frequency.alias("frequency"), F.coalesce("plan", "monthly", "short", "often").alias("pattern"), F.col("next_date").alias("m_next")).where("pattern_kind is not null")
+    # A monthly score may stand on the day of the month alone; the frequency also asks for half of the gaps.
+    frequency = F.when(F.col("plan").isNotNull(), "monthly").when(F.col("monthly").isNotNull(), F.col("m_frequency")).when(F.col("short").isNotNull(), F.col("short_frequency")).otherwise("unknown")
+    return facts.select(*KEYS, kind.alias("pattern_kind"), frequency.alias("frequency"), F.coalesce("plan", "monthly", "short", "often").alias("pattern"), "m_next").where("pattern_kind is not null")
 
 
-def on_cadence(groups: DataFrame) -> DataFrame:
-    """``groups`` with each weekly or biweekly one cut down to its dominant cadence track, where that has four rows or more."""
-    kinds = best_patterns(groups, materialise(G.periodicity(groups, KEYS), "first-periods"))
-    kinds = materialise(kinds.where(F.col("pattern_kind").isin("weekly_recurring", "biweekly_recurring")).select(*KEYS, "pattern_kind"), "cadence-kinds")
-    tracks = None
+def on_cadence(groups: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(groups with each weekly or biweekly one cut down to its dominant cadence track, where that has four rows or more;
+    their periodicities; their patterns). Only groups that were cut are judged again."""
+    periods = materialise(G.periodicity(groups, KEYS), "periods")
+    kinds = materialise(best_patterns(groups, periods), "patterns")
+    parts = []
     for kind, days in (("weekly_recurring", 7), ("biweekly_recurring", 14)):
-        track = G.cadence_track(groups.join(kinds.where(F.col("pattern_kind") == kind).select(*KEYS), KEYS, "left_semi"), KEYS, days).select(*KEYS, "id")
-        tracks = track if tracks is None else tracks.unionByName(track)
-    tracks = materialise(tracks, "cadence-tracks")
-    cut = tracks.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("k")).where("k >= 4").select(*KEYS)
-    kept = groups.join(tracks.join(cut, KEYS), [*KEYS, "id"], "left_semi")
-    return groups.join(cut, KEYS, "left_anti").unionByName(kept)
+        own = groups.join(kinds.where(F.col("pattern_kind") == kind).select(*KEYS), KEYS, "left_semi")
+        track = G.cadence_track(own, KEYS, days)
+        sizes = track.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("k")).join(own.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")), KEYS)
+        parts.append(track.join(sizes.where("k >= 4 and k < n").select(*KEYS), KEYS, "left_semi"))
+    cut = materialise(parts[0].unionByName(parts[1]), "cadence-tracks")
+    changed = cut.select(*KEYS).distinct()
+    if not cut.limit(1).count():
+        return groups, periods, kinds
+    again = materialise(G.periodicity(cut, KEYS), "periods-again")
+    rest = lambda frame: frame.join(changed, KEYS, "left_anti")
+    return rest(groups).unionByName(cut.select(*groups.columns)), rest(periods).unionByName(again), rest(kinds).unionByName(best_patterns(cut, again))
 
 
 def candidate_members(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(candidates with KEYS, key and score; their rows after trimming, without groups that hold two series)."""
-    found = materialise(candidate_groups(rows).withColumn("group_id", F.col("signature")), "candidates")
-    members = found.select(*KEYS, F.explode("ids").alias("id"))
+    found, members = identity_candidates(rows)
+    members = materialise(members, "candidate-ids")
     free = found.where(F.col("key").startswith("track:")).select(*KEYS)
-    kept = trimmed(members.join(free, KEYS, "left_anti"), rows, keep_track=False).unionByName(members.join(free, KEYS, "left_semi"))
-    groups = materialise(kept.join(rows.select(*ROW), ["company_id", "type", "id"]).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*KEYS))).where("_n >= 3").drop("_n"), "candidate-groups")
+    kept = without_outliers(members.join(free, KEYS, "left_anti"), rows, KEYS).unionByName(members.join(free, KEYS, "left_semi"))
+    sizes = kept.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n")).where("_n >= 3").drop("_n")
+    groups = materialise(kept.join(sizes, KEYS).join(rows.select(*ROW), ["company_id", "type", "id"]), "candidate-groups")
     return found, materialise(groups.join(competing_cores(groups), KEYS, "left_anti"), "candidate-members")
 
 
@@ -277,12 +282,11 @@ def pattern_suggestions(rows: DataFrame) -> DataFrame:
     """Suggestions from identity candidates, each with the first pattern that it fits: instalments, monthly, weekly or
     biweekly, frequent business."""
     found, groups = candidate_members(rows)
-    groups = materialise(on_cadence(groups), "cadence-groups")
-    periods = materialise(G.periodicity(groups, KEYS), "periods")
-    facts = _facts(groups).join(found.select(*KEYS, "key", "score"), KEYS).join(G.diversity(groups, KEYS), KEYS).join(best_patterns(groups, periods), KEYS)
-    episodic = groups.groupBy(*KEYS).agg(F.bool_and(F.col("description").rlike(r"(?i)\b(compra|pedido|comanda|turma|reserva|acessorio|avulso|avulsos)\b")).alias("episodic"))
-    facts = facts.join(episodic, KEYS).join(G.stable_identity(groups, KEYS), KEYS)
-    facts = facts.join(contaminated(groups, found).withColumn("contaminated", F.lit(True)), KEYS, "left").fillna(False, ["contaminated"])
+    groups, periods, kinds = on_cadence(groups)
+    episodic = groups.groupBy(*KEYS).agg(F.bool_and("episodic").alias("episodic"))
+    mixed_up = contaminated(groups, found).withColumn("contaminated", F.lit(True))
+    facts = merged(*_facts(groups, rows), found.select(*KEYS, "score"), G.diversity(groups, KEYS, shape=F.col("shape")), kinds, episodic, G.stable_identity(groups, KEYS), mixed_up)
+    facts = materialise(facts.where("n is not null and pattern_kind is not null").fillna(False, ["contaminated"]), "candidate-facts")
     is_monthly, n, identity = F.col("frequency") == "monthly", F.col("n"), F.col("score")
     enough = F.when(is_monthly, n >= 4).when(F.col("pattern_kind").isin("weekly_recurring", "biweekly_recurring"), F.lit(True)).otherwise(n >= 6)
     mixed = (F.col("text_diversity") > 0.6) | (F.col("context_diversity") > 0.75) | F.col("contaminated")
@@ -295,7 +299,7 @@ def pattern_suggestions(rows: DataFrame) -> DataFrame:
     rhythm = groups.join(facts.where(is_monthly & F.col("m_next").isNotNull()).select(*KEYS), KEYS, "left_semi")
     facts = facts.join(contradicted(rhythm, rows, periods), KEYS, "left_anti")
     score = G.pattern_score(F.col("pattern_kind"), F.col("pattern"), identity, F.col("amount_score"), F.col("category_score"), n)
-    next_date = F.when(is_monthly, F.coalesce("m_next", F.add_months(F.array_max(F.array("start_date")), 1)))
+    next_date = F.when(is_monthly, F.add_months("last_date", 1))
     return _suggested(facts.withColumn("confidence", score).withColumn("next_date", next_date).where(F.col("confidence") >= MIN_SCORE))
 
 
@@ -316,7 +320,7 @@ def suggestion_id(company: Column, ids: Column) -> Column:
 
 def detect_recurrences(txns: DataFrame, patterns: bool = True) -> DataFrame:
     """Suggested recurrences of every company, with ids, kind, confidence and the rows of each."""
-    rows = materialise(without_near_copies(R.normalized_rows(txns)), "clean-rows")
+    rows = materialise(detection_rows(txns), "clean-rows")
     found = linked_suggestions(rows)
     if patterns:
         found = found.unionByName(pattern_suggestions(rows))

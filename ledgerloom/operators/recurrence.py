@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -142,38 +144,74 @@ def split_by_identity(rows: DataFrame, key: str = "component") -> DataFrame:
     return rows.withColumn("part", F.when(by_document, document).when(whole(party) & several(party), party).otherwise(""))
 
 
+#: Amounts whose difference is within 35 % of their mean are in one band of their logarithm or in neighbouring ones.
+LANE_RATIO = 2.35 / 1.65
+LEAST_LANE = 5
+
+
+def _amount_band(amount: Column) -> Column:
+    return F.floor(F.log(F.greatest(amount, F.lit(1e-9))) / F.lit(math.log(LANE_RATIO) + 1e-9)).cast("long")
+
+
+def day_lanes(sized: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, anchor, id, ...): for each day of the month that a group has, its rows within three days of it."""
+    days = sized.where("date is not null").withColumn("_day", F.day("date"))
+    anchors = days.select(*keys, F.col("_day").alias("anchor")).distinct()
+    near = days.withColumn("anchor", F.explode(F.sequence(F.col("_day") - 3, F.col("_day") + 3))).drop("_day")
+    return near.join(anchors, [*keys, "anchor"], "left_semi")
+
+
+def amount_lanes(sized: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, anchor, id, ...): for each amount that a group has, its rows within 35 % of it."""
+    rows = sized.where("abs_amount is not null")
+    anchors = rows.select(*keys, F.col("abs_amount").alias("anchor")).distinct()
+    anchors = anchors.withColumn("_band", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: _amount_band(F.col("anchor")) + i)))
+    near = rows.withColumn("_band", _amount_band(F.col("abs_amount"))).join(anchors, [*keys, "_band"])
+    return near.where(relative_difference(F.col("abs_amount"), F.col("anchor")) <= 0.35).drop("_band")
+
+
 def lanes(members: DataFrame) -> DataFrame:
     """Sub-series of identity groups of five rows or more: around each row, the rows within three days of the month, and
     those within 35 % of its amount; three rows or more and not the whole group. ``members``: company_id, type, key,
     score, id, date, abs_amount."""
     keys = ["company_id", "type", "key"]
-    sized = members.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).where("n >= 5")
-    # A frame over the sorted rows holds what is near each of them. Amounts within 35 % differ by 0.3537 at most in their
-    # logarithm; its whole thousandths give a frame that holds them all, and the filter is exact.
-    days = Window.partitionBy(*keys).orderBy("_day").rangeBetween(-3, 3)
-    amounts = Window.partitionBy(*keys).orderBy("_log").rangeBetween(-355, 355)
-    near_amount = F.filter(F.col("_near"), lambda x: relative_difference(x["abs_amount"], F.col("abs_amount")) <= 0.35)
-    day = sized.where("date is not null").withColumn("_day", F.day("date")).withColumn("ids", F.collect_list("id").over(days)).withColumn("lane", F.lit("day"))
-    amount = sized.where("abs_amount is not null").withColumn("_log", F.floor(F.log(F.greatest("abs_amount", F.lit(1e-9))) * 1000).cast("long"))
-    amount = amount.withColumn("_near", F.collect_list(F.struct("abs_amount", "id")).over(amounts)).withColumn("ids", near_amount["id"]).withColumn("lane", F.lit("amount"))
-    cols = [*keys, "score", "n", "lane", F.col("id").alias("anchor_id")]
-    # Rows that share an id are one anchor.
-    each = [lane.groupBy(*cols).agg(F.array_sort(F.flatten(F.collect_list("ids"))).alias("ids")) for lane in (day, amount)]
-    return each[0].unionByName(each[1]).where((F.size("ids") >= 3) & (F.size("ids") < F.col("n"))).select(*keys, "score", "lane", "anchor_id", "ids")
-
-
-def income_tracks(rows: DataFrame) -> DataFrame:
-    """For each income row, the best row of every month within two days of the month and 55 % of the amount; four months
-    or more. The best has the most frequent description, then the nearest amount, then comes first."""
+    sized = members.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).where(F.col("n") >= LEAST_LANE)
+    cols = [*keys, "score", "n"]
+    found = []
+    for lane, frame, own in (("day", day_lanes(sized, keys), F.day("date")), ("amount", amount_lanes(sized, keys), F.col("abs_amount"))):
+        # Rows with one day, or one amount, have one lane; it is gathered once.
+        ids = frame.groupBy(*cols, "anchor").agg(F.array_sort(F.collect_list("id")).alias("ids")).where((F.size("ids") >= 3) & (F.size("ids") < F.col("n")))
+        anchors = sized.select(*keys, F.col("id").alias("anchor_id"), own.alias("anchor")).distinct()
+        found.append(anchors.join(ids, [*keys, "anchor"]).select(*keys, "score", F.lit(lane).alias("lane"), "anchor_id", "ids"))
+    return found[0].unionByName(found[1])
+
+
+def income_track_rows(rows: DataFrame) -> DataFrame:
+    """(company_id, anchor_id, id): for each income row, the best row of every month within two days of the month and 55 %
+    of the amount; four months or more. The best has the most frequent description, then the nearest amount, then comes
+    first."""
     income = rows.where("type = 'income'").select("company_id", "id", "date", "abs_amount", "normalized_description")
     # Days of the month that differ by two at most share a key when one side is copied to its five neighbours.
     anchors = income.select("company_id", F.col("id").alias("anchor_id"), F.explode(F.sequence(F.day("date") - 2, F.day("date") + 2)).alias("day"), F.col("abs_amount").alias("a_amount"))
     near = income.withColumn("day", F.day("date")).join(anchors, ["company_id", "day"]).where(relative_difference(F.col("abs_amount"), F.col("a_amount")) <= 0.55)
-    frequency = F.count(F.lit(1)).over(Window.partitionBy("anchor_id", "normalized_description"))
-    near = near.withColumn("frequency", frequency)
-    order = Window.partitionBy("anchor_id", F.trunc("date", "MM")).orderBy(F.desc("frequency"), relative_difference(F.col("abs_amount"), F.col("a_amount")), "date", "id")
-    best = near.withColumn("place", F.row_number().over(order)).where("place = 1")
-    return best.groupBy("company_id", "anchor_id").agg(F.array_sort(F.collect_list("id")).alias("ids")).where(F.size("ids") >= 4)
+    # Months, descriptions and the row of each: what is counted and compared is small before anything is sorted.
+    counts = near.groupBy("company_id", "anchor_id", "normalized_description").agg(F.count(F.lit(1)).alias("frequency"))
+    near = near.join(counts.withColumnRenamed("normalized_description", "_text"), (near.company_id == counts.company_id) & (near.anchor_id == counts.anchor_id) & near.normalized_description.eqNullSafe(F.col("_text"))).drop(counts.company_id).drop(counts.anchor_id)
+    order = F.struct((-F.col("frequency")).alias("f"), relative_difference(F.col("abs_amount"), F.col("a_amount")).alias("d"), "date", "id")
+    best = near.groupBy("company_id", "anchor_id", F.trunc("date", "MM").alias("month")).agg(F.min(order).getField("id").alias("id"))
+    big = best.groupBy("company_id", "anchor_id").count().where("count >= 4").drop("count")
+    return best.join(big, ["company_id", "anchor_id"]).select("company_id", "anchor_id", "id")
+
+
+def income_tracks(rows: DataFrame) -> DataFrame:
+    """The tracks of ``income_track_rows`` with their sorted ids."""
+    return income_track_rows(rows).groupBy("company_id", "anchor_id").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+
+
+def set_hash(ids: Column) -> list[Column]:
+    """Two sums of 38 bits of each id: what a set of rows is told by, whatever their order. Sums of parts add up."""
+    bits = lambda x: F.shiftrightunsigned(x, 26)
+    return [F.sum(bits(F.xxhash64(ids))).alias("h1"), F.sum(bits(F.xxhash64(ids, F.lit("second")))).alias("h2")]
 
 
 def distinct_candidates(found: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -114,9 +112,9 @@ def frequent_business(rows: DataFrame, keys: list[str]) -> DataFrame:
     return grouped.select(*keys, "n_dates", "months", "median_gap", "gap_ratio", F.when(m <= 35, "frequent_supplier").otherwise("irregular_business_recurring").alias("kind"), score.alias("score"))
 
 
-def installments(rows: DataFrame, keys: list[str]) -> DataFrame:
+def installments(rows: DataFrame, keys: list[str], total: Column | None = None) -> DataFrame:
     """Groups in which every description has ``n/m`` and two rows or more share the most frequent total."""
-    marked = rows.withColumn("total", installment(F.col("description"))["total"])
+    marked = rows.withColumn("total", installment(F.col("description"))["total"] if total is None else total)
     each = marked.groupBy(*keys, "total").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("date", "id")).alias("first"))
     best = each.where("total is not null").groupBy(*keys).agg(F.min(F.struct((-F.col("k")).alias("k"), "first", "total")).alias("b"), F.sum("k").alias("marked"))
     total = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
@@ -130,10 +128,10 @@ def representative(rows: DataFrame, keys: list[str], text: str = "normalized_des
     return best.select(*keys, F.col("b.first.id").alias("id"), F.col(f"b.{text}").alias(text))
 
 
-def diversity(rows: DataFrame, keys: list[str], text: str = "normalized_description") -> DataFrame:
+def diversity(rows: DataFrame, keys: list[str], text: str = "normalized_description", shape: Column | None = None) -> DataFrame:
     """Distinct texts, and distinct shapes of the raw description, over rows."""
     share = lambda c: F.count_distinct(c) / F.count(F.lit(1))
-    return rows.groupBy(*keys).agg(share(F.col(text)).alias("text_diversity"), share(context_shape(F.col("description"))).alias("context_diversity"))
+    return rows.groupBy(*keys).agg(share(F.col(text)).alias("text_diversity"), share(context_shape(F.col("description")) if shape is None else shape).alias("context_diversity"))
 
 
 def several_in_a_month(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -147,12 +145,17 @@ def stable_identity(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def cadence_track(rows: DataFrame, keys: list[str], days: int) -> DataFrame:
-    """The largest set of rows that keep a rhythm of ``days`` (two days either way) with one of them; ties: first anchor."""
-    anchors = rows.select(*keys, F.col("id").alias("anchor_id"), F.col("date").alias("anchor"))
-    off = F.abs(F.datediff("date", "anchor")) % days
-    near = rows.join(anchors, keys).where((off <= 2) | (days - off <= 2))
-    sizes = near.groupBy(*keys, "anchor", "anchor_id").agg(F.count(F.lit(1)).alias("k"))
-    best = sizes.groupBy(*keys).agg(F.min(F.struct((-F.col("k")).alias("k"), "anchor", "anchor_id")).alias("b")).select(*keys, F.col("b.anchor").alias("anchor"))
-    same = reduce(lambda a, b: a & b, [F.col(f"r.{k}") == F.col(f"b.{k}") for k in keys])
-    off = F.abs(F.datediff("r.date", "b.anchor")) % days
-    return rows.alias("r").join(best.alias("b"), same & ((off <= 2) | (days - off <= 2))).select("r.*")
+    """The largest set of rows that keep a rhythm of ``days`` (two days either way) with one of them; ties: first anchor.
+
+    Rows keep a rhythm when their day numbers modulo ``days`` are near on the circle, so a group is judged by its histogram
+    of ``days`` entries: the track is the best window of five of them around one that has rows.
+    """
+    residue = F.pmod(F.datediff("date", F.lit("1970-01-01").cast("date")), F.lit(days))
+    placed = rows.withColumn("_residue", residue)
+    each = placed.groupBy(*keys, "_residue").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("date", "id")).alias("first"))
+    window = F.transform(F.array(*[F.lit(i) for i in range(-2, 3)]), lambda i: F.struct(F.pmod(F.col("_residue") + i, F.lit(days)).alias("anchor"), (i == 0).alias("own")))
+    spread = each.select(*keys, "k", "first", F.inline(window))
+    sizes = spread.groupBy(*keys, "anchor").agg(F.sum("k").alias("k"), F.min(F.when(F.col("own"), F.col("first"))).alias("first")).where("first is not null")
+    best = sizes.groupBy(*keys).agg(F.min(F.struct((-F.col("k")).alias("k"), "first", "anchor")).alias("b"))
+    kept = best.select(*keys, F.explode(F.transform(F.array(*[F.lit(i) for i in range(-2, 3)]), lambda i: F.pmod(F.col("b.anchor") + i, F.lit(days)))).alias("_residue"))
+    return placed.join(kept, [*keys, "_residue"], "left_semi").drop("_residue").select(*rows.columns)

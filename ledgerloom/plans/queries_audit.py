@@ -112,9 +112,9 @@ def persisted_suggestions(spark, sf_dir):
 
 @query()
 def detected_recurrences(spark, sf_dir):
-    """Linked-group detection over the whole ledger; iterative trimming has no SQL form. The README says why the path over
-    identity candidates is not part of it."""
-    found = E.detect_recurrences(ledger(spark, sf_dir), patterns=False)
+    """Detection over the whole ledger, by linked groups and by identity candidates; iterative trimming has no SQL form, so
+    a test holds it against a plain version."""
+    found = E.detect_recurrences(ledger(spark, sf_dir))
     return found.select("suggestion_id", "company_id", "type", "frequency", "recurrence_type", "confidence", "average_amount", "representative", F.size("transaction_ids").alias("n"))
 
 
