@@ -30,7 +30,7 @@ def extract(source: str, paths: list[str]) -> tuple[str, str]:
     """(text, path) under the first of ``paths`` that the page has with text, else under the page's own best container."""
     page = Page(source)
     for path in paths:
-        chosen = [n for n in page.nodes if not n.dropped and n.chars and page.path(n) == path]
+        chosen = page.at(path)
         blocks = page.text_under(chosen) if chosen else []
         if blocks:
             return "\n\n".join(blocks), path

@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 #: Elements whose content is text of another kind, up to their end tag.
 RAW = frozenset("script style noscript template textarea title iframe svg xmp".split())
@@ -88,30 +88,53 @@ def _tokens(source: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
             yield start, at, tag, ending, source[name.end() : at - 1]
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
+    """An element. What depends on those above it is handed down when it is made or once the page is read, so that nothing
+    climbs up a deep page again and again."""
+
     tag: str
     name: str
     parent: Node | None
     dropped: bool
-    blocks: list = field(default_factory=list)
-    score: float = 0.0
-    link_chars: int = 0
-    links: int = 0
-    chars: int = 0
     #: Whether paragraphs of the same parent come before it, and whether it has paragraphs so far.
     after_text: bool = False
     has_text: bool = False
+    score: float = 0.0
+    chars: int = 0
+    link_chars: int = 0
+    links: int = 0
+    #: Kept text at or under it.
+    kept_chars: int = 0
+    #: The nearest container at or above it, and the nearest article or main element above it.
+    near: Node | None = None
+    article: Node | None = None
+    #: Whether it, or an element between it and the next container, comes after paragraphs.
+    text_above: bool = False
+    in_menu: bool = False
+    #: A hash of the path of containers down to it.
+    path_key: int = 0
+
+    def __post_init__(self) -> None:
+        up, inside = self.parent, self.tag in CONTAINERS
+        self.near = self if inside or up is None else up.near
+        self.article = None if up is None else up if up.tag in ("article", "main") else up.article
+        self.text_above = not inside and up is not None and (self.after_text or up.text_above)
+        self.path_key = 0 if up is None else path_key(up.path_key, self.name) if inside else up.path_key
+
+
+def path_key(above: int, name: str) -> int:
+    return hash((above, name))
 
 
-def _is_marked(names: list[str]) -> bool:
+def _is_marked(names: list[str], in_article: bool) -> bool:
     for name in names:
         parts = [p for p in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()) if len(p) > 1]
         if NEGATING.intersection(parts):
             continue
         if MARKS.intersection(parts) and all(p in MARKS or p in BESIDE for p in parts):
             return True
-        if parts and parts[-1] in WHOLE and (len(parts) == 1 or parts[-2] in ("site", "page", "top", "global", "main")):
+        if not in_article and parts and parts[-1] in WHOLE and (len(parts) == 1 or parts[-2] in ("site", "page", "top", "global", "main")):
             return True
     return False
 
@@ -122,17 +145,24 @@ def general_name(tag: str, names: list[str]) -> str:
     return f"{tag}.{kind}" if kind else tag
 
 
+#: A container gives way to the one around it when it holds no more than this share of its text (half where that is the
+#: whole page), or when another one of its name beside it has at least this part of its own text.
+MOST, MOST_OF_PAGE, ALIKE = 3 / 4, 1 / 2, 1 / 4
+
+
 class Page:
     """A parsed page: ``nodes`` are its elements other than inline ones, ``blocks`` its (node, text) in page order."""
 
     def __init__(self, source: str):
-        self.nodes: list[Node] = []
+        self.root = root = Node("", "", None, False)
+        self.nodes: list[Node] = [root]
         self.blocks: list[tuple[Node, str]] = []
-        self._lists: list[tuple[Node, int]] = []
-        root = Node("", "", None, False)
         stack: list[Node] = [root]
+        #: The places in the stack of each tag's open elements, and of those that end tags of others don't close.
+        open_: dict[str, list[int]] = {}
+        walls: list[int] = [0]
         text: list[str] = []
-        links = [0]
+        links = 0
         in_link = False
         owner = root
         position = 0
@@ -143,19 +173,16 @@ class Page:
                 joined = " ".join(html.unescape("".join(text)).split())
                 if joined:
                     self.blocks.append((owner, joined))
-                    owner.blocks.append(joined)
-                    node, chars = owner, len(joined)
-                    while node is not None:
-                        node.chars += chars
-                        node.link_chars += min(links[0], chars)
-                        node = node.parent
+                    owner.chars += len(joined)
+                    owner.link_chars += min(links, len(joined))
                 text.clear()
-            links = [0]
+            links = 0
 
-        def close(to: int):
-            flush()
-            while len(stack) > to:
-                stack.pop()
+        def pop():
+            gone = stack.pop()
+            open_[gone.tag].pop()
+            if walls[-1] == len(stack):
+                walls.pop()
 
         for start, end, tag, ending, attributes in _tokens(source):
             if start > position:
@@ -163,18 +190,14 @@ class Page:
                 piece = source[position:start]
                 text.append(piece)
                 if in_link:
-                    links[0] += len(piece)
+                    links += len(piece)
             position = end
             if tag is None:
                 continue
             if tag in INLINE:
                 if tag == "a":
                     in_link = not ending
-                    if in_link:
-                        node = stack[-1]
-                        while node is not None:
-                            node.links += 1
-                            node = node.parent
+                    stack[-1].links += in_link
                 continue
             if tag == "br" or tag == "wbr":
                 text.append(" " if tag == "br" else "")
@@ -186,32 +209,49 @@ class Page:
             flush()
             in_link = False
             if ending:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth].tag == tag:
-                        close(depth)
-                        break
-                    if stack[depth].tag in KEPT_WHOLE and tag not in KEPT_WHOLE:
-                        break
+                places = open_.get(tag)
+                if places and (tag in KEPT_WHOLE or places[-1] > walls[-1]):
+                    depth = places[-1]
+                    while len(stack) > depth:
+                        pop()
                 continue
             # An open paragraph ends where a block begins; list items, rows and cells end where the next one begins.
             while len(stack) > 1 and (stack[-1].tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6") or (stack[-1].tag == tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option"))):
-                stack.pop()
+                pop()
             names = []
             for attribute in _ATTRIBUTE.finditer(attributes):
                 value = attribute[2] or attribute[3] or attribute[4] or ""
                 names += value.split() if attribute[1].lower() != "id" else [value]
             parent = stack[-1]
-            dropped = parent.dropped or tag in DROPPED or (tag not in KEPT_WHOLE and bool(names) and _is_marked(names))
-            node = Node(tag, general_name(tag, names), parent, dropped, after_text=parent.has_text)
+            in_article = parent.article is not None or parent.tag in ("article", "main")
+            # The header of an article is part of it.
+            of_page = tag in DROPPED and not (tag == "header" and in_article)
+            dropped = parent.dropped or of_page or (tag not in KEPT_WHOLE and bool(names) and _is_marked(names, in_article))
+            node = Node(tag, general_name(tag, names), parent, dropped, parent.has_text)
             parent.has_text = parent.has_text or tag == "p"
             self.nodes.append(node)
             if not attributes.rstrip().endswith("/"):
+                open_.setdefault(tag, []).append(len(stack))
+                if tag in KEPT_WHOLE:
+                    walls.append(len(stack))
                 stack.append(node)
         if position < len(source):
             owner = stack[-1]
             text.append(source[position:])
         flush()
-        self.root = root
+        for node in reversed(self.nodes):
+            if node.parent is not None:
+                node.parent.chars += node.chars
+                node.parent.link_chars += node.link_chars
+                node.parent.links += node.links
+        for node in self.nodes:
+            node.in_menu = (node.parent is not None and node.parent.in_menu) or self.is_menu(node)
+        for node, block in self.blocks:
+            if self.kept(node):
+                node.kept_chars += len(block)
+        for node in reversed(self.nodes):
+            if node.parent is not None:
+                node.parent.kept_chars += node.kept_chars
 
     def path(self, node: Node) -> str:
         steps = []
@@ -221,67 +261,59 @@ class Page:
             node = node.parent
         return "/".join(reversed(steps))
 
+    def at(self, path: str) -> list[Node]:
+        """The elements with text at a path of containers."""
+        key = 0
+        for name in path.split("/"):
+            key = path_key(key, name)
+        return [n for n in self.nodes if n.path_key == key and n.near is n and not n.dropped and n.chars]
+
     def is_menu(self, node: Node) -> bool:
         """Whether a list or table holds little but links and stands by itself: neither in an article nor after a
         paragraph of the same container, as a list of sources would."""
         if not (node.tag in ("ul", "ol", "dl", "table") and node.links >= 3 and node.link_chars >= 0.8 * node.chars):
             return False
-        place = node.parent
-        while place is not None and place.tag not in CONTAINERS and place.tag:
-            if place.after_text:
-                return False
-            place = place.parent
-        if place is not None and place.tag not in ("body", "html", "") and node.after_text:
+        if node.parent.text_above or node.article is not None:
             return False
-        while place is not None:
-            if place.tag in ("article", "main"):
-                return False
-            place = place.parent
-        return True
+        place = node.parent.near
+        return not (place.tag not in ("body", "html", "") and node.after_text)
 
     def kept(self, node: Node) -> bool:
-        if node.dropped:
-            return False
-        while node is not None:
-            if self.is_menu(node):
-                return False
-            node = node.parent
-        return True
-
-    def container(self, node: Node) -> Node | None:
-        """The nearest container at or above ``node``; the page itself where there is none."""
-        while node is not None and node.tag not in CONTAINERS:
-            node = node.parent
-        return node or self.root
+        return not node.dropped and not node.in_menu
 
     def best(self) -> tuple[Node | None, float]:
-        """The container with the most text of its own: a block counts for its container, and half for the one above."""
+        """The container with the most text of its own, and those around it as long as it is a part of them: a block counts
+        for its container, and half for the one above."""
         found: dict[int, Node] = {}
         for node, text in self.blocks:
             if self.kept(node):
-                first = self.container(node)
-                for share, place in ((1.0, first), (0.5, self.container(first.parent))):
+                first = node.near
+                for share, place in ((1.0, first), (0.5, first.parent.near if first.parent is not None else self.root)):
                     place.score += share * len(text) * (2.0 if place.tag == "article" else 1.5 if place.tag == "main" else 1.0)
                     found[id(place)] = place
         if not found:
             return None, 0.0
         top = max(found.values(), key=lambda n: n.score)
-        node = top.parent
-        while node is not None:
-            if node.tag in ("article", "main"):
-                top, node = node, None
-            else:
-                node = node.parent
-        return top, max(top.score, 1.0)
+        score = max(top.score, 1.0)
+        if top.tag in ("article", "main") or top.article is not None:
+            return top.article or top, score
+        alike: dict[tuple[int, str], list[int]] = {}
+        for node in self.nodes:
+            if node.near is node and node.parent is not None and node.kept_chars:
+                alike.setdefault((id(node.parent.near), node.name), []).append(node.kept_chars)
+        while top.parent is not None:
+            around = top.parent.near
+            whole = around.tag in ("body", "html", "")
+            beside = sorted(alike.get((id(around), top.name), []))[-2:]
+            several = len(beside) > 1 and beside[0] >= ALIKE * top.kept_chars
+            if top.tag in ("body", "html") or not (several or top.kept_chars <= (MOST_OF_PAGE if whole else MOST) * around.kept_chars):
+                break
+            top = around
+        return top, score
 
     def text_under(self, chosen: list[Node]) -> list[str]:
-        ids = {id(n) for n in chosen}
-        out = []
-        for node, text in self.blocks:
-            if not self.kept(node):
-                continue
-            while node is not None and id(node) not in ids:
-                node = node.parent
-            if node is not None:
-                out.append(text)
-        return out
+        under = {id(n) for n in chosen}
+        for node in self.nodes:
+            if id(node.parent) in under:
+                under.add(id(node))
+        return [text for node, text in self.blocks if id(node) in under and self.kept(node)]
