@@ -8,9 +8,10 @@ from pyspark.sql.window import Window
 
 from .common import materialise, text_of
 
-#: Equality lanes of 32 bits, and likeness lanes of 16 bits.
+#: Equality lanes and likeness lanes, both of 32 bits. A likeness lane counts up and down by one for each pair of words, so
+#: it does not wrap in any text that a row can hold.
 SUM_LANES, SKETCH_LANES = 8, 64
-SUM_BASE, SKETCH_BASE = 1 << 32, 1 << 16
+SUM_BASE = SKETCH_BASE = 1 << 32
 #: Runs of other than white space are cut into pieces of so many characters for likeness.
 PIECE_CHARS = 8
 #: Ids are ordered with null before all others.
@@ -52,9 +53,8 @@ def _reduced(copies: Column) -> tuple[Column, Column]:
 
 
 def fingerprint_text(sums: Column, lanes: Column) -> Column:
-    """Both arrays in hexadecimal: 8 digits an equality lane, 4 a likeness lane."""
-    digits = lambda width: lambda x: F.lpad(F.lower(F.hex(x)), width, "0")
-    return F.concat(F.array_join(F.transform(sums, digits(8)), ""), F.array_join(F.transform(lanes, digits(4)), ""))
+    """Both arrays in hexadecimal, 8 digits a lane."""
+    return F.array_join(F.transform(F.concat(sums, lanes), lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
 
 
 def combine(left: Column, right: Column, base: int, sign: int = 1) -> Column:
