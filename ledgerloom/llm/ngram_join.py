@@ -314,6 +314,7 @@ def _searched(percent: int):
             for block, visiting, id_, component, shingles in zip(*columns, batch.column("shingles")):
                 if block != here:
                     links += index.inner_links() if index else []
+                    index = None  # let it go before the next one grows
                     index, here = BlockIndex(percent), block
                 found = np.frombuffer(shingles.as_buffer() or b"", np.uint64)
                 if visiting:

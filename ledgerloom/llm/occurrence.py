@@ -7,7 +7,7 @@ import numpy as np
 #: How many candidates are compared at a time: the best one, then more.
 CHUNKS = (1, 8, 64, 512)
 #: Binary probes made at once.
-PROBES = 2_000_000
+PROBES = 500_000
 
 
 def least_overlap(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -50,11 +50,12 @@ class BlockIndex:
         self.starts = np.append(np.flatnonzero(new), len(tokens))
         self.lengths = np.diff(self.starts)
         self.tokens = tokens[new]
-        number = np.cumsum(new) - 1
-        self.lists = np.empty(len(tokens), np.int64)
+        # A block has far fewer than 2 ** 31 tokens.
+        number = np.cumsum(new, dtype=np.int32) - np.int32(1)
+        self.lists = np.empty(len(tokens), np.int32)
         self.lists[order] = number
-        self.members = np.repeat(np.arange(len(self.ids)), self.sizes)[order]
-        self.places = number * max(1, len(self.ids)) + self.members
+        self.members = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.sizes)[order]
+        self.places = number.astype(np.int64) * max(1, len(self.ids)) + self.members
         self._labels: dict[int, int] = {}
         self._merged: dict[int, int] = {}
         self.labels = np.array([self._label(c) for c in self._given], np.int64)
@@ -79,7 +80,7 @@ class BlockIndex:
         found = np.zeros(len(candidates), np.int64)
         step = max(1, PROBES // max(1, len(candidates)))
         for start in range(0, len(lists), step):
-            wanted = (lists[start : start + step, None] * len(self.ids) + candidates).ravel()
+            wanted = (lists[start : start + step, None].astype(np.int64) * len(self.ids) + candidates).ravel()
             place = np.minimum(np.searchsorted(self.places, wanted), len(self.places) - 1)
             found += (self.places[place] == wanted).reshape(-1, len(candidates)).sum(axis=0)
         return found
