@@ -39,23 +39,34 @@ def count_by(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), key)
 
 
-def mine_rules(rows: DataFrame, purity: float = 0.9, least: int = 3, months: int = 3) -> DataFrame:
-    """Keys of categorised rows that point to one category: (rule_type, value, category_id, n, months, purity, general).
-
-    ``rows``: counterparty_name, document_number, family, amount, category_id, date. ``n`` and ``months`` count the rows of
-    the dominant category, the most frequent one, then the first by name. A key is general when they are ``least`` rows or
-    more in ``months`` months or more, and ``purity`` of its rows at least.
-    """
+def rule_keys(rows: DataFrame, *more: str) -> DataFrame:
+    """(rule_type, value, category_id, more): what rules of each type could compare, for each categorised row."""
     party = F.coalesce("counterparty_name", F.lit(""))
     kinds = {
         "document_equals": F.col("document_number"), "counterparty_contains": party, "description_contains": F.col("family"),
         "counterparty_and_amount_range": F.when(party != "", F.concat(party, F.lit("|"), amount_band(F.col("amount")))),
     }
     keys = F.explode(F.array(*[F.struct(F.lit(k).alias("rule_type"), c.alias("value")) for k, c in kinds.items()]))
-    each = rows.where((F.col("category_id") != "") & (F.col("category_id") != UNCATEGORISED)).select("category_id", F.trunc("date", "MM").alias("month"), keys.alias("k"))
-    each = each.select("category_id", "month", "k.*").where("value <> ''")
+    each = rows.where((F.col("category_id") != "") & (F.col("category_id") != UNCATEGORISED)).select("category_id", *more, keys.alias("k"))
+    return each.select("k.*", "category_id", *more).where("value <> ''")
+
+
+def dominant_categories(rows: DataFrame) -> DataFrame:
+    """(rule_type, value, all, b): for each key its number of rows and, of its most frequent category, the first by name of
+    several, category_id, n and months."""
+    each = rule_keys(rows.withColumn("month", F.trunc("date", "MM")), "month")
     counted = each.groupBy("rule_type", "value", "category_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("month").alias("months"))
-    best = counted.groupBy("rule_type", "value").agg(F.sum("n").alias("all"), F.min(F.struct((-F.col("n")).alias("order"), "category_id", "n", "months")).alias("b"))
+    return counted.groupBy("rule_type", "value").agg(F.sum("n").alias("all"), F.min(F.struct((-F.col("n")).alias("order"), "category_id", "n", "months")).alias("b"))
+
+
+def mine_rules(rows: DataFrame, purity: float = 0.9, least: int = 3, months: int = 3) -> DataFrame:
+    """Keys of categorised rows that point to one category: (rule_type, value, category_id, n, months, purity, general).
+
+    ``rows``: counterparty_name, document_number, family, amount, category_id, date. ``n`` and ``months`` count the rows of
+    the dominant category, the most frequent one, then the first by name. A key is general when they are ``least`` rows or
+    more in ``months`` months or more, and ``purity`` of its rows at least.
+    """
+    best = dominant_categories(rows)
     share = F.col("b.n") / F.col("all")
     general = (share >= purity) & (F.col("b.n") >= least) & (F.col("b.months") >= months)
     return best.select("rule_type", "value", "b.category_id", "b.n", "b.months", share.alias("purity"), general.alias("general"))
@@ -257,22 +268,6 @@ def link_records(stored: DataFrame, truth: DataFrame) -> DataFrame:
     return alone.unionByName(chosen)
 
 
-def set_cover(covers: DataFrame, goal: float = 0.8, most: int | None = None) -> list[tuple[str, int]]:
-    """Greedy cover of rows by keys: (key, rows it adds) until ``goal`` of all rows are covered, or ``most`` keys are taken where it is given.
-
-    ``covers``: (key, id). Each step is an aggregation over what is not covered yet; the driver sees one key a step.
-    """
-    total, done, chosen, left = covers.select("id").distinct().count(), 0, [], covers
-    while done < goal * total and (most is None or len(chosen) < most):
-        best = left.groupBy("key").agg(F.count_distinct("id").alias("n")).orderBy(F.desc("n"), "key").first()
-        if best is None:
-            break
-        chosen.append((best["key"], best["n"]))
-        done += best["n"]
-        left = left.join(left.where(F.col("key") == best["key"]).select("id").distinct(), "id", "left_anti")
-    return chosen
-
-
 def partition_cover(rows: DataFrame, goal: float = 0.8) -> DataFrame:
     """The greedy cover where each row has one key: (key, n) by falling n, then key, until ``goal`` of all rows is reached.
 

@@ -171,6 +171,23 @@ def summary(decided: DataFrame) -> DataFrame:
     )
 
 
+#: Names of the conditions of a rule.
+TEXT_CONDITIONS, NUMBER_CONDITIONS = ("description", "counterparty", "document"), ("minAmount", "maxAmount")
+
+
+def guarded_conditions(rules: DataFrame, conditions: str = "conditions") -> DataFrame:
+    """``rules`` with a column for each condition of their JSON object: a text counts only where it is a string that is not
+    blank, as it is; a number only where it is a number. Anything else, and text that is no JSON object, is null."""
+    root = F.try_parse_json(F.col(conditions))
+    kind = lambda x: F.schema_of_variant(x)
+    at = lambda name: F.try_variant_get(root, f"$.{name}", "variant")
+    blank = lambda x: F.trim(F.translate(x, "\t\n\x0b\x0c\r", "     ")) == ""
+    text = lambda name: F.try_variant_get(root, f"$.{name}", "string")
+    texts = {name: F.when((kind(at(name)) == "STRING") & ~blank(text(name)), text(name)) for name in TEXT_CONDITIONS}
+    numbers = {name: F.when(kind(at(name)).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(root, f"$.{name}", "double")) for name in NUMBER_CONDITIONS}
+    return rules.select("*", *[c.alias(f"condition_{name}") for name, c in {**texts, **numbers}.items()])
+
+
 def exploded_rules(rules: DataFrame) -> DataFrame:
     """A rule whose value lists alternatives with ``|`` as one rule for each."""
     return rules.select(*[c for c in rules.columns if c != "value"], F.posexplode(F.split("value", r"\|")).alias("alternative", "value")).where(F.trim("value") != "")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,8 +66,13 @@ def described(suggestions: DataFrame) -> DataFrame:
     )
 
 
-def same_identity(l: str, r: str) -> Column:  # noqa: E741
-    x, y = lambda c: F.col(f"{l}{c}"), lambda c: F.col(f"{r}{c}")
+def side_of(side: str | Callable[[str], Column]) -> Callable[[str], Column]:
+    """The columns of one of two suggestions: a prefix of columns, or a function that gives them."""
+    return side if callable(side) else lambda c: F.col(f"{side}{c}")
+
+
+def same_identity(l: str | Callable, r: str | Callable) -> Column:  # noqa: E741
+    x, y = side_of(l), side_of(r)
     words = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
     contained = overlap_coefficient(words(x("economy")), words(y("economy"))) >= 0.8
     return (x("recurrence_type") == y("recurrence_type")) & ((x("economy") == y("economy")) | contained) & amounts_fit(x("average_amount"), y("average_amount"), x("variation_percent"), y("variation_percent"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,10 +17,10 @@ FIELDS = ["frequency", "recurrence_type", "pattern_kind", "installment_count", "
 URGENT = 85
 
 
-def is_better(a: str, b: str) -> Column:
-    """Whether the suggestion with prefix ``a`` is of higher quality than the one with ``b``: rows decide between two of
+def is_better(a: str | Callable, b: str | Callable) -> Column:
+    """Whether suggestion ``a`` (a prefix, or a function that gives its columns) is of higher quality than ``b``: rows decide between two of
     one series with near confidences, confidence between families or where it differs much, else rows, confidence, span."""
-    x, y = lambda c: F.col(f"{a}{c}"), lambda c: F.col(f"{b}{c}")
+    x, y = K.side_of(a), K.side_of(b)
     rows, confidence = F.size(x("transaction_ids")) - F.size(y("transaction_ids")), x("confidence") - y("confidence")
     phases = ~x("family").isin("monthly", "installment") | F.coalesce(K.phase_distance(x("phase"), y("phase")) <= 5, F.lit(True))
     series = (x("family") == y("family")) & K.same_identity(a, b) & phases
@@ -34,7 +36,7 @@ def persisted(found: DataFrame, stored: DataFrame) -> DataFrame:
     ``found``: suggestions as ``consolidate.described`` takes them. ``stored``: the same columns, status, approved and
     dedup_key. A found suggestion meets the stored ones (pending, edited, approved, superseded) of its company, type and
     accounts that are equivalent to it. Of these the approved one stands for it, else an edited one, else one that is not
-    superseded, else the one with most rows, confidence and the smallest id. It gains the found rows; one that was
+    superseded; of several in one state the better of two, taken one after the other by id. It gains the found rows; one that was
     superseded waits again; its fields change only while it waits, is not approved and the found one is better. Other
     equivalents that wait are superseded. Without an equivalent the found one is stored under its logical key, with its own
     id added where that key is taken. Of several found ones for one stored or key, the most confident counts, then the
@@ -45,8 +47,17 @@ def persisted(found: DataFrame, stored: DataFrame) -> DataFrame:
     live = old.where(F.col("status").isin("pending", "edited", "approved", "superseded"))
     pairs = side(new, "l_").join(side(live, "r_"), SCOPE).where(K.equivalent("l_", "r_"))
     approved = F.coalesce(F.col("r_approved"), F.lit(False)) | (F.col("r_status") == "approved")
-    order = [F.desc(approved), F.desc(F.col("r_status") == "edited"), F.asc(F.col("r_status") == "superseded"), F.desc(F.size("r_transaction_ids")), F.desc("r_confidence"), F.asc("r_id")]
-    pairs = pairs.withColumn("place", F.row_number().over(Window.partitionBy("l_id").orderBy(*order)))
+    # Approved ones come first, of several the first by id; then edited ones, then those not superseded. Within a class
+    # the better of two stays, one after the other by id: which of two is better depends on the two, so no key sorts them.
+    rank = F.when(approved, 0).when(F.col("r_status") == "edited", 1).when(F.col("r_status") != "superseded", 2).otherwise(3)
+    pairs = pairs.withColumns({"rank": rank, "least": F.min(rank).over(Window.partitionBy("l_id"))})
+    traits = ["id", "transaction_ids", "confidence", "family", "pattern_kind", "phase", "span", "recurrence_type", "economy", "average_amount", "variation_percent"]
+    row = F.struct(*[F.col(f"r_{c}").alias(c) for c in traits])
+    first = pairs.where("rank = least").groupBy("l_id", "rank").agg(F.array_sort(F.collect_list(row)).alias("equals"))
+    of = lambda x: lambda c: x[c]
+    folded = F.aggregate(F.expr("slice(equals, 2, size(equals))"), F.col("equals")[0], lambda best, x: F.when(is_better(of(x), of(best)), x).otherwise(best))
+    picked = first.select("l_id", F.when(F.col("rank") == 0, F.col("equals")[0]["id"]).otherwise(folded["id"]).alias("picked"))
+    pairs = pairs.join(picked, "l_id").withColumn("place", F.when(F.col("r_id") == F.col("picked"), 1).otherwise(2)).drop("rank", "least", "picked")
     chosen = pairs.where("place = 1").withColumn("fresh", F.col("r_status").isin("pending", "superseded") & ~approved & is_better("l_", "r_"))
     chosen = chosen.withColumn("turn", F.row_number().over(Window.partitionBy("r_id").orderBy(F.desc("l_confidence"), "l_id")))
     best = F.max_by(F.struct("fresh", *[F.col(f"l_{c}").alias(c) for c in FIELDS]), -F.col("turn"))

@@ -179,10 +179,11 @@ def lanes(members: DataFrame) -> DataFrame:
     cols = [*keys, "score", "n"]
     found = []
     for lane, frame, own in (("day", day_lanes(sized, keys), F.day("date")), ("amount", amount_lanes(sized, keys), F.col("abs_amount"))):
-        # Rows with one day, or one amount, have one lane; it is gathered once.
-        ids = frame.groupBy(*cols, "anchor").agg(F.array_sort(F.collect_list("id")).alias("ids")).where((F.size("ids") >= 3) & (F.size("ids") < F.col("n")))
-        anchors = sized.select(*keys, F.col("id").alias("anchor_id"), own.alias("anchor")).distinct()
-        found.append(anchors.join(ids, [*keys, "anchor"]).select(*keys, "score", F.lit(lane).alias("lane"), "anchor_id", "ids"))
+        # Rows with one day, or one amount, have one lane; it is gathered once. Rows that share an id are one anchor.
+        ids = frame.groupBy(*cols, "anchor").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+        anchors = sized.select(*keys, F.col("id").alias("anchor_id"), own.alias("anchor"))
+        each = anchors.join(ids, [*keys, "anchor"]).groupBy(*cols, "anchor_id").agg(F.array_sort(F.flatten(F.collect_list("ids"))).alias("ids"))
+        found.append(each.where((F.size("ids") >= 3) & (F.size("ids") < F.col("n"))).select(*keys, "score", F.lit(lane).alias("lane"), "anchor_id", "ids"))
     return found[0].unionByName(found[1])
 
 

@@ -8,7 +8,7 @@ from ledgerloom.operators import categorize as C
 from ledgerloom.operators import duplicates as D
 
 from .registering import registry
-from .sample_ledger import COPIES_SQL, LEDGER_SQL, RULES_SQL, categories, ledger, ledger_with_copies, rules
+from .sample_ledger import COPIES_SQL, LEDGER_SQL, RULES_SQL, categories, ledger, ledger_with_copies, rules, table
 
 QUERIES, ORACLES, query = registry()
 
@@ -197,3 +197,26 @@ def dup_decision(spark, sf_dir):
     decisions = pairs.where("score < 90").select("left_id", "right_id", F.when(F.col("score") == 85, "confirmed").otherwise("dismissed").alias("decision"))
     decided = D.decide_duplicates(pairs.select("left_id", "right_id", F.lit(None).cast("string").alias("decision")), decisions)
     return decided.select("left_id", "right_id", "decision", "pending_open")
+
+
+#: Conditions of rules as JSON, of which many have wrong types, are blank or are no JSON at all.
+CONDITIONS_SQL = """with r as (select p_partkey as id, case p_partkey % 8 when 0 then '{"description": "' || p_name || '", "minAmount": ' || p_size || '}' when 1 then '{"description": ' || p_size || ', "minAmount": "5"}'
+    when 2 then '{"description": "  ", "counterparty": "' || p_type || '"}' when 3 then 'not json' when 4 then '[1, 2]' when 5 then '{"minAmount": 1.5, "maxAmount": null, "document": true}' when 6 then null else '{"document": "  00123 ", "maxAmount": 2e3}' end as conditions from part),
+  j as (select *, try_cast(conditions as json) as c from r)
+  select id, case when json_type(c, '$.description') = 'VARCHAR' and trim(c ->> '$.description') <> '' then c ->> '$.description' end as condition_description,
+    case when json_type(c, '$.counterparty') = 'VARCHAR' and trim(c ->> '$.counterparty') <> '' then c ->> '$.counterparty' end as condition_counterparty,
+    case when json_type(c, '$.document') = 'VARCHAR' and trim(c ->> '$.document') <> '' then c ->> '$.document' end as condition_document,
+    case when json_type(c, '$.minAmount') in ('UBIGINT', 'BIGINT', 'DOUBLE') then (c ->> '$.minAmount')::double end as "condition_minAmount",
+    case when json_type(c, '$.maxAmount') in ('UBIGINT', 'BIGINT', 'DOUBLE') then (c ->> '$.maxAmount')::double end as "condition_maxAmount" from j"""
+
+
+@query(CONDITIONS_SQL)
+def guarded_conditions(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    name, kind, size = F.col("p_name"), F.col("p_type"), F.col("p_size").cast("string")
+    made = [
+        F.concat(F.lit('{"description": "'), name, F.lit('", "minAmount": '), size, F.lit("}")), F.concat(F.lit('{"description": '), size, F.lit(', "minAmount": "5"}')), F.concat(F.lit('{"description": "  ", "counterparty": "'), kind, F.lit('"}')),
+        F.lit("not json"), F.lit("[1, 2]"), F.lit('{"minAmount": 1.5, "maxAmount": null, "document": true}'), F.lit(None).cast("string"), F.lit('{"document": "  00123 ", "maxAmount": 2e3}'),
+    ]
+    rules = part.select(F.col("p_partkey").alias("id"), F.get(F.array(*made), (F.col("p_partkey") % 8).cast("int")).alias("conditions"))
+    return C.guarded_conditions(rules).drop("conditions")

@@ -7,8 +7,10 @@ from datetime import date, timedelta
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.operators import audit as A
+from ledgerloom.operators import cover as V
 from ledgerloom.operators import recurrence as R
 from ledgerloom.plans import catalog, queries_reads, queries_series
 
@@ -170,12 +172,15 @@ def test_cover_reaches_its_goal_with_many_families(spark):
             expected.append((key, n))
             done += n
     assert len(expected) > 8 and sorted(map(tuple, A.partition_cover(frame).collect())) == sorted(expected)
-    assert A.set_cover(frame.where("key < 'k12'")) == [tuple(r) for r in A.partition_cover(frame.where("key < 'k12'")).orderBy(-A.F.col("n"), "key").collect()]
+    covers = frame.select(F.lit("description_contains").alias("rule_type"), F.col("key").alias("value"), F.lit(1.0).alias("purity"), "id")
+    assert {(r.value, r.gain) for r in V.rule_cover(covers, len(rows)).collect()} == set(expected)
     assert A.partition_cover(frame.where("false")).count() == 0
     assert A.partition_cover(spark.createDataFrame([(None, "1"), ("a", "2")], frame.schema)).collect() == [("a", 1)]
 
 
 def test_rule_set_cover_reaches_80_percent(spark):
-    found = run(spark, "rule_set_cover")
-    open_ = queries_series.ledger(spark, SF).where("category_id is null").count()
-    assert sum(r.n for r in found) >= 0.8 * open_ > sum(r.n for r in found) - min(r.n for r in found)
+    found = sorted(run(spark, "rule_set_cover"), key=lambda r: r.step)
+    targets = V.uncategorised(queries_series.ledger(spark, SF)).count()
+    assert [r.step for r in found] == list(range(1, len(found) + 1)) and [r.gain for r in found] == sorted((r.gain for r in found), reverse=True)
+    assert found[-1].covered >= 0.8 * targets > found[-2].covered and sum(r.gain for r in found) == found[-1].covered
+    assert len({r.rule_type for r in found}) > 1
