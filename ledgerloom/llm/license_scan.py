@@ -16,52 +16,76 @@ RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-#: Opening words of public license notices, and the label of each.
+#: Words of public license notices, and the label of each.
 TEMPLATES = [
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
     ("gpl", "this work is licensed under the gnu general public license version 3"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
     ("lgpl", "licensed under the gnu lesser general public license version 2 1"),
     ("apache", "licensed under the apache license version 2 0 you may not use this file except in compliance with the license"),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
     ("apache-2.0", "licensed under the apache license version 2 0"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     ("mit", "released under the mit license"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
 ]
-#: Share of a template's distinct words that a block has to hold.
-CONTAINMENT = 0.8
+#: Share of a template's distinct pairs of neighbouring words that a block has to hold; a template of fewer pairs than
+#: ``SHORT`` has to be held whole, as a few common words would make it up by chance.
+CONTAINMENT, SHORT = 0.8, 10
 #: Templates are broadcast; their number times their words is a parameter of the caller, never of the documents.
 MAX_TEMPLATE_WORDS = 20_000
 
 
 def template_list(templates=TEMPLATES, threshold: float = CONTAINMENT) -> list[tuple[int, str, list[str], int]]:
-    """(number, label, sorted distinct words, words needed) of each template."""
-    split = [(i, label, sorted(set(text.split()))) for i, (label, text) in enumerate(templates)]
-    return [(i, label, words, math.ceil(threshold * len(words) - 1e-9)) for i, label, words in split]
+    """(number, label, sorted distinct word pairs, pairs needed) of each template."""
+    split = []
+    for i, (label, text) in enumerate(templates):
+        words = text.split()
+        pairs = sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
+        split.append((i, label, pairs, len(pairs) if len(pairs) < SHORT else math.ceil(threshold * len(pairs) - 1e-9)))
+    return split
 
 
-def block_words(docs: DataFrame, listed: list[tuple[int, str, list[str], int]], longest: int) -> DataFrame:
-    """One row per block that holds a template's word: doc_id, text_key, block, the template words in it.
+def template_words(templates=TEMPLATES, threshold: float = CONTAINMENT) -> list[tuple[list[str], int]]:
+    """(sorted distinct words, words needed at least) of each template: a word that is missing takes a pair with it."""
+    listed = template_list(templates, threshold)
+    words = [sorted({w for pair in pairs for w in pair.split()}) for _, _, pairs, _ in listed]
+    return [(w, max(1, len(w) - (len(pairs) - needed))) for w, (_, _, pairs, needed) in zip(words, listed)]
+
+
+def word_pairs(words: Column) -> Column:
+    """Neighbouring words, joined by a space."""
+    return F.when(F.size(words) > 1, F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
+
+
+def block_pairs(docs: DataFrame, listed: list[tuple[int, str, list[str], int]], worded: list[tuple[list[str], int]], longest: int) -> DataFrame:
+    """One row per block that holds a template's pair of words: doc_id, text_key, block, the template pairs in it.
 
     Blocks are lines and, for notices wrapped over lines, windows of twice ``longest`` words that start at every
     ``longest``-th word of a paragraph, so that ``longest`` words in a row are always in one. Paragraphs end at blank
     lines; one that does not hold enough words of any template has no block that does, and gives none.
     """
-    known = F.array(*[F.lit(w) for w in sorted({w for _, _, words, _ in listed for w in words})])
+    known = F.array(*[F.lit(w) for w in sorted({w for words, _ in worded for w in words})])
+    pairs = F.array(*[F.lit(x) for x in sorted({x for _, _, own, _ in listed for x in own})])
     of = lambda text: F.regexp_extract_all(text, F.lit(WORD), 0)
     # U+212A is the one letter that lower() turns into an ASCII letter by itself.
     lowered = F.lower(F.replace(F.col("text"), F.lit("K"), F.lit("ĸ")))
     parts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split(lowered, r"\n[\x00-\x20]*\n")).alias("paragraph", "part"))
     # explode() of one value keeps filters and lambdas from computing the words anew for each use.
     parts = parts.select("*", F.explode(F.array(F.array_intersect(known, of(F.col("part"))))).alias("held"))
-    needs = F.array(*[F.struct(F.array(*map(F.lit, words)).alias("words"), F.lit(needed).alias("needed")) for _, _, words, needed in listed])
-    able = parts.where(F.size("held") >= min(needed for _, _, _, needed in listed)).where(F.exists(needs, lambda t: F.size(F.array_intersect(t["words"], F.col("held"))) >= t["needed"]))
+    needs = F.array(*[F.struct(F.array(*map(F.lit, words)).alias("words"), F.lit(needed).alias("needed")) for words, needed in worded])
+    able = parts.where(F.size("held") >= min(needed for _, needed in worded)).where(F.exists(needs, lambda t: F.size(F.array_intersect(t["words"], F.col("held"))) >= t["needed"]))
     able = able.select("*", F.explode(F.array(of(F.col("part")))).alias("all"))
-    lines = F.transform(F.split("part", "\n"), lambda line: F.array_intersect(known, of(line)))
+    lines = F.transform(F.split("part", "\n"), lambda line: F.array_intersect(pairs, word_pairs(of(line))))
     starts = F.sequence(F.lit(0), F.greatest(F.size("all") - longest - 1, F.lit(0)), F.lit(longest))
-    windows = F.when(F.contains(F.col("part"), F.lit("\n")), F.transform(starts, lambda i: F.array_intersect(known, F.slice("all", i + 1, 2 * longest)))).otherwise(F.array().cast("array<array<string>>"))
+    windows = F.when(F.contains(F.col("part"), F.lit("\n")), F.transform(starts, lambda i: F.array_intersect(pairs, word_pairs(F.slice("all", i + 1, 2 * longest))))).otherwise(F.array().cast("array<array<string>>"))
     blocks = able.select("doc_id", "text_key", "paragraph", F.posexplode(F.concat(lines, windows)).alias("at", "words"))
     return blocks.where(F.size("words") > 0).select("doc_id", "text_key", (F.shiftleft(F.col("paragraph").cast("long"), 32) + F.col("at")).alias("block"), "words")
 
@@ -69,9 +93,9 @@ def block_words(docs: DataFrame, listed: list[tuple[int, str, list[str], int]],
 def contained_templates(docs: DataFrame, templates=TEMPLATES, threshold: float = CONTAINMENT) -> DataFrame:
     """Every pair of a block and a template of which it holds at least ``threshold``: doc_id, text_key, block, template, label, containment.
 
-    ``docs`` has doc_id and text (not null). Template words are ordered by the number of blocks that hold them, rarest
-    first. A block can reach a template only if it holds one of the template's first ``size - needed + 1`` words (prefix
-    filter), at least ``needed`` known words (length filter), and if enough words can follow the shared one on both
+    ``docs`` has doc_id and text (not null). Sets are of pairs of neighbouring words, the tokens here. Template tokens are
+    ordered by the number of blocks that hold them, rarest first. A block can reach a template only if it holds one of the template's first ``size - needed + 1`` tokens (prefix
+    filter), at least ``needed`` known tokens (length filter), and if enough words can follow the shared one on both
     sides (positional filter). What is left is verified in full.
     """
     spark = docs.sparkSession
@@ -81,7 +105,7 @@ def contained_templates(docs: DataFrame, templates=TEMPLATES, threshold: float =
         return spark.createDataFrame([], "doc_id long, text_key long, block long, template int, label string, containment double")
     if sum(len(words) for _, _, words, _ in listed) > MAX_TEMPLATE_WORDS:
         raise ValueError(f"templates have more than {MAX_TEMPLATE_WORDS} words")
-    blocks = materialise(block_words(docs, listed, max(len(text.split()) for _, text in templates)), "license-blocks")
+    blocks = materialise(block_pairs(docs, listed, template_words(templates, threshold), max(len(text.split()) for _, text in templates)), "license-blocks")
     counts = {r["word"]: r["count"] for r in blocks.select(F.explode("words").alias("word")).groupBy("word").count().collect()}
     ordered = sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
     rank = {w: i for i, w in enumerate(ordered)}
@@ -177,9 +201,10 @@ wrapped as (select doc_id, regexp_extract_all(part, '[^\x00-\x2F\x3A-\x60\x7B-\x
 blocks as (
   select doc_id, regexp_extract_all(line, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from (select doc_id, unnest(string_split(part, chr(10))) as line from paragraphs)
   union all select doc_id, words[i + 1:i + {2 * longest}] from wrapped, unnest(generate_series(0, greatest(len(words) - {longest} - 1, 0), {longest})) as g(i)),
+paired as (select doc_id, list_transform(generate_series(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1]) as pairs from blocks where len(words) > 1),
 own as (
-  select doc_id, t.label, len(list_intersect(t.words, b.words)) / len(t.words) as containment from blocks b, t
-  where len(list_intersect(t.words, b.words)) >= t.needed),
+  select doc_id, t.label, len(list_intersect(t.words, b.pairs)) / len(t.words) as containment from paired b, t
+  where len(list_intersect(t.words, b.pairs)) >= t.needed),
 best as (select doc_id, list(label) as labels, max(containment) as best from own group by doc_id)
 select w.doc_id, len(w.words) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word,
   array_to_string(coalesce(base.labels, []), ',') as base_labels,
