@@ -7,8 +7,12 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ledgerloom.functions.text import economic_tokens
+from ledgerloom.plans.scratch import materialise
+
+from .components import connected_components
 
 OVERLAP, SEMANTIC_OVERLAP, MATERIAL = 0.7, 0.5, 5
 
@@ -89,13 +93,43 @@ def equivalent(l: str, r: str) -> Column:  # noqa: E741
     return F.when(x("family") != y("family"), across).otherwise((same_identity(l, r) & phases) | (overlap > OVERLAP))
 
 
+SCOPE = ["company_id", "type", "accounts"]
+#: Two economic descriptions are one when they share this part of the words of the shorter one.
+CONTAINED = 0.8
+
+
+def shared_pairs(rows: DataFrame) -> DataFrame:
+    """(SCOPE, left_id, right_id): pairs of described suggestions that may be equivalent or alike.
+
+    Such a pair shares a row, or most words of the shorter description. Rows meet in an inverted index; words by a prefix
+    filter: of n words, rarest first, the shorter one has to share one of the first ``n - 0.8 n + 1``. Descriptions without
+    words are alike among themselves.
+    """
+    by_row = rows.select(*SCOPE, "id", F.explode(F.array_distinct("transaction_ids")).alias("key"))
+    words = rows.select(*SCOPE, "id", F.filter(F.split("economy", " "), lambda w: w != "").alias("words"))
+    each = words.select(*SCOPE, "id", F.size("words").alias("n"), F.explode("words").alias("key"))
+    common = each.groupBy(*SCOPE, "key").agg(F.count(F.lit(1)).alias("often"))
+    ranked = each.join(common, [*SCOPE, "key"]).withColumn("place", F.row_number().over(Window.partitionBy(*SCOPE, "id").orderBy("often", "key")))
+    first = ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * CONTAINED) + 1)
+    side = lambda frame, p, *more: frame.select(*SCOPE, "key", *[F.col(c).alias(p + c) for c in ("id", *more)])
+    met = side(by_row, "l_").join(side(by_row, "r_"), [*SCOPE, "key"]).where("l_id < r_id")
+    worded = side(first, "l_", "n").join(side(ranked, "r_", "n"), [*SCOPE, "key"]).where("l_id <> r_id and l_n <= r_n")
+    blank = words.where(F.size("words") == 0).withColumn("key", F.lit(""))
+    empty = side(blank, "l_").join(side(blank, "r_"), [*SCOPE, "key"]).where("l_id < r_id")
+    pairs = met.select(*SCOPE, "l_id", "r_id").unionByName(worded.select(*SCOPE, "l_id", "r_id")).unionByName(empty.select(*SCOPE, "l_id", "r_id"))
+    return pairs.select(*SCOPE, F.least("l_id", "r_id").alias("left_id"), F.greatest("l_id", "r_id").alias("right_id")).distinct()
+
+
+def judged_pairs(rows: DataFrame) -> DataFrame:
+    """(SCOPE, left_id, right_id, equal, alike) of the pairs of described suggestions that are one or both."""
+    side = lambda p, name: rows.select(*SCOPE, F.col("id").alias(name), *[F.col(c).alias(f"{p}{c}") for c in rows.columns if c not in SCOPE])
+    both = shared_pairs(rows).join(side("l_", "left_id"), [*SCOPE, "left_id"]).join(side("r_", "right_id"), [*SCOPE, "right_id"])
+    return both.select(*SCOPE, "left_id", "right_id", equivalent("l_", "r_").alias("equal"), same_identity("l_", "r_").alias("alike")).where("equal or alike")
+
+
 def equivalence_pairs(suggestions: DataFrame) -> DataFrame:
-    """Pairs of equivalent suggestions, joined by company, type and account set."""
-    scope = ["company_id", "type", "accounts"]
-    rows = described(suggestions)
-    side = lambda p: rows.select(*scope, *[F.col(c).alias(f"{p}{c}") for c in rows.columns if c not in scope])
-    pairs = side("l_").join(side("r_"), scope).where("l_id < r_id")
-    return pairs.where(equivalent("l_", "r_")).select("company_id", F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id"))
+    """Pairs of equivalent suggestions of one company, type and account set."""
+    return judged_pairs(described(suggestions)).where("equal").select("company_id", "left_id", "right_id")
 
 
 def logical_key(rows: DataFrame) -> Column:
@@ -105,7 +139,7 @@ def logical_key(rows: DataFrame) -> Column:
 
 
 class _Group:
-    """The suggestions of one company, type and account set, and what is known about each pair of them."""
+    """The suggestions of one component, and what is known about each pair of them."""
 
     def __init__(self, rows: list[dict], equal: set[tuple[str, str]], like: set[tuple[str, str]]):
         self.rows, self.equal, self.like = {r["id"]: r for r in rows}, equal, like
@@ -173,16 +207,20 @@ class _Group:
 def consolidate(suggestions: DataFrame) -> DataFrame:
     """The ids of the suggestions that stay, by company.
 
-    Merging is greedy and depends on the order, so it runs inside a group; groups are the suggestions of one company,
-    type and account set, a few dozen rows. Pairs and families are computed outside, as joins.
+    Merging is greedy and depends on the order. A step looks at suggestions that are equivalent to the one at hand and at
+    those that share rows with it, so what is linked by such pairs, a connected component, is worked on by itself; what a
+    company, type and account set holds besides plays no part. Pairs come from inverted indexes, families from joins.
     """
-    scope = ["company_id", "type", "accounts"]
-    rows = described(suggestions).where("not internal")
-    side = lambda p: rows.select(*scope, *[F.col(c).alias(f"{p}{c}") for c in rows.columns if c not in scope])
-    pairs = side("l_").join(side("r_"), scope).where("l_id < r_id")
-    judged = pairs.select(*scope, F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id"), equivalent("l_", "r_").alias("equal"), same_identity("l_", "r_").alias("alike")).where("equal or alike")
-    own = rows.groupBy(*scope).agg(F.collect_list(F.struct("id", "confidence", "transaction_ids", "phase", "family", "pattern_kind", "economy", "span")).alias("rows"))
-    links = judged.groupBy(*scope).agg(F.collect_list(F.struct("left_id", "right_id", "equal", "alike")).alias("links"))
+    rows = materialise(described(suggestions).where("not internal"), "described")
+    judged = materialise(judged_pairs(rows), "equivalences")
+    # A row links all its suggestions to the first of them.
+    index = rows.select(*SCOPE, "id", F.explode("transaction_ids").alias("key"))
+    sharing = index.groupBy(*SCOPE, "key").agg(F.min("id").alias("left_id")).join(index, [*SCOPE, "key"]).where("left_id < id").select("left_id", F.col("id").alias("right_id"))
+    edges = judged.where("equal").select("left_id", "right_id").unionByName(sharing).distinct()
+    parts = connected_components(edges, "left_id", "right_id")
+    named = rows.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    own = named.groupBy("component").agg(F.first("company_id").alias("company_id"), F.collect_list(F.struct("id", "confidence", "transaction_ids", "phase", "family", "pattern_kind", "economy", "span")).alias("rows"))
+    links = judged.join(parts.select(F.col("node").alias("left_id"), "component"), "left_id").groupBy("component").agg(F.collect_list(F.struct("left_id", "right_id", "equal", "alike")).alias("links"))
 
     def run(batches):
         for batch in batches:
@@ -194,7 +232,7 @@ def consolidate(suggestions: DataFrame) -> DataFrame:
                 out += [(company, i) for i in _Group([dict(r) for r in items], equal, alike).consolidate()]
             yield pd.DataFrame(out, columns=["company_id", "id"]).astype("object")
 
-    return own.join(links, scope, "left").select("company_id", "rows", "links").mapInPandas(run, "company_id string, id string")
+    return own.join(links, "component", "left").select("company_id", "rows", "links").mapInPandas(run, "company_id string, id string")
 
 
 def stale(stored: DataFrame, found: DataFrame) -> DataFrame:
