@@ -79,3 +79,34 @@ def decide(state: dict[str, DataFrame], decisions: DataFrame) -> dict[str, DataF
     closed = F.when(F.col("pending_status") == "dismissed", "pending.dismissed").otherwise("pending.resolved")
     items = p.where("_hit").select("company_id", "actor", F.lit("PendingItem").alias("entity_type"), F.col("id").alias("entity_id"), closed.alias("action"), *about, F.col("type").alias("pending_type"), F.col("status").alias("previous_status"), F.col("pending_status").alias("final_status"))
     return {"transactions": transactions, "suggestions": suggestions, "pendings": pendings, "audit": audit.unionByName(items), "commits": rows.select("decision_id", "company_id", "error")}
+
+
+def decide_duplicates(state: dict[str, DataFrame], decisions: DataFrame) -> dict[str, DataFrame]:
+    """The tables after decisions on possible duplicates: duplicates, pendings, and rows to add to audit and commits.
+
+    ``state``: duplicates (company_id, id, left_id, right_id, score, decision, decided_by), pendings (company_id, id,
+    duplicate_candidate_id, type, status, resolved_by, ...), commits. ``decisions``: decision_id, company_id,
+    duplicate_id, decision, actor, reason. A pair is decided once: of several decisions in one batch the first by id
+    applies. Its waiting items are resolved, and one audit row names them. Decisions with a commit record are left out.
+    """
+    fresh = decisions.join(state["commits"].select("decision_id"), "decision_id", "left_anti").dropDuplicates(["decision_id"])
+    known = state["duplicates"].select("company_id", F.col("id").alias("duplicate_id"), "left_id", "right_id", "score", F.col("decision").alias("before"), F.lit(True).alias("known"))
+    rows = fresh.join(known, ["company_id", "duplicate_id"], "left")
+    turn = F.row_number().over(Window.partitionBy("company_id", "duplicate_id").orderBy("decision_id"))
+    error = F.when(F.col("known").isNull(), "unknown_duplicate").when(F.col("before").isNotNull() | (F.col("turn") > 1), "already_decided")
+    rows = materialise(rows.withColumn("turn", turn).withColumn("error", error).drop("turn"), "duplicate-decisions")
+    done = rows.where("error is null")
+    new = done.select("company_id", F.col("duplicate_id").alias("id"), F.col("decision").alias("_decision"), F.col("actor").alias("_actor"))
+    d = state["duplicates"].join(new, ["company_id", "id"], "left")
+    duplicates = d.withColumns({"decision": F.coalesce("decision", "_decision"), "decided_by": F.coalesce("decided_by", "_actor")}).select(*state["duplicates"].columns)
+    closing = done.select("company_id", F.col("duplicate_id").alias("duplicate_candidate_id"), F.col("actor").alias("_actor"))
+    p = state["pendings"].join(closing, ["company_id", "duplicate_candidate_id"], "left")
+    hit = F.coalesce(F.col("_actor").isNotNull() & (F.col("type") == "possible_duplicate") & F.col("status").isin(*WAITING), F.lit(False))
+    p = p.withColumn("_hit", hit)
+    pendings = p.withColumns({"status": F.when(F.col("_hit"), "resolved").otherwise(F.col("status")), "resolved_by": F.when(F.col("_hit"), F.col("_actor")).otherwise(F.col("resolved_by"))}).select(*state["pendings"].columns)
+    closed = p.where("_hit").groupBy("company_id", F.col("duplicate_candidate_id").alias("duplicate_id")).agg(F.array_sort(F.collect_list("id")).alias("pending_ids"))
+    audit = done.join(closed, ["company_id", "duplicate_id"], "left").select(
+        "company_id", "actor", F.lit("DuplicateCandidate").alias("entity_type"), F.col("duplicate_id").alias("entity_id"), F.lit("duplicate.decision").alias("action"), F.col("left_id").alias("transaction_id"), "reason",
+        "decision", F.col("right_id").alias("candidate_transaction_id"), "score", F.coalesce("pending_ids", F.array().cast("array<string>")).alias("pending_ids"),
+    )
+    return {"duplicates": duplicates, "pendings": pendings, "audit": audit, "commits": rows.select("decision_id", "company_id", "error")}

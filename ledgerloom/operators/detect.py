@@ -267,15 +267,26 @@ def on_cadence(groups: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return rest(groups).unionByName(cut.select(*groups.columns)), rest(periods).unionByName(again), rest(kinds).unionByName(best_patterns(cut, again))
 
 
+#: Rows of a candidate that one task writes; those of a larger one are dealt over several.
+SPLIT_ROWS = 100_000
+
+
+def clustered(members: DataFrame) -> DataFrame:
+    """Rows of a candidate side by side, so that what is added up for it is nearly complete before it is shuffled. The
+    number of its rows is the last part of ``group_id``."""
+    size = F.element_at(F.split("group_id", "-"), -1).cast("long")
+    return members.repartition(*KEYS, F.pmod(F.xxhash64("id"), F.ceil(size / SPLIT_ROWS)))
+
+
 def candidate_members(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(candidates with KEYS, key and score; their rows after trimming, without groups that hold two series)."""
     found, members = identity_candidates(rows)
-    members = materialise(members, "candidate-ids")
+    members = materialise(clustered(members), "candidate-ids")
     free = found.where(F.col("key").startswith("track:")).select(*KEYS)
     kept = without_outliers(members.join(free, KEYS, "left_anti"), rows, KEYS).unionByName(members.join(free, KEYS, "left_semi"))
     sizes = kept.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n")).where("_n >= 3").drop("_n")
     groups = materialise(kept.join(sizes, KEYS).join(rows.select(*ROW), ["company_id", "type", "id"]), "candidate-groups")
-    return found, materialise(groups.join(competing_cores(groups), KEYS, "left_anti"), "candidate-members")
+    return found, materialise(clustered(groups.join(competing_cores(groups), KEYS, "left_anti")), "candidate-members")
 
 
 def pattern_suggestions(rows: DataFrame) -> DataFrame:

@@ -35,10 +35,28 @@ def duplicate_pairs(txns: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     scored = pairs.where(same("d") | same("c") | same("n")).select(
         "company_id", F.col("id").alias("left_id"), F.col("r_id").alias("right_id"), score.alias("score"),
         same("d").alias("same_description"), same("c").alias("same_counterparty"), same("n").alias("same_document"),
+        F.col("x").alias("left_external"), F.col("r_x").alias("right_external"), F.col("d").alias("normalized_description"), F.col("c").alias("normalized_counterparty"), F.col("n").alias("normalized_document"),
     )
     return scored.where(F.col("score") >= threshold)
 
 
+def duplicate_evidence(pairs: DataFrame) -> DataFrame:
+    """Adds ``evidence`` to scored pairs: eight checks, of which account, date, amount and type hold for every pair, both
+    external ids, and the normalised texts of the left one."""
+    yes = F.lit(True)
+    checks = F.struct(
+        yes.alias("sameBankAccount"), yes.alias("sameDate"), yes.alias("sameAmount"), yes.alias("sameType"), F.col("same_description").alias("sameDescription"), F.col("same_counterparty").alias("sameCounterparty"),
+        F.col("same_document").alias("sameDocument"), (~F.col("left_external").eqNullSafe(F.col("right_external"))).alias("differentExternalId"),
+    )
+    texts = [F.col(f"normalized_{c}").alias(f"normalized{c.capitalize()}") for c in ("description", "counterparty", "document")]
+    return pairs.withColumn("evidence", F.struct(checks.alias("checks"), F.col("left_external").alias("firstExternalId"), F.col("right_external").alias("secondExternalId"), *texts))
+
+
+def new_pendings(items: DataFrame, existing: DataFrame) -> DataFrame:
+    """Review items of pairs whose key no waiting item holds yet. ``existing``: dedup_key, status."""
+    return items.join(existing.where("status in ('open', 'in_review')").select("dedup_key").distinct(), "dedup_key", "left_anti").select(*items.columns)
+
+
 def duplicate_pendings(pairs: DataFrame) -> DataFrame:
     """One review item per pair; severity is high from 90 points on."""
     return pairs.select(

@@ -49,6 +49,16 @@ def validated_files(files: DataFrame) -> DataFrame:
     return files.select("path", "length", found.alias("detected_type"), F.sha2("content", 256).alias("sha256"), error.alias("error"))
 
 
+def requested_files(wanted: DataFrame, files: DataFrame) -> DataFrame:
+    """``validated_files`` of the paths of ``wanted``; FILE_NOT_FOUND where there is no file at a path, INVALID_FILE where
+    there is no path. ``files`` are those that a reader found (path, length, content)."""
+    asked = wanted.select("path").distinct()
+    found = asked.where("path is not null").join(validated_files(files), "path", "left")
+    found = found.withColumn("error", F.when(F.col("length").isNull(), "FILE_NOT_FOUND").otherwise(F.col("error")))
+    none = asked.where("path is null").select("path", *[F.lit(None).cast(t).alias(c) for c, t in found.dtypes if c not in ("path", "error")], F.lit("INVALID_FILE").alias("error"))
+    return found.unionByName(none)
+
+
 def safe_name(name: Column) -> Column:
     """A file name of safe characters, at most 180 of them; ``bank-statement`` for an empty one."""
     cleaned = F.trim(F.left(F.regexp_replace(F.coalesce(name, F.lit("")), "[^a-zA-Z0-9._ -]", "_"), F.lit(180)))

@@ -30,12 +30,19 @@ def grouped_rows(items: DataFrame, tolerance: float = ROW_TOLERANCE) -> DataFram
     return items.groupBy("file", "page").applyInPandas(number, "file string, page int, row_no int, x double, y double, text string")
 
 
+#: Fixed value: how a statement's dates are written.
+DATE = r"^[0-9]{2}/[0-9]{2}/[0-9]{4}$"
+
+
 def statement_lines(items: DataFrame) -> DataFrame:
-    """Rows by column band: date under 75, description to 400, amount to 500 (joined without a space), then balance."""
+    """Rows by column band: date under 75, description to 400, amount to 500 (joined without a space), then balance.
+
+    Of the texts in the band of dates the first one that is written as ``dd/mm/yyyy`` counts; others there are no dates.
+    """
     rows = grouped_rows(items)
     x = F.col("x")
     band = lambda low, high, joint: F.array_join(F.transform(F.array_sort(F.collect_list(F.when((x >= low) & (x < high), F.struct("x", "text")))), lambda i: i["text"]), joint)
-    lines = rows.groupBy("file", "page", "row_no").agg(band(float("-inf"), 75, " ").alias("raw_date"), band(75, 400, " ").alias("raw_description"), band(400, 500, "").alias("raw_amount"), band(500, float("inf"), "").alias("raw_balance"))
+    lines = rows.groupBy("file", "page", "row_no").agg(F.coalesce(F.min(F.when((x < 75) & F.trim("text").rlike(DATE), F.struct("x", F.trim("text").alias("text")))).getField("text"), F.lit("")).alias("raw_date"), band(75, 400, " ").alias("raw_description"), band(400, 500, "").alias("raw_amount"), band(500, float("inf"), "").alias("raw_balance"))
     return lines.withColumn("line_no", F.col("page") * 10000 + F.col("row_no"))
 
 

@@ -12,7 +12,9 @@ from ledgerloom.operators import cascade as X
 from ledgerloom.operators import categorize as C
 from ledgerloom.operators import changes as H
 from ledgerloom.operators import cover as V
+from ledgerloom.operators import duplicates as D
 from ledgerloom.operators import gate as W
+from ledgerloom.operators import ingest as I
 from ledgerloom.operators import persist as P
 from ledgerloom.sources import truth as J
 from ledgerloom.sources.versions import Versions
@@ -195,3 +197,36 @@ def test_equal_stored_ones_are_chosen_pair_by_pair(spark):
     for s in sorted([("s1", "123", 80), ("s2", "12345", 77), ("s3", "1234", 84)]):
         best = s if best is None else better(s, best)
     assert taken == [best[0]] == ["s3"] and sorted(i for i, r in after.items() if r.change == "superseded") == ["s1", "s2"]
+
+
+def test_a_duplicate_is_decided_once(spark):
+    make = spark.createDataFrame
+    before = {
+        "duplicates": make([("c", "d1", "t1", "t2", 95, None, None), ("c", "d2", "t3", "t4", 85, "confirmed", "v")], "company_id string, id string, left_id string, right_id string, score int, decision string, decided_by string"),
+        "pendings": make([("c", "p1", "d1", "possible_duplicate", "open", None), ("c", "p2", "d1", "possible_duplicate", "dismissed", None), ("c", "p3", "d2", "possible_duplicate", "open", None)], "company_id string, id string, duplicate_candidate_id string, type string, status string, resolved_by string"),
+        "commits": make([], H.COMMITS),
+    }
+    asked = make([("a", "c", "d1", "rejected", "u", "no"), ("b", "c", "d1", "confirmed", "w", None), ("e", "c", "d2", "rejected", "u", None), ("f", "x", "d1", "rejected", "u", None)], "decision_id string, company_id string, duplicate_id string, decision string, actor string, reason string")
+    after = H.decide_duplicates(before, asked)
+    assert {r.decision_id: r.error for r in after["commits"].collect()} == {"a": None, "b": "already_decided", "e": "already_decided", "f": "unknown_duplicate"}
+    assert {r.id: (r.decision, r.decided_by) for r in after["duplicates"].collect()} == {"d1": ("rejected", "u"), "d2": ("confirmed", "v")}
+    assert {r.id: (r.status, r.resolved_by) for r in after["pendings"].collect()} == {"p1": ("resolved", "u"), "p2": ("dismissed", None), "p3": ("open", None)}
+    assert [(r.entity_id, r.transaction_id, r.candidate_transaction_id, r.decision, r.pending_ids) for r in after["audit"].collect()] == [("d1", "t1", "t2", "rejected", ["p1"])]
+    again = H.decide_duplicates({**before, **{k: after[k] for k in ("duplicates", "pendings", "commits")}}, asked)
+    assert again["audit"].count() == again["commits"].count() == 0
+
+
+def test_evidence_of_duplicates_and_open_keys(spark):
+    rows = spark.createDataFrame([("a", "c", "k", date(2026, 1, 5), -10.0, "expense", "Pago X", None, "1", "e1"), ("b", "c", "k", date(2026, 1, 5), -10.0, "expense", "PAGO  x", None, "1", None)], "id string, company_id string, bank_account_id string, date date, amount double, type string, description string, counterparty_name string, document_number string, external_id string")
+    (pair,) = D.duplicate_evidence(D.duplicate_pairs(rows)).collect()
+    assert pair.evidence.checks.asDict() == {"sameBankAccount": True, "sameDate": True, "sameAmount": True, "sameType": True, "sameDescription": True, "sameCounterparty": False, "sameDocument": True, "differentExternalId": True}
+    assert (pair.evidence.firstExternalId, pair.evidence.secondExternalId, pair.evidence.normalizedDescription) == ("e1", None, "PAGO X")
+    items = D.duplicate_pendings(D.duplicate_pairs(rows))
+    held = items.select("dedup_key", F.lit("open").alias("status"))
+    assert D.new_pendings(items, held).count() == 0 and D.new_pendings(items, held.withColumn("status", F.lit("resolved"))).count() == 1
+
+
+def test_files_that_are_not_there(spark):
+    files = spark.createDataFrame([("a.pdf", 9, b"%PDF-1.4 x")], "path string, length long, content binary")
+    found = {r.path: r.error for r in I.requested_files(spark.createDataFrame([("a.pdf",), ("b.pdf",), (None,)], "path string"), files).collect()}
+    assert found == {"a.pdf": None, "b.pdf": "FILE_NOT_FOUND", None: "INVALID_FILE"}
