@@ -13,8 +13,9 @@ THRESHOLD = 80
 BASE, DESCRIPTION, COUNTERPARTY, DOCUMENT = 65, 20, 10, 15
 
 
-def duplicate_pairs(txns: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Pairs (left_id < right_id) that score ``threshold`` or more, with what they share.
+def duplicate_pairs(txns: DataFrame, threshold: int = THRESHOLD, details: bool = False) -> DataFrame:
+    """Pairs (left_id < right_id) that score ``threshold`` or more, with what they share; ``details`` adds the external ids
+    and normalised texts that ``duplicate_evidence`` asks for.
 
     A hash join on company, account, date, whole cents and type; a pair also needs an equal description, counterparty
     or document. Texts are normalised only where a key occurs twice. Rows with one external id are one transaction and
@@ -32,16 +33,17 @@ def duplicate_pairs(txns: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     pairs = rows.join(other, keys).where((F.col("id") < F.col("r_id")) & ~F.coalesce(F.col("x") == F.col("r_x"), F.lit(False)))
     points = lambda k, n: F.when(same(k), n).otherwise(0)
     score = F.least(F.lit(100), BASE + points("d", DESCRIPTION) + points("c", COUNTERPARTY) + points("n", DOCUMENT))
+    more = [F.col("x").alias("left_external"), F.col("r_x").alias("right_external"), F.col("d").alias("normalized_description"), F.col("c").alias("normalized_counterparty"), F.col("n").alias("normalized_document")]
     scored = pairs.where(same("d") | same("c") | same("n")).select(
         "company_id", F.col("id").alias("left_id"), F.col("r_id").alias("right_id"), score.alias("score"),
         same("d").alias("same_description"), same("c").alias("same_counterparty"), same("n").alias("same_document"),
-        F.col("x").alias("left_external"), F.col("r_x").alias("right_external"), F.col("d").alias("normalized_description"), F.col("c").alias("normalized_counterparty"), F.col("n").alias("normalized_document"),
+        *(more if details else []),
     )
     return scored.where(F.col("score") >= threshold)
 
 
 def duplicate_evidence(pairs: DataFrame) -> DataFrame:
-    """Adds ``evidence`` to scored pairs: eight checks, of which account, date, amount and type hold for every pair, both
+    """Adds ``evidence`` to scored pairs with details: eight checks, of which account, date, amount and type hold for every pair, both
     external ids, and the normalised texts of the left one."""
     yes = F.lit(True)
     checks = F.struct(

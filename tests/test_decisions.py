@@ -218,7 +218,7 @@ def test_a_duplicate_is_decided_once(spark):
 
 def test_evidence_of_duplicates_and_open_keys(spark):
     rows = spark.createDataFrame([("a", "c", "k", date(2026, 1, 5), -10.0, "expense", "Pago X", None, "1", "e1"), ("b", "c", "k", date(2026, 1, 5), -10.0, "expense", "PAGO  x", None, "1", None)], "id string, company_id string, bank_account_id string, date date, amount double, type string, description string, counterparty_name string, document_number string, external_id string")
-    (pair,) = D.duplicate_evidence(D.duplicate_pairs(rows)).collect()
+    (pair,) = D.duplicate_evidence(D.duplicate_pairs(rows, details=True)).collect()
     assert pair.evidence.checks.asDict() == {"sameBankAccount": True, "sameDate": True, "sameAmount": True, "sameType": True, "sameDescription": True, "sameCounterparty": False, "sameDocument": True, "differentExternalId": True}
     assert (pair.evidence.firstExternalId, pair.evidence.secondExternalId, pair.evidence.normalizedDescription) == ("e1", None, "PAGO X")
     items = D.duplicate_pendings(D.duplicate_pairs(rows))
