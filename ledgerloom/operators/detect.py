@@ -97,14 +97,15 @@ def contradicted(groups: DataFrame, rows: DataFrame, periods: DataFrame) -> Data
     return judged.where(F.when(F.col("n") == 2, (drop >= 0.04) & (F.col("x_ratio") < F.col("ratio"))).otherwise((F.col("outside") >= 2) & (F.col("x_score") < MIN_PERIOD) & (drop >= 0.25))).select(*KEYS)
 
 
-def group_similarity(members: DataFrame, rows: DataFrame) -> DataFrame:
-    """Mean, least and greatest text similarity over all pairs of rows of a group (KEYS, id); 0 for a single row.
+def group_similarity(members: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """Mean, least and greatest text similarity over all pairs of rows of a group (KEYS, id); 0 for a single row. Without
+    ``rows`` the members have their tokens, document and counterparty.
 
     Rows of equal tokens, document and counterparty are one profile: pairs are made of profiles and weighed by how many
     pairs of rows they stand for, so a group of copies costs as much as one row.
     """
     profile = ["tokens", "document_number", "normalized_counterparty"]
-    own = members.join(rows.select("id", *profile), "id").groupBy(*KEYS, *profile).agg(F.count(F.lit(1)).alias("k"))
+    own = (members if rows is None else members.join(rows.select("id", *profile), "id")).groupBy(*KEYS, *profile).agg(F.count(F.lit(1)).alias("k"))
     own = own.withColumn("mark", F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in profile]))
     side = lambda p: own.select(*KEYS, *[F.col(c).alias(f"{p}{c}") for c in (*profile, "k", "mark")])
     across = side("l_").join(side("r_"), KEYS).where("l_mark < r_mark").select(*KEYS, (F.col("l_k") * F.col("r_k")).alias("w"), text_similarity("l_", "r_").alias("s"))
@@ -228,6 +229,11 @@ def contaminated(groups: DataFrame, keys: DataFrame) -> DataFrame:
     return rows.join(dominant, KEYS).where((F.size("second") > 0) & ~F.array_contains("second", F.col("dominant"))).select(*KEYS).distinct()
 
 
+def monthly_kind(type_: Column, steady: Column) -> Column:
+    """The kind of a monthly group: income, or an expense of fixed or variable amounts."""
+    return F.when(type_ == "income", "recurring_income").when(steady == "fixed", "monthly_fixed").otherwise("monthly_variable")
+
+
 def best_patterns(groups: DataFrame, periods: DataFrame) -> DataFrame:
     """KEYS, pattern_kind, frequency, pattern, next_date of each group that fits one: the first of instalments, monthly,
     weekly or biweekly, and frequent business. ``periods`` are the groups' periodicities."""
@@ -237,9 +243,8 @@ def best_patterns(groups: DataFrame, periods: DataFrame) -> DataFrame:
     often = G.frequent_business(groups, KEYS).select(*KEYS, F.col("score").alias("often"), F.col("kind").alias("often_kind"))
     facts = merged(G.amount_stability(groups, KEYS).select(*KEYS, F.col("recurrence_type").alias("steady")), plan, monthly, short, often)
     income = F.col("type") == "income"
-    fixed = F.when(F.col("steady") == "fixed", "monthly_fixed").otherwise("monthly_variable")
     kind = (
-        F.when(F.col("plan").isNotNull(), "installment").when(F.col("monthly").isNotNull(), F.when(income, "recurring_income").otherwise(fixed))
+        F.when(F.col("plan").isNotNull(), "installment").when(F.col("monthly").isNotNull(), monthly_kind(F.col("type"), F.col("steady")))
         .when(F.col("short").isNotNull(), F.when(income, "recurring_income").otherwise(F.concat("short_frequency", F.lit("_recurring")))).when(F.col("often").isNotNull(), F.when(income, "recurring_income").otherwise(F.col("often_kind")))
     )
     # A monthly score may stand on the day of the month alone; the frequency also asks for half of the gaps.

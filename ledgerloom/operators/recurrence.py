@@ -75,6 +75,16 @@ def identity_groups(rows: DataFrame, least: int = 3) -> DataFrame:
     return each.join(big, ["company_id", "type", "key"])
 
 
+def identity_blocks(rows: DataFrame) -> DataFrame:
+    """(company_id, type, key, id): blocks of two rows or more by document, counterparty, description and ordered pairs of
+    distinctive tokens; a description counts here even without such tokens."""
+    plain = F.when((F.col("normalized_description") != "") & (F.size("distinctive") == 0), F.concat(F.lit("description:"), "normalized_description"))
+    keys = F.filter(identity_keys()["key"], lambda k: ~k.startswith("token:"))
+    each = rows.select("company_id", "type", "id", F.explode(F.array_compact(F.concat(keys, F.array(plain)))).alias("key")).distinct()
+    big = each.groupBy("company_id", "type", "key").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").drop("n")
+    return each.join(big, ["company_id", "type", "key"])
+
+
 #: How a shared ground links a pair: at once, with different parts of one plan, or with amounts that are very near.
 AT_ONCE, OTHER_PART, NEAR = 0, 1, 2
 

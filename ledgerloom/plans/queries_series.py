@@ -8,6 +8,7 @@ from ledgerloom.functions import money as M
 from ledgerloom.functions import similarity as S
 from ledgerloom.functions import text as T
 from ledgerloom.operators import consolidate as K
+from ledgerloom.operators import detect as E
 from ledgerloom.operators import recurrence as R
 from ledgerloom.operators import series as G
 
@@ -438,3 +439,48 @@ def pair_eval(spark, sf_dir):
 @query(PAIR_EVAL_SQL)
 def pair_eval_whole(spark, sf_dir):
     return pair_eval(spark, sf_dir)
+
+
+BLOCKS_SQL = IDENTITY_SQL + """, b as (select distinct company_id, type, id, key from k where key not like 'token:%' union select company_id, type, id, 'description:' || normalized_description from rec where normalized_description <> '')
+  select company_id, type, key, count(*) as n, min(id) as first_id from b group by all having count(*) >= 2"""
+
+
+@query(BLOCKS_SQL)
+def identity_blocks(spark, sf_dir):
+    return R.identity_blocks(rows_of(spark, sf_dir)).groupBy("company_id", "type", "key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
+
+
+@query(PERIOD_SQL + f""", a as (select {BY}, case when avg(abs_amount) = 0 then 0 else (max(abs_amount) - min(abs_amount)) / avg(abs_amount) * 100 end as variation from rec group by {BY})
+  select {BY}, round(score, 6) as score, case when type = 'income' then 'recurring_income' when variation <= 5 then 'monthly_fixed' else 'monthly_variable' end as kind, case when score >= 0.55::double and ratio >= 0.5::double then 'monthly' else 'unknown' end as frequency
+  from period join a using ({BY}) where score >= 0.55::double""")
+def pattern_monthly(spark, sf_dir):
+    """The monthly pattern of series by description."""
+    rows = rows_of(spark, sf_dir)
+    p = G.periodicity(rows, KEYS).where("score >= 0.55").join(G.amount_stability(rows, KEYS).select(*KEYS, "recurrence_type"), KEYS)
+    return p.select(*KEYS, six(F.col("score")).alias("score"), E.monthly_kind(F.col("type"), F.col("recurrence_type")).alias("kind"), "frequency")
+
+
+@query(REC_SQL + f""", months as (select row_number() over () as rn, company_id, type, date_trunc('month', date) as month, tokens as a, document_number as an, normalized_counterparty as ac from rec),
+  pairs as (select x.company_id, x.type, x.month, x.a, y.a as b, x.an, y.an as bn, x.ac, y.ac as bc from months x join months y on x.company_id = y.company_id and x.type = y.type and x.month = y.month and x.rn < y.rn),
+  m as (select *, len(list_intersect(a, b)) as common, len(list_distinct(a || b)) as whole, list_filter(a, lambda w: length(w) >= 4) as la, list_filter(b, lambda w: length(w) >= 4) as lb, {aliases('a')} as ga, {aliases('b')} as gb from pairs),
+  s as (select company_id, type, month, greatest(case when whole > 0 then common / whole else 0 end, case when least(len(a), len(b)) > 0 then common / least(len(a), len(b)) * 0.85 else 0 end,
+    case when len(list_intersect(la, lb)) >= 2 and len(list_intersect(la, lb)) / least(len(la), len(lb)) >= 0.66 then 0.72 else 0 end, case when list_has_any(ga, gb) then 0.35 else 0 end,
+    case when an = bn then 0.95 else 0 end, case when ac = bc then 0.9 else 0 end) as s from m)
+  select company_id, type, strftime(month, '%Y-%m') as group_id, round(coalesce(avg(s), 0), 5) as text, round(coalesce(min(s), 0), 5) as least_text, round(coalesce(max(s), 0), 5) as most_text from (select distinct company_id, type, month from months) left join s using (company_id, type, month) group by all""")
+def group_similarity(spark, sf_dir):
+    """How alike the texts of a company's rows of one month and type are."""
+    rows = rows_of(spark, sf_dir).withColumn("group_id", F.date_format("date", "yyyy-MM"))
+    found = E.group_similarity(rows.select(*E.KEYS, "tokens", "document_number", "normalized_counterparty"))
+    return found.select(*E.KEYS, *[F.round(c, 5).alias(c) for c in ("text", "least_text", "most_text")])
+
+
+@query(REC_SQL + """, f as (select company_id, type, 'd:' || normalized_description as group_id, case when count(*) % 2 = 1 then 'monthly_fixed' end as pattern_kind, (60 + count(*) % 40)::int as confidence, list_sort(list(id)) as ids from rec group by company_id, type, normalized_description having count(*) >= 3
+    union all select company_id, type, 'c:' || normalized_counterparty, 'monthly_variable', (70 + length(normalized_counterparty) % 20)::int, list_sort(list(id)) from rec where normalized_counterparty is not null group by company_id, type, normalized_counterparty having count(*) >= 3)
+  select company_id, type, group_id, pattern_kind, confidence, len(ids) as n from f qualify row_number() over (partition by company_id, type, array_to_string(ids, '|') order by pattern_kind is not null, confidence desc, group_id) = 1""")
+def suggestion_dedupe(spark, sf_dir):
+    """Of suggestions with the same rows, by description and by counterparty, one."""
+    rows = rows_of(spark, sf_dir)
+    grouped = lambda c, mark: rows.where(F.col(c).isNotNull()).groupBy("company_id", "type", F.concat(F.lit(mark), c).alias("group_id"), F.length(c).alias("size")).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("id")).alias("transaction_ids")).where("n >= 3")
+    texts = grouped("normalized_description", "d:").withColumns({"pattern_kind": F.when(F.col("n") % 2 == 1, "monthly_fixed"), "confidence": (60 + F.col("n") % 40).cast("int")})
+    parties = grouped("normalized_counterparty", "c:").withColumns({"pattern_kind": F.lit("monthly_variable"), "confidence": (70 + F.col("size") % 20).cast("int")})
+    return E.distinct_suggestions(texts.unionByName(parties)).select("company_id", "type", "group_id", "pattern_kind", "confidence", F.col("n").cast("long").alias("n"))
