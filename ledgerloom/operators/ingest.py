@@ -209,10 +209,17 @@ def row_issues(rows: DataFrame) -> DataFrame:
     return rows.select("file", "row_no", F.explode(codes).alias("code"))
 
 
-def import_report(lines: DataFrame, rows: DataFrame) -> DataFrame:
-    """Counts and period of each file. ``lines`` have dispositions, ``rows`` is_duplicate; parsed rows include ignored ones."""
+def import_report(lines: DataFrame, rows: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
+    """Counts and period of each file. ``lines`` have dispositions, ``rows`` is_duplicate; parsed rows include ignored ones.
+
+    The period is the one that ``metadata`` (file, period_start, period_end) tells, where it tells both ends, else that of
+    the rows' dates.
+    """
     counted = lines.groupBy("file").agg(F.count(F.lit(1)).alias("total_rows"), F.count_if(F.col("disposition").isin("ignored", "future")).alias("ignored_rows"), F.count_if(F.col("disposition") == "invalid").alias("invalid_rows"))
     found = rows.groupBy("file").agg(F.count_if("is_duplicate").alias("duplicate_rows"), F.count_if(~F.col("is_duplicate")).alias("imported_rows"), F.min("date").alias("period_start"), F.max("date").alias("period_end"))
+    if metadata is not None:
+        told = metadata.where("period_start is not null and period_end is not null").groupBy("file").agg(F.max(F.struct("period_start", "period_end")).alias("told"))
+        found = found.join(told, "file", "full").withColumns({c: F.coalesce(f"told.{c}", c) for c in ("period_start", "period_end")}).drop("told")
     joined = counted.join(found, "file", "left").fillna(0, ["duplicate_rows", "imported_rows"]).withColumn("parsed_rows", F.col("total_rows") - F.col("invalid_rows"))
     return joined.withColumn("status", import_status(F.col("invalid_rows"), F.col("imported_rows"), F.col("duplicate_rows")))
 

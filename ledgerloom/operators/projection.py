@@ -59,3 +59,22 @@ def projected_items(recurrences: DataFrame, as_of: Column, horizons=HORIZONS) ->
     """Projected items with amount, type and description of their recurrence."""
     facts = recurrences.select("company_id", "recurrence_id", "amount", "type", "description")
     return projection_dates(recurrences, as_of, horizons).join(facts, ["company_id", "recurrence_id"])
+
+
+#: Fixed value: the name of the scenario that every company has.
+BASE_SCENARIO = "Base"
+
+
+def ensured_scenarios(companies: DataFrame, scenarios: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(scenarios with a base one for each company of ``wanted``, company_id and error of those that do not exist).
+
+    ``companies``: id; ``scenarios``: company_id, name and further columns, one for a company; ``wanted``: company_id. A
+    scenario that is there takes the base name and keeps all else; asking again changes nothing.
+    """
+    asked = wanted.select("company_id").where("company_id is not null").distinct()
+    known = asked.join(companies.select(F.col("id").alias("company_id")), "company_id", "left_semi")
+    kept = scenarios.join(known.withColumn("_asked", F.lit(True)), "company_id", "left").withColumn("name", F.when(F.col("_asked"), BASE_SCENARIO).otherwise(F.col("name"))).select(*scenarios.columns)
+    made = known.join(scenarios.select("company_id"), "company_id", "left_anti")
+    made = made.select(*[F.col("company_id") if c == "company_id" else F.lit(BASE_SCENARIO).alias(c) if c == "name" else F.lit(None).cast(t).alias(c) for c, t in scenarios.dtypes])
+    unknown = asked.join(companies.select(F.col("id").alias("company_id")), "company_id", "left_anti").withColumn("error", F.lit("unknown_company"))
+    return kept.unionByName(made), unknown

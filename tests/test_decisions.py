@@ -16,6 +16,7 @@ from ledgerloom.operators import duplicates as D
 from ledgerloom.operators import gate as W
 from ledgerloom.operators import ingest as I
 from ledgerloom.operators import persist as P
+from ledgerloom.operators import projection as R
 from ledgerloom.sources import truth as J
 from ledgerloom.sources.versions import Versions
 from ledgerloom.streaming import incremental as S
@@ -230,3 +231,21 @@ def test_files_that_are_not_there(spark):
     files = spark.createDataFrame([("a.pdf", 9, b"%PDF-1.4 x")], "path string, length long, content binary")
     found = {r.path: r.error for r in I.requested_files(spark.createDataFrame([("a.pdf",), ("b.pdf",), (None,)], "path string"), files).collect()}
     assert found == {"a.pdf": None, "b.pdf": "FILE_NOT_FOUND", None: "INVALID_FILE"}
+
+
+def test_every_company_has_a_base_scenario(spark):
+    make = spark.createDataFrame
+    companies, wanted = make([("a",), ("b",), ("d",)], "id string"), make([("a",), ("b",), ("b",), ("x",), (None,)], "company_id string")
+    before = make([("a", "Other", 7), ("d", "Own", 8)], "company_id string, name string, days int")
+    after, unknown = R.ensured_scenarios(companies, before, wanted)
+    expected = [("a", "Base", 7), ("b", "Base", None), ("d", "Own", 8)]
+    assert sorted(map(tuple, after.collect())) == expected and [tuple(r) for r in unknown.collect()] == [("x", "unknown_company")]
+    assert sorted(map(tuple, R.ensured_scenarios(companies, after, wanted)[0].collect())) == expected
+
+
+def test_the_period_of_an_import_is_the_one_that_the_file_tells(spark):
+    lines = spark.createDataFrame([("f", "candidate"), ("g", "candidate"), ("h", "invalid")], "file string, disposition string")
+    rows = spark.createDataFrame([("f", date(2026, 1, 5), False), ("g", date(2026, 1, 6), True)], "file string, date date, is_duplicate boolean")
+    told = spark.createDataFrame([("f", date(2026, 1, 1), date(2026, 1, 31)), ("g", date(2026, 1, 1), None), ("h", date(2026, 2, 1), date(2026, 2, 28))], "file string, period_start date, period_end date")
+    found = {r.file: (r.period_start, r.period_end, r.imported_rows, r.duplicate_rows, r.status) for r in I.import_report(lines, rows, told).collect()}
+    assert found == {"f": (date(2026, 1, 1), date(2026, 1, 31), 1, 0, "success"), "g": (date(2026, 1, 6), date(2026, 1, 6), 0, 1, "success"), "h": (date(2026, 2, 1), date(2026, 2, 28), 0, 0, "failed")}
