@@ -33,7 +33,12 @@ def test_identity_groups_meet_in_place(spark):
     assert pruned(lambda rows: A.shared_rows(A.suggestion_classes(queries_audit._links(rows), ["company_id"]), ["company_id"])) == 1
 
 
-@pytest.mark.parametrize("name", ["identity_candidates", "pending_integrity", "overlap_pairs"])
+def test_tracks_meet_in_place(spark):
+    tracks = R.income_track_rows(queries_series.rows_of(spark, SF))
+    assert exchanges(tracks) <= 2  # both sides of the one join, which may be one shuffle
+
+
+@pytest.mark.parametrize("name", ["identity_candidates", "pending_integrity", "overlap_pairs", "income_tracks"])
 def test_large_companies_give_the_same(spark, monkeypatch, name):
     expected = sorted(catalog.queries()[name](spark, SF).collect())
     monkeypatch.setattr(R, "LARGE_COMPANY", int(ledger(spark, SF).groupBy("company_id").count().agg(F.percentile_approx("count", 0.5)).first()[0]))
