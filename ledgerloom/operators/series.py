@@ -22,15 +22,21 @@ def periodicity(rows: DataFrame, keys: list[str]) -> DataFrame:
     are not a monthly pair; fewer score 0.
     """
     dates = rows.select(*keys, "date").distinct()
-    before = F.lag("date").over(Window.partitionBy(*keys).orderBy("date"))
-    gaps = dates.withColumn("previous", before)
+    gaps = dates.withColumn("previous", F.lag("date").over(Window.partitionBy(*keys).orderBy("date")))
+    return _period_scored(gaps.groupBy(*keys).agg(*_period_counts(F.lit(True))), keys)
+
+
+def _period_counts(counts: Column) -> list[Column]:
+    """What ``periodicity`` adds up over rows with date and ``previous``, the date before; only rows with ``counts`` count."""
     monthly = is_monthly_pair(F.col("previous"), F.col("date"))
     skipped = ~monthly & is_cadence_pair(F.col("previous"), F.col("date"))
-    days = F.array_sort(F.collect_list(F.day("date")))
-    grouped = gaps.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_dates"), F.count_if(monthly).alias("monthly"), F.count_if(skipped).alias("skipped"), days.alias("days"),
-        F.max("date").alias("last_date"), F.avg(F.datediff("date", "previous")).alias("average_gap"),
-    )
+    return [
+        F.count_if(counts).alias("n_dates"), F.count_if(counts & monthly).alias("monthly"), F.count_if(counts & skipped).alias("skipped"), F.array_sort(F.collect_list(F.when(counts, F.day("date")))).alias("days"),
+        F.max("date").alias("last_date"), F.avg(F.when(counts, F.datediff("date", "previous"))).alias("average_gap"),
+    ]
+
+
+def _period_scored(grouped: DataFrame, keys: list[str], *more: str) -> DataFrame:
     gap_count = F.col("n_dates") - 1
     ratio = F.when(gap_count > 0, (F.col("monthly") + F.col("skipped") * 0.75) / gap_count).otherwise(0.0)
     median = F.element_at("days", (F.floor(F.size("days") / 2) + 1).cast("int"))
@@ -42,21 +48,28 @@ def periodicity(rows: DataFrame, keys: list[str]) -> DataFrame:
     is_monthly = (F.col("score") >= 0.55) & (F.col("ratio") >= 0.5)
     return scored.select(
         *keys, "n_dates", "average_gap", "ratio", "consistency", "score", F.when(is_monthly, "monthly").otherwise("unknown").alias("frequency"),
-        F.when(is_monthly, F.add_months("last_date", 1)).alias("next_date"),
+        F.when(is_monthly, F.add_months("last_date", 1)).alias("next_date"), *more,
     )
 
 
 def amount_stability(rows: DataFrame, keys: list[str]) -> DataFrame:
     """One row per group: average, bounds, variation in per cent, population deviation and a score of 1 to 0.1."""
+    return _amounts_scored(rows.groupBy(*keys).agg(*_amount_sums()), keys)
+
+
+def _amount_sums() -> list[Column]:
     a = F.abs("amount")
-    grouped = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("amount").alias("mean"), F.avg(a).alias("mean_abs"), F.min(a).alias("low"), F.max(a).alias("high"), F.stddev_pop(a).alias("deviation"))
+    return [F.count(F.lit(1)).alias("n"), F.avg("amount").alias("mean"), F.avg(a).alias("mean_abs"), F.min(a).alias("low"), F.max(a).alias("high"), F.stddev_pop(a).alias("deviation")]
+
+
+def _amounts_scored(grouped: DataFrame, keys: list[str], *more: str) -> DataFrame:
     variation = F.when(F.col("mean_abs") == 0, 0.0).otherwise((F.col("high") - F.col("low")) / F.col("mean_abs") * 100)
     grouped = grouped.withColumn("variation_percent", variation)
     v = F.col("variation_percent")
     return grouped.select(
         *keys, "n", round_money(F.col("mean")).alias("average_amount"), round_money(F.col("low")).alias("min_amount"), round_money(F.col("high")).alias("max_amount"), "variation_percent",
         F.when(F.col("mean_abs") == 0, 0.0).otherwise(F.col("deviation") / F.col("mean_abs")).alias("coefficient"), F.when(v <= 5, "fixed").otherwise("variable").alias("recurrence_type"),
-        F.when(v <= 5, 1.0).when(v <= 15, 0.8).when(v <= 30, 0.55).when(v <= 50, 0.35).otherwise(0.1).alias("amount_score"),
+        F.when(v <= 5, 1.0).when(v <= 15, 0.8).when(v <= 30, 0.55).when(v <= 50, 0.35).otherwise(0.1).alias("amount_score"), *more,
     )
 
 
@@ -65,7 +78,31 @@ def category_consistency(rows: DataFrame, keys: list[str]) -> DataFrame:
     each = rows.where(F.col("category_id").isNotNull()).groupBy(*keys, "category_id").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("date", "id")).alias("first"))
     best = each.groupBy(*keys).agg(F.min(F.struct((-F.col("k")).alias("k"), "first", "category_id")).alias("b"))
     total = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return total.join(best, keys, "left").select(*keys, F.coalesce(-F.col("b.k") / F.col("n"), F.lit(0.5)).alias("category_score"), F.col("b.category_id").alias("category_id"))
+    return total.join(best, keys, "left").select(*keys, *_category_scored())
+
+
+def _category_scored() -> list[Column]:
+    return [F.coalesce(-F.col("b.k") / F.col("n"), F.lit(0.5)).alias("category_score"), F.col("b.category_id").alias("category_id")]
+
+
+def series_facts(rows: DataFrame, keys: list[str], categories: bool = True) -> DataFrame:
+    """``periodicity``, ``amount_stability`` and, with ``categories``, ``category_consistency`` side by side, from one shuffle of the
+    rows by ``keys``: rows are read, and their keys computed, once. Where keys hold very many rows each, the three apart shuffle less."""
+    own = Window.partitionBy(*keys)
+    found = []
+    if categories:
+        of_category = Window.partitionBy(*keys, "category_id")
+        rows = rows.withColumns({"_k": F.count(F.lit(1)).over(of_category), "_first": F.min(F.struct("date", "id")).over(of_category)})
+        found = [F.min(F.when(F.col("category_id").isNotNull(), F.struct((-F.col("_k")).alias("k"), F.col("_first").alias("first"), "category_id"))).alias("b")]
+    # Of the rows of one date the first stands for it; null is a date here, as it is for ``distinct``.
+    ranked = rows.withColumns({"previous": F.lag("date").over(own.orderBy("date")), "_place": F.row_number().over(own.orderBy("date"))})
+    first = (F.col("_place") == 1) | ~F.col("date").eqNullSafe(F.col("previous"))
+    grouped = ranked.groupBy(*keys).agg(*_period_counts(first), *_amount_sums(), *found)
+    periods = _period_scored(grouped, keys, "n", "mean", "mean_abs", "low", "high", "deviation", *(["b"] if categories else []))
+    facts = ["n_dates", "average_gap", "ratio", "consistency", "score", "frequency", "next_date"]
+    if not categories:
+        return _amounts_scored(periods, keys, *facts)
+    return _amounts_scored(periods, keys, *facts, "b").select("*", *_category_scored()).drop("b")
 
 
 def occurrence_score(n: Column) -> Column:
