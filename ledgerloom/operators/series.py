@@ -188,11 +188,12 @@ def cadence_track(rows: DataFrame, keys: list[str], days: int) -> DataFrame:
     of ``days`` entries: the track is the best window of five of them around one that has rows.
     """
     residue = F.pmod(F.datediff("date", F.lit("1970-01-01").cast("date")), F.lit(days))
-    placed = rows.withColumn("_residue", residue)
-    each = placed.groupBy(*keys, "_residue").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("date", "id")).alias("first"))
-    window = F.transform(F.array(*[F.lit(i) for i in range(-2, 3)]), lambda i: F.struct(F.pmod(F.col("_residue") + i, F.lit(days)).alias("anchor"), (i == 0).alias("own")))
-    spread = each.select(*keys, "k", "first", F.inline(window))
-    sizes = spread.groupBy(*keys, "anchor").agg(F.sum("k").alias("k"), F.min(F.when(F.col("own"), F.col("first"))).alias("first")).where("first is not null")
-    best = sizes.groupBy(*keys).agg(F.min(F.struct((-F.col("k")).alias("k"), "first", "anchor")).alias("b"))
-    kept = best.select(*keys, F.explode(F.transform(F.array(*[F.lit(i) for i in range(-2, 3)]), lambda i: F.pmod(F.col("b.anchor") + i, F.lit(days)))).alias("_residue"))
-    return placed.join(kept, [*keys, "_residue"], "left_semi").drop("_residue").select(*rows.columns)
+    own = Window.partitionBy(*keys, "_residue")
+    placed = rows.withColumn("_residue", residue).withColumns({"_k": F.count(F.lit(1)).over(own), "_first": F.min(F.struct("date", "id")).over(own)})
+    # At most ``days`` entries a group.
+    entry = F.when(F.col("_residue").isNotNull(), F.struct(F.col("_k").alias("k"), F.col("_first").alias("first"), F.col("_residue").alias("anchor")))
+    placed = placed.withColumn("_all", F.collect_set(entry).over(Window.partitionBy(*keys)))
+    apart = lambda a, b: F.least(F.pmod(a - b, F.lit(days)), F.pmod(b - a, F.lit(days)))
+    size = lambda x: F.aggregate(F.filter("_all", lambda y: apart(x["anchor"], y["anchor"]) <= 2), F.lit(0).cast("long"), lambda n, y: n + y["k"])
+    best = F.array_min(F.transform("_all", lambda x: F.struct((-size(x)).alias("k"), x["first"].alias("first"), x["anchor"].alias("anchor"))))
+    return placed.withColumn("_best", best["anchor"]).where(apart(F.col("_residue"), F.col("_best")) <= 2).select(*rows.columns)

@@ -33,3 +33,7 @@ def test_facts_side_by_side_equal_those_apart(spark):
         apart = G.periodicity(own, keys).join(G.amount_stability(own, keys), keys).join(G.category_consistency(own, keys), keys)
         shown = lambda f: sorted([{c: round(v, 9) if isinstance(v, float) else str(v) for c, v in r.asDict().items()} for r in f.select(*sorted(apart.columns)).collect()], key=str)
         assert shown(G.series_facts(own, keys)) == shown(apart)
+
+
+def test_the_cadence_track_reads_the_ledger_once(spark):
+    assert scans(spark, "cadence_track") == 1
