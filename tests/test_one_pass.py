@@ -6,6 +6,7 @@ import os
 
 import pytest
 
+from ledgerloom.operators import audit as A
 from ledgerloom.operators import series as G
 from ledgerloom.plans import catalog, queries_series
 
@@ -27,9 +28,9 @@ def test_scores_read_the_ledger_once(spark, name):
 
 def test_facts_side_by_side_equal_those_apart(spark):
     rows = [("a", "2026-01-01", 10.0, "x", "1"), ("a", "2026-01-01", 12.0, "y", "2"), ("a", "2026-02-01", 11.0, "y", "0"), ("a", None, 5.0, None, "3"), ("a", None, 5.0, None, "4"), ("b", "2026-01-31", -3.0, None, "5"), ("c", None, 1.0, "x", "6")]
-    frame = spark.createDataFrame(rows, "k string, date string, amount double, category_id string, id string").withColumn("date", G.F.col("date").cast("date"))
+    frame = spark.createDataFrame(rows, "party string, date string, amount double, category_id string, id string").withColumn("date", G.F.col("date").cast("date"))
     ledger = queries_series.rows_of(spark, SF)
-    for own, keys in ((frame, ["k"]), (ledger, ["company_id", "bucket"])):
+    for own, keys in ((frame, ["party"]), (ledger, ["company_id", "bucket"])):
         apart = G.periodicity(own, keys).join(G.amount_stability(own, keys), keys).join(G.category_consistency(own, keys), keys)
         shown = lambda f: sorted([{c: round(v, 9) if isinstance(v, float) else str(v) for c, v in r.asDict().items()} for r in f.select(*sorted(apart.columns)).collect()], key=str)
         assert shown(G.series_facts(own, keys)) == shown(apart)
@@ -37,3 +38,16 @@ def test_facts_side_by_side_equal_those_apart(spark):
 
 def test_the_cadence_track_reads_the_ledger_once(spark):
     assert scans(spark, "cadence_track") == 1
+
+
+def test_classes_do_not_read_the_ledger_for_every_fact(spark):
+    assert scans(spark, "candidate_class") == scans(spark, "actionable_audit") == 0
+
+
+def test_variants_of_lone_pairs_need_no_group_in_python(spark):
+    rows = [("a", "g", 0.5, 1), ("b", "g", 0.5, 2), ("c", "h", 0.0, 1), ("d", "h", 0.0, 1), ("e", "i", 0.5, None), ("f", "i", 0.5, 3), ("x", "j", 0.9, 1), ("y", "j", 0.8, 1), ("z", "j", 0.7, 1)]
+    classes = spark.createDataFrame([(*r, "partial_match") for r in rows], "suggestion_id string, group_id string, f1 double, confidence int, class string")
+    sets = {"x": "12", "y": "123456", "z": "3456"} | dict.fromkeys("ab", "7") | dict.fromkeys("cd", "8") | dict.fromkeys("ef", "9")
+    labelled = spark.createDataFrame([(s, t) for s, ts in sets.items() for t in ts], "suggestion_id string, transaction_id string")
+    found = {r.suggestion_id for r in A.mark_variants(classes, labelled).collect() if r["class"] == "duplicate_variant"}
+    assert found == {"a", "d", "e", "y"}
