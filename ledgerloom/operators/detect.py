@@ -106,7 +106,7 @@ def group_similarity(members: DataFrame, rows: DataFrame | None = None) -> DataF
     """
     profile = ["tokens", "document_number", "normalized_counterparty"]
     own = (members if rows is None else members.join(rows.select("id", *profile), "id")).groupBy(*KEYS, *profile).agg(F.count(F.lit(1)).alias("k"))
-    own = own.withColumn("mark", F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in profile]))
+    own = materialise(own.withColumn("mark", F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in profile])), "profiles")
     side = lambda p: own.select(*KEYS, *[F.col(c).alias(f"{p}{c}") for c in (*profile, "k", "mark")])
     across = side("l_").join(side("r_"), KEYS).where("l_mark < r_mark").select(*KEYS, (F.col("l_k") * F.col("r_k")).alias("w"), text_similarity("l_", "r_").alias("s"))
     twin = own.select(*KEYS, *[F.col(c).alias(f"{p}{c}") for p in ("l_", "r_") for c in (*profile, "k")]).where("l_k > 1")

@@ -63,3 +63,7 @@ def test_records_of_many_blocks_are_linked_without_a_group_each_in_python(spark)
     assert "FlatMapGroupsInPandas" not in plan.getvalue() and "MapInPandas" in plan.getvalue()
     expected = {(f"s{d}-{i}", f"s{d}-{i}", 11, True) for d in range(1, 20) for i in (1, 2)}
     assert {tuple(r) for r in links.collect()} == expected
+
+
+def test_similarities_of_groups_share_their_profiles(spark):
+    assert scans(spark, "group_similarity") == 0
