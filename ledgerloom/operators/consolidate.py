@@ -129,7 +129,7 @@ def judged_pairs(rows: DataFrame) -> DataFrame:
 
 def equivalence_pairs(suggestions: DataFrame) -> DataFrame:
     """Pairs of equivalent suggestions of one company, type and account set."""
-    return judged_pairs(described(suggestions)).where("equal").select("company_id", "left_id", "right_id")
+    return judged_pairs(materialise(described(suggestions), "described")).where("equal").select("company_id", "left_id", "right_id")
 
 
 def logical_key(rows: DataFrame) -> Column:

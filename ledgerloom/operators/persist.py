@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ledgerloom.plans.scratch import materialise
+
 from . import consolidate as K
 
 SCOPE = ["company_id", "type", "accounts"]
@@ -42,7 +44,8 @@ def persisted(found: DataFrame, stored: DataFrame) -> DataFrame:
     id added where that key is taken. Of several found ones for one stored or key, the most confident counts, then the
     smallest id; their rows are all added.
     """
-    new, old = K.described(found), K.described(stored)
+    new, old = materialise(K.described(found), "found-suggestions"), materialise(K.described(stored), "stored-suggestions")
+    stored = old.select(*stored.columns)
     side = lambda rows, p: rows.select(*SCOPE, *[F.col(c).alias(f"{p}{c}") for c in rows.columns if c not in SCOPE])
     live = old.where(F.col("status").isin("pending", "edited", "approved", "superseded"))
     pairs = side(new, "l_").join(side(live, "r_"), SCOPE).where(K.equivalent("l_", "r_"))

@@ -67,3 +67,7 @@ def test_records_of_many_blocks_are_linked_without_a_group_each_in_python(spark)
 
 def test_similarities_of_groups_share_their_profiles(spark):
     assert scans(spark, "group_similarity") == 0
+
+
+def test_pairs_read_described_suggestions(spark):
+    assert scans(spark, "equivalence_pairs") == 0
