@@ -11,6 +11,7 @@ from ledgerloom.operators import ingest as I
 
 from .registering import registry
 from .sample_ledger import table
+from .scratch import materialise
 
 QUERIES, ORACLES, query = registry()
 
@@ -122,8 +123,8 @@ def _disposed(spark, sf_dir):
     return I.dispositions(statement_lines(spark, sf_dir))
 
 
-def _canonical(spark, sf_dir):
-    return I.canonical(_disposed(spark, sf_dir).where("disposition = 'candidate'"))
+def _canonical(spark, sf_dir, disposed=None):
+    return I.canonical((disposed or _disposed(spark, sf_dir)).where("disposition = 'candidate'"))
 
 
 @query("select page_id, coalesce(nullif(trim(left(regexp_replace(coalesce(url, ''), '[^a-zA-Z0-9._ -]', '_', 'g'), 180)), ''), 'bank-statement') as name from pages")
@@ -206,7 +207,8 @@ def validate_rows(spark, sf_dir):
   select c.*, coalesce(duplicate_rows, 0) as duplicate_rows, coalesce(imported_rows, 0) as imported_rows, period_start, period_end, total_rows - invalid_rows as parsed_rows,
     case when invalid_rows = 0 then 'success' when coalesce(imported_rows, 0) > 0 or coalesce(duplicate_rows, 0) > 0 then 'partial_success' else 'failed' end as status from c left join f using (file)""")
 def import_report(spark, sf_dir):
-    report = I.import_report(_disposed(spark, sf_dir), I.first_of_each(_canonical(spark, sf_dir)))
+    disposed = materialise(_disposed(spark, sf_dir), "disposed")
+    report = I.import_report(disposed, I.first_of_each(_canonical(spark, sf_dir, disposed)))
     return report.withColumn("period_start", F.col("period_start").cast("string")).withColumn("period_end", F.col("period_end").cast("string"))
 
 
@@ -219,5 +221,5 @@ def import_status(spark, sf_dir):
 
 @query(f"with {CANONICAL_SQL}, ledger as (select distinct company_id, bank_account_id, external_id from canonical where row_no % 2 = 0) select file, row_no, external_id from canonical c anti join ledger using (company_id, bank_account_id, external_id) qualify row_number() over (partition by company_id, bank_account_id, external_id order by file, row_no) = 1")
 def idempotent_load(spark, sf_dir):
-    rows = _canonical(spark, sf_dir)
+    rows = materialise(_canonical(spark, sf_dir).select("file", "row_no", "company_id", "bank_account_id", "external_id"), "canonical")
     return I.new_rows(rows, rows.where("row_no % 2 = 0")).select("file", "row_no", "external_id")

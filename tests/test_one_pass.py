@@ -71,3 +71,11 @@ def test_similarities_of_groups_share_their_profiles(spark):
 
 def test_pairs_read_described_suggestions(spark):
     assert scans(spark, "equivalence_pairs") == 0
+
+
+def test_reports_read_disposed_lines(spark):
+    assert scans(spark, "import_report") == 0
+
+
+def test_loads_read_canonical_rows(spark):
+    assert scans(spark, "idempotent_load") == 0
