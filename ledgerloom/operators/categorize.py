@@ -38,28 +38,31 @@ def match_rules(txns: DataFrame, rules: DataFrame) -> DataFrame:
     """One row per transaction and active rule that matches, with matched_value.
 
     Equality rules are found by a hash join on company, type and value; all others are compared with the transactions
-    of their company, through an equi-join on the company.
+    of their company, under one key of its own in the same join, so transactions are read and normalised once.
     """
     left, right = normalized(txns), active_rules(rules)
-    keys = F.array(*[F.struct(F.lit(kind).alias("rule_type"), F.col(c).alias("key")) for kind, c in zip(EQUALITY, ("n_document", "n_counterparty", "n_description"))])
+    entry = lambda how, key: F.struct(F.lit(how).alias("how"), key.alias("key"))
+    keys = F.array(*[entry(kind, F.col(c)) for kind, c in zip(EQUALITY, ("n_document", "n_counterparty", "n_description"))], entry("", F.lit("")))
     keyed = left.select("*", F.explode(keys).alias("k")).select("*", "k.*").drop("k")
-    equal_rules = right.where(F.col("rule_type").isin(*EQUALITY)).withColumn("key", F.when(F.col("rule_type") == "document_equals", F.col("r_digits")).otherwise(F.col("r_text")))
-    equal = keyed.join(equal_rules, ["company_id", "rule_type", "key"]).drop("key")
+    is_equality = F.col("rule_type").isin(*EQUALITY)
+    how = F.when(is_equality, F.col("rule_type")).otherwise("")
+    key = F.when(F.col("rule_type") == "document_equals", F.col("r_digits")).when(is_equality, F.col("r_text")).otherwise("")
+    met = keyed.join(right.withColumns({"how": how, "key": key}), ["company_id", "how", "key"])
     kind = F.col("rule_type")
     holds = (
-        F.when(kind == "counterparty_contains", F.col("n_counterparty").contains(F.col("r_text")))
+        F.when(kind.isin(*EQUALITY), F.lit(True))
+        .when(kind == "counterparty_contains", F.col("n_counterparty").contains(F.col("r_text")))
         .when(kind == "description_contains", F.col("n_description").contains(F.col("r_text")))
         .when(kind == "amount_range", in_range(F.col("abs_amount"), F.col("low"), F.col("high")))
         .when(kind == "counterparty_and_amount_range", (F.col("n_counterparty") == F.col("r_counterparty")) & in_range(F.col("abs_amount"), F.col("low"), F.col("high")))
     )
-    other = left.join(right.where(~F.col("rule_type").isin(*EQUALITY)), "company_id").where(holds)
     value = (
         F.when(kind == "document_equals", F.col("n_document"))
         .when(kind.startswith("counterparty"), F.col("n_counterparty"))
         .when(kind.startswith("description"), F.col("n_description"))
         .otherwise(F.regexp_replace(F.col("abs_amount").cast("decimal(18,2)").cast("string"), r"\.?0+$", ""))
     )
-    return equal.unionByName(other).withColumn("matched_value", value).drop("r_text", "r_digits", "r_counterparty", "low", "high")
+    return met.where(holds).withColumn("matched_value", value).drop("how", "key", "r_text", "r_digits", "r_counterparty", "low", "high")
 
 
 def origin(source: Column, rule_type: Column) -> Column:

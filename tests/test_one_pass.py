@@ -79,3 +79,7 @@ def test_reports_read_disposed_lines(spark):
 
 def test_loads_read_canonical_rows(spark):
     assert scans(spark, "idempotent_load") == 0
+
+
+def test_rules_meet_normalised_rows_once(spark):
+    assert scans(spark, "confidence_band") == 1
