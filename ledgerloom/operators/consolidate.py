@@ -13,6 +13,7 @@ from ledgerloom.functions.text import economic_tokens
 from ledgerloom.plans.scratch import materialise
 
 from .components import connected_components
+from .recurrence import by_company
 
 OVERLAP, SEMANTIC_OVERLAP, MATERIAL = 0.7, 0.5, 5
 
@@ -53,8 +54,8 @@ def phase_distance(a: Column, b: Column) -> Column:
 
 
 def is_internal_transfer(text: Column) -> Column:
-    tokens = economic_tokens(text)
-    return F.array_contains(tokens, "interna") & F.array_contains(tokens, "entre") & F.array_contains(tokens, "contas")
+    named = [F.lit(w) for w in ("interna", "entre", "contas")]
+    return F.size(F.array_intersect(economic_tokens(text), F.array(*named))) == len(named)
 
 
 def described(suggestions: DataFrame) -> DataFrame:
@@ -98,38 +99,51 @@ SCOPE = ["company_id", "type", "accounts"]
 CONTAINED = 0.8
 
 
-def shared_pairs(rows: DataFrame) -> DataFrame:
+def shared_rows(rows: DataFrame) -> DataFrame:
+    """(SCOPE, key, id): the rows (``key``) that two suggestions or more hold, with each that does. Suggestions are shuffled
+    by company before they are spread over their rows."""
+
+    def of(own: DataFrame) -> DataFrame:
+        held = own.select(*SCOPE, "id", F.explode(F.array_distinct("transaction_ids")).alias("key")).where("key is not null")
+        return held.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*SCOPE, "key"))).where("_n > 1").drop("_n")
+
+    return by_company(rows.select(*SCOPE, "id", "transaction_ids"), of)
+
+
+def shared_pairs(rows: DataFrame, by_row: DataFrame) -> DataFrame:
     """(SCOPE, left_id, right_id): pairs of described suggestions that may be equivalent or alike.
 
-    Such a pair shares a row, or most words of the shorter description. Rows meet in an inverted index; words by a prefix
-    filter: of n words, rarest first, the shorter one has to share one of the first ``n - 0.8 n + 1``. Descriptions without
-    words are alike among themselves.
+    Such a pair shares a row, or has one identity and so most words of the shorter description. Rows meet in an inverted
+    index; words by a prefix filter: of n words, rarest first, the shorter one has to share one of the first
+    ``n - 0.8 n + 1``. Descriptions without words may be alike among themselves. Identity is judged where words meet, so
+    only pairs that have it are joined with whole suggestions. ``by_row``: ``shared_rows(rows)``.
     """
-    by_row = rows.select(*SCOPE, "id", F.explode(F.array_distinct("transaction_ids")).alias("key"))
-    words = rows.select(*SCOPE, "id", F.filter(F.split("economy", " "), lambda w: w != "").alias("words"))
-    each = words.select(*SCOPE, "id", F.size("words").alias("n"), F.explode("words").alias("key"))
-    common = each.groupBy(*SCOPE, "key").agg(F.count(F.lit(1)).alias("often"))
-    ranked = each.join(common, [*SCOPE, "key"]).withColumn("place", F.row_number().over(Window.partitionBy(*SCOPE, "id").orderBy("often", "key")))
+    identity = ["recurrence_type", "economy", "average_amount", "variation_percent"]
+    words = rows.select(*SCOPE, "id", *identity, F.filter(F.split("economy", " "), lambda w: w != "").alias("words"))
+    each = words.select(*SCOPE, "id", *identity, F.size("words").alias("n"), F.explode("words").alias("key"))
+    common = each.withColumn("often", F.count(F.lit(1)).over(Window.partitionBy(*SCOPE, "key")))
+    ranked = common.withColumn("place", F.row_number().over(Window.partitionBy(*SCOPE, "id").orderBy("often", "key")))
     first = ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * CONTAINED) + 1)
     side = lambda frame, p, *more: frame.select(*SCOPE, "key", *[F.col(c).alias(p + c) for c in ("id", *more)])
     met = side(by_row, "l_").join(side(by_row, "r_"), [*SCOPE, "key"]).where("l_id < r_id")
-    worded = side(first, "l_", "n").join(side(ranked, "r_", "n"), [*SCOPE, "key"]).where("l_id <> r_id and l_n <= r_n")
+    worded = side(first, "l_", "n", *identity).join(side(ranked, "r_", "n", *identity), [*SCOPE, "key"]).where("l_id <> r_id and l_n <= r_n").where(same_identity("l_", "r_"))
     blank = words.where(F.size("words") == 0).withColumn("key", F.lit(""))
-    empty = side(blank, "l_").join(side(blank, "r_"), [*SCOPE, "key"]).where("l_id < r_id")
+    empty = side(blank, "l_", *identity).join(side(blank, "r_", *identity), [*SCOPE, "key"]).where("l_id < r_id").where(same_identity("l_", "r_"))
     pairs = met.select(*SCOPE, "l_id", "r_id").unionByName(worded.select(*SCOPE, "l_id", "r_id")).unionByName(empty.select(*SCOPE, "l_id", "r_id"))
     return pairs.select(*SCOPE, F.least("l_id", "r_id").alias("left_id"), F.greatest("l_id", "r_id").alias("right_id")).distinct()
 
 
-def judged_pairs(rows: DataFrame) -> DataFrame:
-    """(SCOPE, left_id, right_id, equal, alike) of the pairs of described suggestions that are one or both."""
+def judged_pairs(rows: DataFrame, by_row: DataFrame) -> DataFrame:
+    """(SCOPE, left_id, right_id, equal, alike) of the pairs of described suggestions that are one or both; ``by_row``: ``shared_rows(rows)``."""
     side = lambda p, name: rows.select(*SCOPE, F.col("id").alias(name), *[F.col(c).alias(f"{p}{c}") for c in rows.columns if c not in SCOPE])
-    both = shared_pairs(rows).join(side("l_", "left_id"), [*SCOPE, "left_id"]).join(side("r_", "right_id"), [*SCOPE, "right_id"])
+    both = shared_pairs(rows, by_row).join(side("l_", "left_id"), [*SCOPE, "left_id"]).join(side("r_", "right_id"), [*SCOPE, "right_id"])
     return both.select(*SCOPE, "left_id", "right_id", equivalent("l_", "r_").alias("equal"), same_identity("l_", "r_").alias("alike")).where("equal or alike")
 
 
 def equivalence_pairs(suggestions: DataFrame) -> DataFrame:
     """Pairs of equivalent suggestions of one company, type and account set."""
-    return judged_pairs(materialise(described(suggestions), "described")).where("equal").select("company_id", "left_id", "right_id")
+    rows = materialise(described(suggestions), "described")
+    return judged_pairs(rows, materialise(shared_rows(rows), "shared-rows")).where("equal").select("company_id", "left_id", "right_id")
 
 
 def logical_key(rows: DataFrame) -> Column:
@@ -211,16 +225,19 @@ def consolidate(suggestions: DataFrame) -> DataFrame:
     those that share rows with it, so what is linked by such pairs, a connected component, is worked on by itself; what a
     company, type and account set holds besides plays no part. Pairs come from inverted indexes, families from joins.
     """
-    rows = materialise(described(suggestions).where("not internal"), "described")
-    judged = materialise(judged_pairs(rows), "equivalences")
+    # Filtered after they are written: Spark would ask the question of every row behind a suggestion, before it is grouped.
+    rows = materialise(described(suggestions), "described").where("not internal")
+    index = materialise(shared_rows(rows), "shared-rows")
+    judged = materialise(judged_pairs(rows, index), "equivalences")
     # A row links all its suggestions to the first of them.
-    index = rows.select(*SCOPE, "id", F.explode("transaction_ids").alias("key"))
-    sharing = index.groupBy(*SCOPE, "key").agg(F.min("id").alias("left_id")).join(index, [*SCOPE, "key"]).where("left_id < id").select("left_id", F.col("id").alias("right_id"))
+    sharing = index.withColumn("left_id", F.min("id").over(Window.partitionBy(*SCOPE, "key"))).where("left_id < id").select("left_id", F.col("id").alias("right_id"))
     edges = judged.where("equal").select("left_id", "right_id").unionByName(sharing).distinct()
-    parts = connected_components(edges, "left_id", "right_id")
-    named = rows.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    parts = connected_components(edges, "left_id", "right_id").withColumnRenamed("node", "id")
+    # A suggestion without links stays; only the others are gathered.
+    alone = rows.select("company_id", "id").join(parts, "id", "left_anti")
+    named = rows.join(parts, "id")
     own = named.groupBy("component").agg(F.first("company_id").alias("company_id"), F.collect_list(F.struct("id", "confidence", "transaction_ids", "phase", "family", "pattern_kind", "economy", "span")).alias("rows"))
-    links = judged.join(parts.select(F.col("node").alias("left_id"), "component"), "left_id").groupBy("component").agg(F.collect_list(F.struct("left_id", "right_id", "equal", "alike")).alias("links"))
+    links = judged.join(parts.select(F.col("id").alias("left_id"), "component"), "left_id").groupBy("component").agg(F.collect_list(F.struct("left_id", "right_id", "equal", "alike")).alias("links"))
 
     def run(batches):
         for batch in batches:
@@ -232,7 +249,8 @@ def consolidate(suggestions: DataFrame) -> DataFrame:
                 out += [(company, i) for i in _Group([dict(r) for r in items], equal, alike).consolidate()]
             yield pd.DataFrame(out, columns=["company_id", "id"]).astype("object")
 
-    return own.join(links, "component", "left").select("company_id", "rows", "links").mapInPandas(run, "company_id string, id string")
+    merged = own.join(links, "component", "left").select("company_id", "rows", "links").mapInPandas(run, "company_id string, id string")
+    return alone.select("company_id", "id").unionByName(merged)
 
 
 def stale(stored: DataFrame, found: DataFrame) -> DataFrame:

@@ -53,3 +53,28 @@ def test_thousands_of_suggestions_of_one_company(spark):
     """Five thousand series of their own, each twice: of each two the longer stays."""
     rows = [(f"s{i:05d}{half}", "c", "expense", "a", "monthly", "fixed", "monthly_fixed", None, f"payee{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} servico", "X", -100.0 - i, 0.0, 80, [f"t{i}-{k}" for k in range(3 + half)], 5, 90) for i in range(2500) for half in (0, 1)]
     assert sorted(r.id for r in K.consolidate(spark.createDataFrame(rows, CONSOLIDATED)).collect()) == sorted(r[0] for r in rows if r[0].endswith("1"))
+
+
+def test_internal_transfers_are_told_after_grouping(spark, monkeypatch):
+    plans, write = {}, K.materialise
+
+    def noted(frame, name):
+        plans[name] = frame._jdf.queryExecution().optimizedPlan().toString()
+        return write(frame, name)
+
+    monkeypatch.setattr(K, "materialise", noted)
+    rows = [("a", 1), ("b", 1), ("a", 2), ("c", 3)]
+    ledger = spark.createDataFrame(rows, "text string, k int").groupBy("text").agg(F.collect_list(F.col("k").cast("string")).alias("ids"))
+    frame = suggestions(spark, 1, 1).drop("id", "normalized_description", "transaction_ids").crossJoin(ledger.select(F.col("text").alias("id"), F.concat("text", F.lit(" interna entre contas")).alias("normalized_description"), F.col("ids").alias("transaction_ids")))
+    assert K.consolidate(frame).count() == 0
+    below = plans["described"].split("Aggregate", 1)[1]
+    assert "array_intersect" in plans["described"] and not any(f in below for f in ("array_intersect", "array_contains"))
+
+
+def test_words_without_an_identity_make_no_pairs(spark):
+    """Each of 40 descriptions shares a word with others, and none has most of its words."""
+    rows = [(f"s{i:02d}", "c", "expense", "a", "monthly", "fixed", None, None, f"sala{i % 8} casa{i // 8}", "X", -100.0, 0.0, 80, [f"t{i}", f"u{i // 39}"], 5, 90) for i in range(40)]
+    described = K.described(spark.createDataFrame(rows, CONSOLIDATED)).cache()
+    found = K.shared_pairs(described, K.shared_rows(described))
+    assert found.count() == 39 * 38 / 2  # those of the row u0, by which all but the last meet
+    assert K.shared_pairs(described, K.shared_rows(described).where("false")).count() == 0
