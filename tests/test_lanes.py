@@ -7,6 +7,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
+from ledgerloom.operators import in_place as I
 from ledgerloom.operators import recurrence as R
 
 SCHEMA = "id string, company_id string, type string, date date, amount double, description string, counterparty_name string, document_number string"
@@ -61,3 +62,30 @@ def test_lanes_by_definition_with_and_without_copied_ids_and_large_companies(spa
 def test_lists_of_lanes_are_not_shuffled(spark):
     plan = R.lanes(ledger(spark, 1, 20, 0))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_copied_ids_have_their_lanes_in_place(spark):
+    plan = R.lanes(ledger(spark, 3, 30, 4))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and "Union" not in plan
+
+
+def test_lanes_in_portions(spark, monkeypatch):
+    rows = ledger(spark, 5, 60, 3).cache()
+    table = R._lanes_rows(rows).where("company_id = 'c0'").toArrow()
+    whole = {tuple(r.values()) for b in I.lanes_of(iter(table.to_batches()), 3, 0.35, 5) for r in b.to_pylist()}
+    monkeypatch.setattr(I, "CELLS", 7)
+    monkeypatch.setattr(I, "HANDED_ON", 3)
+    parts = [b.to_pylist() for b in I.lanes_of(iter(table.to_batches()), 3, 0.35, 5)]
+    assert whole == {tuple(r.values()) for p in parts for r in p} == {e for e in plain(rows) if e[0] == "c0"} and len(parts) > 10
+
+
+def test_few_texts_are_normalised_once_with_the_same_result(spark, monkeypatch):
+    texts = [("Pagto Água 12/03", None, None), (None, "Água SA", "12.345.678/0001-95"), ("NF 12345678901", "Água SA", None), ("", "", ""), (None, None, None)]
+    txns = spark.createDataFrame([(i, (-1.0) ** i * i * 40, *texts[i % 5]) for i in range(20)], "id int, amount double, description string, counterparty_name string, document_number string")
+    plain_rows = R.normalized_rows(txns).withColumn("text_keys", R.text_keys()["key"])
+    names = sorted(plain_rows.columns)
+    expected = plain_rows.select(names).orderBy("id").collect()
+    once = R.normalized_once(txns, text_keys=R.text_keys()["key"])
+    assert once.select(names).orderBy("id").collect() == expected and "Join" in once._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(R, "MOST_TEXTS", 2)
+    assert R.normalized_once(txns, text_keys=R.text_keys()["key"]).select(names).orderBy("id").collect() == expected
